@@ -13,5 +13,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing,)}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
