@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
@@ -31,5 +32,14 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op4_quality_rules, op10_document_fingerprints)}
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import BASE, listed, secret_scan
+
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["number"] < len(BASE))
+    count = lambda n: F.size(F.filter("spans", lambda s: s["number"] == n)).cast("long")
+    return found.select("doc_id", *[count(n).alias(f"n_{r.kind}") for n, r in enumerate(BASE)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op10_document_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
