@@ -61,5 +61,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op5_minhash_near_dedup, op7_toxicity, op10_document_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op5_minhash_near_dedup, op7_toxicity, op8_warc, op10_document_fingerprints)}
+#: Base32 in SQL: each 10 of the 40 hex digits of SHA-1 are 8 letters.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT >> {35 - 5 * i}) & 31)::INT, 1)" for k in range(4) for i in range(8))
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        q AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM q""",
+}
