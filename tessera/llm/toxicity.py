@@ -208,3 +208,21 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(hits, pa.float64())], ["doc_id", "score", "predicted", "hits"])
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, hits double")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that toxicity doesn't predict toxic, with all their columns."""
+    weights, phrases, beta = model.weights, _phrases(model.exceptions), model.beta
+    at = docs.columns.index("text")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        a, b = automaton(weights), automaton(phrases)
+        for batch in batches:
+            keep = []
+            for text in batch.column(at):
+                words = folded_words(text.as_py() or "")
+                z = sum(u * v for u, v in zip(beta, _inputs(hit_weight(words, a, b), len(words)), strict=True))
+                keep.append(z < 0)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
