@@ -74,7 +74,14 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op5_minhash_near_dedup, op7_toxicity, op8_warc, op9_lm_scoring, op10_document_fingerprints)}
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sentencepiece_codec import digested
+    from tessera.llm.tokenizer import vocabulary
+
+    return digested(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op5_minhash_near_dedup, op6_sentencepiece, op7_toxicity, op8_warc, op9_lm_scoring, op10_document_fingerprints)}
 #: Base32 in SQL: each 10 of the 40 hex digits of SHA-1 are 8 letters.
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT >> {35 - 5 * i}) & 31)::INT, 1)" for k in range(4) for i in range(8))
 
