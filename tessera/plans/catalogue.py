@@ -1,11 +1,548 @@
-"""Every query of the geometry operators, with its SQL."""
+"""Every query of the geometry operators over the driver's tables, with DuckDB SQL for the same rows.
+
+A query is a function of a Scene; the SQL of the relations it stands on is in adapters.SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import geom as g
+from tessera.operators import cloud, depth, iterate, mesh, scene, views
+from tessera.plans.adapters import SQL, Scene, with_
+
+QUERIES: dict[str, Callable[[Scene], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = _rounding(sql)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str, to: int = 4) -> DataFrame:
+    """Named doubles rounded by floor(x + 0.5), which both engines compute alike, to so many places."""
+    return df.withColumns({n: F.floor(F.col(n) * 10.0**to + 0.5) / 10.0**to for n in names})
+
+
+def _rounding(sql: str) -> str:
+    """SQL whose round(x, 4) and round(x, 9) are written as rounded() computes them."""
+    for places in (4, 9):
+        while f", {places})" in sql:
+            end = sql.index(f", {places})")
+            depth, at = 0, end
+            while depth >= 0:
+                at -= 1
+                depth += {")": 1, "(": -1}.get(sql[at], 0)
+            if sql[at - 5 : at] != "round":
+                sql = sql[:end] + f",\t{places})" + sql[end + len(f", {places})") :]
+                continue
+            inner = sql[at + 1 : end]
+            sql = f"{sql[: at - 5]}(floor(({inner}) * 1e{places} + 0.5) / 1e{places}){sql[end + len(f', {places})') :]}"
+    return sql.replace("\t", " ")
+
+
+def _all_pairs(s: Scene) -> DataFrame:
+    ids = s.cameras().select("image_id").filter("image_id < 20")
+    return ids.toDF("ref_id").join(F.broadcast(ids.toDF("nb_id"))).filter("ref_id <> nb_id")
+
+
+# ---- views
+
+_SEEN = """seen AS (SELECT pv.point_id, pv.image_id, cx - x AS rx, cy - y AS ry, cz - z AS rz, f / (z - cz) AS foot,
+  CASE WHEN px + f*(x-cx)/(z-cz) >= 0 AND py + f*(y-cy)/(z-cz) >= 0 AND px + f*(x-cx)/(z-cz) < width AND py + f*(y-cy)/(z-cz) < height
+    THEN floor((px + f*(x-cx)/(z-cz))/width*16)*16 + floor((py + f*(y-cy)/(z-cz))/height*16) END AS cell
+  FROM pv JOIN pt USING (point_id) JOIN cam USING (image_id)),
+pairs AS (SELECT a.image_id AS ref_id, b.image_id AS nb_id,
+  round(degrees(acos(greatest(-1.0, least(1.0, (a.rx*b.rx + a.ry*b.ry + a.rz*b.rz) / (sqrt(a.rx*a.rx + a.ry*a.ry + a.rz*a.rz) * sqrt(b.rx*b.rx + b.ry*b.ry + b.rz*b.rz)))))), 6) AS angle,
+  round(b.foot / a.foot, 6) AS scale, a.cell FROM seen a JOIN seen b ON a.point_id = b.point_id AND a.image_id <> b.image_id),
+scores AS (SELECT ref_id, nb_id, count(*) AS points, avg(angle) AS angle, avg(scale) AS scale, count(DISTINCT cell) / 256.0 AS area,
+  sum(greatest(exp((angle-12)*(angle-12) * CASE WHEN angle < 12 THEN -1/(2*power(0.38*12,2)) ELSE -1/(2*power(0.7*12,2)) END), 0.1)
+    * CASE WHEN scale > 1.6 THEN power(1.6/scale, 2) WHEN scale >= 1 THEN 1.0 ELSE scale*scale END) AS score FROM pairs GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, nb_id) AS rank FROM scores)"""
+
+
+def _scores(s: Scene) -> DataFrame:
+    return views.neighbor_scores(s.point_views(), s.points(), s.cameras())
+
+
+_SCORE = "points, round(angle, 4) AS angle, round(scale, 4) AS scale, round(area, 4) AS area, round(score, 4) AS score"
+
+
+@query(with_("pv pt cam", _SEEN) + f"SELECT ref_id, nb_id, {_SCORE} FROM scores")
+def neighbor_scores(s):
+    return rounded(_scores(s), "angle", "scale", "area", "score")
+
+
+@query(with_("pv pt cam", _SEEN) + f"SELECT ref_id, nb_id, rank, {_SCORE} FROM ranked WHERE rank <= 10")
+def neighbor_topk(s):
+    return rounded(views.top_neighbors(_scores(s), 10), "angle", "scale", "area", "score")
+
+
+@query(with_("pv pt cam", _SEEN, """flagged AS (SELECT *, area < 0.01 OR NOT scale BETWEEN 0.2 AND 3.2 OR NOT angle BETWEEN 3 AND 65 AS bad, count(*) OVER (PARTITION BY ref_id) AS n FROM ranked),
+counted AS (SELECT *, sum(bad::INT) OVER (PARTITION BY ref_id ORDER BY rank DESC) AS bad_rank FROM flagged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY rank) AS place FROM counted WHERE NOT bad OR bad_rank > greatest(n - 9, 0))""") + f"SELECT ref_id, nb_id, place, {_SCORE} FROM placed WHERE place <= 12")
+def neighbor_filter(s):
+    return rounded(views.filter_neighbors(_scores(s)), "angle", "scale", "area", "score")
+
+
+@query(with_("pv") + "SELECT a.image_id AS ref_id, b.image_id AS nb_id, count(*) AS points FROM pv a JOIN pv b ON a.point_id = b.point_id AND a.image_id <> b.image_id GROUP BY 1, 2")
+def covisible_pairs(s):
+    return views.covisible_pairs(s.point_views())
+
+
+@query(with_("pv") + "SELECT DISTINCT least(a.image_id, b.image_id) AS a_id, greatest(a.image_id, b.image_id) AS b_id FROM pv a JOIN pv b ON a.point_id = b.point_id AND a.image_id <> b.image_id")
+def pair_dedup(s):
+    return views.unordered_pairs(views.covisible_pairs(s.point_views()))
+
+
+@query(with_("pv") + "SELECT point_id FROM pv WHERE image_id IN (3, 7) GROUP BY 1 HAVING count(*) = 2")
+def view_relational_division(s):
+    return views.seen_by_all(s.point_views(), [3, 7])
+
+
+@query(with_("pv", "part_of AS (SELECT * FROM pv WHERE image_id < 40)") + "SELECT point_id, image_id, weight FROM part_of WHERE point_id IN (SELECT point_id FROM part_of GROUP BY 1 HAVING count(*) >= 2)")
+def subscene(s):
+    return views.sub_scene(s.point_views(), s.cameras().filter("image_id < 40")).select("point_id", "image_id", "weight")
+
+
+@query(with_("pv pt") + "SELECT image_id, count(*) AS points FROM pv JOIN pt USING (point_id) WHERE x BETWEEN 20 AND 60 AND y BETWEEN 20 AND 60 AND z BETWEEN 15 AND 50 GROUP BY 1 HAVING count(*) >= 3")
+def crop_roi(s):
+    return views.crop_to_box(s.points(), s.point_views(), (20.0, 20.0, 15.0), (60.0, 60.0, 50.0))
+
+
+@query(with_("pv pt cam") + "SELECT image_id, count(*) AS points, round(avg(z - cz), 4) AS avg_depth FROM pv JOIN pt USING (point_id) JOIN cam USING (image_id) WHERE z - cz > 0 GROUP BY 1")
+def mean_depth_per_image(s):
+    return rounded(views.mean_depth(s.point_views(), s.points(), s.cameras()), "avg_depth")
+
+
+@query(with_("cam") + "SELECT image_id, round(degrees(2*atan(width/(2*f))), 4) AS fov_x, round(degrees(2*atan(height/(2*f))), 4) AS fov_y, round(degrees(2*atan(sqrt(width*width + height*height)/(2*f))), 4) AS fov_d, 500 AS side FROM cam")
+def image_intrinsics(s):
+    return rounded(views.intrinsics(s.cameras()), "fov_x", "fov_y", "fov_d")
+
+
+# ---- clouds
+
+
+@query(with_("pv", "n AS (SELECT point_id, count(*) AS n FROM pv GROUP BY 1)") + "SELECT least(n, 4) AS views, count(*) AS points FROM n GROUP BY 1")
+def track_hist(s):
+    return cloud.track_histogram(s.point_views())
+
+
+@query(with_("pv", "n AS (SELECT point_id, count(*) AS n FROM pv GROUP BY 1)") + "SELECT min(n) AS least, max(n) AS most, round(avg(n), 4) AS mean, round(stddev_pop(n), 4) AS std, count(*) AS points FROM n")
+def track_stats(s):
+    return rounded(cloud.track_statistics(s.point_views()), "mean", "std")
+
+
+@query(with_("pv pt") + "SELECT point_id, x, y, z FROM pt WHERE point_id IN (SELECT point_id FROM pv GROUP BY 1 HAVING count(*) >= 3)")
+def points_min_views(s):
+    return cloud.with_least_views(s.points(), s.point_views(), 3)
+
+
+@query(with_("pt") + "SELECT min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM pt")
+def scene_aabb(s):
+    return cloud.bounding_box(s.points())
+
+
+@query(with_("pt", "n AS (SELECT *, row_number() OVER (ORDER BY point_id) - 1 AS k FROM pt)") + "SELECT median(x) AS x, median(y) AS y, median(z) AS z FROM n WHERE k % 5 = 0")
+def scene_center(s):
+    return cloud.centre(s.points())
+
+
+@query(with_("pv pt cam") + "SELECT point_id, round(min((z - cz) / f), 4) AS scale, count(*) AS confidence FROM pv JOIN pt USING (point_id) JOIN cam USING (image_id) GROUP BY 1")
+def point_scale(s):
+    return rounded(cloud.point_scale(s.point_views(), s.points(), s.cameras()), "scale")
+
+
+@query(with_("votes", "n AS (SELECT point_id, label, count(*) AS n FROM votes GROUP BY 1, 2)", "k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY n DESC, label) AS k FROM n)") + "SELECT point_id, label, n FROM k WHERE k = 1 AND n >= 2")
+def label_vote(s):
+    return cloud.label_votes(s.votes())
+
+
+@query(with_("votes", "d AS (SELECT DISTINCT label FROM votes)") + "SELECT label, round((dense_rank() OVER (ORDER BY label) - 1) / greatest((SELECT count(*) FROM d) - 1, 2)::DOUBLE, 4) AS tone FROM d")
+def label_palette(s):
+    return rounded(cloud.label_palette(s.votes()), "tone")
+
+
+@query(with_("pv pt cam", "d AS (SELECT point_id, image_id, round(sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz)), 6) AS d FROM pv JOIN pt USING (point_id) JOIN cam USING (image_id))", "k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, image_id) AS k FROM d)") + "SELECT pt.point_id, image_id, round(d, 4) AS distance FROM pt LEFT JOIN k ON k.point_id = pt.point_id AND k.k = 1")
+def color_nearest_view(s):
+    return rounded(cloud.nearest_view(s.point_views(), s.points(), s.cameras()), "distance")
+
+
+@query(with_("depth cam") + "SELECT r, c, round(sum(z*w)/sum(w), 4) AS z, round(sum(x*w)/sum(w), 4) AS x FROM (SELECT r, c, depth AS z, (c - px)*depth/f + cx AS x, 1/(greatest(1-conf, 0.03)*depth*depth) AS w FROM depth JOIN cam USING (image_id)) GROUP BY 1, 2")
+def weighted_mean_point(s):
+    rows = depth.back_projected(s.depth(), s.cameras())
+    return rounded(cloud.weighted_mean(rows, ["r", "c"], ["z", "x"], cloud.fused_weight(F.col("weight"), F.col("z"))), "z", "x")
+
+
+@query(with_("cloud") + "SELECT label, round(median(x), 4) AS x, round(median(y), 4) AS y, round(median(z), 4) AS z, count(*) AS n FROM cloud GROUP BY 1")
+def median_point(s):
+    return rounded(cloud.component_medians(s.cloud(), "label", ["x", "y", "z"]), "x", "y", "z")
+
+
+_CENTS = "cents AS (SELECT round(o_totalprice * 100)::BIGINT AS v FROM orders)"
+
+
+def _cents(s: Scene) -> DataFrame:
+    return s.table("orders").select(F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
+
+
+@query(f"WITH {_CENTS}, m AS (SELECT list_sort(list(v))[count(*)//2 + 1] AS m FROM cents) SELECT m AS middle, round(5.2 * (SELECT list_sort(list(abs(v - m)))[count(*)//2 + 1] FROM cents), 4) AS threshold FROM m")
+def x84_threshold(s):
+    return rounded(cloud.x84(_cents(s), "v"), "threshold")
+
+
+@query(f"WITH {_CENTS}, q AS (SELECT list_sort(list(v)) AS l, count(*) AS n FROM cents), e AS (SELECT l[n//4 + 1] AS q1, l[n//2 + 1] AS q2, l[3*n//4 + 1] AS q3 FROM q) SELECT q1, q2, q3, round(q1 - 1.5*(q3-q1), 4) AS low, round(q3 + 1.5*(q3-q1), 4) AS high FROM e")
+def quartile_fences(s):
+    return rounded(cloud.fences(_cents(s), "v"), "low", "high")
+
+
+_BIN = "hist AS (SELECT CASE WHEN l_extendedprice < 0 THEN 0 WHEN l_extendedprice >= 100000 THEN 51 ELSE floor(l_extendedprice / 2000)::BIGINT + 1 END AS bin, count(*) AS n FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {_BIN} SELECT bin, n FROM hist")
+def histogram_bins(s):
+    return cloud.histogram(s.table("lineitem"), "l_extendedprice", 0, 100000, 50)
+
+
+@query(f"WITH {_BIN}, run AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM hist WHERE bin BETWEEN 1 AND 50) SELECT min(bin) * 2000.0::DOUBLE AS value FROM run WHERE upto >= 0.95 * total")
+def permille(s):
+    return cloud.permille(histogram_bins(s), 0.95, 0.0, 100000.0, 50)
+
+
+@query("WITH p AS (SELECT count(*) AS n, power(4/(3.0*count(*)), 0.2) * stddev_samp(c_acctbal) AS h FROM customer) SELECT k, round(sum(exp(-power((-1000 + k*550.0 - c_acctbal)/h, 2)/2)) / any_value(n*h*sqrt(2*pi())), 9) AS density FROM customer, p, range(21) t(k) GROUP BY k")
+def kde_grid(s):
+    return rounded(cloud.density_grid(s.table("customer"), "c_acctbal", -1000.0, 10000.0, 20), "density", to=9)
+
+
+@query(with_("cloud") + "SELECT round(covar_samp(x,x),4) AS c_xx, round(covar_samp(x,y),4) AS c_xy, round(covar_samp(x,z),4) AS c_xz, round(covar_samp(y,y),4) AS c_yy, round(covar_samp(y,z),4) AS c_yz, round(covar_samp(z,z),4) AS c_zz FROM cloud")
+def covariance3(s):
+    return rounded(cloud.covariance(s.cloud()), "c_xx", "c_xy", "c_xz", "c_yy", "c_yz", "c_zz")
+
+
+@query(with_("cloud", "d AS (SELECT a.vec_id AS q_id, b.vec_id AS p_id, round((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), 9) AS d2 FROM cloud a JOIN cloud b ON a.vec_id <> b.vec_id)", "k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, p_id) AS rank FROM d)") + "SELECT q_id, p_id, rank FROM k WHERE rank <= 8")
+def knn_points(s):
+    p = s.cloud().withColumnRenamed("vec_id", "id")
+    return cloud.nearest(p, p, 8, 0.25).select("q_id", "p_id", "rank")
+
+
+@query(with_("cloud") + "SELECT a.vec_id AS box_id, b.vec_id AS p_id FROM cloud a JOIN cloud b ON b.x BETWEEN a.x - 0.1 AND a.x + 0.1 AND b.y BETWEEN a.y - 0.1 AND a.y + 0.1 AND b.z BETWEEN a.z - 0.1 AND a.z + 0.1")
+def box_range_join(s):
+    p = s.cloud()
+    boxes = p.select(F.col("vec_id").alias("box_id"), *[(F.col(c) + d).alias(f"{n}_{c}") for n, d in (("low", -0.1), ("high", 0.1)) for c in "xyz"])
+    return cloud.in_boxes(boxes, p.withColumnRenamed("vec_id", "id"), 0.2)
+
+
+@query("SELECT round(10*log10(sum(l_extendedprice*l_extendedprice)/sum(power(l_extendedprice*l_discount,2))), 4) AS snr, round(10*log10(255.0*255.0/avg(power(l_extendedprice*l_discount,2))), 4) AS psnr FROM lineitem")
+def signal_to_noise(s):
+    t = s.table("lineitem").select(F.col("l_extendedprice").alias("a"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("b"))
+    return rounded(cloud.signal_to_noise(t, "a", "b", 255.0), "snr", "psnr")
+
+
+@query()
+def point_visibility_filter(s):
+    """Votes by visibility rays."""
+    return cloud.visibility_votes(s.point_views(), s.points(), s.cameras())
+
+
+# ---- depth maps
+
+
+@query(with_("depth cam") + "SELECT image_id, r, c, round((c-px)*depth/f + cx, 4) AS x, round((r-py)*depth/f + cy, 4) AS y, round(depth + cz, 4) AS z, conf AS weight FROM depth JOIN cam USING (image_id)")
+def depth_backproject(s):
+    return rounded(depth.back_projected(s.depth(), s.cameras()), "x", "y", "z")
+
+
+@query(with_("depth") + "SELECT image_id, r, c, depth, conf FROM depth WHERE conf >= 0.7")
+def depth_filter_conf(s):
+    return depth.confident(s.depth(), 0.7)
+
+
+_OTHER = "other AS (SELECT image_id, (r + 1) % 64 AS r, c, depth FROM depth)"
+
+
+@query(with_("depth", _OTHER) + "SELECT coalesce(a.image_id, b.image_id) AS image_id, count(*) FILTER (abs(a.depth-b.depth)/a.depth > 0.01) AS errors, count(*) FILTER (b.depth IS NULL) AS missing, count(*) FILTER (a.depth IS NULL) AS extra, round(avg(abs(a.depth-b.depth)), 4) AS mean, round(stddev_pop(abs(a.depth-b.depth)), 4) AS std FROM depth a FULL JOIN other b ON a.image_id = b.image_id AND a.r = b.r AND a.c = b.c GROUP BY 1")
+def depth_compare(s):
+    d = s.depth()
+    return rounded(depth.compared(d, d.withColumn("r", (F.col("r") + 1) % 64)), "mean", "std")
+
+
+@query(with_("depth", "n AS (SELECT *, lead(c) OVER w AS c2, lead(depth) OVER w AS d2, lead(conf) OVER w AS f2 FROM depth WINDOW w AS (PARTITION BY image_id, r ORDER BY c))") + "SELECT image_id, r, k AS c, round(depth + (k-c)::DOUBLE/(c2-c)*(d2-depth), 4) AS depth, least(conf, f2) AS conf FROM n, LATERAL (SELECT unnest(range(c+1, c2)) AS k) WHERE c2-c-1 BETWEEN 1 AND 7 AND abs(depth-d2)/depth < 0.1")
+def gap_fill_rows(s):
+    return rounded(depth.gaps_filled(s.depth()), "depth")
+
+
+_NEAR = "near AS (SELECT a.image_id, a.r, a.c, a.depth, b.r - a.r AS dr, b.c - a.c AS dc, b.depth AS other FROM depth a JOIN depth b ON a.image_id = b.image_id AND b.r BETWEEN a.r-1 AND a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1 AND (a.r <> b.r OR a.c <> b.c))"
+
+
+@query(with_("depth", _NEAR) + "SELECT image_id, r, c, count(*) FILTER (abs(depth-other)/depth < 0.05) AS similar, round(list_avg(list_sort(list(abs(depth-other)/depth))[1:3]), 4) AS closest FROM near GROUP BY 1, 2, 3")
+def conf_from_depth(s):
+    return rounded(depth.confidence(s.depth()), "closest")
 
-def queries() -> dict:
-    return {}
+
+@query()
+def depth_normals(s):
+    return rounded(depth.normals(s.depth(), s.cameras(), threshold=0.5), "nx", "ny", "nz")
+
+
+_REP = """pts AS (SELECT image_id AS ref_id, r, c, (c-px)*depth/f + cx AS x, (r-py)*depth/f + cy AS y, depth AS z FROM depth JOIN cam USING (image_id) WHERE image_id < 20),
+shot AS (SELECT ref_id, r, c, cam.image_id AS nb_id, floor(py + f*(y-cy)/z + 0.5)::BIGINT AS r2, floor(px + f*(x-cx)/z + 0.5)::BIGINT AS c2, z FROM pts JOIN cam ON cam.image_id < 20 AND cam.image_id <> ref_id),
+met AS (SELECT ref_id, shot.r, shot.c, nb_id, r2, c2, z, d.depth AS other, d.conf AS other_conf, abs(z-d.depth)/z < 0.2 AS agrees FROM shot JOIN depth d ON d.image_id = nb_id AND d.r = r2 AND d.c = c2)"""
+
+
+def _matches(s: Scene) -> DataFrame:
+    return depth.reprojected(s.depth(), s.cameras(), _all_pairs(s), 0.2)
+
+
+@query(with_("depth cam", _REP) + "SELECT ref_id, r, c, nb_id, r2, c2, agrees FROM met")
+def reproject_match(s):
+    return _matches(s).select("ref_id", "r", "c", "nb_id", "r2", "c2", "agrees")
+
+
+@query(with_("depth cam", _REP, "sums AS (SELECT ref_id AS image_id, r, c, min(abs(z-other)/z) FILTER (agrees) AS best, list_sum(list_sort(list(other_conf) FILTER (NOT agrees), 'DESC')[1:2]) AS neg FROM met GROUP BY 1, 2, 3)") + "SELECT image_id, r, c, round(CASE WHEN conf > coalesce(neg, 0) THEN 0.3*conf + 0.7*exp(-power(coalesce(best, 1.0), 2)/(2*0.01*0.01)) WHEN coalesce(neg,0) <> 0 THEN 0.1*conf/neg END, 4) AS conf FROM depth LEFT JOIN sums USING (image_id, r, c)")
+def adjust_conf_fast(s):
+    return rounded(depth.adjusted_confidence(s.depth(), _matches(s)), "conf")
+
+
+@query(with_("depth", _OTHER) + "SELECT a.image_id, a.r, a.c, CASE WHEN a.conf > 0 AND b.conf > 0 THEN greatest(a.conf, b.conf) ELSE 0 END AS conf FROM depth a LEFT JOIN (SELECT image_id, (r+1)%64 AS r, c, conf FROM depth) b ON a.image_id = b.image_id AND a.r = b.r AND a.c = b.c")
+def combine_confidence(s):
+    d = s.depth()
+    return depth.combined_confidence(d, d.withColumn("r", (F.col("r") + 1) % 64))
+
+
+_DISP = "disp AS (SELECT image_id, r, c, (floor(depth) % 8)::INT AS disp FROM depth)"
+
+
+def _disp(s: Scene) -> DataFrame:
+    return s.depth().select("image_id", "r", "c", (F.floor("depth") % 8).cast("int").alias("disp"))
+
+
+@query(with_("depth", _DISP) + "SELECT a.image_id, a.r, a.c, a.disp FROM disp a JOIN disp b ON a.image_id = b.image_id AND a.r = b.r AND b.c = a.c + a.disp AND abs(a.disp - b.disp) <= 1")
+def disparity_cross_check(s):
+    d = _disp(s)
+    return depth.cross_checked(d, d.withColumn("disp", -F.col("disp")))
+
+
+@query(with_("depth", _DISP) + "SELECT image_id, r, c, min(disp) OVER w AS low, max(disp) OVER w AS high FROM disp WINDOW w AS (PARTITION BY image_id, r ORDER BY c RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
+def disparity_ranges(s):
+    return depth.disparity_range(_disp(s))
+
+
+@query(with_("depth", _DISP) + "SELECT image_id, r, c, round(500 * 0.1 / abs(disp), 4) AS depth FROM disp WHERE disp <> 0")
+def disparity_depth(s):
+    return rounded(depth.disparity_to_depth(_disp(s), 500.0, 0.1), "depth")
+
+
+@query()
+def interval_cluster(s):
+    return rounded(depth.interval_clusters(s.depth().select("r", "c", F.col("image_id").alias("source"), "depth"), 0.2), "depth")
+
+
+@query()
+def dense_fuse(s):
+    return rounded(depth.fused(s.depth(), s.cameras(), _all_pairs(s), 0.2), "x", "y", "z")
+
+
+@query()
+def speckle_pixels(s):
+    return depth.speckles(s.depth(), 0.3, 5)
+
+
+@query(with_("depth cam") + "SELECT image_id, r, c, round((c-px)*depth/f + cx, 4) AS x, round((r-py)*depth/f + cy, 4) AS y, round(depth, 4) AS z FROM depth JOIN cam USING (image_id) WHERE conf >= 0.8")
+def merge_depth_maps(s):
+    return rounded(depth.back_projected(depth.confident(s.depth(), 0.8), s.cameras()).drop("weight"), "x", "y", "z")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN greatest(a, b) = 0 THEN 0 ELSE (x/2 - 0.5) * CASE WHEN a < b THEN 1 ELSE -1 END END, 4) AS linear, round(CASE WHEN greatest(a, b) = 0 THEN 0 ELSE (x/(x+1) - 0.5) * CASE WHEN a < b THEN 1 ELSE -1 END END, 4) AS parabola FROM (SELECT *, least(a, b) / nullif(greatest(a, b), 0) AS x FROM (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_tax * 600 AS b FROM lineitem))")
+def subpixel_disparity(s):
+    zero, a, b = F.lit(0.0), F.col("l_quantity"), F.col("l_tax") * 600
+    return rounded(s.table("lineitem").select("l_orderkey", "l_linenumber", g.sub_pixel("linear", a, zero, b).alias("linear"), g.sub_pixel("parabola", a, zero, b).alias("parabola")), "linear", "parabola")
+
+
+_N = "x AS (SELECT s_suppkey, s_acctbal / 1000 AS x FROM supplier)"
+
+
+@query(f"WITH {_N} SELECT s_suppkey, round(abs(x), 4) AS l1, round(CASE WHEN abs(x) <= 1 THEN x*x/2 ELSE abs(x) - 0.5 END, 4) AS huber, round(x*x/(x*x+1), 4) AS geman_mcclure, round(ln(1+x*x)/2, 4) AS cauchy, round(CASE WHEN abs(x) <= 1 THEN (1 - power(1-x*x, 3))/6 ELSE 1/6.0::DOUBLE END, 4) AS tukey FROM x")
+def robust_norms(s):
+    x = F.col("s_acctbal") / 1000
+    kinds = ("l1", "huber", "geman_mcclure", "cauchy", "tukey")
+    return rounded(s.table("supplier").select("s_suppkey", *[g.robust_norm(k, x).alias(k) for k in kinds]), *kinds)
+
+
+# ---- meshes
+
+_HALF = "he AS (SELECT f_id, a AS src, b AS dst FROM fc UNION ALL SELECT f_id, b, c FROM fc UNION ALL SELECT f_id, c, a FROM fc)"
+_EDGE = "edge AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, count(*) AS faces FROM he GROUP BY 1, 2)"
+_NB = "nb AS (SELECT lo AS v_id, hi AS nb_id FROM edge UNION ALL SELECT hi, lo FROM edge)"
+_TRI = "tri AS (SELECT f_id, a, b, c, p.x AS ax, p.y AS ay, p.z AS az, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, w.x - p.x AS vx, w.y - p.y AS vy, w.z - p.z AS vz FROM fc JOIN v p ON p.v_id = a JOIN v q ON q.v_id = b JOIN v w ON w.v_id = c)"
+_NORMAL = "nor AS (SELECT *, uy*vz - uz*vy AS nx, uz*vx - ux*vz AS ny, ux*vy - uy*vx AS nz FROM tri)"
+
+
+@query(with_("cell fc", _HALF, _EDGE) + "SELECT lo, hi, faces FROM edge")
+def mesh_edges(s):
+    return mesh.edges(s.faces())
+
+
+@query(with_("cell fc", _HALF, _EDGE, _NB) + "SELECT v_id, count(*) AS degree FROM nb GROUP BY 1")
+def vertex_degree(s):
+    return mesh.vertex_degrees(s.faces())
+
+
+@query(with_("cell fc", _HALF, _EDGE) + "SELECT lo AS v_id FROM edge WHERE faces = 1 UNION SELECT hi FROM edge WHERE faces = 1")
+def boundary_vertices(s):
+    return mesh.boundary_vertices(s.faces())
+
+
+@query(with_("cell fc", _HALF, _EDGE) + "SELECT count(*) FILTER (faces <> 2) AS open_edges, bool_and(faces = 2) AS watertight FROM edge")
+def watertight(s):
+    return mesh.watertight(s.faces())
+
+
+@query(with_("cell fc", _HALF) + "SELECT DISTINCT x.f_id, y.f_id AS nb_id FROM he x JOIN he y ON least(x.src, x.dst) = least(y.src, y.dst) AND greatest(x.src, x.dst) = greatest(y.src, y.dst) AND x.f_id <> y.f_id")
+def face_faces(s):
+    return mesh.face_neighbors(s.faces())
+
+
+@query(with_("v cell fc", _TRI, _NORMAL) + "SELECT f_id, round(sqrt(nx*nx+ny*ny+nz*nz)/2, 4) AS area, round(nx/sqrt(nx*nx+ny*ny+nz*nz), 4) + 0.0 AS nx, round(ny/sqrt(nx*nx+ny*ny+nz*nz), 4) + 0.0 AS ny, round(nz/sqrt(nx*nx+ny*ny+nz*nz), 4) + 0.0 AS nz FROM nor")
+def face_area(s):
+    return rounded(mesh.face_measures(s.faces(), s.vertices()).drop("quality"), "area", "nx", "ny", "nz")
+
+
+@query(with_("v cell fc", _TRI, _NORMAL) + "SELECT round(sum(sqrt(nx*nx+ny*ny+nz*nz)/2), 4) AS area, round(sum((ax*nx + ay*ny + az*nz)/6), 4) AS volume FROM nor")
+def mesh_area_volume(s):
+    return rounded(mesh.area_and_volume(s.faces(), s.vertices()), "area", "volume")
+
+
+@query(with_("v cell fc", _TRI, _NORMAL, "vn AS (SELECT v_id, sum(nx) AS x, sum(ny) AS y, sum(nz) AS z FROM (SELECT a AS v_id, nx, ny, nz FROM nor UNION ALL SELECT b, nx, ny, nz FROM nor UNION ALL SELECT c, nx, ny, nz FROM nor) GROUP BY 1)") + "SELECT v_id, round(x/sqrt(x*x+y*y+z*z), 4) + 0.0 AS nx, round(y/sqrt(x*x+y*y+z*z), 4) + 0.0 AS ny, round(z/sqrt(x*x+y*y+z*z), 4) + 0.0 AS nz FROM vn")
+def vertex_normals(s):
+    return rounded(mesh.vertex_normals(s.faces(), s.vertices()), "nx", "ny", "nz")
+
+
+_LAP = "lap AS (SELECT v.v_id, avg(o.x) - any_value(v.x) AS x, avg(o.y) - any_value(v.y) AS y, avg(o.z) - any_value(v.z) AS z FROM v JOIN nb USING (v_id) JOIN v o ON o.v_id = nb_id GROUP BY 1)"
+
+
+@query(with_("v cell fc", _HALF, _EDGE, _NB, _LAP) + "SELECT v_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z FROM lap")
+def laplacian1(s):
+    return rounded(mesh.laplacian(s.vertices(), s.faces()), "x", "y", "z")
+
+
+@query(with_("v cell fc", _HALF, _EDGE, _NB, _LAP) + "SELECT lap.v_id, round(avg(o.x) - any_value(lap.x), 4) + 0.0 AS x, round(avg(o.y) - any_value(lap.y), 4) + 0.0 AS y, round(avg(o.z) - any_value(lap.z), 4) + 0.0 AS z FROM lap JOIN nb USING (v_id) JOIN lap o ON o.v_id = nb_id GROUP BY 1")
+def laplacian2(s):
+    return rounded(mesh.laplacian(mesh.laplacian(s.vertices(), s.faces()), s.faces()), "x", "y", "z")
+
+
+@query()
+def subdivide_faces(s):
+    return mesh.subdivided(s.faces(), s.vertices(), 5.0)[1]
+
+
+_FLAT = "flat AS (SELECT v_id, floor(x/2) AS x, floor(y/2) AS y, 0::DOUBLE AS z FROM v)"
+
+
+@query(with_("v", _FLAT) + "SELECT v_id, min(v_id) OVER (PARTITION BY x, y, z) AS kept_id FROM flat")
+def dup_vertices(s):
+    return mesh.duplicate_vertices(s.vertices().select("v_id", *[F.floor(F.col(c) / 2).alias(c) for c in "xy"], F.lit(0.0).alias("z")))
+
+
+@query(with_("v cell fc") + "SELECT v_id FROM v WHERE v_id NOT IN (SELECT a FROM fc UNION SELECT b FROM fc UNION SELECT c FROM fc)")
+def unref_vertices(s):
+    return mesh.unreferenced(s.vertices(), s.faces())
+
+
+@query(with_("v cell fc", _TRI, _NORMAL) + "SELECT f_id FROM nor WHERE sqrt(nx*nx+ny*ny+nz*nz)/2 <= 0.75")
+def degenerate_faces(s):
+    return mesh.degenerate_faces(s.faces(), s.vertices(), 0.75)
+
+
+@query(with_("cell fc") + "SELECT f_id, a, b, c FROM fc UNION ALL SELECT f_id + (SELECT max(f_id) + 1 FROM fc), a + (SELECT max(p_partkey) + 1 FROM part), b + (SELECT max(p_partkey) + 1 FROM part), c + (SELECT max(p_partkey) + 1 FROM part) FROM fc")
+def join_meshes(s):
+    return mesh.joined(s.vertices(), s.faces(), s.vertices(), s.faces())[1]
+
+
+def _labels(s: Scene) -> DataFrame:
+    return s.faces().select("f_id", (F.floor(F.col("f_id") / 10) % 3).alias("label"))
+
+
+_LABEL = "lab AS (SELECT f_id, (f_id // 10) % 3 AS label FROM fc)"
+
+
+@query(with_("cell fc", _HALF, _LABEL, "sides AS (SELECT he.f_id, least(src,dst) AS lo, greatest(src,dst) AS hi, label FROM he JOIN lab USING (f_id))") + "SELECT lo AS v_id FROM sides GROUP BY lo, hi HAVING min(label) <> max(label) UNION SELECT hi FROM sides GROUP BY lo, hi HAVING min(label) <> max(label)")
+def seam_vertices(s):
+    return mesh.seam_vertices(s.faces(), _labels(s))
+
+
+@query("WITH RECURSIVE " + with_("cell fc", _HALF, _LABEL, "sides AS (SELECT he.f_id, least(src,dst) AS lo, greatest(src,dst) AS hi, label FROM he JOIN lab USING (f_id))", "link AS (SELECT x.f_id AS a, y.f_id AS b FROM sides x JOIN sides y USING (lo, hi, label) WHERE x.f_id <> y.f_id)", "reach AS (SELECT f_id AS a, f_id AS b FROM fc UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)")[5:] + "SELECT a AS f_id, min(b) AS patch FROM reach GROUP BY 1")
+def patch_components(s):
+    return mesh.patches(s.faces(), _labels(s))
+
+
+@query("WITH seen AS (SELECT l_partkey AS f_id, l_suppkey AS image_id, max(l_quantity) AS area FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY f_id ORDER BY area DESC, image_id) AS k FROM seen) SELECT f_id, area FROM k WHERE k = 2")
+def face_pair_area(s):
+    seen = s.table("lineitem").groupBy(F.col("l_partkey").alias("f_id"), F.col("l_suppkey").alias("image_id")).agg(F.max("l_quantity").alias("area"))
+    return mesh.pair_areas(seen)
+
+
+@query()
+def surface_samples(s):
+    return mesh.sampled(s.faces(), s.vertices(), 0.5)
+
+
+@query()
+def lbp_labels(s):
+    faces = s.faces().filter("f_id < 800")
+    costs = faces.select(F.col("f_id").alias("node"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("label")).withColumn("cost", ((F.col("node") * 7 + F.col("label") * 3) % 5).cast("double"))
+    return iterate.belief_propagation(costs, mesh.face_neighbors(faces).select(F.col("f_id").alias("a"), F.col("nb_id").alias("b")), 0.7, 5)
+
+
+# ---- scenes
+
+_SIM = (2.0, (0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1.0, 2.0, 3.0))
+
+
+@query(with_("pt") + "SELECT point_id, 2*(-y) + 1 AS x, 2*x + 2 AS y, 2*z + 3 AS z FROM pt")
+def transform_apply(s):
+    return scene.transformed(s.points(), *_SIM)
+
+
+@query(with_("pt", "b AS (SELECT (min(x)+max(x))/2 AS mx, (min(y)+max(y))/2 AS my, (min(z)+max(z))/2 AS mz, greatest(max(x)-min(x), max(y)-min(y), max(z)-min(z)) AS side FROM pt)") + "SELECT point_id, round((x-mx)/side, 4) + 0.0 AS x, round((y-my)/side, 4) + 0.0 AS y, round((z-mz)/side, 4) + 0.0 AS z FROM pt, b")
+def normalize_transform(s):
+    return rounded(scene.normalised(s.points()), "x", "y", "z")
+
+
+@query(with_("pt cam", "m AS (SELECT median(cx) AS mx, median(cy) AS my, median(cz) AS mz FROM cam)", "rad AS (SELECT max(sqrt((cx-mx)*(cx-mx)+(cy-my)*(cy-my)+(cz-mz)*(cz-mz))) AS radius FROM cam, m)", "near AS (SELECT x, y, z FROM pt, m, rad WHERE z - mz > 0 AND z - mz < 2*radius)") + "SELECT min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM near")
+def roi_estimate(s):
+    return scene.region_of_interest(s.points(), s.cameras())
+
+
+@query(with_("pt", "c AS (SELECT floor(x/16)::BIGINT AS gx, floor(y/16)::BIGINT AS gy, count(*) AS n FROM pt GROUP BY 1, 2)", "run AS (SELECT *, sum(n) OVER (ORDER BY gy, gx) AS upto FROM c)") + "SELECT gx, gy, n, floor((upto - n) / 1000)::BIGINT AS chunk FROM run")
+def split_cells(s):
+    return scene.split_by_cells(s.points(), 16.0, 1000)
+
+
+@query()
+def similarity_recovered(s):
+    return scene.similarity(s.points(), scene.transformed(s.points(), *_SIM).toDF("point_id", "x2", "y2", "z2"))
+
+
+@query()
+def ground_plane(s):
+    return scene.plane(s.points().withColumn("z", 0.5 * F.col("x") + 0.25 * F.col("y") + 3.0))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, folder, f=f: f(Scene(spark, folder))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+__all__ = ["SQL", "oracle_sql", "queries"]
