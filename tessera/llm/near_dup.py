@@ -35,10 +35,10 @@ from tessera.llm.components import connected_components
 #: Chance that a pair exactly at the threshold shares no bucket.
 MISS = 2e-7
 #: Buckets up to this size are compared pair by pair from the second round on; larger ones by a leader again.
-SMALL = 8
-ROUNDS = 4
-#: Set elements that a task sketches at a time.
-AT_A_TIME = 1_000_000
+SMALL = 256
+ROUNDS = 3
+#: Set elements that a task sketches at a time, and that it remembers while it compares.
+AT_A_TIME, REMEMBERED = 1_000_000, 4_000_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -77,14 +77,18 @@ def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
     out = np.full((len(sets), bins), FULL, dtype=np.uint64)
     flat, items = out.reshape(-1), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    lacking, open_sets = np.zeros(len(sets), dtype=bool), np.unique(owner)
     for i in range(2 * bins):
         if not len(items):
             break
         value = _mix(items, i + 1)
         at = ((value >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32) if i < bins else np.uint64(i - bins)
         np.minimum.at(flat, owner * bins + at.astype(np.int64), (np.uint64(i) << np.uint64(48)) | (value & np.uint64(0xFFFFFFFFFFFF)))
-        lacking = (out == FULL).any(axis=1)[owner]
-        items, owner = items[lacking], owner[lacking]
+        open_sets = open_sets[(out[open_sets] == FULL).any(axis=1)]
+        lacking[:] = False
+        lacking[open_sets] = True
+        left = lacking[owner]
+        items, owner = items[left], owner[left]
     return out
 
 
@@ -133,19 +137,22 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     rows = pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        memo, kept = _Hashes(), {}
+        memo, kept, held = _Hashes(), {}, 0
 
         def of(node: int, text: str) -> np.ndarray:
+            nonlocal held
             if node not in kept:
-                if len(kept) > 256:
+                if held > REMEMBERED:
                     kept.clear()
+                    held = 0
                 kept[node] = shingle_set(text, size, memo)
+                held += len(kept[node])
             return kept[node]
 
         for batch in batches:
             n_a, n_b, common, linked, outside = [], [], [], [], []
             for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                x, y = shingle_set(text_a.as_py(), size, memo), of(b, text_b.as_py())
+                x, y = of(a, text_a.as_py()), of(b, text_b.as_py())
                 here = np.searchsorted(y, x)
                 inside = y[np.minimum(here, len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
                 i = int(inside.sum())
@@ -196,12 +203,13 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         found = written(compared(pairs, texts, size, percent), "compared")
         parts.append(found.filter("linked").select("a", "b"))
         direct = within_leader(found, percent)
-        again = found.select("a", "b", "linked", F.explode("outside").alias("element")).select(F.xxhash64("b", "element").alias("bucket"), F.col("a").alias("node"), "linked")
+        again = found.select("a", "b", "n_a", "linked", F.explode("outside").alias("element")).select(F.xxhash64("b", "element").alias("bucket"), F.col("a").alias("node"), F.col("n_a").alias("n"), "linked")
         sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("open")).filter("size > 1 and open > 0")
         met = written(again.join(sizes, "bucket"), "met")
         small = met.filter((F.col("size") <= SMALL) | F.lit(step + 1 == ROUNDS))
-        other = small.select("bucket", F.col("node").alias("other"), F.col("linked").alias("other_linked"))
-        near = small.join(other, "bucket").filter("node < other and not (linked and other_linked)").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        other = small.select("bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("linked").alias("other_linked"))
+        fits = (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & (F.col("node") < F.col("other"))
+        near = small.join(other, "bucket").filter(fits & ~(F.col("linked") & F.col("other_linked"))).select(F.col("node").alias("a"), F.col("other").alias("b"))
         checked = written(compared(direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(near).distinct(), texts, size, percent).select("a", "b", "linked"), "direct")
         parts.append(checked.filter("linked").select("a", "b"))
         large = met.filter(F.col("size") > SMALL).select("bucket", "node")
