@@ -1,7 +1,7 @@
 """WARC archives with a two-level capture index.
 
-Writing: captures are ordered by reversed-host URL key over all tasks, and each task writes its range of them as one
-archive of gzip members, a record each, whose places go to the index. Level one of the index is blocks of sorted index
+Writing: each task writes its captures as one archive of gzip members, a record each, and gives their places to the
+index, whose lines alone are ordered by reversed-host URL key over all tasks. Level one of the index is blocks of sorted
 lines, compressed; level two is a sparse directory with each block's first key. A look-up searches the directory, then
 reads one block's byte range, searches its lines, and reads one record's byte range.
 
@@ -208,12 +208,11 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, lines_per_b
     named = keyed.withColumns({"size": F.octet_length("html").cast("long"), "payload_digest": base32_of_hex(F.sha1(F.encode("html", "UTF-8")))})
     firsts = page.select("page_id", F.octet_length("html").cast("long").alias("size"), base32_of_hex(F.sha1(F.encode("html", "UTF-8"))).alias("payload_digest"))
     firsts = firsts.groupBy("payload_digest", "size").agg(F.max("page_id").alias("first")).filter(F.col("size") >= min_bytes)
-    # the hot side of this join keeps its rows apart by page_id: only ids and digests meet here, payloads come after
+    # a payload that a third of all pages have is a hot key; the other side has one row for it, so Spark splits it
     refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
     captures = named.join(firsts, ["payload_digest", "size"], "left").select("key", "page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
-    entries = written(write_records(ordered, f"{folder}/archives"), "capture-entries")
+    entries = written(write_records(captures, f"{folder}/archives"), "capture-entries")  # only entries are put in order
     sorted_entries = entries.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "archive", "offset")
     return Archive(entries, written(write_index(sorted_entries, f"{folder}/index", lines_per_block), "capture-directory"))
 
