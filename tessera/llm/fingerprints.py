@@ -81,7 +81,7 @@ def with_next(docs: DataFrame, *carried: str, per_range: int = 2000) -> DataFram
     tops = dict(rows.groupBy("place").agg(F.max("doc_id")).collect())  # a row per range
     order = sorted(tops, reverse=True)
     if not order:
-        return docs.withColumns({f"next_{c}": F.lit(None) for c in carried})
+        return docs.withColumns({f"next_{c}": F.lit(None).cast(docs.schema[c].dataType) for c in carried})
     first = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(tops[p]).cast("long"))])
     before = F.create_map(*[x for k, p in enumerate(order) for x in (F.lit(p), F.lit(order[k - 1]))])
     again = rows.filter(F.element_at(first, F.col("place")).eqNullSafe(F.col("doc_id"))).withColumns({"place": F.element_at(before, F.col("place")), "again": F.lit(True)})
