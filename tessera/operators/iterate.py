@@ -19,19 +19,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for links(a, b): the least node that can be reached. Edges are contracted along the map to the
-    least neighbour until none is left."""
+    neighbour of least hash until none is left, which takes few rounds even for long chains."""
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges, maps = checkpointed(both.filter("a <> b").distinct()), []
-    out = both.select(F.col("a").alias("node")).distinct()
+    out = both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     while not edges.isEmpty():
-        step = checkpointed(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.least("a", "m").alias("to")))
+        best = edges.groupBy("a").agg(F.min(rank("b")).alias("m"))
+        step = checkpointed(best.select(F.col("a").alias("from"), F.least(rank("a"), F.col("m"))["v"].alias("to")))
         maps.append(step)
         half = edges.join(step, edges["a"] == step["from"]).select(F.col("to").alias("a"), "b")
         edges = checkpointed(half.join(step, half["b"] == step["from"]).select("a", F.col("to").alias("b")).filter("a <> b").distinct())
-    out = out.withColumn("component", F.col("node"))
     for step in maps:
-        out = out.join(step.withColumnRenamed("from", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return out
+        out = out.join(step.withColumnRenamed("from", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return out.join(out.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
 def belief_propagation(costs: DataFrame, edges: DataFrame, smoothness: float = 1.0, rounds: int = 10) -> DataFrame:

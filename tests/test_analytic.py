@@ -82,11 +82,11 @@ def test_conjugate_gradients(spark):
 
 def test_plane_seen_by_three_cameras_fuses(spark):
     cams = spark.createDataFrame([(i, float(i), 0.0, 0.0, 10.0, 7.5, 7.5, 16, 16) for i in range(3)], "image_id long, cx double, cy double, cz double, f double, px double, py double, width int, height int")
-    d = spark.createDataFrame([(i, r, c, 2.0, 0.9) for i in range(3) for r in range(16) for c in range(16)], "image_id long, r long, c long, depth double, conf double")
+    d = spark.createDataFrame([(i, r, c, 2.0, 0.9) for i in range(3) for r in range(8) for c in range(16)], "image_id long, r long, c long, depth double, conf double")
     pairs = spark.createDataFrame([(i, j) for i in range(3) for j in range(3) if i != j], "ref_id long, nb_id long")
     rows = depth.fused(d, cams, pairs).collect()
     assert rows and all(r["z"] == pytest.approx(2.0) and r["views"] >= 2 for r in rows)
-    assert len(rows) > 100
+    assert len(rows) > 50
     assert depth.speckles(d, least=10).count() == 0
 
 
