@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geom as g
+from tessera.operators.iterate import checkpointed
 
 
 def track_histogram(point_views: DataFrame) -> DataFrame:
@@ -165,11 +166,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, radius: float) -> Dat
     while True:
         found = within_radius(left, points, size).filter("q_id <> p_id")
         rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.floor(F.col("d2") * 1e9 + 0.5), "p_id"))
-        found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+        found = checkpointed(found.withColumn("rank", rank).filter(F.col("rank") <= k))  # else a round runs all before it
         done = found.groupBy("q_id").count().filter(F.col("count") >= min(k, total - 1)).select("q_id")
         part = found.join(done, "q_id", "left_semi")
         out = part if out is None else out.unionByName(part)
-        left = left.join(done.withColumnRenamed("q_id", "id"), "id", "left_anti")
+        left = checkpointed(left.join(done.withColumnRenamed("q_id", "id"), "id", "left_anti"))
         if left.isEmpty():
             return out
         size *= 2
