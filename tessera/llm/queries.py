@@ -75,10 +75,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.sentencepiece_codec import digested
+    from tessera.llm.sentencepiece_codec import merges_digested
     from tessera.llm.tokenizer import vocabulary
 
-    return digested(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return merges_digested(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op5_minhash_near_dedup, op6_sentencepiece, op7_toxicity, op8_warc, op9_lm_scoring, op10_document_fingerprints)}

@@ -10,8 +10,9 @@ by itself. Chunks are rows of a table, spread over all tasks.
 Scores of equal segmentations are equal integers or dyadic fractions for the vocabularies used here, and ties go to the
 longer last piece, as they do in one pass over the whole text.
 
-The vocabulary is read from a model file. Its pieces and scores are taken as a unigram model's. For a file that was made
-for merging (BPE), that is not how its own library segments; see the README.
+That is how a unigram model segments. A file that was made for merging (BPE) is encoded by its merges instead, by
+`merges_digested`, which gives the ids of the file's own library. A giant text is cut where no merge can cross: between
+two characters that stand side by side in no piece.
 """
 
 from __future__ import annotations
@@ -290,17 +291,101 @@ def digested(docs: DataFrame, model_file: str, chunk: int = CHUNK) -> DataFrame:
     row. A null text counts as empty and has no pieces; repeated rows and null ids keep a row each; other columns are
     not looked at; an empty table gives no row. A giant text's chunks of ids come together in its own row only."""
 
+    return _joined(encoded(docs, model_file, chunk), model_file)
+
+
+DIGESTS = "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, decoded_chars long"
+
+
+def _digests(v: Vocabulary, doc_ids: pa.Array, lists: list[list[int]]) -> pa.RecordBatch:
+    rows = []
+    for ids in lists:
+        text = decode(v, ids)
+        rows.append((len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), zlib.crc32(text.encode()), len(text)))
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
+    return pa.RecordBatch.from_arrays([doc_ids, *columns], ["doc_id", "n_pieces", "ids_crc32", "text_crc32", "decoded_chars"])
+
+
+def _joined(found: DataFrame, model_file: str) -> DataFrame:
+    """The digests of (row, doc_id, chunk, ids), whose chunks come together by row."""
+
     def join(batches) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
         for batch in batches:
-            rows = []
-            for lists in batch.column(1).to_pylist():
-                ids = [i for part in sorted(lists, key=lambda p: p["chunk"]) for i in part["ids"]]
-                text = decode(v, ids)
-                rows.append((len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), zlib.crc32(text.encode()), len(text)))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_pieces", "ids_crc32", "text_crc32", "decoded_chars"])
-
-    found = encoded(docs, model_file, chunk)
+            yield _digests(v, batch.column(0), [[i for part in sorted(parts, key=lambda p: p["chunk"]) for i in part["ids"]] for parts in batch.column(1).to_pylist()])
+
     whole = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.collect_list(F.struct("chunk", "ids")).alias("parts"))
-    return whole.select("doc_id", "parts").mapInArrow(join, "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, decoded_chars long")
+    return whole.select("doc_id", "parts").mapInArrow(join, DIGESTS)
+
+
+class Merges:
+    """The library's encoder of a merging model's file, over normalised texts and parts of them."""
+
+    def __init__(self, model_file: str):
+        import sentencepiece
+        import sentencepiece.sentencepiece_model_pb2 as pb
+
+        model = pb.ModelProto()
+        with open(model_file, "rb") as file:
+            model.ParseFromString(file.read())
+        rule = model.normalizer_spec
+        if model.trainer_spec.model_type != pb.TrainerSpec.BPE or rule.precompiled_charsmap or rule.remove_extra_whitespaces or not rule.add_dummy_prefix:
+            raise ValueError(f"{model_file} does not merge, or its rule is not the one of normalised()")
+        rule.add_dummy_prefix = False  # normalised() has put it in front; a later part has none
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        self.single = {p.piece for p in model.pieces if len(p.piece) == 1}
+        self.inside = {p.piece[k : k + 2] for p in model.pieces for k in range(len(p.piece) - 1)}
+
+    def cuts(self, text: str, at: int) -> bool:
+        """Whether no merge crosses a place. Two unknown characters stay together: the library can give them one id."""
+        return text[at - 1 : at + 1] not in self.inside and (text[at - 1] in self.single or text[at] in self.single)
+
+    def parts(self, whole: str, chunk: int) -> list[str]:
+        """A normalised text in parts of at least `chunk` characters, but the last; each ends at the first cut."""
+        out, begin = [], 0
+        while len(whole) - begin > chunk:
+            at = begin + chunk
+            while at < len(whole) and not self.cuts(whole, at):
+                at += 1
+            out.append(whole[begin:at])
+            begin = at
+        return [*out, whole[begin:]] if begin < len(whole) or not out else out
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a part."""
+        return self.library.encode(text)
+
+
+@lru_cache(maxsize=2)
+def merges(model_file: str) -> Merges:
+    return Merges(model_file)
+
+
+def merges_digested(docs: DataFrame, model_file: str, chunk: int = CHUNK) -> DataFrame:
+    """As digested(), by the merges of a BPE file: the ids are those that the file's library gives the whole text. Texts
+    of one part are done where they are, the parts of giant ones are spread over all tasks."""
+
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        m, row = merges(model_file), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row += 1
+                parts = m.parts(normalised(text.as_py()), chunk)
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([doc_id] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.string())], ["row", "doc_id", "chunk", "text"])
+
+    def short(batches) -> Iterator[pa.RecordBatch]:
+        v, m = vocabulary(model_file), merges(model_file)
+        for batch in batches:
+            yield _digests(v, batch.column(0), [m.encode(normalised(text.as_py())) for text in batch.column(1)])
+
+    def by_part(batches) -> Iterator[pa.RecordBatch]:
+        m = merges(model_file)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([m.encode(text.as_py()) for text in batch.column(3)], pa.list_(pa.int32()))], ["row", "doc_id", "chunk", "ids"])
+
+    base = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text"))
+    giant = F.length("text") >= chunk  # the dummy prefix is one more
+    parts = written(base.filter(giant).mapInArrow(cut, "row long, doc_id long, chunk int, text string"), "giant-parts")
+    found = parts.repartition(F.col("row"), F.col("chunk")).mapInArrow(by_part, "row long, doc_id long, chunk int, ids array<int>")
+    return base.filter(~giant).mapInArrow(short, DIGESTS).unionByName(_joined(found, model_file))

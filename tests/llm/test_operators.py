@@ -366,3 +366,21 @@ def test_segmentation_is_best():
         text = words_of(rng, 4)
         score = lambda ids: sum(unigram.get_score(i) for i in ids)
         assert score(sentencepiece_codec.encode(v, text)) == score(unigram.nbest_encode_as_ids(text, 2)[0])
+
+
+def test_sentencepiece_query_gives_the_librarys_ids(spark, docs, rows, empty, tmp_path):
+    import sentencepiece
+
+    from tessera.llm import queries
+
+    path = tokenizer.vocabulary("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = Counter()
+    for i, t in rows:
+        ids = model.encode(t or "")
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32((t or "").encode()), len(t or "")] += 1
+    for chunk in (7, 64, 16384):
+        assert Counter(map(tuple, sentencepiece_codec.merges_digested(docs, path, chunk).collect())) == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(map(tuple, queries.op6_sentencepiece(spark, str(tmp_path)).collect())) == want
+    assert sentencepiece_codec.merges_digested(empty, path).count() == 0
