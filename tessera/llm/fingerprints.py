@@ -1,8 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of any two texts can be merged
-or intersected, however unequal their lengths, and containment is estimated from the hashes alone. The least hash is
-kept in any case, so that a text with words has a sketch. All is done with DataFrame functions.
+or intersected, however unequal their lengths. The least hash is kept in any case, so that a text with words has a
+sketch; it lies outside the range that sketches share, so it takes no part in comparing them. Where the texts are at
+hand, their containment is counted over all shingles and not estimated. All is done with DataFrame functions.
 """
 
 from __future__ import annotations
@@ -38,23 +39,35 @@ def as_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the larger, 0 to 1; of two empty ones 1, of an empty and another 0."""
+def distinct_shingles(text: Column, size: int = SHINGLE) -> Column:
+    return F.array_distinct(shingle_hashes(words(text), size))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Of the smaller set of distinct hashes in the larger, 0 to 1; of two empty ones 1, of an empty and another 0."""
     least = F.least(F.size(a), F.size(b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Containment estimated from two sketches of one scale, by the hashes in the range that both hold in full. Null
+    where a text with words has no hash there: such a text is too short for its sketch to tell."""
+    low = lambda x: F.filter(x, lambda h: h < F.lit((1 << 63) // scale))
+    texts, samples = F.least(F.size(a), F.size(b)), F.least(F.size(low(a)), F.size(low(b)))
+    return F.when((texts > 0) & (samples == 0), F.lit(None).cast("double")).when(texts == 0, containment(a, b)).otherwise(containment(low(a), low(b)))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """doc_id, fingerprint (array of hashes) of each row of docs(doc_id, text); a null text counts as empty."""
     base = docs.select(F.col("doc_id"), words(text_or_empty()).alias("word_array"))
     return base.select("doc_id", sketch(shingle_hashes(F.col("word_array"), size), scale).alias("fingerprint"))
 
 
-def merged(parts: DataFrame, key: str) -> DataFrame:
-    """One sketch per key from sketches of its parts: the union, which is the sketch of all shingles together when the
-    parts were scaled alike. Hashes are made distinct before the shuffle."""
+def merged(parts: DataFrame, key: str, scale: int = SCALE) -> DataFrame:
+    """One sketch per key from its parts' sketches of that scale: the sketch of all their shingles together, so of the
+    parts' least hashes above the threshold only the least of all stays. Hashes are made distinct before the shuffle."""
     rows = parts.select(key, F.explode("fingerprint").alias("hash")).distinct()
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list("hash")).alias("fingerprint"))
+    return rows.groupBy(key).agg(F.collect_list("hash").alias("hashes")).select(key, sketch(F.col("hashes"), scale).alias("fingerprint"))
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
@@ -94,15 +107,17 @@ def edited_fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE
     """Fingerprints each row of docs(doc_id, text) and its edit, whose second half comes from the next document.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row per input
-    row. A null text counts as empty, which has an empty fingerprint; of fewer than `size` words the sequence of all is
+    row; near_* are containments over all distinct shingles, as a sketch says nothing of a text too short for it. A null text counts as empty, which has an empty fingerprint; of fewer than `size` words the sequence of all is
     the one shingle; repeated rows follow one another; other columns are not looked at; an empty table gives no row.
     """
-    base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("sketch", sketch(shingle_hashes(words(F.col("text")), size), scale))
-    met = with_next(base, "text", "sketch").withColumn("n_chars", F.length("text").cast("long"))
+    base = docs.select("doc_id", text_or_empty().alias("text"))
+    met = with_next(base, "text").withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("next_text", F.lit(1), half))
-    done = met.withColumn("edited", edited).withColumn("edited_sketch", sketch(shingle_hashes(words(F.col("edited")), size), scale))
+    done = met.withColumn("edited", edited)
+    # columns of their own, not one lambda: Catalyst compiles sets of hashes only outside lambdas, and they box else
+    done = done.withColumns({"shingles": distinct_shingles(F.col("text"), size), "edited_shingles": distinct_shingles(F.col("edited"), size), "next_shingles": distinct_shingles(F.col("next_text"), size)})
     return done.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(sketch(F.col("shingles"), scale)).alias("fingerprint"), as_text(sketch(F.col("edited_shingles"), scale)).alias("edited_fingerprint"),
+        containment(F.col("shingles"), F.col("edited_shingles")).alias("near_edited"), containment(F.col("shingles"), F.col("next_shingles")).alias("near_next"),
     )

@@ -384,3 +384,36 @@ def test_sentencepiece_query_gives_the_librarys_ids(spark, docs, rows, empty, tm
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert Counter(map(tuple, queries.op6_sentencepiece(spark, str(tmp_path)).collect())) == want
     assert sentencepiece_codec.merges_digested(empty, path).count() == 0
+
+
+def test_near_is_the_containment_of_short_texts_too(spark):
+    rng = random.Random(12)
+    texts = {}
+    for k, n in enumerate((1, 3, 5, 8, 12, 20, 40) * 3):
+        w = [f"{x}{j}" for j, x in enumerate(words_of(rng, 300).split())]
+        texts |= {2 * k: " ".join(w), 2 * k + 1: " ".join(w[100 : 100 + n])}  # a part of the whole that follows it
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4) if w else 0)}
+
+    order = sorted(texts, reverse=True)
+    for k, i in enumerate(order):
+        t, after = texts[i], texts[order[(k + 1) % len(order)]]
+        for other, near in ((after, got[i].near_next), (t[: len(t) - len(t) // 2] + after[: len(t) // 2], got[i].near_edited)):
+            a, b = shingles(t), shingles(other)
+            assert near == pytest.approx(len(a & b) / min(len(a), len(b)))
+    assert all(got[i].near_next == 1 for i in texts if i % 2 and len(texts[i].split()) >= 5)
+
+
+def test_likeness_and_merging_of_short_sketches(spark):
+    rng = random.Random(13)
+    df = spark.createDataFrame([(k % 4, words_of(rng, 6)) for k in range(40)], "doc_id long, text string")
+    hashes = df.select("doc_id", F.explode(fingerprints.shingle_hashes(fingerprints.words(F.col("text")))).alias("h")).groupBy("doc_id").agg(F.collect_list("h").alias("h"))
+    want = {r.doc_id: r.s for r in hashes.select("doc_id", fingerprints.sketch(F.col("h")).alias("s")).collect()}
+    assert {r.doc_id: r.fingerprint for r in fingerprints.merged(fingerprints.fingerprints(df), "doc_id").collect()} == want
+    top = (1 << 63) // 16
+    pairs = [([top + 5], [1, 2, 3]), ([1, 2, top + 5], [1, 3, 4]), ([], []), ([], [1]), ([], [top + 1])]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a array<long>, b array<long>").coalesce(1).select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
+    assert got == [None, 0.5, 1.0, 0.0, 0.0]
