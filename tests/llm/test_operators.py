@@ -417,3 +417,27 @@ def test_likeness_and_merging_of_short_sketches(spark):
     pairs = [([top + 5], [1, 2, 3]), ([1, 2, top + 5], [1, 3, 4]), ([], []), ([], [1]), ([], [top + 1])]
     got = [r[0] for r in spark.createDataFrame(pairs, "a array<long>, b array<long>").coalesce(1).select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
     assert got == [None, 0.5, 1.0, 0.0, 0.0]
+
+
+def test_languages_without_a_reference_are_not_judged_by_words(spark):
+    """A rare language, and one whose words all differ, beside a common one; more documents of others change nothing."""
+    rng = random.Random(15)
+    common = [words_of(rng, 1) + "a" for _ in range(15)]
+    prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.5 else words_of(rng, 1) + str(rng.randrange(10**6)) for _ in range(100))
+    unlike = lambda tag: " ".join(f"{tag}{''.join(rng.choice('bcdfgk') for _ in range(9))}" for _ in range(100))
+    out = [(k, "many", prose()) for k in range(150)] + [(2000 + k, "rare", unlike("x")) for k in range(3)] + [(3000 + k, "open", unlike("")) for k in range(30)] + [(4000, None, unlike("z")), (5000, "many", unlike("y"))]
+    for more in (0, 1200):
+        docs = spark.createDataFrame(out + [(10_000 + k, "many", prose()) for k in range(more)], "doc_id long, lang string, text string")
+        got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+        assert all(got[i].kept and got[i].word_distance is None for i in got if 2000 <= i <= 4000)
+        assert not got[5000].kept and got[5000].word_distance > 0.32
+        assert {r.doc_id for r in quality.kept_documents(docs).collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_a_language_keeps_its_reference_beside_larger_ones(spark):
+    rng = random.Random(16)
+    texts = lambda lang, n: [(lang, " ".join(f"{lang}{rng.randrange(30)}" for _ in range(80))) for _ in range(n)]
+    few = texts("few", 12)
+    for more in (0, 1500):
+        df = spark.createDataFrame(few + texts("much", more), "lang string, text string")
+        assert "few" in {r.lang for r in quality.references(df, quality.Rules())}
