@@ -55,6 +55,12 @@ def _all_pairs(s: Scene) -> DataFrame:
     return ids.toDF("ref_id").join(F.broadcast(ids.toDF("nb_id"))).filter("ref_id <> nb_id")
 
 
+def _neighbor_pairs(s: Scene) -> DataFrame:
+    """(ref_id, nb_id), both ways, of every camera and the neighbours that view selection leaves it."""
+    chosen = views.filter_neighbors(_scores(s)).select("ref_id", "nb_id")
+    return chosen.unionByName(chosen.select(F.col("nb_id").alias("ref_id"), F.col("ref_id").alias("nb_id"))).distinct()
+
+
 # ---- views
 
 _SEEN = """seen AS (SELECT pv.point_id, pv.image_id, cx - x AS rx, cy - y AS ry, cz - z AS rz, f / (z - cz) AS foot,
@@ -348,7 +354,7 @@ def interval_cluster(s):
 
 @query()
 def dense_fuse(s):
-    return rounded(depth.fused(s.depth(), s.cameras(), _all_pairs(s), 0.2), "x", "y", "z")
+    return rounded(depth.fused(s.depth(), s.cameras(), _neighbor_pairs(s), 0.2), "x", "y", "z")
 
 
 @query()
@@ -497,7 +503,7 @@ def surface_samples(s):
 
 @query()
 def lbp_labels(s):
-    faces = s.faces().filter("f_id < 800")
+    faces = s.faces()
     costs = faces.select(F.col("f_id").alias("node"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("label")).withColumn("cost", ((F.col("node") * 7 + F.col("label") * 3) % 5).cast("double"))
     return iterate.belief_propagation(costs, mesh.face_neighbors(faces).select(F.col("f_id").alias("a"), F.col("nb_id").alias("b")), 0.7, 5)
 
