@@ -190,7 +190,9 @@ def visibility_votes(point_views: DataFrame, points: DataFrame, cameras: DataFra
     """Each (point, view) ray votes on points in its cone, whose half angle is one pixel's: a point in front of the ray's
     end loses the end's number of views, one behind it gains its own. (point_id, votes); points no ray meets have 0.
 
-    Rays and points meet by camera and pixel of the image, and pixels next to it.
+    All points are looked at from every camera, also those that it does not list: each is projected into each image,
+    so the time grows with their product. Rays and points meet by camera and pixel, and pixels next to it; only ids and
+    pixels are shuffled for that.
     """
     cam = F.broadcast(cameras)
     n_views = point_views.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_views"))
@@ -199,10 +201,14 @@ def visibility_votes(point_views: DataFrame, points: DataFrame, cameras: DataFra
     q = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"))
     u, v = pixel(q)
     fields = [*[c.alias(n) for c, n in zip(q, ("qx", "qy", "qz"), strict=True)], g.norm(q).alias("d")]
-    placed = seen.filter(F.col("z") - F.col("cz") > 0).select("point_id", "image_id", "n_views", "f", g.to_pixel(u).alias("u"), g.to_pixel(v).alias("v"), *fields)
+    front = F.col("z") - F.col("cz") > 0
+    ends = seen.filter(front).select("point_id", "image_id", "n_views", g.to_pixel(u).alias("u"), g.to_pixel(v).alias("v"), *fields)
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in product((-1, 0, 1), repeat=2)])
-    ends = placed.withColumn("s", F.explode(near)).select("image_id", (F.col("u") + F.col("s.a")).alias("u"), (F.col("v") + F.col("s.b")).alias("v"), F.col("point_id").alias("end_id"), F.col("n_views").alias("end_views"), *[F.col(c).alias(f"e_{c}") for c in ("qx", "qy", "qz", "d")])
-    met = placed.join(ends, ["image_id", "u", "v"]).filter("point_id <> end_id")
+    ends = ends.withColumn("s", F.explode(near)).select("image_id", (F.col("u") + F.col("s.a")).alias("u"), (F.col("v") + F.col("s.b")).alias("v"), F.col("point_id").alias("end_id"), F.col("n_views").alias("end_views"), *[F.col(c).alias(f"e_{c}") for c in ("qx", "qy", "qz", "d")])
+    every = points.crossJoin(cam).filter(front).select("point_id", "image_id", g.to_pixel(u).alias("u"), g.to_pixel(v).alias("v"))
+    pairs = every.join(ends, ["image_id", "u", "v"]).filter("point_id <> end_id")
+    views = points.join(n_views, "point_id", "left").withColumn("n_views", F.coalesce("n_views", F.lit(0)))
+    met = pairs.join(views, "point_id").join(cam, "image_id").select("point_id", "n_views", "f", "end_views", "e_qx", "e_qy", "e_qz", "e_d", *fields)
     t = g.dot(g.vec("qx", "qy", "qz"), g.vec("qx", "qy", "qz", of="e_")) / F.col("e_d")
     cos2 = 1 / (1 + (1 / F.col("f")) ** 2)
     inside = (t > 0) & (t * t > cos2 * F.col("d") * F.col("d"))
