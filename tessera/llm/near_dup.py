@@ -6,15 +6,16 @@ two. A bin keeps its least (round, value). Two sets agree in a bin with the prob
 with the concentration that independent coordinates would have.
 
 Bands of bins deal the distinct sets to buckets. A bucket's members are not paired with each other. They are compared,
-on full sets, with one leader, the member that shares most buckets. For every pair that is linked but was not compared,
-one of two things then holds, both of which the comparisons with the leader L tell:
+on full sets, with a leader, and links join components. For every pair that is linked but was not compared, one of two
+things then holds, both of which the comparisons with the leader L tell:
 
 * some element outside L is in both: they meet again in the bucket (L, element), for which a member lists just as many
   of its elements outside L, in one order for all, as a link needs it to;
-* or all they share lies in L: then the sizes of a and b and what each shares with L bound their similarity, and only
-  pairs within the bound are compared.
+* or all they share lies in L: then each shares enough with L for a link, and they meet again in a bucket of L.
 
-So no link of a bucket is lost, while a group of near copies costs a comparison per member.
+Only members of different components are compared there, and only if their sizes and the parities of their elements'
+hashes, which give a lower bound of the difference of two sets, leave room for a link. So no link between components is
+lost, while a group of near copies costs little more than a comparison per member.
 """
 
 from __future__ import annotations
@@ -29,14 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty, written
+from tessera.llm.common import discard, text_or_empty, written
 from tessera.llm.components import connected_components
 
 #: Chance that a pair exactly at the threshold shares no bucket.
 MISS = 2e-7
-#: Buckets up to this size are compared pair by pair from the second round on; larger ones by a leader again.
-SMALL = 256
-ROUNDS = 3
 #: Set elements that a task sketches at a time, and that it remembers while it compares.
 AT_A_TIME, REMEMBERED = 1_000_000, 4_000_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -99,135 +97,172 @@ def banding(percent: int) -> tuple[int, int]:
 
 
 def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, set_key, buckets) per row; set_key names the set, buckets its bands; both null for an empty set."""
+    """(doc_id, n, set_key, buckets, text_hash) per row; set_key names the set, buckets its bands; both null for an empty
+    set."""
     bands, rows = banding(percent)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
 
-        def rest(ids, sets):
+        def rest(ids, sets, hashes):
             found = sketches(sets, bands * rows).reshape(len(sets), bands, rows)
             keys = _mix(found[:, :, 0], 1) ^ np.arange(bands, dtype=np.uint64)
             for k in range(1, rows):
                 keys = _mix(keys ^ found[:, :, k], k + 1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)), mask=pa.array([not len(s) for s in sets]))
             names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), lists], ["doc_id", "n", "set_key", "buckets"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), lists, pa.array(hashes, pa.int64())], ["doc_id", "n", "set_key", "buckets", "text_hash"])
 
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, sets, hashes, held = [], [], [], 0
+            for doc_id, text, text_hash in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids.append(doc_id)
+                hashes.append(text_hash)
                 sets.append(shingle_set(text.as_py(), size, memo))
                 held += len(sets[-1])
                 if held > AT_A_TIME:
-                    yield rest(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield rest(ids, sets, hashes)
+                    ids, sets, hashes, held = [], [], [], 0
             if ids:
-                yield rest(ids, sets)
+                yield rest(ids, sets, hashes)
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_key binary, buckets array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n long, set_key binary, buckets array<long>, text_hash long")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs(a, b) with n_a, n_b, common (shared elements), linked, and `outside`: as many of a's elements outside b, in
-    ascending order, as a pair of a and a third set linked to it needs to have one in common."""
+def size_classes(n: int, percent: int) -> list[int]:
+    """One or two classes of a set's size; two sets of which one has `percent` / 100 of the other's size share one."""
+    x = int(math.log(n) / (math.log(100 / percent) + 1e-6))
+    return sorted({x // 2, (x + 1) // 2})
+
+
+def parities(elements: np.ndarray, size_class: int, percent: int) -> np.ndarray:
+    """For each of a class's fixed number of bits whether an odd number of elements hash to it, in 64-bit words. Two sets
+    differ in at least as many elements as in bits."""
+    largest = (100 / percent) ** (2 * size_class + 2)
+    bits = 1 << max(6, math.ceil(math.log2(2 * largest)))
+    odd = np.bincount((_mix(elements, 9) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sets(size: int):
+    """of(node, text): its set, remembered while there is room."""
+    memo, kept, held = _Hashes(), {}, 0
+
+    def of(node: int, text: str) -> np.ndarray:
+        nonlocal held
+        if node not in kept:
+            if held > REMEMBERED:
+                kept.clear()
+                held = 0
+            kept[node] = shingle_set(text, size, memo)
+            held += len(kept[node])
+        return kept[node]
+
+    return of
+
+
+def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, meeting: bool) -> DataFrame:
+    """pairs(a, b) with `linked`, and if `meeting`, a row for each size class of a with n (a's size), most (the greatest
+    size of a set that can be linked with a by what a shares with b), and `buckets`, where a meets the others that were
+    compared with b, those which it can be linked with: one for each of as many of a's elements outside b, in ascending
+    order, as a link needs one of. `inside`: the bucket for those that share with a nothing but elements of b; null if
+    a has too few of them."""
     left = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     rows = pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        memo, kept, held = _Hashes(), {}, 0
-
-        def of(node: int, text: str) -> np.ndarray:
-            nonlocal held
-            if node not in kept:
-                if held > REMEMBERED:
-                    kept.clear()
-                    held = 0
-                kept[node] = shingle_set(text, size, memo)
-                held += len(kept[node])
-            return kept[node]
-
+        of = _sets(size)
         for batch in batches:
-            n_a, n_b, common, linked, outside = [], [], [], [], []
+            out: list[tuple] = []
             for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 x, y = of(a, text_a.as_py()), of(b, text_b.as_py())
-                here = np.searchsorted(y, x)
-                inside = y[np.minimum(here, len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
-                i = int(inside.sum())
-                n_a.append(len(x))
-                n_b.append(len(y))
-                common.append(i)
-                linked.append(100 * i >= percent * (len(x) + len(y) - i))
-                others = x[~inside]
-                outside.append(others[: len(others) - max(1, -(-percent * len(x) // 100) - i) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "common", "linked", "outside"])
-
-    return rows.mapInArrow(run, "a long, b long, n_a long, n_b long, common long, linked boolean, outside array<long>")
-
-
-def led(buckets: DataFrame) -> DataFrame:
-    """(a, b): each member a of buckets(bucket, node) with its bucket's leader b, the member that shares most buckets
+                shares = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                shared = int(shares.sum())
+                linked = 100 * shared >= percent * (len(x) + len(y) - shared)
+                if not meeting:
+                    out.append((a, b, linked, None, None, None, None, None))
+                    continue
+                others, need = x[~shares], -(-percent * len(x) // 100)
+                others = others[: len(others) - max(1, need - shared) + 1]
+                name = _mix(np.array([b], np.int64).view(np.uint64), 7)
+                most = shared * (100 + percent) // percent - len(x)
+                for c in size_classes(len(x), percent):
+                    inside = int(_mix(name, 1000 + c).view(np.int64)[0]) if 100 * most >= percent * len(x) else None
+                    out.append((a, b, linked, c, len(x), most, inside, _mix(others ^ name, 100 + c).view(np.int64)))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], ["a", "b", "linked", "class", "n", "most", "inside", "buckets"])
+
+    return rows.mapInArrow(run, "a long, b long, linked boolean, class int, n long, most long, inside long, buckets array<long>")
+
+
+def led(rows: DataFrame) -> DataFrame:
+    """(a, b): each member a of rows(bucket, node, size) with its bucket's leader b, the member that shares most buckets
     with others; ties go to the least node."""
-    weight = F.col("size")
-    sized = buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket")
-    central = sized.groupBy("node").agg(F.sum(weight).alias("weight"))
-    rows = sized.select("bucket", "node").join(central, "node")
-    leaders = rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("leader"))
-    return rows.select("bucket", "node").join(leaders, "bucket").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-
-
-def within_leader(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs that were compared with the same leader, one of them not linked to it, whose sizes and parts shared
-    with it allow a link inside the leader."""
-    rows = found.select(F.col("b").alias("leader"), F.col("a").alias("node"), F.col("n_a").alias("n"), "common", "linked")
-    most = F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")  # a partner's size
-    left = rows.filter(~F.col("linked")).withColumn("most", most).filter(100 * F.col("most") >= percent * F.col("n")).select("leader", F.col("node").alias("a"), F.col("n").alias("n_a"), "most", F.col("common").alias("common_a"))
-    right = rows.select("leader", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("common").alias("common_b"), F.col("linked").alias("linked_b"))
-    needs = percent * (F.col("n_a") + F.col("n_b"))
-    fits = (F.col("n_b") <= F.col("most")) & (100 * F.col("n_b") >= percent * F.col("n_a")) & ((100 + percent) * F.col("common_b") >= needs) & ((100 + percent) * F.col("common_a") >= needs)
-    return left.join(right, "leader").filter(fits & (F.col("a") != F.col("b"))).select("a", "b")
-
-
-def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links between different sets that join all that are linked; classes(node, buckets)."""
-    spark = docs.sparkSession
+    central = rows.groupBy("node").agg(F.sum("size").alias("weight"))
+    ranked = rows.select("bucket", "node").join(central, "node")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("leader"))
+    return ranked.select("bucket", "node").join(leaders, "bucket").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+
+
+def left_over(found: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): pairs of different components that met in a bucket of compared() and that sizes and parities allow a link;
+    and the tables that it stands on."""
+    outside = found.select(F.explode("buckets").alias("bucket"), F.col("a").alias("node"), "class", "n", F.lit(None).cast("long").alias("most"))
+    inside = found.filter("inside is not null").select(F.col("inside").alias("bucket"), F.col("a").alias("node"), "class", "n", "most")
+    rows = outside.unionByName(inside).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    met = written(rows.join(several, "bucket"), "met")
+
+    def bits(batches) -> Iterator[pa.RecordBatch]:
+        of = _sets(size)
+        for batch in batches:
+            found = [parities(of(node, text.as_py()), c, percent) for node, c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["node", "class", "bits"])
+
+    signs = met.select("node", "class").distinct().join(texts, "node").select("node", "class", "text").mapInArrow(bits, "node long, class int, bits array<long>")
+    signed = written(met.join(signs, ["node", "class"]), "signed")
+    other = signed.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "most", "component", "bits")])
+    both = F.col("n") + F.col("other_n")
+    apart = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = (F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component"))
+    fits = fits & (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & F.coalesce((F.col("n") <= F.col("other_most")) & (F.col("other_n") <= F.col("most")), F.lit(True))
+    fits = fits & (apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
+    return signed.join(other, "bucket").filter(fits).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), [met, signed]
+
+
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels(node, component) after more links(a, b): a table of the nodes that have any."""
+    if labels is None:
+        return written(connected_components(links), "labels")
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    edges = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b")
+    merged = written(connected_components(edges), "merged")
+    moved = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def components(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the sets of classes(node, buckets) that are linked with others."""
     rows = classes.select("node", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    buckets = written(rows.join(shared, "bucket").select("bucket", "node"), "buckets")
-    involved = buckets.select("node").distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(involved, "node"), "near-texts")
-    pairs, parts = led(buckets), []
-    for step in range(ROUNDS):
-        found = written(compared(pairs, texts, size, percent), "compared")
-        parts.append(found.filter("linked").select("a", "b"))
-        direct = within_leader(found, percent)
-        again = found.select("a", "b", "n_a", "linked", F.explode("outside").alias("element")).select(F.xxhash64("b", "element").alias("bucket"), F.col("a").alias("node"), F.col("n_a").alias("n"), "linked")
-        sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("open")).filter("size > 1 and open > 0")
-        met = written(again.join(sizes, "bucket"), "met")
-        small = met.filter((F.col("size") <= SMALL) | F.lit(step + 1 == ROUNDS))
-        other = small.select("bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("linked").alias("other_linked"))
-        fits = (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & (F.col("node") < F.col("other"))
-        near = small.join(other, "bucket").filter(fits & ~(F.col("linked") & F.col("other_linked"))).select(F.col("node").alias("a"), F.col("other").alias("b"))
-        checked = written(compared(direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(near).distinct(), texts, size, percent).select("a", "b", "linked"), "direct")
-        parts.append(checked.filter("linked").select("a", "b"))
-        large = met.filter(F.col("size") > SMALL).select("bucket", "node")
-        if step + 1 == ROUNDS or large.isEmpty():
-            break
-        pairs = led(large)
-    out = spark.createDataFrame([], "a long, b long")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = written(rows.join(shared, "bucket"), "buckets")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(rows.select("node").distinct(), "node"), "near-texts")
+    found = written(compared(led(rows), texts, size, percent, True), "compared")
+    first = relabelled(None, found.filter("linked").select("a", "b").distinct())
+    pairs, used = left_over(found, first, texts, size, percent)
+    more = written(compared(pairs, texts, size, percent, False).filter("linked").select("a", "b"), "links")
+    labels = relabelled(first, more)
+    discard(rows, texts, found, first, more, *used)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Groups the rows of docs(doc_id, text) whose sets of `size`-word shingles have a Jaccard similarity of `percent` /
     100 or more, directly or over others.
 
-    Returns doc_id, n_shingles, component_id (the least doc_id of the group), kept (doc_id = component_id), a row per
-    input row. A null text counts as empty; an empty set is linked with nothing; rows of one doc_id are one document; a
+    Returns doc_id, n_shingles, component_id (the least doc_id of the group), kept (doc_id = component_id) and text_hash
+    (xxhash64 of text), a row per input row. A null text counts as empty; an empty set is linked with nothing; rows of one doc_id are one document; a
     row whose doc_id is null is linked with nothing, has a null component_id and is kept; other columns are not looked
     at; an empty table gives no row.
     """
@@ -235,8 +270,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = all_rows.filter("set_key is not null and doc_id is not null")
     nodes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     classes = written(named.select("doc_id", "set_key", "buckets").join(nodes, "set_key").filter("doc_id = node").dropDuplicates(["set_key"]).select("set_key", "node", "buckets"), "classes")
-    found = connected_components(links(classes, docs, size, percent))
+    found = components(classes, docs, size, percent)
     labels = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = all_rows.select("doc_id", "n", "set_key").join(labels, "set_key", "left")
+    out = all_rows.select("doc_id", "n", "set_key", "text_hash").join(labels, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")
