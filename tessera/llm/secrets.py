@@ -197,6 +197,38 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return hits.groupBy("doc_key").agg(F.collect_set("kind").alias("kinds"))
 
 
+#: Values of a running() block.
+BLOCK = 256
+
+
+def running(values: Column, join) -> Column:
+    """The running sums, or with F.greatest the running maxima, of an array of ints. A fold copies its result at each
+    value, so it goes over blocks, and then over the blocks' last values."""
+
+    def fold(array: Column) -> Column:
+        last = lambda done: F.get(done, F.size(done) - 1)
+        return F.aggregate(array, F.array().cast("array<int>"), lambda done, v: F.concat(done, F.array(F.coalesce(join(last(done), v), v))))
+
+    def put(within: Column) -> Column:
+        ends = fold(F.transform(within, lambda w: F.get(w, F.size(w) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(within, lambda w, i: F.transform(w, lambda v: F.coalesce(join(F.get(e, i - 1), v), v)))))
+
+    def blocks(array: Column) -> Column:
+        n = F.ceil(F.size(array) / BLOCK).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: fold(F.slice(array, i * BLOCK + 1, BLOCK)))
+        return F.when(n > 0, let(parts, put)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, blocks)
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
     """The rule's leftmost non-overlapping matches as an array of (start, number, end), in code points: the lengths of
     the texts between matches and of the matches, summed up."""
@@ -207,17 +239,10 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     between = F.split(text, f"(?:{pattern})", -1)
 
     def placed(found: Column) -> Column:
-        gaps, lengths, sizes = found["gaps"], found["lengths"], found["sizes"]
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,number:int,end:int>>").alias("spans"))
-
-        def add(done: Column, k: Column) -> Column:
-            start = done["at"] + F.get(gaps, k)
-            end = start + F.get(lengths, k)
-            span = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"))
-            spans = F.when(F.get(sizes, k) >= rule.least, F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
-            return F.struct(end.alias("at"), spans.alias("spans"))
-
-        return F.aggregate(F.transform(lengths, lambda _, k: k), empty, add, lambda done: done["spans"])
+        lengths = found["lengths"]
+        span = lambda end, k: F.struct((end - F.get(lengths, k)).alias("start"), F.lit(number).alias("number"), end.alias("end"), F.get(found["sizes"], k).alias("size"))
+        ends = running(F.transform(lengths, lambda n, k: F.get(found["gaps"], k) + n), plus)
+        return F.transform(F.filter(F.transform(ends, span), lambda s: s["size"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end")))
 
     length = lambda strings: F.transform(strings, lambda s: F.length(s))
     none = F.array().cast("array<struct<start:int,number:int,end:int>>")
@@ -242,7 +267,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     else:
         out = out.withColumn("verified", F.lit(None).cast(kinds))
     everywhere = F.concat(*[spans_of(text, r, n) for n, r in open_]) if open_ else F.array().cast(kinds)
-    return out.withColumn("spans", F.array_sort(F.concat(everywhere, F.coalesce("verified", F.array().cast(kinds))))).drop("verified")
+    return out.withColumn("spans", F.sort_array(F.concat(everywhere, F.coalesce("verified", F.array().cast(kinds))))).drop("verified")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -270,19 +295,20 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """docs with each run of overlapping spans in text replaced by mask, and n_chars set anew; texts without spans, and
-    null texts, stay as they are. All columns of docs come back, in their order."""
-    found = scanned(keyed(docs.withColumnRenamed("text", "_text").withColumn("text", text_or_empty("_text"))), rules)
+    null texts, stay as they are. All columns of docs come back, in their order, whatever their names; repeated rows
+    and null ids keep a row each; an empty table gives no row."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
+    found = scanned(keyed(whole), rules)
 
     def merge(spans: Column) -> Column:
-        empty = F.array().cast("array<struct<start:int,end:int>>")
+        """Runs of overlapping spans: one begins where a span starts after all before it have ended."""
 
-        def add(done: Column, s: Column) -> Column:
-            last = F.element_at(done, -1)
-            joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-            apart = F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-            return F.when(F.size(done) == 0, apart).when(s["start"] < last["end"], joined).otherwise(apart)
+        def runs(reach: Column) -> Column:
+            firsts = F.filter(F.transform(spans, lambda s, k: F.when((k == 0) | (s["start"] >= F.get(reach, k - 1)), k)), lambda k: k.isNotNull())
+            last = lambda f, k: F.coalesce(F.get(f, k + 1), F.size(spans)) - 1
+            return let(firsts, lambda f: F.transform(f, lambda at, k: F.struct(F.get(spans, at)["start"].alias("start"), F.get(reach, last(f, k)).alias("end"))))
 
-        return F.aggregate(spans, empty, add)
+        return let(running(F.transform(spans, lambda s: s["end"]), most), runs)
 
     def masked(runs: Column) -> Column:
         n = F.size(runs)
@@ -290,7 +316,9 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SEC
         stop = lambda k: F.when(k == n, F.length("text")).otherwise(F.get(runs, k)["start"])
         return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda k: F.substr("text", start(k) + 1, stop(k) - start(k))), mask)
 
-    changed = F.when(F.size("spans") > 0, let(merge(F.col("spans")), masked)).otherwise(F.col("_text"))
-    out = found.withColumn("_new", changed)
-    values = {"text": F.col("_new"), "n_chars": F.when(F.size("spans") > 0, F.length("_new")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None}
-    return out.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+    some, row = F.size("spans") > 0, F.col("whole_row")
+    out = found.withColumn("masked", F.when(some, let(merge(F.col("spans")), masked)))
+    values = {"text": F.when(some, F.col("masked")).otherwise(row["text"])}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(some, F.length("masked")).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[values.get(c, row.getField(c)).alias(c) for c in docs.columns])
