@@ -1,9 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of any two texts can be merged
-or intersected, however unequal their lengths. The least hash is kept in any case, so that a text with words has a
-sketch; it lies outside the range that sketches share, so it takes no part in comparing them. Where the texts are at
-hand, their containment is counted over all shingles and not estimated. All is done with DataFrame functions.
+or intersected, however unequal their lengths. A short text may have no hash there; the least hash of all its shingles,
+which tells such texts apart, is a value beside the sketch and takes no part in merging or comparing. Where the texts
+are at hand, their containment is counted over all shingles and not estimated. All is done with DataFrame functions.
 """
 
 from __future__ import annotations
@@ -29,13 +29,14 @@ def shingle_hashes(word_array: Column, size: int = SHINGLE) -> Column:
 
 
 def sketch(hashes: Column, scale: int = SCALE) -> Column:
-    """The distinct hashes in the lowest 1 / scale of the range, and the least of all; sorted."""
+    """The distinct hashes in the lowest 1 / scale of the range, sorted."""
     threshold = F.lit((1 << 63) // scale)
-    low = lambda h, least: F.array_sort(F.array_distinct(F.filter(h, lambda x: (x < threshold) | (x == least))))
-    return let(hashes, lambda h: let(F.array_min(h), lambda least: low(h, least)))
+    return F.array_sort(F.array_distinct(F.filter(hashes, lambda x: x < threshold)))
 
 
-def as_text(found: Column) -> Column:
+def as_text(hashes: Column, scale: int = SCALE) -> Column:
+    """A text to tell documents apart by, 16 hex digits a hash: the sketch, or where that is empty, the least hash."""
+    found = let(sketch(hashes, scale), lambda s: F.when((F.size(s) > 0) | (F.size(hashes) == 0), s).otherwise(F.array(F.array_min(hashes))))
     return F.array_join(F.transform(found, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
@@ -50,24 +51,26 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Containment estimated from two sketches of one scale, by the hashes in the range that both hold in full. Null
-    where a text with words has no hash there: such a text is too short for its sketch to tell."""
+    """Containment estimated from two sketches of one scale, by the hashes in the range that both hold in full; other
+    hashes among them, such as least ones, don't count. Null where a text with hashes has none there: such a text is too
+    short for its sketch to tell."""
     low = lambda x: F.filter(x, lambda h: h < F.lit((1 << 63) // scale))
     texts, samples = F.least(F.size(a), F.size(b)), F.least(F.size(low(a)), F.size(low(b)))
     return F.when((texts > 0) & (samples == 0), F.lit(None).cast("double")).when(texts == 0, containment(a, b)).otherwise(containment(low(a), low(b)))
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """doc_id, fingerprint (array of hashes) of each row of docs(doc_id, text); a null text counts as empty."""
-    base = docs.select(F.col("doc_id"), words(text_or_empty()).alias("word_array"))
-    return base.select("doc_id", sketch(shingle_hashes(F.col("word_array"), size), scale).alias("fingerprint"))
+    """doc_id, fingerprint (array of hashes) and least_hash (null without words) of each row of docs(doc_id, text); a null
+    text counts as empty."""
+    base = docs.select(F.col("doc_id"), shingle_hashes(words(text_or_empty()), size).alias("hashes"))
+    return base.select("doc_id", sketch(F.col("hashes"), scale).alias("fingerprint"), F.array_min("hashes").alias("least_hash"))
 
 
-def merged(parts: DataFrame, key: str, scale: int = SCALE) -> DataFrame:
-    """One sketch per key from its parts' sketches of that scale: the sketch of all their shingles together, so of the
-    parts' least hashes above the threshold only the least of all stays. Hashes are made distinct before the shuffle."""
-    rows = parts.select(key, F.explode("fingerprint").alias("hash")).distinct()
-    return rows.groupBy(key).agg(F.collect_list("hash").alias("hashes")).select(key, sketch(F.col("hashes"), scale).alias("fingerprint"))
+def merged(parts: DataFrame, key: str) -> DataFrame:
+    """(key, fingerprint) from the sketches of its parts, all of one scale: the sketch of all their shingles together. A
+    key whose parts have no hash has an empty one. Hashes are made distinct before they meet."""
+    rows = parts.select(key, F.explode_outer("fingerprint").alias("hash")).distinct()
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list("hash")).alias("fingerprint"))
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
@@ -83,11 +86,12 @@ def with_next(docs: DataFrame, *carried: str, per_range: int = 2000) -> DataFram
     """docs(doc_id, ...) with next_<c> for each carried column: its value in the row that follows by descending doc_id;
     the first follows the last. Null ids come last, ties go by the carried columns; one row alone follows itself.
 
-    Rows are dealt by ranges of doc_id of about `per_range` rows (at most 1,024 ranges), whose bounds are quantiles.
+    Rows are dealt by ranges of doc_id of about `per_range` rows (at most 16,384 ranges, larger ones beyond), whose
+    bounds are quantiles.
     The first row of a range also goes to the range before it, so that one shuffle of the rows is enough.
     """
     docs = docs.select(F.col("doc_id").cast("long"), *carried)
-    ranges = max(1, min(1024, docs.select("doc_id").count() // per_range))
+    ranges = max(1, min(16_384, docs.select("doc_id").count() // per_range))
     found = docs.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
     place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_range_of(F.col("doc_id"), sorted({int(x) for x in found})))
     rows = docs.withColumn("place", place)
@@ -107,8 +111,9 @@ def edited_fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE
     """Fingerprints each row of docs(doc_id, text) and its edit, whose second half comes from the next document.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row per input
-    row; near_* are containments over all distinct shingles, as a sketch says nothing of a text too short for it. A null text counts as empty, which has an empty fingerprint; of fewer than `size` words the sequence of all is
-    the one shingle; repeated rows follow one another; other columns are not looked at; an empty table gives no row.
+    row; near_* are containments over all distinct shingles, as a sketch says nothing of a text too short for it. A
+    null text counts as empty, which has an empty fingerprint; of fewer than `size` words the sequence of all is the one
+    shingle; repeated rows follow one another; other columns are not looked at; an empty table gives no row.
     """
     base = docs.select("doc_id", text_or_empty().alias("text"))
     met = with_next(base, "text").withColumn("n_chars", F.length("text").cast("long"))
@@ -118,6 +123,6 @@ def edited_fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE
     # columns of their own, not one lambda: Catalyst compiles sets of hashes only outside lambdas, and they box else
     done = done.withColumns({"shingles": distinct_shingles(F.col("text"), size), "edited_shingles": distinct_shingles(F.col("edited"), size), "next_shingles": distinct_shingles(F.col("next_text"), size)})
     return done.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(sketch(F.col("shingles"), scale)).alias("fingerprint"), as_text(sketch(F.col("edited_shingles"), scale)).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("shingles"), scale).alias("fingerprint"), as_text(F.col("edited_shingles"), scale).alias("edited_fingerprint"),
         containment(F.col("shingles"), F.col("edited_shingles")).alias("near_edited"), containment(F.col("shingles"), F.col("next_shingles")).alias("near_next"),
     )
