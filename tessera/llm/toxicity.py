@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -94,9 +95,16 @@ def hit_weight(words: list[str], lexicon, exceptions) -> float:
         places.setdefault(pattern, []).append(end - len(pattern) + 1)  # of the edge before the word
         weights[pattern] = weight
     if places and len(exceptions):
-        spans = [(end - len(phrase) + 1, end) for end, (phrase, _) in exceptions.iter(line)]
+        begins, ends = [], []  # of stretches of exception phrases, in order
+        for begin, end in sorted((end - len(phrase) + 1, end) for end, (phrase, _) in exceptions.iter(line)):
+            if ends and begin < ends[-1]:
+                ends[-1] = max(ends[-1], end)
+            else:
+                begins.append(begin)
+                ends.append(end)
+        outside = lambda s: (k := bisect_right(begins, s)) == 0 or s >= ends[k - 1]
         for pattern, starts in places.items():
-            places[pattern] = [s for s in starts if not any(a <= s < b for a, b in spans)]
+            places[pattern] = [s for s in starts if outside(s)]
     best: dict[int, float] = {}
     for pattern, starts in places.items():
         if pattern.endswith(EDGE) or dense(len(starts), len(words)):
@@ -145,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_entr
     counts = rows.mapInArrow(count, "pattern string, toxic int, n long").groupBy("pattern").agg(F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     strong = counts.withColumn("weight", weight).filter((F.col("bad") >= least_docs) & (F.col("weight") >= least_weight))
-    found = {r["pattern"]: r["weight"] for r in strong.orderBy(F.col("bad").desc(), "pattern").limit(10 * most_entries).collect()}
+    found = {r["pattern"]: r["weight"] for r in strong.collect()}  # most_rows bounds them
 
     def matched(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +219,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that toxicity doesn't predict toxic, with all their columns."""
+    """The rows of docs that toxicity doesn't predict toxic, with all their columns, whatever their names. A null text
+    counts as empty; repeated rows and null ids are judged a row each; an empty table gives no row."""
     weights, phrases, beta = model.weights, _phrases(model.exceptions), model.beta
     at = docs.columns.index("text")
 
