@@ -29,13 +29,14 @@ from tessera.llm.common import scratch_path, written
 
 LINES_PER_BLOCK = 300
 DATE = "2026-01-01T00:00:00Z"
+CAPTURE = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 ENTRY = "key string, page_id long, record_type string, archive string, offset long, length long"
 
 
 @dataclass(frozen=True)
 class Archive:
-    """index: entries in order of key, as a table. directory: (first_key, last_key, file, offset, length, lines) of each
-    block."""
+    """index: entries, as a table. directory: (first_key, first_id, last_key, last_id, file, offset, length, lines) of
+    each block, by key and page_id."""
 
     index: DataFrame
     directory: DataFrame
@@ -160,7 +161,7 @@ def write_index(entries: DataFrame, folder: str, lines_per_block: int) -> DataFr
             data = gzip.compress("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in lines).encode(), 6, mtime=0)
             sink.write(data)
             at += len(data)
-            return [lines[0]["key"], lines[-1]["key"], f"{folder}/{name}", at - len(data), len(data), len(lines)]
+            return [lines[0]["key"], lines[0]["page_id"], lines[-1]["key"], lines[-1]["page_id"], f"{folder}/{name}", at - len(data), len(data), len(lines)]
 
         try:
             for batch in batches:
@@ -177,12 +178,12 @@ def write_index(entries: DataFrame, folder: str, lines_per_block: int) -> DataFr
             if sink:
                 sink.close()
 
-    return entries.mapInArrow(run, "first_key string, last_key string, file string, offset long, length long, lines long")
+    return entries.mapInArrow(run, "first_key string, first_id long, last_key string, last_id long, file string, offset long, length long, lines long")
 
 
 def _blocks(rows: list[list]) -> pa.RecordBatch:
-    names = ["first_key", "last_key", "file", "offset", "length", "lines"]
-    kinds = [pa.string()] * 3 + [pa.int64()] * 3
+    names = ["first_key", "first_id", "last_key", "last_id", "file", "offset", "length", "lines"]
+    kinds = [pa.string(), pa.int64()] * 2 + [pa.string()] + [pa.int64()] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
@@ -227,23 +228,72 @@ def _entries(file: str, offset: int, length: int) -> list[dict]:
 def read_captures(directory: DataFrame) -> DataFrame:
     """Every record that the index names, read from the archives block by block: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to, payload. A revisit's size and digest are those of the payload it refers to."""
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.to_pylist():
-                out: list[tuple] = []
-                by_archive: dict[str, list[dict]] = {}
-                for e in _entries(block["file"], block["offset"], block["length"]):
-                    by_archive.setdefault(e["archive"], []).append(e)
-                for archive, found in by_archive.items():
-                    for member in _read(archive, [(e["offset"], e["length"]) for e in found]):
-                        out.append(_row(member))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
+                yield _records(_entries(block["file"], block["offset"], block["length"]))
 
     n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return directory.repartition(n, "file", "offset").mapInArrow(run, schema)
+    return directory.repartition(n, "file", "offset").mapInArrow(run, CAPTURE)
+
+
+def _records(entries: list[dict]) -> pa.RecordBatch:
+    """The records of index lines, an archive's in one pass over the file."""
+    by_archive: dict[str, list[dict]] = {}
+    for e in entries:
+        by_archive.setdefault(e["archive"], []).append(e)
+    out = [_row(member) for archive, found in by_archive.items() for member in _read(archive, sorted((e["offset"], e["length"]) for e in found))]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], [f.split()[0] for f in CAPTURE.split(", ")])
+
+
+def _order(key: str, page_id: int | None) -> tuple:
+    """Index lines are in this order; Spark puts nulls first, and strings in that of their UTF-8."""
+    return key.encode(), page_id is not None, page_id or 0
+
+
+def look_up(wanted: DataFrame, archive: Archive) -> DataFrame:
+    """The captures of wanted(key, page_id), as read_captures() gives them: of each distinct pair, all records.
+
+    The pairs are dealt by ranges of (key, page_id), so a URL that a third of all captures have is spread. A task goes
+    through its pairs in order, reads that part of the directory that a batch of them spans, finds the blocks of a pair
+    by binary search there, reads their byte ranges, finds the lines by binary search, and reads the records' ranges."""
+    blocks = archive.directory.written_to
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        held: dict[tuple, tuple] = {}  # the last blocks read, by place
+        system, path = _open(blocks)
+        for batch in batches:
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            if not pairs:
+                continue
+            spans = (ds.field("last_key") >= pairs[0][0]) & (ds.field("first_key") <= pairs[-1][0])
+            found = ds.dataset(path, filesystem=system, format="parquet").to_table(filter=spans).to_pylist()
+            found.sort(key=lambda b: (_order(b["first_key"], b["first_id"]), _order(b["last_key"], b["last_id"])))
+            first, last = [_order(b["first_key"], b["first_id"]) for b in found], [_order(b["last_key"], b["last_id"]) for b in found]
+            lines: list[dict] = []
+            for pair in pairs:
+                at = _order(*pair)
+                for b in found[bisect_left(last, at) : bisect_right(first, at)]:
+                    place = (b["file"], b["offset"])
+                    if place not in held:
+                        if len(held) > 8:
+                            held.clear()
+                        entries = _entries(b["file"], b["offset"], b["length"])
+                        held[place] = entries, [_order(e["key"], e["page_id"]) for e in entries]
+                    entries, keys = held[place]
+                    lines += entries[bisect_left(keys, at) : bisect_right(keys, at)]
+                if len(lines) >= LINES_PER_BLOCK:
+                    yield _records(lines)
+                    lines = []
+            if lines:
+                yield _records(lines)
+
+    n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return wanted.select("key", "page_id").distinct().repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, CAPTURE)
 
 
 def _number(urn: str | None) -> int | None:
@@ -283,8 +333,8 @@ class Directory:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads them back through the index: page_id, payload_bytes,
+    """Writes pages to archives in the shared folder and looks each of them up by its URL's key: page_id, payload_bytes,
     payload_digest, record_type, refers_to, a row per row of pages; an empty table gives no row, other columns are not
     looked at."""
     found = write_archive(pages, scratch_path(spark, "warc"), min_bytes)
-    return read_captures(found.directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return look_up(found.index, found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
