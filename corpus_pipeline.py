@@ -29,10 +29,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by doc_id, of each group; of rows that repeat a doc_id, one. Rows without doc_id stay."""
-    found = written(near_duplicates(docs, size=5, percent=80).filter("doc_id is not null").select("doc_id", "kept"), "near-duplicates")
-    chosen = docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter("doc_id is null"))
+    """The first document, by doc_id, of each group; of rows that repeat a doc_id, the one of least hash of all columns.
+    Rows without doc_id, and rows without words, stay."""
+    found = written(near_duplicates(docs, size=5, percent=80).filter("doc_id is not null and kept").select(F.col("doc_id").alias("id"), "text_hash").distinct(), "near-duplicates")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), whole.alias("row"))
+    first = rows.join(found, ["id", "text_hash"]).groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return first.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
