@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = Sequence[Column]
@@ -41,23 +42,37 @@ def cosine(a: Vec, b: Vec) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norm(a) * norm(b))))
 
 
-def rotate(r: Sequence[float], p: Vec) -> list[Column]:
-    """The row-major 3 x 3 matrix r times p."""
+def rotate(r: Sequence, p: Vec) -> list[Column]:
+    """The row-major 3 x 3 matrix r, of numbers or columns, times p."""
     return [F.lit(r[3 * i]) * p[0] + F.lit(r[3 * i + 1]) * p[1] + F.lit(r[3 * i + 2]) * p[2] for i in range(3)]
 
 
-def to_camera(p: Vec, centre: Vec, r: Sequence[float] = (1, 0, 0, 0, 1, 0, 0, 0, 1)) -> list[Column]:
-    return rotate([float(x) for x in r], minus(p, centre))
+def posed(cameras: DataFrame) -> DataFrame:
+    """Cameras whose rotation from world to camera, R if they have one, is named so that a row number r can stand beside
+    it."""
+    return cameras.withColumnRenamed("R", "rotation") if "R" in cameras.columns else cameras
+
+
+def rotation(columns: Sequence[str]) -> list[Column] | None:
+    """The entries of a posed camera's rotation; None if it has none, which is no turn."""
+    return [F.get("rotation", F.lit(i)) for i in range(9)] if "rotation" in columns else None
+
+
+def to_camera(p: Vec, centre: Vec, r: Sequence | None = None) -> list[Column]:
+    return minus(p, centre) if r is None else rotate(r, minus(p, centre))
 
 
 def project(q: Vec, f: Column, px: Column, py: Column) -> tuple[Column, Column]:
-    """Pixel of a point in camera coordinates."""
-    return px + f * q[0] / q[2], py + f * q[1] / q[2]
+    """Pixel of a point in camera coordinates; null in the plane of the centre."""
+    return px + F.try_divide(f * q[0], q[2]), py + F.try_divide(f * q[1], q[2])
 
 
-def back_project(u: Column, v: Column, depth: Column, f: Column, px: Column, py: Column, centre: Vec) -> list[Column]:
-    """World point of a pixel and its depth, for a camera that looks along z."""
-    return [(u - px) * depth / f + centre[0], (v - py) * depth / f + centre[1], depth + centre[2]]
+def back_project(u: Column, v: Column, depth: Column, f: Column, px: Column, py: Column, centre: Vec, r: Sequence | None = None) -> list[Column]:
+    """World point of a pixel and its depth; without r for a camera that looks along z."""
+    q = [(u - px) * depth / f, (v - py) * depth / f, depth]
+    if r is not None:
+        q = rotate([r[3 * j + i] for i in range(3) for j in range(3)], q)
+    return [a + b for a, b in zip(q, centre, strict=True)]
 
 
 def to_pixel(x: Column) -> Column:
@@ -152,25 +167,26 @@ def luma(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return y, 128 + 0.564 * (b - y), 128 + 0.713 * (r - y)
 
 
-def robust_norm(kind: str, x: Column, s: float = 1.0) -> Column:
-    """Cost of residual x at scale s."""
-    q = x * x
+def robust_norm(kind: str, r: Column, s: float = 1.0) -> Column:
+    """The residual that stands for r in least squares, at threshold s."""
+    size, square = F.abs(r), r * r
     if kind == "l1":
-        return F.abs(x)
+        return r / (F.sqrt(size) + 1e-12)
+    if kind == "exponential":
+        return r * F.exp(-square / (2 * s * s))
+    if kind == "blake_zisserman":
+        return -F.log(F.exp(-square / s) + math.exp(-s * s))
     if kind == "huber":
-        return F.when(F.abs(x) <= s, q / 2).otherwise(s * (F.abs(x) - s / 2))
+        return F.when(size <= s, r).otherwise(F.signum(r) * F.sqrt(F.greatest(s * (2 * size - s), F.lit(0.0))))
     if kind == "pseudo_huber":
-        return s * s * (F.sqrt(1 + q / (s * s)) - 1)
+        return F.sqrt(2 * s * s * (F.sqrt(1 + square / (s * s)) - 1))
     if kind == "geman_mcclure":
-        return q / (q + s * s)
+        return r * F.sqrt(s * s / (s * s + square))
     if kind == "cauchy":
-        return s * s / 2 * F.log(1 + q / (s * s))
-    if kind == "exponential":
-        return 1 - F.exp(-q / (2 * s * s))
-    if kind == "blake_zisserman":
-        return -F.log(F.exp(-q) + F.lit(s))
+        return F.sqrt(s * s * F.log(1 + square / (s * s)))
     if kind == "tukey":
-        return F.when(F.abs(x) <= s, s * s / 6 * (1 - F.pow(1 - q / (s * s), 3))).otherwise(s * s / 6)
+        most = s**3 / 6
+        return F.when(size < s, F.sqrt(most * (1 - F.pow(1 - square / (s * s), 3)))).otherwise(math.sqrt(most))
     raise ValueError(kind)
 
 

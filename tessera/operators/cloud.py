@@ -114,7 +114,7 @@ def label_palette(labels: DataFrame) -> DataFrame:
 
 def nearest_view(point_views: DataFrame, points: DataFrame, cameras: DataFrame) -> DataFrame:
     """The image in which a point is closest, whose colour it takes; ties go to the lower id. Unseen points get none."""
-    cam = F.broadcast(cameras.select("image_id", "cx", "cy", "cz"))
+    cam = cameras.select("image_id", "cx", "cy", "cz")
     d = F.round(g.distance(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz")), 6)
     rows = point_views.select("point_id", "image_id").join(points, "point_id").join(cam, "image_id").select("point_id", "image_id", d.alias("d"))
     best = rows.groupBy("point_id").agg(F.min(F.struct("d", "image_id")).alias("m"))
@@ -135,9 +135,11 @@ def component_medians(rows: DataFrame, by: str, value: list[str]) -> DataFrame:
 
 def point_scale(point_views: DataFrame, points: DataFrame, cameras: DataFrame) -> DataFrame:
     """scale: the least footprint depth / f over a point's views; confidence: their number."""
-    cam = F.broadcast(cameras.select("image_id", "cz", "f"))
-    rows = point_views.select("point_id", "image_id").join(points.select("point_id", "z"), "point_id").join(cam, "image_id")
-    return rows.groupBy("point_id").agg(F.min((F.col("z") - F.col("cz")) / F.col("f")).alias("scale"), F.count(F.lit(1)).alias("confidence"))
+    cameras = g.posed(cameras)
+    pose = [c for c in cameras.columns if c == "rotation"]
+    rows = point_views.select("point_id", "image_id").join(points.select("point_id", "x", "y", "z"), "point_id").join(cameras.select("image_id", "cx", "cy", "cz", "f", *pose), "image_id")
+    depth = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"), g.rotation(pose))[2]
+    return rows.groupBy("point_id").agg(F.min(depth / F.col("f")).alias("scale"), F.count(F.lit(1)).alias("confidence"))
 
 
 def _cells(rows: DataFrame, size: float) -> DataFrame:

@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from tessera.functions import geom as g
 
 
-def back_projected(depth: DataFrame, cameras: DataFrame) -> DataFrame:
-    """(image_id, r, c, x, y, z, weight): a point per pixel; a missing confidence counts 1."""
-    p = g.back_project(F.col("c"), F.col("r"), F.col("depth"), F.col("f"), F.col("px"), F.col("py"), g.vec("cx", "cy", "cz"))
-    return depth.filter("depth > 0").join(F.broadcast(cameras), "image_id").select("image_id", "r", "c", *[c.alias(n) for c, n in zip(p, "xyz", strict=True)], F.coalesce("conf", F.lit(1.0)).alias("weight"))
+def back_projected(depth: DataFrame, cameras: DataFrame, *carried: str) -> DataFrame:
+    """(image_id, r, c, x, y, z, weight) and the carried columns: a point per pixel; a missing confidence counts 1."""
+    cameras = g.posed(cameras)
+    p = g.back_project(F.col("c"), F.col("r"), F.col("depth"), F.col("f"), F.col("px"), F.col("py"), g.vec("cx", "cy", "cz"), g.rotation(cameras.columns))
+    return depth.filter("depth > 0").join(cameras, "image_id").select("image_id", "r", "c", *[c.alias(n) for c, n in zip(p, "xyz", strict=True)], F.coalesce("conf", F.lit(1.0)).alias("weight"), *carried)
 
 
 def confident(depth: DataFrame, least: float) -> DataFrame:
     return depth.filter(F.col("conf") >= least)
 
 
-def compared(a: DataFrame, b: DataFrame, threshold: float = 0.01) -> DataFrame:
-    """Errors, missing and extra pixels of b against a, and the error's mean and population deviation."""
+def compared(a: DataFrame, b: DataFrame, threshold: float = 0.01, size: tuple[int, int] | None = None) -> DataFrame:
+    """Errors, missing and extra pixels of b against a, and the mean and population deviation of the relative errors.
+    With the maps' size, pixels that both lack count as equal ones."""
     rows = a.select("image_id", "r", "c", F.col("depth").alias("da")).join(b.select("image_id", "r", "c", F.col("depth").alias("db")), ["image_id", "r", "c"], "full")
-    e = F.abs(F.col("da") - F.col("db"))
-    return rows.groupBy("image_id").agg(F.count_if(e / F.col("da") > threshold).alias("errors"), F.count_if(F.col("db").isNull()).alias("missing"), F.count_if(F.col("da").isNull()).alias("extra"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"))
+    e = F.abs(F.col("da") - F.col("db")) / F.col("da")
+    found = rows.groupBy("image_id").agg(F.count_if(e > threshold).alias("errors"), F.count_if(F.col("db").isNull()).alias("missing"), F.count_if(F.col("da").isNull()).alias("extra"), F.count(e).alias("both"), F.coalesce(F.sum(e), F.lit(0.0)).alias("total"), F.coalesce(F.sum(e * e), F.lit(0.0)).alias("squares"))
+    n = F.col("both") if size is None else F.lit(size[0] * size[1]) - F.col("missing") - F.col("extra")
+    mean = F.try_divide(F.col("total"), n)
+    return found.select("image_id", "errors", "missing", "extra", mean.alias("mean"), F.sqrt(F.greatest(F.try_divide(F.col("squares"), n) - mean * mean, F.lit(0.0))).alias("std"))
 
 
 def gaps_filled(depth: DataFrame, longest: int = 7, threshold: float = 0.1, along: str = "c", across: str = "r") -> DataFrame:
@@ -39,23 +44,36 @@ def gaps_filled(depth: DataFrame, longest: int = 7, threshold: float = 0.1, alon
     return at.select("image_id", across, F.col("k").alias(along), (F.col("depth") + share * (F.col("d2") - F.col("depth"))).alias("depth"), F.least("conf", "c2").alias("conf"))
 
 
+def windows(depth: DataFrame) -> DataFrame:
+    """(image_id, r, c, depth, near): each pixel with its valid neighbours of the eight, as (dr, dc, other). Each pixel
+    sends its depth to the nine places that look at it, so one shuffle is enough."""
+    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in product((-1, 0, 1), repeat=2)])
+    sent = depth.select("image_id", "r", "c", "depth", F.inline(steps))
+    here = (F.col("dr") == 0) & (F.col("dc") == 0)
+    met = sent.groupBy("image_id", (F.col("r") - F.col("dr")).alias("r"), (F.col("c") - F.col("dc")).alias("c")).agg(
+        F.max(F.when(here, F.col("depth"))).alias("own"), F.collect_list(F.when(~here, F.struct("dr", "dc", F.col("depth").alias("other")))).alias("near"))
+    return met.filter("own is not null").withColumnRenamed("own", "depth").select("image_id", "r", "c", "depth", "near")
+
+
 def with_neighbors(depth: DataFrame) -> DataFrame:
     """(image_id, r, c, depth, dr, dc, other): each pixel with its valid neighbours of the eight."""
-    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in product((-1, 0, 1), repeat=2) if (a, b) != (0, 0)])
-    looks = depth.select("image_id", "r", "c", F.inline(steps))
-    looks = looks.select("image_id", (F.col("r") - F.col("dr")).alias("r"), (F.col("c") - F.col("dc")).alias("c"), "dr", "dc")
-    values = depth.select("image_id", F.col("r").alias("r"), F.col("c").alias("c"), "depth")
-    other = depth.select("image_id", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("depth").alias("other"))
-    met = looks.join(values, ["image_id", "r", "c"]).withColumns({"nr": F.col("r") + F.col("dr"), "nc": F.col("c") + F.col("dc")})
-    return met.join(other, ["image_id", "nr", "nc"]).select("image_id", "r", "c", "depth", "dr", "dc", "other")
+    return windows(depth).select("image_id", "r", "c", "depth", F.inline("near"))
 
 
-def confidence(depth: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """(image_id, r, c, similar, closest): how many of eight neighbours are similar, and the mean of the three least
-    relative differences."""
-    d = F.abs(F.col("depth") - F.col("other")) / F.col("depth")
-    rows = with_neighbors(depth).withColumn("d", d)
-    return rows.groupBy("image_id", "r", "c").agg(F.count_if(F.col("d") < threshold).alias("similar"), F.aggregate(F.slice(F.array_sort(F.collect_list("d")), 1, 3), F.lit(0.0), lambda a, x: a + x).alias("s"), F.count(F.lit(1)).alias("n")).select("image_id", "r", "c", "similar", (F.col("s") / F.least("n", F.lit(3))).alias("closest"))
+def confidence(depth: DataFrame, height: int, width: int, closest: int = 3, threshold: float = 0.03) -> DataFrame:
+    """(image_id, r, c, conf): 0.9 of how small the `closest` least differences of a pixel to the others of its window
+    are, against 0.002 of its image's range of depths, and 0.1 of how many are similar and how few are not. A pixel of
+    the image without a depth counts as one of depth 0, which is not similar."""
+    span = depth.groupBy("image_id").agg((F.max("depth") - F.min("depth")).alias("span"))
+    side = lambda at, n: F.when((F.col(at) == 0) | (F.col(at) == n - 1), 2).otherwise(3)
+    total = side("r", height) * side("c", width) - 1
+    rows = windows(depth).withColumn("total", total).join(span, "image_id")
+    off = F.concat(F.transform("near", lambda x: F.abs(F.col("depth") - x["other"])), F.array_repeat(F.col("depth"), (F.col("total") - F.size("near")).cast("int")))
+    similar = F.size(F.filter("near", lambda x: g.depth_similar(F.col("depth"), x["other"], threshold)))
+    rows = rows.withColumns({"least": F.aggregate(F.slice(F.sort_array(off), 1, closest), F.lit(0.0), lambda s, x: s + x) / F.col("total"), "similar": similar})
+    by_depth = F.exp(-F.pow(F.try_divide(F.col("least"), 0.002 * F.col("span")), 2))
+    by_count = 0.7 * F.least(F.col("similar") / closest, F.lit(1.0)) + 0.3 * F.coalesce(F.greatest(1 - F.try_divide(F.col("total") - F.col("similar"), F.col("similar")), F.lit(0.0)), F.lit(0.0))
+    return rows.select("image_id", "r", "c", (0.9 * by_depth + 0.1 * by_count).alias("conf"))
 
 
 def normals(depth: DataFrame, cameras: DataFrame, threshold: float = 0.03, least: int = 3) -> DataFrame:
@@ -66,31 +84,35 @@ def normals(depth: DataFrame, cameras: DataFrame, threshold: float = 0.03, least
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     wx, wy = (F.col("gx") * F.col("yy") - F.col("gy") * F.col("xy")) / det, (F.col("gy") * F.col("xx") - F.col("gx") * F.col("xy")) / det
     n = [F.col("f") * wx, F.col("f") * wy, (F.col("px") - F.col("c")) * wx + (F.col("py") - F.col("r")) * wy - F.col("depth")]
-    return s.filter((F.col("n") >= least) & (det != 0)).join(F.broadcast(cameras), "image_id").select("image_id", "r", "c", *[(v / g.norm(n)).alias(f"n{x}") for v, x in zip(n, "xyz", strict=True)])
+    return s.filter((F.col("n") >= least) & (det != 0)).join(cameras.select("image_id", "f", "px", "py"), "image_id").select("image_id", "r", "c", *[(v / g.norm(n)).alias(f"n{x}") for v, x in zip(n, "xyz", strict=True)])
 
 
 def reprojected(depth: DataFrame, cameras: DataFrame, pairs: DataFrame, threshold: float = 0.01) -> DataFrame:
-    """(ref_id, r, c, nb_id, r2, c2, depth, other, agrees): a pixel of ref_id seen at the pixel of nb_id where its point
-    falls; pairs(ref_id, nb_id). The pixel is the equi-join key, the depth test the rest."""
-    cam = F.broadcast(cameras)
-    p = back_projected(depth, cameras).join(depth.select("image_id", "r", "c", "depth"), ["image_id", "r", "c"]).withColumnRenamed("image_id", "ref_id")
-    shot = p.join(F.broadcast(pairs.select("ref_id", "nb_id")), "ref_id").join(cam.withColumnRenamed("image_id", "nb_id"), "nb_id")
-    q = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"))
+    """(ref_id, r, c, nb_id, r2, c2, z, other, other_conf, agrees): a pixel of ref_id seen at the pixel of nb_id where
+    its point falls, at depth z; pairs(ref_id, nb_id). The pixel is the equi-join key, the depth test the rest."""
+    cameras = g.posed(cameras)
+    p = back_projected(depth, cameras).withColumnRenamed("image_id", "ref_id").drop("weight")
+    shot = p.join(pairs.select("ref_id", "nb_id"), "ref_id").join(cameras.withColumnRenamed("image_id", "nb_id"), "nb_id")
+    q = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"), g.rotation(cameras.columns))
     u, v = g.project(q, F.col("f"), F.col("px"), F.col("py"))
     rows = shot.filter(q[2] > 0).select("ref_id", "r", "c", "nb_id", g.to_pixel(v).alias("r2"), g.to_pixel(u).alias("c2"), q[2].alias("z"))
     other = depth.select(F.col("image_id").alias("nb_id"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("depth").alias("other"), F.col("conf").alias("other_conf"))
     return rows.join(other, ["nb_id", "r2", "c2"]).withColumn("agrees", g.depth_similar(F.col("z"), F.col("other"), threshold))
 
 
-def adjusted_confidence(depth: DataFrame, matches: DataFrame) -> DataFrame:
-    """Confidence after neighbours: 0.3 of the own and 0.7 of how close the best agreeing depth is, where the own is more
-    than the two strongest that disagree together; else a tenth of the own over theirs."""
+def adjusted_confidence(depth: DataFrame, matches: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """Confidence after neighbours: photo is the lesser of the own confidence and that of the neighbour whose depth is
+    closest (no further than 1, relatively). Where it is more than the two strongest confidences together whose depths
+    differ by more than threshold, 0.3 of it and 0.7 of how close that neighbour is; else a tenth of it over theirs."""
     a = matches.withColumn("diff", F.abs(F.col("z") - F.col("other")) / F.col("z"))
-    sums = a.groupBy(F.col("ref_id").alias("image_id"), "r", "c").agg(F.min(F.when(F.col("agrees"), F.col("diff"))).alias("best"), F.slice(F.sort_array(F.collect_list(F.when(~F.col("agrees"), F.col("other_conf"))), asc=False), 1, 2).alias("against"))
+    nearest = F.min(F.when(F.col("diff") <= 1, F.struct("diff", (-F.col("other_conf")).alias("minus"))))
+    against = F.slice(F.sort_array(F.collect_list(F.when(F.col("diff") > threshold, F.col("other_conf"))), asc=False), 1, 2)
+    sums = a.groupBy(F.col("ref_id").alias("image_id"), "r", "c").agg(nearest.alias("nearest"), against.alias("against"))
     rows = depth.join(sums, ["image_id", "r", "c"], "left")
-    neg = F.coalesce(F.aggregate("against", F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
-    good = 0.3 * F.col("conf") + 0.7 * F.exp(-F.coalesce("best", F.lit(1.0)) ** 2 / (2 * 0.01**2))
-    return rows.select("image_id", "r", "c", F.when(F.col("conf") > neg, good).otherwise(F.try_divide(0.1 * F.col("conf"), neg)).alias("conf"))
+    neg = F.coalesce(F.aggregate("against", F.lit(0.0), lambda s, x: s + F.greatest(x, F.lit(0.0))), F.lit(0.0))
+    photo = F.least(F.col("conf"), F.coalesce(-F.col("nearest.minus"), F.lit(0.0)))
+    good = 0.3 * photo + 0.7 * F.exp(-F.pow(F.coalesce("nearest.diff", F.lit(1.0)), 2) / (2 * 0.01**2))
+    return rows.select("image_id", "r", "c", F.when(photo > neg, good).when(neg > 0, 0.1 * photo / neg).otherwise(0.0).alias("conf"))
 
 
 def fused(depth: DataFrame, cameras: DataFrame, pairs: DataFrame, threshold: float = 0.01, least_views: int = 2) -> DataFrame:
@@ -140,6 +162,11 @@ def disparity_range(disp: DataFrame, reach: int = 3) -> DataFrame:
     return disp.select("image_id", "r", "c", F.min("disp").over(w).alias("low"), F.max("disp").over(w).alias("high"))
 
 
+def within_cost(disp: DataFrame, most: float) -> DataFrame:
+    """Disparities (image_id, r, c, disp, cost) without those that cost more."""
+    return disp.filter(F.col("cost") <= most)
+
+
 def disparity_to_depth(disp: DataFrame, focal: float, baseline: float) -> DataFrame:
     return disp.filter("disp <> 0").select("image_id", "r", "c", (focal * baseline / F.abs("disp")).alias("depth"))
 

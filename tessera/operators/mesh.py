@@ -97,11 +97,26 @@ def smooth_normals(faces: DataFrame, vertices: DataFrame, cos_limit: float = 0.9
     return normals
 
 
+def _around(values: DataFrame, faces: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """values with m_<name>, the mean over a vertex's neighbours, and inv, the mean of 1 / their number of neighbours;
+    null for vertices on the boundary and those without a face."""
+    near = vertex_neighbors(faces)
+    degree = near.groupBy(F.col("v_id").alias("nb_id")).agg((1 / F.count(F.lit(1))).alias("inv"))
+    other = values.select(F.col("v_id").alias("nb_id"), *[F.col(n).alias(f"o_{n}") for n in names]).join(degree, "nb_id")
+    mean = near.join(other, "nb_id").groupBy("v_id").agg(*[F.avg(f"o_{n}").alias(f"m_{n}") for n in names], F.avg("inv").alias("inv"))
+    return values.join(mean.join(boundary_vertices(faces), "v_id", "left_anti"), "v_id", "left")
+
+
 def laplacian(values: DataFrame, faces: DataFrame, names: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """The mean of a vertex's neighbours less itself, per named column; applied twice, the second level."""
-    other = values.select(F.col("v_id").alias("nb_id"), *[F.col(n).alias(f"o_{n}") for n in names])
-    mean = vertex_neighbors(faces).join(other, "nb_id").groupBy("v_id").agg(*[F.avg(f"o_{n}").alias(f"m_{n}") for n in names])
-    return values.join(mean, "v_id").select("v_id", *[(F.col(f"m_{n}") - F.col(n)).alias(n) for n in names])
+    """The mean of a vertex's neighbours less itself, per named column; 0 on the boundary and without a face."""
+    return _around(values, faces, names).select("v_id", *[F.coalesce(F.col(f"m_{n}") - F.col(n), F.lit(0.0)).alias(n) for n in names])
+
+
+def laplacian_2(first: DataFrame, faces: DataFrame, names: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """The second level from the first: the mean of the neighbours' first less the own one, over 1 and the mean of
+    1 / their number of neighbours; 0 where the first is."""
+    scale = 1 / (1 + F.col("inv"))
+    return _around(first, faces, names).select("v_id", *[F.coalesce((F.col(f"m_{n}") - F.col(n)) * scale, F.lit(0.0)).alias(n) for n in names])
 
 
 def smoothed(vertices: DataFrame, faces: DataFrame, step: float = 0.5) -> DataFrame:

@@ -29,25 +29,33 @@ def scale_weight(scale):
     return F.when(scale > 1.6, (1.6 / scale) ** 2).when(scale >= 1, 1.0).otherwise(scale * scale)
 
 
-def neighbor_scores(point_views: DataFrame, points: DataFrame, cameras: DataFrame, least_points: int = 1) -> DataFrame:
-    """Scores each ordered image pair over the points that both see: points, mean angle (degrees), mean scale (ratio of
-    footprints), area (share of the neighbour's 16 x 16 cells of the reference that shared points cover), score."""
-    cam = F.broadcast(cameras.select("image_id", "cx", "cy", "cz", "f", "px", "py", "width", "height"))  # a row per image
+def neighbor_scores(point_views: DataFrame, points: DataFrame, cameras: DataFrame, least_points: int = 3) -> DataFrame:
+    """Scores each ordered image pair over the points that both see and that lie before both: points, mean angle
+    (degrees), mean scale (the reference's footprint f / depth over the neighbour's), area (share of 16 x 16 cells of
+    the reference that points inside both images cover), score (summed weights by area, 0.01 at least). Pairs of fewer
+    than least_points, and pairs without a point inside both images, are left out.
+
+    A point's views come together once, and pairs are made where they lie."""
+    cameras = g.posed(cameras)
+    pose = [c for c in cameras.columns if c == "rotation"]
+    cam = cameras.select("image_id", "cx", "cy", "cz", "f", "px", "py", "width", "height", *pose)
     seen = point_views.select("point_id", "image_id").join(points.select("point_id", "x", "y", "z"), "point_id").join(cam, "image_id")
-    q = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"))
+    q = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"), g.rotation(cam.columns))
     u, v = g.project(q, F.col("f"), F.col("px"), F.col("py"))
     ray = g.minus(g.vec("cx", "cy", "cz"), g.vec("x", "y", "z"))
     cell = F.floor(u / F.col("width") * 16) * 16 + F.floor(v / F.col("height") * 16)
-    side = seen.select("point_id", "image_id", *[c.alias(n) for c, n in zip(ray, ("rx", "ry", "rz"), strict=True)], (F.col("f") / q[2]).alias("foot"), F.when(g.inside_image(u, v, F.col("width"), F.col("height")), cell).alias("cell"))
-    a = side.select("point_id", F.col("image_id").alias("ref_id"), *[F.col(n).alias(f"a_{n}") for n in ("rx", "ry", "rz", "foot", "cell")])
-    b = side.select("point_id", F.col("image_id").alias("nb_id"), *[F.col(n).alias(f"b_{n}") for n in ("rx", "ry", "rz", "foot")])
-    pair = a.join(b, "point_id").filter("ref_id <> nb_id")
-    angle = F.degrees(F.acos(g.cosine(g.vec("rx", "ry", "rz", of="a_"), g.vec("rx", "ry", "rz", of="b_"))))
-    scale = F.col("b_foot") / F.col("a_foot")
-    rows = pair.select("ref_id", "nb_id", F.round(angle, 6).alias("angle"), F.round(scale, 6).alias("scale"), "a_cell")
-    score = F.greatest(angle_weight(F.col("angle")), F.lit(0.1)) * scale_weight(F.col("scale"))
-    out = rows.groupBy("ref_id", "nb_id").agg(F.count(F.lit(1)).alias("points"), F.avg("angle").alias("angle"), F.avg("scale").alias("scale"), (F.count_distinct("a_cell") / 256).alias("area"), F.sum(score).alias("score"))
-    return out.filter(F.col("points") >= least_points)
+    view = F.struct(F.col("image_id"), *[c.alias(n) for c, n in zip(ray, ("rx", "ry", "rz"), strict=True)], F.try_divide(F.col("f"), q[2]).alias("foot"), F.when(g.inside_image(u, v, F.col("width"), F.col("height")), cell.cast("int")).alias("cell"))
+    sets = seen.withColumn("deep", q[2]).filter("deep > 0").groupBy("point_id").agg(F.collect_list(view).alias("views"))
+    pair = sets.select("views", F.explode("views").alias("a")).select("a", F.explode("views").alias("b")).filter("a.image_id <> b.image_id")
+    angle = F.degrees(F.acos(g.cosine(g.vec("rx", "ry", "rz", of="a."), g.vec("rx", "ry", "rz", of="b."))))
+    rows = pair.select(F.col("a.image_id").alias("ref_id"), F.col("b.image_id").alias("nb_id"), F.round(angle, 6).alias("angle"), F.round(F.col("a.foot") / F.col("b.foot"), 6).alias("scale"), F.when(F.col("b.cell").isNotNull(), F.col("a.cell")).alias("cell"))
+    weight = F.greatest(angle_weight(F.col("angle")), F.lit(0.1)) * scale_weight(F.col("scale"))
+    # 256 cells are four words of bits
+    bits = [F.coalesce(F.bit_or(F.when(F.floor(F.col("cell") / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell") % 64))), F.lit(0).cast("long")) for k in range(4)]
+    out = rows.groupBy("ref_id", "nb_id").agg(F.count(F.lit(1)).alias("points"), F.avg("angle").alias("angle"), F.avg("scale").alias("scale"), F.sum(weight).alias("weight"), sum((F.bit_count(x) for x in bits), F.lit(0)).alias("cells"))
+    area = F.col("cells") / 256
+    kept = out.filter((F.col("points") >= least_points) & (F.col("cells") > 0))
+    return kept.select("ref_id", "nb_id", "points", "angle", "scale", area.alias("area"), (F.col("weight") * F.greatest(area, F.lit(0.01))).alias("score"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -83,7 +91,7 @@ def seen_by_all(point_views: DataFrame, images: list[int]) -> DataFrame:
 
 def sub_scene(point_views: DataFrame, images: DataFrame, least_views: int = 2) -> DataFrame:
     """The views of the given images, of points that keep at least least_views of them."""
-    rows = point_views.join(F.broadcast(images.select("image_id")), "image_id", "left_semi")
+    rows = point_views.join(images.select("image_id"), "image_id", "left_semi")
     enough = rows.groupBy("point_id").count().filter(F.col("count") >= least_views).select("point_id")
     return rows.join(enough, "point_id", "left_semi")
 
@@ -96,9 +104,11 @@ def crop_to_box(points: DataFrame, point_views: DataFrame, low: tuple, high: tup
 
 def mean_depth(point_views: DataFrame, points: DataFrame, cameras: DataFrame) -> DataFrame:
     """(image_id, points, avg_depth) over points in front of the image."""
-    cam = F.broadcast(cameras.select("image_id", "cz"))
-    rows = point_views.select("point_id", "image_id").join(points.select("point_id", "z"), "point_id").join(cam, "image_id").withColumn("d", F.col("z") - F.col("cz")).filter("d > 0")
-    return rows.groupBy("image_id").agg(F.count(F.lit(1)).alias("points"), F.avg("d").alias("avg_depth"))
+    cameras = g.posed(cameras)
+    pose = [c for c in cameras.columns if c == "rotation"]
+    rows = point_views.select("point_id", "image_id").join(points.select("point_id", "x", "y", "z"), "point_id").join(cameras.select("image_id", "cx", "cy", "cz", *pose), "image_id")
+    depth = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"), g.rotation(pose))[2]
+    return rows.withColumn("d", depth).filter("d > 0").groupBy("image_id").agg(F.count(F.lit(1)).alias("points"), F.avg("d").alias("avg_depth"))
 
 
 def intrinsics(cameras: DataFrame, level: int = 1, least: int = 320, cap: int = 2560) -> DataFrame:
@@ -124,6 +134,6 @@ def synthetic_neighbors(cameras: DataFrame, cells: int = 16, seed: int = 7) -> D
 def neighbors_from_text(lines: DataFrame) -> DataFrame:
     """view_scores from lines `ref nb nb ...`, whose place in the line gives the score."""
     rows = lines.select(F.split(F.trim("value"), r"\s+").alias("t")).filter(F.size("t") > 1)
-    out = rows.select(F.get("t", F.lit(0)).cast("int").alias("ref_id"), F.size("t").alias("n"), F.posexplode(F.slice("t", 2, 1_000_000)).alias("i", "nb"))
+    out = rows.select(F.get("t", F.lit(0)).cast("int").alias("ref_id"), F.size("t").alias("n"), F.posexplode(F.expr("slice(t, 2, size(t))")).alias("i", "nb"))
     score = 2 + (F.col("n") - (F.col("i") + 1)) / 2
     return out.select("ref_id", F.col("nb").cast("int").alias("nb_id"), F.lit(0).alias("points"), F.lit(1.0).alias("scale"), F.lit(math.radians(15)).alias("angle"), F.lit(0.5).alias("area"), score.alias("score"))

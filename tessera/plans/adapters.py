@@ -27,6 +27,12 @@ class Scene:
         k = F.col("s_suppkey")
         return self.table("supplier").select(k.alias("image_id"), ((k % 10) * 10.0).alias("cx"), ((k % 7) * 10.0).alias("cy"), F.lit(0.0).alias("cz"), F.lit(500.0).alias("f"), F.lit(499.5).alias("px"), F.lit(499.5).alias("py"), F.lit(1000).alias("width"), F.lit(1000).alias("height"))
 
+    def turned_cameras(self) -> DataFrame:
+        """The cameras at several heights, with several focal lengths, turned about z by quarters."""
+        k = F.col("image_id")
+        quarter = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in (c, -s, 0, s, c, 0, 0, 0, 1)]) for c, s in ((1, 0), (0, 1), (-1, 0), (0, -1))]), (k % 4 + 1).cast("int"))
+        return self.cameras().withColumns({"cz": (k % 5) * 4.0, "f": 450.0 + (k % 3) * 50.0, "R": quarter})
+
     def votes(self) -> DataFrame:
         return self.table("events").select(F.col("user_id").alias("point_id"), F.col("event_type").alias("label"))
 
@@ -58,6 +64,8 @@ SQL = {
     "pv": "pv AS (SELECT l_orderkey AS point_id, l_suppkey AS image_id, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2)",
     "pt": "pt AS (SELECT o_orderkey AS point_id, (o_custkey % 97)::DOUBLE AS x, (o_orderkey % 89)::DOUBLE AS y, (10 + o_orderkey % 53)::DOUBLE AS z FROM orders)",
     "cam": "cam AS (SELECT s_suppkey AS image_id, ((s_suppkey % 10) * 10)::DOUBLE AS cx, ((s_suppkey % 7) * 10)::DOUBLE AS cy, 0::DOUBLE AS cz, 500::DOUBLE AS f, 499.5::DOUBLE AS px, 499.5::DOUBLE AS py, 1000 AS width, 1000 AS height FROM supplier)",
+    # c and s: cosine and sine of the quarter by which a camera is turned
+    "turn": "turn AS (SELECT s_suppkey AS image_id, ((s_suppkey % 10) * 10)::DOUBLE AS cx, ((s_suppkey % 7) * 10)::DOUBLE AS cy, ((s_suppkey % 5) * 4)::DOUBLE AS cz, (450 + (s_suppkey % 3) * 50)::DOUBLE AS f, 499.5::DOUBLE AS px, 499.5::DOUBLE AS py, 1000 AS width, 1000 AS height, CASE s_suppkey % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 2 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS co, CASE s_suppkey % 4 WHEN 1 THEN 1.0::DOUBLE WHEN 3 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS si FROM supplier)",
     "votes": "votes AS (SELECT user_id AS point_id, event_type AS label FROM events)",
     "depth": "depth AS (SELECT l_suppkey AS image_id, l_partkey % 64 AS r, (l_orderkey * 7 + l_linenumber) % 64 AS c, min(1 + l_extendedprice % 100) AS depth, min(round(1 - l_discount * 5, 4)) AS conf FROM lineitem GROUP BY 1, 2, 3)",
     "v": "v AS (SELECT p_partkey AS v_id, (p_partkey % 20)::DOUBLE AS x, (p_partkey // 20)::DOUBLE AS y, p_size::DOUBLE AS z FROM part)",

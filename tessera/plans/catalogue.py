@@ -50,11 +50,6 @@ def _rounding(sql: str) -> str:
     return sql.replace("\t", " ")
 
 
-def _all_pairs(s: Scene) -> DataFrame:
-    ids = s.cameras().select("image_id").filter("image_id < 20")
-    return ids.toDF("ref_id").join(F.broadcast(ids.toDF("nb_id"))).filter("ref_id <> nb_id")
-
-
 def _neighbor_pairs(s: Scene) -> DataFrame:
     """(ref_id, nb_id), both ways, of every camera and the neighbours that view selection leaves it."""
     chosen = views.filter_neighbors(_scores(s)).select("ref_id", "nb_id")
@@ -63,39 +58,40 @@ def _neighbor_pairs(s: Scene) -> DataFrame:
 
 # ---- views
 
-_SEEN = """seen AS (SELECT pv.point_id, pv.image_id, cx - x AS rx, cy - y AS ry, cz - z AS rz, f / (z - cz) AS foot,
-  CASE WHEN px + f*(x-cx)/(z-cz) >= 0 AND py + f*(y-cy)/(z-cz) >= 0 AND px + f*(x-cx)/(z-cz) < width AND py + f*(y-cy)/(z-cz) < height
-    THEN floor((px + f*(x-cx)/(z-cz))/width*16)*16 + floor((py + f*(y-cy)/(z-cz))/height*16) END AS cell
-  FROM pv JOIN pt USING (point_id) JOIN cam USING (image_id)),
+_SEEN = """seen AS (SELECT *, CASE WHEN u >= 0 AND v >= 0 AND u < width AND v < height THEN floor(u/width*16)*16 + floor(v/height*16) END AS cell
+  FROM (SELECT *, px + f*(co*dx - si*dy)/dz AS u, py + f*(si*dx + co*dy)/dz AS v, f/dz AS foot FROM (SELECT pv.point_id, turn.*, x - cx AS dx, y - cy AS dy, z - cz AS dz FROM pv JOIN pt USING (point_id) JOIN turn USING (image_id)) WHERE dz > 0)),
 pairs AS (SELECT a.image_id AS ref_id, b.image_id AS nb_id,
-  round(degrees(acos(greatest(-1.0, least(1.0, (a.rx*b.rx + a.ry*b.ry + a.rz*b.rz) / (sqrt(a.rx*a.rx + a.ry*a.ry + a.rz*a.rz) * sqrt(b.rx*b.rx + b.ry*b.ry + b.rz*b.rz)))))), 6) AS angle,
-  round(b.foot / a.foot, 6) AS scale, a.cell FROM seen a JOIN seen b ON a.point_id = b.point_id AND a.image_id <> b.image_id),
-scores AS (SELECT ref_id, nb_id, count(*) AS points, avg(angle) AS angle, avg(scale) AS scale, count(DISTINCT cell) / 256.0 AS area,
+  round(degrees(acos(greatest(-1.0, least(1.0, (a.dx*b.dx + a.dy*b.dy + a.dz*b.dz) / (sqrt(a.dx*a.dx + a.dy*a.dy + a.dz*a.dz) * sqrt(b.dx*b.dx + b.dy*b.dy + b.dz*b.dz)))))), 6) AS angle,
+  round(a.foot / b.foot, 6) AS scale, CASE WHEN b.cell IS NOT NULL THEN a.cell END AS cell FROM seen a JOIN seen b ON a.point_id = b.point_id AND a.image_id <> b.image_id),
+sums AS (SELECT ref_id, nb_id, count(*) AS points, avg(angle) AS angle, avg(scale) AS scale, count(DISTINCT cell) / 256.0::DOUBLE AS area,
   sum(greatest(exp((angle-12)*(angle-12) * CASE WHEN angle < 12 THEN -1/(2*power(0.38*12,2)) ELSE -1/(2*power(0.7*12,2)) END), 0.1)
-    * CASE WHEN scale > 1.6 THEN power(1.6/scale, 2) WHEN scale >= 1 THEN 1.0 ELSE scale*scale END) AS score FROM pairs GROUP BY 1, 2),
+    * CASE WHEN scale > 1.6 THEN power(1.6/scale, 2) WHEN scale >= 1 THEN 1.0 ELSE scale*scale END) AS weight FROM pairs GROUP BY 1, 2),
+scores AS (SELECT ref_id, nb_id, points, angle, scale, area, weight * greatest(area, 0.01) AS score FROM sums WHERE points >= 3 AND area > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, nb_id) AS rank FROM scores)"""
+_PLACED = """flagged AS (SELECT *, area < 0.01 OR NOT scale BETWEEN 0.2 AND 3.2 OR NOT angle BETWEEN 3 AND 65 AS bad, count(*) OVER (PARTITION BY ref_id) AS n FROM ranked),
+counted AS (SELECT *, sum(bad::INT) OVER (PARTITION BY ref_id ORDER BY rank DESC) AS bad_rank FROM flagged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY rank) AS place FROM counted WHERE NOT bad OR bad_rank > greatest(n - 9, 0)),
+near_of AS (SELECT ref_id, nb_id FROM placed WHERE place <= 12 UNION SELECT nb_id, ref_id FROM placed WHERE place <= 12)"""
 
 
 def _scores(s: Scene) -> DataFrame:
-    return views.neighbor_scores(s.point_views(), s.points(), s.cameras())
+    return views.neighbor_scores(s.point_views(), s.points(), s.turned_cameras())
 
 
 _SCORE = "points, round(angle, 4) AS angle, round(scale, 4) AS scale, round(area, 4) AS area, round(score, 4) AS score"
 
 
-@query(with_("pv pt cam", _SEEN) + f"SELECT ref_id, nb_id, {_SCORE} FROM scores")
+@query(with_("pv pt turn", _SEEN) + f"SELECT ref_id, nb_id, {_SCORE} FROM scores")
 def neighbor_scores(s):
     return rounded(_scores(s), "angle", "scale", "area", "score")
 
 
-@query(with_("pv pt cam", _SEEN) + f"SELECT ref_id, nb_id, rank, {_SCORE} FROM ranked WHERE rank <= 10")
+@query(with_("pv pt turn", _SEEN) + f"SELECT ref_id, nb_id, rank, {_SCORE} FROM ranked WHERE rank <= 10")
 def neighbor_topk(s):
     return rounded(views.top_neighbors(_scores(s), 10), "angle", "scale", "area", "score")
 
 
-@query(with_("pv pt cam", _SEEN, """flagged AS (SELECT *, area < 0.01 OR NOT scale BETWEEN 0.2 AND 3.2 OR NOT angle BETWEEN 3 AND 65 AS bad, count(*) OVER (PARTITION BY ref_id) AS n FROM ranked),
-counted AS (SELECT *, sum(bad::INT) OVER (PARTITION BY ref_id ORDER BY rank DESC) AS bad_rank FROM flagged),
-placed AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY rank) AS place FROM counted WHERE NOT bad OR bad_rank > greatest(n - 9, 0))""") + f"SELECT ref_id, nb_id, place, {_SCORE} FROM placed WHERE place <= 12")
+@query(with_("pv pt turn", _SEEN, _PLACED) + f"SELECT ref_id, nb_id, place, {_SCORE} FROM placed WHERE place <= 12")
 def neighbor_filter(s):
     return rounded(views.filter_neighbors(_scores(s)), "angle", "scale", "area", "score")
 
@@ -125,9 +121,9 @@ def crop_roi(s):
     return views.crop_to_box(s.points(), s.point_views(), (20.0, 20.0, 15.0), (60.0, 60.0, 50.0))
 
 
-@query(with_("pv pt cam") + "SELECT image_id, count(*) AS points, round(avg(z - cz), 4) AS avg_depth FROM pv JOIN pt USING (point_id) JOIN cam USING (image_id) WHERE z - cz > 0 GROUP BY 1")
+@query(with_("pv pt turn") + "SELECT image_id, count(*) AS points, round(avg(z - cz), 4) AS avg_depth FROM pv JOIN pt USING (point_id) JOIN turn USING (image_id) WHERE z - cz > 0 GROUP BY 1")
 def mean_depth_per_image(s):
-    return rounded(views.mean_depth(s.point_views(), s.points(), s.cameras()), "avg_depth")
+    return rounded(views.mean_depth(s.point_views(), s.points(), s.turned_cameras()), "avg_depth")
 
 
 @query(with_("cam") + "SELECT image_id, round(degrees(2*atan(width/(2*f))), 4) AS fov_x, round(degrees(2*atan(height/(2*f))), 4) AS fov_y, round(degrees(2*atan(sqrt(width*width + height*height)/(2*f))), 4) AS fov_d, 500 AS side FROM cam")
@@ -163,9 +159,9 @@ def scene_center(s):
     return cloud.centre(s.points())
 
 
-@query(with_("pv pt cam") + "SELECT point_id, round(min((z - cz) / f), 4) AS scale, count(*) AS confidence FROM pv JOIN pt USING (point_id) JOIN cam USING (image_id) GROUP BY 1")
+@query(with_("pv pt turn") + "SELECT point_id, round(min((z - cz) / f), 4) AS scale, count(*) AS confidence FROM pv JOIN pt USING (point_id) JOIN turn USING (image_id) GROUP BY 1")
 def point_scale(s):
-    return rounded(cloud.point_scale(s.point_views(), s.points(), s.cameras()), "scale")
+    return rounded(cloud.point_scale(s.point_views(), s.points(), s.turned_cameras()), "scale")
 
 
 @query(with_("votes", "n AS (SELECT point_id, label, count(*) AS n FROM votes GROUP BY 1, 2)", "k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY n DESC, label) AS k FROM n)") + "SELECT point_id, label, n FROM k WHERE k = 1 AND n >= 2")
@@ -262,9 +258,9 @@ def point_visibility_filter(s):
 # ---- depth maps
 
 
-@query(with_("depth cam") + "SELECT image_id, r, c, round((c-px)*depth/f + cx, 4) AS x, round((r-py)*depth/f + cy, 4) AS y, round(depth + cz, 4) AS z, conf AS weight FROM depth JOIN cam USING (image_id)")
+@query(with_("depth turn") + "SELECT image_id, r, c, round(co*(c-px)*depth/f + si*(r-py)*depth/f + cx, 4) AS x, round(co*(r-py)*depth/f - si*(c-px)*depth/f + cy, 4) AS y, round(depth + cz, 4) AS z, conf AS weight FROM depth JOIN turn USING (image_id)")
 def depth_backproject(s):
-    return rounded(depth.back_projected(s.depth(), s.cameras()), "x", "y", "z")
+    return rounded(depth.back_projected(s.depth(), s.turned_cameras()), "x", "y", "z")
 
 
 @query(with_("depth") + "SELECT image_id, r, c, depth, conf FROM depth WHERE conf >= 0.7")
@@ -275,10 +271,10 @@ def depth_filter_conf(s):
 _OTHER = "other AS (SELECT image_id, (r + 1) % 64 AS r, c, depth FROM depth)"
 
 
-@query(with_("depth", _OTHER) + "SELECT coalesce(a.image_id, b.image_id) AS image_id, count(*) FILTER (abs(a.depth-b.depth)/a.depth > 0.01) AS errors, count(*) FILTER (b.depth IS NULL) AS missing, count(*) FILTER (a.depth IS NULL) AS extra, round(avg(abs(a.depth-b.depth)), 4) AS mean, round(stddev_pop(abs(a.depth-b.depth)), 4) AS std FROM depth a FULL JOIN other b ON a.image_id = b.image_id AND a.r = b.r AND a.c = b.c GROUP BY 1")
+@query(with_("depth", _OTHER, "met AS (SELECT coalesce(a.image_id, b.image_id) AS image_id, a.depth AS da, b.depth AS db, abs(a.depth-b.depth)/a.depth AS e FROM depth a FULL JOIN other b ON a.image_id = b.image_id AND a.r = b.r AND a.c = b.c)", "sums AS (SELECT image_id, count(*) FILTER (e > 0.01) AS errors, count(*) FILTER (db IS NULL) AS missing, count(*) FILTER (da IS NULL) AS extra, coalesce(sum(e), 0) AS s, coalesce(sum(e*e), 0) AS q FROM met GROUP BY 1)", "n AS (SELECT *, 64*64 - missing - extra AS n FROM sums)") + "SELECT image_id, errors, missing, extra, round(s/n, 4) AS mean, round(sqrt(greatest(q/n - (s/n)*(s/n), 0)), 4) AS std FROM n")
 def depth_compare(s):
     d = s.depth()
-    return rounded(depth.compared(d, d.withColumn("r", (F.col("r") + 1) % 64)), "mean", "std")
+    return rounded(depth.compared(d, d.withColumn("r", (F.col("r") + 1) % 64), size=(64, 64)), "mean", "std")
 
 
 @query(with_("depth", "n AS (SELECT *, lead(c) OVER w AS c2, lead(depth) OVER w AS d2, lead(conf) OVER w AS f2 FROM depth WINDOW w AS (PARTITION BY image_id, r ORDER BY c))") + "SELECT image_id, r, k AS c, round(depth + (k-c)::DOUBLE/(c2-c)*(d2-depth), 4) AS depth, least(conf, f2) AS conf FROM n, LATERAL (SELECT unnest(range(c+1, c2)) AS k) WHERE c2-c-1 BETWEEN 1 AND 7 AND abs(depth-d2)/depth < 0.1")
@@ -289,9 +285,14 @@ def gap_fill_rows(s):
 _NEAR = "near AS (SELECT a.image_id, a.r, a.c, a.depth, b.r - a.r AS dr, b.c - a.c AS dc, b.depth AS other FROM depth a JOIN depth b ON a.image_id = b.image_id AND b.r BETWEEN a.r-1 AND a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1 AND (a.r <> b.r OR a.c <> b.c))"
 
 
-@query(with_("depth", _NEAR) + "SELECT image_id, r, c, count(*) FILTER (abs(depth-other)/depth < 0.05) AS similar, round(list_avg(list_sort(list(abs(depth-other)/depth))[1:3]), 4) AS closest FROM near GROUP BY 1, 2, 3")
+_ZEROES = "CASE WHEN total - n >= 3 THEN [depth, depth, depth] WHEN total - n = 2 THEN [depth, depth] WHEN total - n = 1 THEN [depth] ELSE [] END"
+
+
+@query(with_("depth", _NEAR, "span AS (SELECT image_id, max(depth) - min(depth) AS span FROM depth GROUP BY 1)", "win AS (SELECT image_id, r, c, count(*) AS n, count(*) FILTER (abs(depth-other)/depth < 0.03) AS alike, list(abs(depth-other)) AS diffs FROM near GROUP BY 1, 2, 3)",
+    "full_ AS (SELECT d.image_id, d.r, d.c, d.depth, span, (CASE WHEN d.r IN (0, 63) THEN 2 ELSE 3 END) * (CASE WHEN d.c IN (0, 63) THEN 2 ELSE 3 END) - 1 AS total, coalesce(n, 0) AS n, coalesce(alike, 0) AS alike, coalesce(diffs, []) AS diffs FROM depth d JOIN span USING (image_id) LEFT JOIN win ON win.image_id = d.image_id AND win.r = d.r AND win.c = d.c)",
+    f"closest AS (SELECT *, list_sum(list_sort(list_concat(diffs, {_ZEROES}))[1:3]) / total AS least FROM full_)") + "SELECT image_id, r, c, round(0.9*exp(-power(least/(0.002*span), 2)) + 0.1*(0.7*least(alike/3.0::DOUBLE, 1.0) + 0.3*CASE WHEN alike = 0 THEN 0 ELSE greatest(1 - (total-alike)::DOUBLE/alike, 0) END), 4) AS conf FROM closest")
 def conf_from_depth(s):
-    return rounded(depth.confidence(s.depth()), "closest")
+    return rounded(depth.confidence(s.depth(), 64, 64), "conf")
 
 
 @query()
@@ -299,23 +300,25 @@ def depth_normals(s):
     return rounded(depth.normals(s.depth(), s.cameras(), threshold=0.5), "nx", "ny", "nz")
 
 
-_REP = """pts AS (SELECT image_id AS ref_id, r, c, (c-px)*depth/f + cx AS x, (r-py)*depth/f + cy AS y, depth AS z FROM depth JOIN cam USING (image_id) WHERE image_id < 20),
-shot AS (SELECT ref_id, r, c, cam.image_id AS nb_id, floor(py + f*(y-cy)/z + 0.5)::BIGINT AS r2, floor(px + f*(x-cx)/z + 0.5)::BIGINT AS c2, z FROM pts JOIN cam ON cam.image_id < 20 AND cam.image_id <> ref_id),
-met AS (SELECT ref_id, shot.r, shot.c, nb_id, r2, c2, z, d.depth AS other, d.conf AS other_conf, abs(z-d.depth)/z < 0.2 AS agrees FROM shot JOIN depth d ON d.image_id = nb_id AND d.r = r2 AND d.c = c2)"""
+_REP = """pts AS (SELECT image_id AS ref_id, r, c, co*(c-px)*depth/f + si*(r-py)*depth/f + cx AS x, co*(r-py)*depth/f - si*(c-px)*depth/f + cy AS y, depth + cz AS z FROM depth JOIN turn USING (image_id)),
+rays AS (SELECT ref_id, r, c, nb_id, f, px, py, co*(x-cx) - si*(y-cy) AS qx, si*(x-cx) + co*(y-cy) AS qy, z - cz AS qz FROM pts JOIN near_of USING (ref_id) JOIN turn ON turn.image_id = nb_id),
+shot AS (SELECT ref_id, r, c, nb_id, floor(py + f*qy/qz + 0.5)::BIGINT AS r2, floor(px + f*qx/qz + 0.5)::BIGINT AS c2, qz FROM rays WHERE qz > 0),
+met AS (SELECT ref_id, shot.r, shot.c, nb_id, r2, c2, abs(qz-d.depth)/qz AS diff, d.conf AS other_conf FROM shot JOIN depth d ON d.image_id = nb_id AND d.r = r2 AND d.c = c2)"""
 
 
 def _matches(s: Scene) -> DataFrame:
-    return depth.reprojected(s.depth(), s.cameras(), _all_pairs(s), 0.2)
+    return depth.reprojected(s.depth(), s.turned_cameras(), _neighbor_pairs(s), 0.2)
 
 
-@query(with_("depth cam", _REP) + "SELECT ref_id, r, c, nb_id, r2, c2, agrees FROM met")
+@query(with_("pv pt depth turn", _SEEN, _PLACED, _REP) + "SELECT ref_id, r, c, nb_id, r2, c2, diff < 0.2 AS agrees FROM met")
 def reproject_match(s):
     return _matches(s).select("ref_id", "r", "c", "nb_id", "r2", "c2", "agrees")
 
 
-@query(with_("depth cam", _REP, "sums AS (SELECT ref_id AS image_id, r, c, min(abs(z-other)/z) FILTER (agrees) AS best, list_sum(list_sort(list(other_conf) FILTER (NOT agrees), 'DESC')[1:2]) AS neg FROM met GROUP BY 1, 2, 3)") + "SELECT image_id, r, c, round(CASE WHEN conf > coalesce(neg, 0) THEN 0.3*conf + 0.7*exp(-power(coalesce(best, 1.0), 2)/(2*0.01*0.01)) WHEN coalesce(neg,0) <> 0 THEN 0.1*conf/neg END, 4) AS conf FROM depth LEFT JOIN sums USING (image_id, r, c)")
+@query(with_("pv pt depth turn", _SEEN, _PLACED, _REP, "best AS (SELECT ref_id AS image_id, r, c, min(diff) FILTER (diff <= 1) AS best, first(other_conf ORDER BY diff, other_conf DESC) FILTER (diff <= 1) AS best_conf, coalesce(list_sum(list_sort(list(other_conf) FILTER (diff > 0.2), 'DESC')[1:2]), 0) AS neg FROM met GROUP BY 1, 2, 3)",
+    "photo AS (SELECT depth.image_id, depth.r, depth.c, least(conf, coalesce(best_conf, 0)) AS photo, coalesce(neg, 0) AS neg, coalesce(best, 1.0) AS best FROM depth LEFT JOIN best USING (image_id, r, c))") + "SELECT image_id, r, c, round(CASE WHEN photo > neg THEN 0.3*photo + 0.7*exp(-power(best, 2)/(2*0.01*0.01)) WHEN neg > 0 THEN 0.1*photo/neg ELSE 0 END, 4) AS conf FROM photo")
 def adjust_conf_fast(s):
-    return rounded(depth.adjusted_confidence(s.depth(), _matches(s)), "conf")
+    return rounded(depth.adjusted_confidence(s.depth(), _matches(s), 0.2), "conf")
 
 
 @query(with_("depth", _OTHER) + "SELECT a.image_id, a.r, a.c, CASE WHEN a.conf > 0 AND b.conf > 0 THEN greatest(a.conf, b.conf) ELSE 0 END AS conf FROM depth a LEFT JOIN (SELECT image_id, (r+1)%64 AS r, c, conf FROM depth) b ON a.image_id = b.image_id AND a.r = b.r AND a.c = b.c")
@@ -342,6 +345,11 @@ def disparity_ranges(s):
     return depth.disparity_range(_disp(s))
 
 
+@query(with_("depth") + "SELECT image_id, r, c, (floor(depth) % 8)::INT AS disp, (floor(conf * 255))::INT AS cost FROM depth WHERE floor(conf * 255) <= 180")
+def disparity_filter_cost(s):
+    return depth.within_cost(s.depth().select("image_id", "r", "c", (F.floor("depth") % 8).cast("int").alias("disp"), F.floor(F.col("conf") * 255).cast("int").alias("cost")), 180)
+
+
 @query(with_("depth", _DISP) + "SELECT image_id, r, c, round(500 * 0.1 / abs(disp), 4) AS depth FROM disp WHERE disp <> 0")
 def disparity_depth(s):
     return rounded(depth.disparity_to_depth(_disp(s), 500.0, 0.1), "depth")
@@ -373,14 +381,13 @@ def subpixel_disparity(s):
     return rounded(s.table("lineitem").select("l_orderkey", "l_linenumber", g.sub_pixel("linear", a, zero, b).alias("linear"), g.sub_pixel("parabola", a, zero, b).alias("parabola")), "linear", "parabola")
 
 
-_N = "x AS (SELECT s_suppkey, s_acctbal / 1000 AS x FROM supplier)"
+_N = "n AS (SELECT s_suppkey, s_acctbal / 1000 AS r FROM supplier)"
 
 
-@query(f"WITH {_N} SELECT s_suppkey, round(abs(x), 4) AS l1, round(CASE WHEN abs(x) <= 1 THEN x*x/2 ELSE abs(x) - 0.5 END, 4) AS huber, round(x*x/(x*x+1), 4) AS geman_mcclure, round(ln(1+x*x)/2, 4) AS cauchy, round(CASE WHEN abs(x) <= 1 THEN (1 - power(1-x*x, 3))/6 ELSE 1/6.0::DOUBLE END, 4) AS tukey FROM x")
+@query(f"WITH {_N} SELECT s_suppkey, round(r/(sqrt(abs(r)) + 1e-12), 4) AS l1, round(r*exp(-r*r/2), 4) AS exponential, round(-ln(exp(-r*r) + exp(-1.0::DOUBLE)), 4) AS blake_zisserman, round(CASE WHEN abs(r) <= 1 THEN r ELSE sign(r)*sqrt(2*abs(r) - 1) END, 4) AS huber, round(sqrt(2*(sqrt(1 + r*r) - 1)), 4) AS pseudo_huber, round(r*sqrt(1/(1 + r*r)), 4) AS geman_mcclure, round(sqrt(ln(1 + r*r)), 4) AS cauchy, round(CASE WHEN abs(r) < 1 THEN sqrt((1 - power(1 - r*r, 3))/6) ELSE sqrt(1/6.0::DOUBLE) END, 4) AS tukey FROM n")
 def robust_norms(s):
-    x = F.col("s_acctbal") / 1000
-    kinds = ("l1", "huber", "geman_mcclure", "cauchy", "tukey")
-    return rounded(s.table("supplier").select("s_suppkey", *[g.robust_norm(k, x).alias(k) for k in kinds]), *kinds)
+    kinds = ("l1", "exponential", "blake_zisserman", "huber", "pseudo_huber", "geman_mcclure", "cauchy", "tukey")
+    return rounded(s.table("supplier").select("s_suppkey", *[g.robust_norm(k, F.col("s_acctbal") / 1000).alias(k) for k in kinds]), *kinds)
 
 
 # ---- meshes
@@ -432,7 +439,11 @@ def vertex_normals(s):
     return rounded(mesh.vertex_normals(s.faces(), s.vertices()), "nx", "ny", "nz")
 
 
-_LAP = "lap AS (SELECT v.v_id, avg(o.x) - any_value(v.x) AS x, avg(o.y) - any_value(v.y) AS y, avg(o.z) - any_value(v.z) AS z FROM v JOIN nb USING (v_id) JOIN v o ON o.v_id = nb_id GROUP BY 1)"
+_LAP = """edgy AS (SELECT lo AS v_id FROM edge WHERE faces = 1 UNION SELECT hi FROM edge WHERE faces = 1),
+deg AS (SELECT v_id, count(*) AS n FROM nb GROUP BY 1),
+mean1 AS (SELECT nb.v_id, avg(o.x) AS x, avg(o.y) AS y, avg(o.z) AS z, avg(1.0::DOUBLE / deg.n) AS w FROM nb JOIN v o ON o.v_id = nb_id JOIN deg ON deg.v_id = nb_id WHERE nb.v_id NOT IN (SELECT v_id FROM edgy) GROUP BY 1),
+lap AS (SELECT v.v_id, coalesce(m.x - v.x, 0) AS x, coalesce(m.y - v.y, 0) AS y, coalesce(m.z - v.z, 0) AS z, w FROM v LEFT JOIN mean1 m USING (v_id)),
+mean2 AS (SELECT nb.v_id, avg(o.x) AS x, avg(o.y) AS y, avg(o.z) AS z FROM nb JOIN lap o ON o.v_id = nb_id GROUP BY 1)"""
 
 
 @query(with_("v cell fc", _HALF, _EDGE, _NB, _LAP) + "SELECT v_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z FROM lap")
@@ -440,9 +451,9 @@ def laplacian1(s):
     return rounded(mesh.laplacian(s.vertices(), s.faces()), "x", "y", "z")
 
 
-@query(with_("v cell fc", _HALF, _EDGE, _NB, _LAP) + "SELECT lap.v_id, round(avg(o.x) - any_value(lap.x), 4) + 0.0 AS x, round(avg(o.y) - any_value(lap.y), 4) + 0.0 AS y, round(avg(o.z) - any_value(lap.z), 4) + 0.0 AS z FROM lap JOIN nb USING (v_id) JOIN lap o ON o.v_id = nb_id GROUP BY 1")
+@query(with_("v cell fc", _HALF, _EDGE, _NB, _LAP) + "SELECT lap.v_id, round(coalesce((m.x - lap.x)/(1 + w), 0), 4) + 0.0 AS x, round(coalesce((m.y - lap.y)/(1 + w), 0), 4) + 0.0 AS y, round(coalesce((m.z - lap.z)/(1 + w), 0), 4) + 0.0 AS z FROM lap LEFT JOIN mean2 m USING (v_id)")
 def laplacian2(s):
-    return rounded(mesh.laplacian(mesh.laplacian(s.vertices(), s.faces()), s.faces()), "x", "y", "z")
+    return rounded(mesh.laplacian_2(mesh.laplacian(s.vertices(), s.faces()), s.faces()), "x", "y", "z")
 
 
 @query()

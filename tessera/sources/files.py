@@ -213,7 +213,7 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
 def read_colmap_cameras(spark: SparkSession, path: str) -> DataFrame:
     """camera_id, model, width, height, params."""
     at = lambda k: F.get("w", F.lit(k))
-    return _records(spark, path).select(at(0).cast("int").alias("camera_id"), at(1).alias("model"), at(2).cast("int").alias("width"), at(3).cast("int").alias("height"), F.transform(F.slice("w", 5, 100), lambda x: x.cast("double")).alias("params"))
+    return _records(spark, path).select(at(0).cast("int").alias("camera_id"), at(1).alias("model"), at(2).cast("int").alias("width"), at(3).cast("int").alias("height"), F.transform(F.expr("slice(w, 5, size(w))"), lambda x: x.cast("double")).alias("params"))
 
 
 def read_colmap_images(spark: SparkSession, path: str) -> DataFrame:
@@ -233,7 +233,7 @@ def read_colmap_points(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     at = lambda k: F.get("w", F.lit(k))
     rows = _records(spark, path)
     points = rows.select(at(0).cast("long").alias("point_id"), *[at(k + 1).cast("double").alias(c) for k, c in enumerate("xyz")], *[at(k + 4).cast("int").alias(c) for k, c in enumerate("rgb")])
-    track = rows.select(at(0).cast("long").alias("point_id"), F.posexplode(F.slice("w", 9, 1_000_000)).alias("k", "v"))
+    track = rows.select(at(0).cast("long").alias("point_id"), F.posexplode(F.expr("slice(w, 9, size(w))")).alias("k", "v"))
     return points, track.filter("k % 2 = 0").select("point_id", F.col("v").cast("int").alias("image_id")).distinct()
 
 
