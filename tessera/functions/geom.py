@@ -122,6 +122,22 @@ def perspective(weights: Vec, z: Vec) -> list[Column]:
     return [x / total for x in w]
 
 
+def plane_distance(p: Vec, normal: Vec, offset: Column) -> Column:
+    """Signed distance to the plane normal . x + offset = 0; the normal has length 1."""
+    return dot(normal, p) + offset
+
+
+def on_plane(p: Vec, normal: Vec, offset: Column) -> list[Column]:
+    """The point of the plane that is closest to p."""
+    d = plane_distance(p, normal, offset)
+    return [x - n * d for x, n in zip(p, normal, strict=True)]
+
+
+def ray_plane(origin: Vec, direction: Vec, normal: Vec, offset: Column) -> Column:
+    """How far along the ray it meets the plane, in lengths of direction; null for a parallel ray."""
+    return F.try_divide(-plane_distance(origin, normal, offset), dot(normal, direction))
+
+
 def in_box(p: Vec, low: Sequence, high: Sequence) -> Column:
     tests = [(x >= a) & (x <= b) for x, a, b in zip(p, low, high, strict=True)]
     return tests[0] & tests[1] & tests[2]

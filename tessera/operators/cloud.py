@@ -23,6 +23,31 @@ def track_statistics(point_views: DataFrame) -> DataFrame:
     return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.count(F.lit(1)).alias("points"))
 
 
+def region_statistics(points: DataFrame, point_views: DataFrame, low: tuple, high: tuple) -> DataFrame:
+    """(inside, points, least, most, mean, std): track lengths of the points in a closed box and of the others; a point
+    that no image sees has length 0."""
+    n = point_views.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"))
+    inside = g.in_box(g.vec("x", "y", "z"), [F.lit(v) for v in low], [F.lit(v) for v in high])
+    rows = points.select("point_id", inside.alias("inside")).join(n, "point_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.groupBy("inside").agg(F.count(F.lit(1)).alias("points"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"))
+
+
+def weight_statistics(point_views: DataFrame) -> DataFrame:
+    """(least, most, mean, std) of the points' mean weights."""
+    w = point_views.groupBy("point_id").agg(F.avg("weight").alias("w"))
+    return w.agg(F.min("w").alias("least"), F.max("w").alias("most"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"))
+
+
+def view_angles(points: DataFrame, point_views: DataFrame, cameras: DataFrame, degrees: tuple = (3, 10, 25, 40, 60, 90)) -> DataFrame:
+    """(degrees, views): views by the angle between the point's normal (nx, ny, nz) and the direction to the camera, as
+    the greatest limit that the angle reaches, else 0."""
+    cam = cameras.select("image_id", "cx", "cy", "cz")
+    rows = point_views.select("point_id", "image_id").join(points.select("point_id", "x", "y", "z", "nx", "ny", "nz"), "point_id").join(cam, "image_id")
+    cos = F.round(g.cosine(g.minus(g.vec("cx", "cy", "cz"), g.vec("x", "y", "z")), g.vec("nx", "ny", "nz")), 9)
+    kind = F.coalesce(*[F.when(F.col("cos") <= round(math.cos(math.radians(d)), 9), d) for d in sorted(degrees, reverse=True)], F.lit(0))
+    return rows.select(cos.alias("cos")).groupBy(kind.alias("degrees")).agg(F.count(F.lit(1)).alias("views"))
+
+
 def with_least_views(points: DataFrame, point_views: DataFrame, least: int) -> DataFrame:
     enough = point_views.groupBy("point_id").count().filter(F.col("count") >= least).select("point_id")
     return points.join(enough, "point_id", "left_semi")

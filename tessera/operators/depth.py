@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
@@ -32,6 +33,28 @@ def compared(a: DataFrame, b: DataFrame, threshold: float = 0.01, size: tuple[in
     return found.select("image_id", "errors", "missing", "extra", mean.alias("mean"), F.sqrt(F.greatest(F.try_divide(F.col("squares"), n) - mean * mean, F.lit(0.0))).alias("std"))
 
 
+def compared_normals(a: DataFrame, b: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """(image_id, mean, std, median) of the angles in degrees between normals (image_id, r, c, nx, ny, nz) of maps of a
+    size. Pixels that both lack count as 0, pixels that one lacks don't count. The median is the upper one; null where no
+    pixel counts. One image's angles come together, which its size bounds."""
+    rows = a.join(b.select("image_id", "r", "c", *[F.col(f"n{x}").alias(f"m{x}") for x in "xyz"], F.lit(1).alias("there")), ["image_id", "r", "c"], "full")
+    angle = F.when(F.col("there").isNotNull() & F.col("nx").isNotNull(), F.round(F.degrees(F.acos(g.cosine(g.vec("nx", "ny", "nz"), g.vec("mx", "my", "mz")))), 6))
+    found = rows.withColumn("angle", angle).groupBy("image_id").agg(F.count(F.lit(1)).alias("some"), F.sort_array(F.collect_list("angle")).alias("angles"))
+    n = F.lit(size[0] * size[1]) - F.col("some") + F.size("angles")
+    total = lambda f: F.aggregate("angles", F.lit(0.0), lambda s, x: s + f(x))
+    mean = F.try_divide(total(lambda x: x), n)
+    # those that both lack stand before all angles
+    at = F.floor(n / 2) - (n - F.size("angles"))
+    median = F.when(n > 0, F.when(at < 0, 0.0).otherwise(F.get("angles", at.cast("int"))))
+    return found.select("image_id", mean.alias("mean"), F.sqrt(F.greatest(F.try_divide(total(lambda x: x * x), n) - mean * mean, F.lit(0.0))).alias("std"), median.alias("median"))
+
+
+def range_to_depth(ranges: DataFrame, cameras: DataFrame) -> DataFrame:
+    """(image_id, r, c, depth): pixels (image_id, r, c, range) whose distance is along the ray, as depths along the axis."""
+    x, y = (F.col("c") - F.col("px")) / F.col("f"), (F.col("r") - F.col("py")) / F.col("f")
+    return ranges.filter(F.col("range") > 0).join(cameras.select("image_id", "f", "px", "py"), "image_id").select("image_id", "r", "c", (F.col("range") / F.sqrt(x * x + y * y + 1)).alias("depth"))
+
+
 def gaps_filled(depth: DataFrame, longest: int = 7, threshold: float = 0.1, along: str = "c", across: str = "r") -> DataFrame:
     """The pixels that fill runs of up to `longest` invalid ones between similar depths of a line, by linear steps; the
     confidence is the lesser."""
@@ -76,6 +99,42 @@ def confidence(depth: DataFrame, height: int, width: int, closest: int = 3, thre
     return rows.select("image_id", "r", "c", (0.9 * by_depth + 0.1 * by_count).alias("conf"))
 
 
+def normal_confidence(normals: DataFrame) -> DataFrame:
+    """(image_id, r, c, conf) of normals (image_id, r, c, nx, ny, nz): how little the valid normals of a pixel's window of
+    nine turn from their mean. Each pixel sends its normal to the nine places that look at it."""
+    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in product((-1, 0, 1), repeat=2)])
+    sent = normals.select("image_id", "r", "c", F.struct("nx", "ny", "nz").alias("n"), F.inline(steps))
+    own = F.max((F.col("dr") == 0) & (F.col("dc") == 0))
+    met = sent.groupBy("image_id", (F.col("r") - F.col("dr")).alias("r"), (F.col("c") - F.col("dc")).alias("c")).agg(own.alias("own"), F.collect_list("n").alias("near"), *[F.avg(f"n.n{x}").alias(f"m{x}") for x in "xyz"])
+    turn = lambda v: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g.dot(g.vec("mx", "my", "mz"), [v["nx"], v["ny"], v["nz"]]))))
+    theta = F.aggregate("near", F.lit(0.0), lambda s, v: s + turn(v) * turn(v))
+    return met.filter("own").select("image_id", "r", "c", F.pow(1 - theta / (F.size("near") * math.pi), 2).alias("conf"))
+
+
+def window_moments(image: DataFrame, value: str, height: int, width: int, half: int = 3, least: float = 0.0001) -> DataFrame:
+    """(image_id, r, c, mean, variance) of value over the square window around each pixel that lies half or more from the
+    border. A pixel without a row counts as 0 and gets no row. Sums go along a line, then across lines, so a pixel is sent
+    to 2 * (2 * half + 1) places and not to the window's square."""
+    n = (2 * half + 1) ** 2
+    step = F.explode(F.sequence(F.lit(-half), F.lit(half)))
+    sums = lambda rows, by: rows.groupBy(*by).agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.max(F.when(F.col("k") == 0, F.col("own"))).alias("own"))
+    v = F.col(value).cast("double")
+    line = image.filter(v.isNotNull()).select("image_id", "r", "c", v.alias("s"), (v * v).alias("q"), F.lit(True).alias("own"), step.alias("k"))
+    line = sums(line, ["image_id", "r", (F.col("c") + F.col("k")).alias("c")])
+    both = sums(line.withColumn("k", step), ["image_id", (F.col("r") + F.col("k")).alias("r"), "c"])
+    mean = F.col("s") / n
+    return both.filter(F.col("own") & F.col("r").between(half, height - half - 1) & F.col("c").between(half, width - half - 1)).select("image_id", "r", "c", mean.alias("mean"), F.greatest(F.col("q") / n - mean * mean, F.lit(least)).alias("variance"))
+
+
+def best_two(scores: DataFrame, cap: float = 1.2) -> DataFrame:
+    """(image_id, r, c, score) of scores (image_id, r, c, nb_id, score), lower being better: the mean of the best two, or
+    the best where the second reaches the cap or there is none. Nulls don't count."""
+    two = F.slice(F.array_sort(F.collect_list("score")), 1, 2)
+    rows = scores.filter("score is not null").groupBy("image_id", "r", "c").agg(two.alias("s"))
+    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    return rows.select("image_id", "r", "c", F.when(second < cap, (first + second) / 2).otherwise(first).alias("score"))
+
+
 def normals(depth: DataFrame, cameras: DataFrame, threshold: float = 0.03, least: int = 3) -> DataFrame:
     """Normals by the least-squares depth gradient over similar neighbours."""
     rows = with_neighbors(depth).filter(g.depth_similar(F.col("depth"), F.col("other"), threshold)).withColumn("dd", F.col("other") - F.col("depth"))
@@ -156,6 +215,13 @@ def cross_checked(left: DataFrame, right: DataFrame, tolerance: int = 1) -> Data
     return left.withColumn("c2", F.col("c") + F.col("disp")).join(other, ["image_id", "r", "c2"]).filter(F.abs(F.col("disp") + F.col("other")) <= tolerance).select("image_id", "r", "c", "disp")
 
 
+def flipped(disp: DataFrame, width: int) -> DataFrame:
+    """(image_id, r, c, disp) as the other image has it: each disparity with the other sign at the three columns around
+    its counterpart, inside the image; the one from the last column stands."""
+    at = disp.withColumn("x", F.explode(F.sequence(F.col("c") + F.col("disp") - 1, F.col("c") + F.col("disp") + 1))).filter(F.col("x").between(0, width - 1))
+    return at.groupBy("image_id", "r", F.col("x").alias("c")).agg(F.max_by(-F.col("disp"), "c").alias("disp"))
+
+
 def disparity_range(disp: DataFrame, reach: int = 3) -> DataFrame:
     """Least and greatest disparity in a row's window around each pixel."""
     w = Window.partitionBy("image_id", "r").orderBy("c").rangeBetween(-reach, reach)

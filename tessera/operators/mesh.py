@@ -74,6 +74,42 @@ def area_and_volume(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return with_corners(faces, vertices).agg(F.sum(g.triangle_area(*p)).alias("area"), F.sum(g.signed_volume(*p)).alias("volume"))
 
 
+def centroids(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    return with_corners(faces, vertices).select("f_id", *[((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(c) for c in "xyz"])
+
+
+def edge_scale(faces: DataFrame, vertices: DataFrame, factor: float = 1.0) -> DataFrame:
+    """(sigma): factor times the root of the median squared edge length, each edge once; of two middles the mean. Equal
+    lengths are counted before they meet."""
+    ends = vertices.select("v_id", "x", "y", "z")
+    rows = edges(faces).join(ends.toDF("lo", "ax", "ay", "az"), "lo").join(ends.toDF("hi", "bx", "by", "bz"), "hi")
+    d = g.minus(g.vec("ax", "ay", "az"), g.vec("bx", "by", "bz"))
+    counts = rows.groupBy(g.dot(d, d).alias("d2")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg((factor * F.sqrt(F.percentile("d2", 0.5, F.col("n")))).alias("sigma"))
+
+
+def face_views(pixels: DataFrame) -> DataFrame:
+    """(f_id, image_id, area, quality, red, green, blue) of pixels (f_id, image_id, quality, red, green, blue): how many
+    pixels an image gives a face, their summed quality and mean colour."""
+    return pixels.groupBy("f_id", "image_id").agg(F.count(F.lit(1)).alias("area"), F.sum("quality").alias("quality"), *[F.avg(c).alias(c) for c in ("red", "green", "blue")])
+
+
+def best_views(faces: DataFrame, vertices: DataFrame, views: DataFrame, cameras: DataFrame, most: int, ratio: float = 0.67) -> DataFrame:
+    """(f_id, image_id, score, rank): each face's best `most` of views(f_id, image_id, quality), by ratio times the cosine
+    between its normal and the direction to the camera, and the rest times the share of its best quality. Ties go to the
+    lower image; a face without area counts by quality alone."""
+    p = _points()
+    n = g.cross(g.minus(p[1], p[0]), g.minus(p[2], p[0]))
+    middle = [(a + b + c) / 3 for a, b, c in zip(*p, strict=True)]
+    shape = with_corners(faces, vertices).select("f_id", *[c.alias(f"n{x}") for c, x in zip(n, "xyz", strict=True)], *[c.alias(f"m{x}") for c, x in zip(middle, "xyz", strict=True)])
+    top = views.groupBy("f_id").agg(F.max("quality").alias("top"))
+    rows = views.select("f_id", "image_id", "quality").join(top, "f_id").join(shape, "f_id").join(cameras.select("image_id", "cx", "cy", "cz"), "image_id")
+    cos = F.coalesce(g.cosine(g.minus(g.vec("cx", "cy", "cz"), g.vec("mx", "my", "mz")), g.vec("nx", "ny", "nz")), F.lit(0.0))
+    score = F.round(ratio * cos + (1 - ratio) * F.coalesce(F.try_divide(F.col("quality"), F.col("top")), F.lit(0.0)), 9)
+    rank = F.row_number().over(Window.partitionBy("f_id").orderBy(F.desc("score"), "image_id"))
+    return rows.select("f_id", "image_id", score.alias("score")).withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
 def vertex_normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Area-weighted sums of face normals, of length 1."""
     p = _points()

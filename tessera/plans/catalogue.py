@@ -255,6 +255,36 @@ def point_visibility_filter(s):
     return cloud.visibility_votes(s.point_views(), s.points(), s.cameras())
 
 
+_ROI = "x BETWEEN 20 AND 60 AND y BETWEEN 20 AND 60 AND z BETWEEN 15 AND 50"
+
+
+@query(with_("pv pt", "n AS (SELECT point_id, count(*) AS n FROM pv GROUP BY 1)", f"l AS (SELECT {_ROI} AS inside, coalesce(n, 0) AS n FROM pt LEFT JOIN n USING (point_id))") + "SELECT inside, count(*) AS points, min(n) AS least, max(n) AS most, round(avg(n), 4) AS mean, round(stddev_pop(n), 4) AS std FROM l GROUP BY 1")
+def roi_stats(s):
+    return rounded(cloud.region_statistics(s.points(), s.point_views(), (20.0, 20.0, 15.0), (60.0, 60.0, 50.0)), "mean", "std")
+
+
+@query(with_("pv", "w AS (SELECT point_id, avg(weight) AS w FROM pv GROUP BY 1)") + "SELECT round(min(w), 4) AS least, round(max(w), 4) AS most, round(avg(w), 4) AS mean, round(stddev_pop(w), 4) AS std FROM w")
+def weight_stats(s):
+    return rounded(cloud.weight_statistics(s.point_views()), "least", "most", "mean", "std")
+
+
+_TURNED = "a AS (SELECT cx - x AS dx, cy - y AS dy, cz - z AS dz, (point_id % 3 - 1)::DOUBLE AS nx, (point_id % 5 - 2)::DOUBLE AS ny, -2.0::DOUBLE AS nz FROM pv JOIN pt USING (point_id) JOIN cam USING (image_id)), k AS (SELECT degrees(acos(greatest(-1.0, least(1.0, (dx*nx + dy*ny + dz*nz) / sqrt((dx*dx + dy*dy + dz*dz) * (nx*nx + ny*ny + nz*nz)))))) AS angle FROM a)"
+
+
+@query(with_("pv pt cam", _TURNED) + "SELECT CASE WHEN angle >= 90 THEN 90 WHEN angle >= 60 THEN 60 WHEN angle >= 40 THEN 40 WHEN angle >= 25 THEN 25 WHEN angle >= 10 THEN 10 WHEN angle >= 3 THEN 3 ELSE 0 END AS degrees, count(*) AS views FROM k GROUP BY 1")
+def normal_view_angles(s):
+    turned = s.points().withColumns({"nx": (F.col("point_id") % 3 - 1).cast("double"), "ny": (F.col("point_id") % 5 - 2).cast("double"), "nz": F.lit(-2.0)})
+    return cloud.view_angles(turned, s.point_views(), s.cameras())
+
+
+@query(with_("pt cam") + "SELECT point_id, round((x + 2*y + 2*z - 150) / 3, 4) + 0.0 AS distance, round(x - (x + 2*y + 2*z - 150) / 9, 4) + 0.0 AS x, round(y - 2*(x + 2*y + 2*z - 150) / 9, 4) + 0.0 AS y, round(z - 2*(x + 2*y + 2*z - 150) / 9, 4) + 0.0 AS z, round(150 / (x + 2*y + 2*z), 4) AS along FROM pt")
+def plane_points(s):
+    p, normal, offset = g.vec("x", "y", "z"), [F.lit(1 / 3), F.lit(2 / 3), F.lit(2 / 3)], F.lit(-50.0)
+    foot = g.on_plane(p, normal, offset)
+    rows = s.points().select("point_id", g.plane_distance(p, normal, offset).alias("distance"), *[c.alias(n) for c, n in zip(foot, "xyz", strict=True)], g.ray_plane([F.lit(0.0)] * 3, p, normal, offset).alias("along"))
+    return rounded(rows, "distance", "x", "y", "z", "along")
+
+
 # ---- depth maps
 
 
@@ -295,11 +325,49 @@ def conf_from_depth(s):
     return rounded(depth.confidence(s.depth(), 64, 64), "conf")
 
 
-@query()
+@query(with_("depth cam", _NEAR, "g AS (SELECT image_id, r, c, depth, count(*) AS n, sum(dc*dc)::DOUBLE AS xx, sum(dc*dr)::DOUBLE AS xy, sum(dr*dr)::DOUBLE AS yy, sum((other-depth)*dc) AS gx, sum((other-depth)*dr) AS gy FROM near WHERE abs(depth-other)/depth < 0.5 GROUP BY 1, 2, 3, 4)", "w AS (SELECT *, (gx*yy - gy*xy)/(xx*yy - xy*xy) AS wx, (gy*xx - gx*xy)/(xx*yy - xy*xy) AS wy FROM g WHERE n >= 3 AND xx*yy - xy*xy <> 0)",
+    "raw AS (SELECT image_id, r, c, f*wx AS nx, f*wy AS ny, (px-c)*wx + (py-r)*wy - depth AS nz FROM w JOIN cam USING (image_id))") + "SELECT image_id, r, c, round(nx/sqrt(nx*nx+ny*ny+nz*nz), 4) + 0.0 AS nx, round(ny/sqrt(nx*nx+ny*ny+nz*nz), 4) + 0.0 AS ny, round(nz/sqrt(nx*nx+ny*ny+nz*nz), 4) + 0.0 AS nz FROM raw")
 def depth_normals(s):
     return rounded(depth.normals(s.depth(), s.cameras(), threshold=0.5), "nx", "ny", "nz")
 
 
+_FACING = "nor AS (SELECT image_id, r, c, (r % 5 - 2) / m AS nx, (c % 7 - 3) / m AS ny, -4 / m AS nz FROM (SELECT *, sqrt((r % 5 - 2) * (r % 5 - 2) + (c % 7 - 3) * (c % 7 - 3) + 16.0::DOUBLE) AS m FROM depth))"
+
+
+def _facing(s: Scene) -> DataFrame:
+    """A normal for each valid pixel."""
+    n = [F.col("r") % 5 - 2, F.col("c") % 7 - 3, F.lit(-4.0)]
+    return s.depth().select("image_id", "r", "c", *[(v / g.norm(n)).alias(f"n{x}") for v, x in zip(n, "xyz", strict=True)])
+
+
+@query(with_("depth", _FACING, "met AS (SELECT coalesce(a.image_id, b.image_id) AS image_id, CASE WHEN a.nx IS NOT NULL AND b.nx IS NOT NULL THEN round_even(degrees(acos(greatest(-1.0, least(1.0, a.nx*b.nx + a.ny*b.ny + a.nz*b.nz)))), 6) END AS e FROM nor a FULL JOIN (SELECT image_id, (r + 1) % 64 AS r, c, nx, ny, nz FROM nor) b ON a.image_id = b.image_id AND a.r = b.r AND a.c = b.c)",
+    "zero AS (SELECT image_id, 0.0::DOUBLE AS e FROM (SELECT image_id, 64*64 - count(*) AS n FROM met GROUP BY 1), LATERAL (SELECT unnest(range(n)) AS k))", "every AS (SELECT image_id, e FROM met WHERE e IS NOT NULL UNION ALL SELECT image_id, e FROM zero)") + "SELECT image_id, round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS std, round(list_sort(list(e))[count(*)//2 + 1], 4) AS median FROM every GROUP BY 1")
+def normal_compare(s):
+    n = _facing(s)
+    return rounded(depth.compared_normals(n, n.withColumn("r", (F.col("r") + 1) % 64), (64, 64)), "mean", "std", "median")
+
+
+@query(with_("depth", _FACING, "win AS (SELECT a.image_id, a.r, a.c, b.nx, b.ny, b.nz FROM nor a JOIN nor b ON a.image_id = b.image_id AND b.r BETWEEN a.r-1 AND a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1)", "mean AS (SELECT image_id, r, c, avg(nx) AS mx, avg(ny) AS my, avg(nz) AS mz FROM win GROUP BY 1, 2, 3)") + "SELECT image_id, r, c, round(power(1 - sum(power(acos(greatest(-1.0, least(1.0, mx*nx + my*ny + mz*nz))), 2)) / (count(*) * pi()), 2), 4) AS conf FROM win JOIN mean USING (image_id, r, c) GROUP BY 1, 2, 3")
+def conf_from_normal(s):
+    return rounded(depth.normal_confidence(_facing(s)), "conf")
+
+
+@query(with_("depth", "win AS (SELECT a.image_id, a.r, a.c, sum(b.depth) / 49 AS mean, sum(b.depth * b.depth) / 49 AS q FROM depth a JOIN depth b ON a.image_id = b.image_id AND b.r BETWEEN a.r-3 AND a.r+3 AND b.c BETWEEN a.c-3 AND a.c+3 WHERE a.r BETWEEN 3 AND 60 AND a.c BETWEEN 3 AND 60 GROUP BY 1, 2, 3)") + "SELECT image_id, r, c, round(mean, 4) AS mean, round(greatest(q - mean*mean, 0.0001), 4) AS variance FROM win")
+def window_mean_variance(s):
+    return rounded(depth.window_moments(s.depth(), "depth", 64, 64), "mean", "variance")
+
+
+@query(with_("depth cam") + "SELECT image_id, r, c, round(depth / sqrt(power((c-px)/f, 2) + power((r-py)/f, 2) + 1), 4) AS depth FROM depth JOIN cam USING (image_id)")
+def range_to_depth(s):
+    return rounded(depth.range_to_depth(s.depth().withColumnRenamed("depth", "range"), s.cameras()), "depth")
+
+
+@query("WITH sc AS (SELECT l_suppkey AS image_id, l_partkey % 64 AS r, l_orderkey % 8 AS c, l_extendedprice / 50000 AS score FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY image_id, r, c ORDER BY score) AS k FROM sc) SELECT image_id, r, c, round(CASE WHEN max(score) FILTER (k = 2) < 1.2 THEN avg(score) FILTER (k <= 2) ELSE min(score) END, 4) AS score FROM k GROUP BY 1, 2, 3")
+def score_best_two(s):
+    t = s.table("lineitem").select(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") % 64).alias("r"), (F.col("l_orderkey") % 8).alias("c"), (F.col("l_extendedprice") / 50000).alias("score"))
+    return rounded(depth.best_two(t), "score")
+
+
 _REP = """pts AS (SELECT image_id AS ref_id, r, c, co*(c-px)*depth/f + si*(r-py)*depth/f + cx AS x, co*(r-py)*depth/f - si*(c-px)*depth/f + cy AS y, depth + cz AS z FROM depth JOIN turn USING (image_id)),
 rays AS (SELECT ref_id, r, c, nb_id, f, px, py, co*(x-cx) - si*(y-cy) AS qx, si*(x-cx) + co*(y-cy) AS qy, z - cz AS qz FROM pts JOIN near_of USING (ref_id) JOIN turn ON turn.image_id = nb_id),
 shot AS (SELECT ref_id, r, c, nb_id, floor(py + f*qy/qz + 0.5)::BIGINT AS r2, floor(px + f*qx/qz + 0.5)::BIGINT AS c2, qz FROM rays WHERE qz > 0),
@@ -340,6 +408,11 @@ def disparity_cross_check(s):
     return depth.cross_checked(d, d.withColumn("disp", -F.col("disp")))
 
 
+@query(with_("depth", _DISP) + "SELECT image_id, r, x AS c, arg_max(-disp, c) AS disp FROM disp, LATERAL (SELECT unnest(range(c + disp - 1, c + disp + 2)) AS x) WHERE x BETWEEN 0 AND 63 GROUP BY 1, 2, 3")
+def disparity_flip(s):
+    return depth.flipped(_disp(s), 64)
+
+
 @query(with_("depth", _DISP) + "SELECT image_id, r, c, min(disp) OVER w AS low, max(disp) OVER w AS high FROM disp WINDOW w AS (PARTITION BY image_id, r ORDER BY c RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
 def disparity_ranges(s):
     return depth.disparity_range(_disp(s))
@@ -434,6 +507,32 @@ def mesh_area_volume(s):
     return rounded(mesh.area_and_volume(s.faces(), s.vertices()), "area", "volume")
 
 
+@query(with_("v cell fc", _TRI) + "SELECT f_id, round(ax + (ux + vx)/3, 4) AS x, round(ay + (uy + vy)/3, 4) AS y, round(az + (uz + vz)/3, 4) AS z FROM tri")
+def face_centroids(s):
+    return rounded(mesh.centroids(s.faces(), s.vertices()), "x", "y", "z")
+
+
+@query(with_("v cell fc", _HALF, _EDGE) + "SELECT round(sqrt(median(power(p.x-q.x, 2) + power(p.y-q.y, 2) + power(p.z-q.z, 2))), 4) AS sigma FROM edge JOIN v p ON p.v_id = lo JOIN v q ON q.v_id = hi")
+def edge_scale(s):
+    return rounded(mesh.edge_scale(s.faces(), s.vertices()), "sigma")
+
+
+@query(with_("depth") + "SELECT (r // 8) * 8 + c // 8 AS f_id, image_id, count(*) AS area, round(sum(conf), 4) AS quality, round(avg(r), 4) AS red, round(avg(c), 4) AS green, round(avg(depth), 4) AS blue FROM depth GROUP BY 1, 2")
+def face_view_data(s):
+    cell = (F.floor(F.col("r") / 8) * 8 + F.floor(F.col("c") / 8)).alias("f_id")
+    rows = mesh.face_views(s.depth().select(cell, "image_id", F.col("conf").alias("quality"), F.col("r").alias("red"), F.col("c").alias("green"), F.col("depth").alias("blue")))
+    return rounded(rows, "quality", "red", "green", "blue")
+
+
+_VIEWED = "seen AS (SELECT l_partkey AS f_id, l_suppkey AS image_id, max(l_quantity) AS quality FROM lineitem GROUP BY 1, 2), top AS (SELECT f_id, max(quality) AS top FROM seen GROUP BY 1), dir AS (SELECT nor.f_id, image_id, quality / top AS share, nx, ny, nz, cx - ax - (ux + vx)/3 AS dx, cy - ay - (uy + vy)/3 AS dy, cz - az - (uz + vz)/3 AS dz FROM nor JOIN seen USING (f_id) JOIN top USING (f_id) JOIN cam USING (image_id)), sc AS (SELECT f_id, image_id, round_even(0.67*(dx*nx + dy*ny + dz*nz) / sqrt((dx*dx + dy*dy + dz*dz) * (nx*nx + ny*ny + nz*nz)) + 0.33*share, 9) AS score FROM dir), k AS (SELECT *, row_number() OVER (PARTITION BY f_id ORDER BY score DESC, image_id) AS rank FROM sc)"
+
+
+@query(with_("v cell fc cam", _TRI, _NORMAL, _VIEWED) + "SELECT f_id, image_id, rank, round(score, 4) AS score FROM k WHERE rank <= 3")
+def face_best_views(s):
+    seen = s.table("lineitem").groupBy(F.col("l_partkey").alias("f_id"), F.col("l_suppkey").alias("image_id")).agg(F.max("l_quantity").alias("quality"))
+    return rounded(mesh.best_views(s.faces(), s.vertices(), seen, s.cameras(), 3), "score")
+
+
 @query(with_("v cell fc", _TRI, _NORMAL, "vn AS (SELECT v_id, sum(nx) AS x, sum(ny) AS y, sum(nz) AS z FROM (SELECT a AS v_id, nx, ny, nz FROM nor UNION ALL SELECT b, nx, ny, nz FROM nor UNION ALL SELECT c, nx, ny, nz FROM nor) GROUP BY 1)") + "SELECT v_id, round(x/sqrt(x*x+y*y+z*z), 4) + 0.0 AS nx, round(y/sqrt(x*x+y*y+z*z), 4) + 0.0 AS ny, round(z/sqrt(x*x+y*y+z*z), 4) + 0.0 AS nz FROM vn")
 def vertex_normals(s):
     return rounded(mesh.vertex_normals(s.faces(), s.vertices()), "nx", "ny", "nz")
