@@ -63,23 +63,29 @@ def centre(points: DataFrame, key: str = "point_id", every: int = 5) -> DataFram
     return numbered(points, key).filter(F.col("number") % every == 0).agg(*[F.median(c).alias(c) for c in "xyz"])
 
 
-def numbered(rows: DataFrame, key: str, ranges: int = 64) -> DataFrame:
-    """With number, from 0, in order of the unique numeric key: a row number per range of keys plus the ranges' sizes
-    before it."""
-    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    placed = rows.join(F.broadcast(ends)).withColumn("range", F.floor((F.col(key) - F.col("low")) * ranges / (F.col("high") - F.col("low") + 1)))
-    sizes = placed.groupBy("range").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
-    return placed.withColumn("local", local).join(F.broadcast(sizes.select("range", "before")), "range").withColumn("number", F.col("local") + F.col("before")).drop("local", "before", "range", "low", "high")
+def ranged(rows: DataFrame, *keys: str, weight: Column | None = None) -> DataFrame:
+    """rows with part, their range of the keys, and before, the number (or summed weight) of rows in the ranges before it.
+    There are as many ranges as a shuffle has partitions, and equal keys share one. The rows are checkpointed, so that
+    ranges stay as they are; their sizes, a row per range, are all that one task sees."""
+    dealt = checkpointed(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.sum(F.lit(1) if weight is None else weight).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+
+
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """With number, from 0, in order of the unique keys."""
+    local = F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1
+    return ranged(rows, *keys).withColumn("number", local + F.col("before")).drop("part", "before")
 
 
 def at_rank(rows: DataFrame, column: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
-    """Elements of the sorted column at floor(n * a / b), by name: exact, from how often each value comes, so no task
-    holds all rows."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).count()
-    n = counts.agg(F.sum("count")).collect()[0][0] or 0
-    places = {name: min(n * a // b, n - 1) for name, (a, b) in shares.items()}
-    return counts.withColumn("upto", F.sum("count").over(Window.orderBy(column))).agg(*[F.min(F.when(F.col("upto") > place, F.col(column))).alias(name) for name, place in places.items()]) if n else counts.agg(*[F.min(column).alias(name) for name in shares])
+    """Elements of the sorted column at floor(n * a / b), by name; nulls don't count, and of no rows all are null. Exact,
+    from how often each value comes, range by range, so no task holds all values."""
+    counts = ranged(rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, weight=F.col("n"))
+    n = counts.agg(F.sum("n")).collect()[0][0] or 0
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy(column))
+    return counts.withColumn("upto", upto).agg(*[F.min(F.when(F.col("upto") > min(n * a // b, n - 1), F.col(column))).alias(name) for name, (a, b) in shares.items()])
 
 
 def x84(rows: DataFrame, column: str, factor: float = 5.2) -> DataFrame:

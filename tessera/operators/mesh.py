@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geom as g
+from tessera.operators.cloud import numbered
 
 CORNERS = ("a", "b", "c")
 
@@ -167,8 +168,7 @@ def subdivided(faces: DataFrame, vertices: DataFrame, most_area: float) -> tuple
     big = with_corners(faces, vertices).filter(g.triangle_area(*p) > 2 * most_area).select("f_id")
     cut = half_edges(faces).join(big, "f_id", "left_semi").select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct()
     top = vertices.agg(F.max("v_id")).collect()[0][0] or 0
-    number = F.row_number().over(Window.orderBy("lo", "hi")) + F.lit(top)
-    middle = cut.withColumn("m", number.cast("long"))
+    middle = numbered(cut, "lo", "hi").select("lo", "hi", (F.col("number") + top + 1).cast("long").alias("m"))
     ends = vertices.select(F.col("v_id"), "x", "y", "z")
     placed = middle.join(ends.toDF("lo", "x0", "y0", "z0"), "lo").join(ends.toDF("hi", "x1", "y1", "z1"), "hi")
     new = placed.select(F.col("m").alias("v_id"), *[((F.col(f"{c}0") + F.col(f"{c}1")) / 2).alias(c) for c in "xyz"])
@@ -236,11 +236,13 @@ def seam_vertices(faces: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sampled(faces: DataFrame, vertices: DataFrame, density: float, seed: int = 11) -> DataFrame:
-    """(f_id, x, y, z): points spread evenly over the surface, about density per unit of area."""
+    """(f_id, x, y, z): points spread evenly over the surface, about density per unit of area. What is drawn follows from
+    the seed, the face and the point's number, so a task that runs again draws the same."""
     p = _points()
     area = g.triangle_area(*p) * density
-    rows = with_corners(faces, vertices).withColumn("n", (F.floor(area) + (F.rand(seed) < area - F.floor(area)).cast("int")).cast("int")).filter("n > 0")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumns({"u": F.rand(seed + 1), "w": F.rand(seed + 2)})
+    draw = lambda salt, *of: F.pmod(F.xxhash64(F.lit(seed + salt), *of), F.lit(1 << 53)) / float(1 << 53)
+    rows = with_corners(faces, vertices).withColumn("n", (F.floor(area) + (draw(0, "f_id") < area - F.floor(area)).cast("int")).cast("int")).filter("n > 0")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumns({"u": draw(1, "f_id", "k"), "w": draw(2, "f_id", "k")})
     flip = F.col("u") + F.col("w") > 1
     u, w = F.when(flip, 1 - F.col("u")).otherwise(F.col("u")), F.when(flip, 1 - F.col("w")).otherwise(F.col("w"))
     return rows.select("f_id", *[(F.col(f"a{c}") + u * (F.col(f"b{c}") - F.col(f"a{c}")) + w * (F.col(f"c{c}") - F.col(f"a{c}"))).alias(c) for c in "xyz"])
