@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.archive import read_archives
+
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
 
@@ -101,14 +103,52 @@ def read_ply_faces(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "path string, f_id long, a long, b long, c long")
 
 
+def _ply(head: list[str], spark: SparkSession, *bodies: DataFrame) -> DataFrame:
+    lines = ["ply", "format ascii 1.0", *head, "end_header"]
+    out = spark.createDataFrame([(-len(lines) + k, line) for k, line in enumerate(lines)], "place long, value string")
+    for body in bodies:
+        out = out.unionByName(body)
+    return out
+
+
 def ply_text(points: DataFrame) -> DataFrame:
-    """Lines (place, value) of an ascii PLY of points(point_id, x, y, z): header first. Write them with a text writer in
-    order of place; a part per range of places is one piece of the file."""
-    n = points.count()
-    header = ["ply", "format ascii 1.0", f"element vertex {n}", "property float x", "property float y", "property float z", "end_header"]
-    head = points.sparkSession.createDataFrame([(-len(header) + k, line) for k, line in enumerate(header)], "place long, value string")
-    body = points.select(F.col("point_id").cast("long").alias("place"), F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"]).alias("value"))
-    return head.unionByName(body)
+    """Lines (place, value) of an ascii PLY of points(point_id, x, y, z), with normals (nx, ny, nz), colours (r, g, b) and
+    views, an array of images, where there are such columns; a null counts 0, null views as none. Ids are not below 0."""
+    there = set(points.columns)
+    kinds = [("float", n, n) for n in "xyz"]
+    kinds += [("float", n, n) for n in ("nx", "ny", "nz")] if "nx" in there else []
+    kinds += [("uchar", n, m) for n, m in zip("rgb", ("red", "green", "blue"), strict=True)] if "r" in there else []
+    words = [F.coalesce(F.col(n).cast("string"), F.lit("0")) for _, n, _ in kinds]
+    head = [f"element vertex {points.count()}", *[f"property {kind} {m}" for kind, _, m in kinds]]
+    if "views" in there:
+        views = F.coalesce("views", F.array().cast("array<int>"))
+        words += [F.size(views).cast("string"), F.when(F.size(views) > 0, F.array_join(views.cast("array<string>"), " "))]
+        head.append("property list uint uint view_indices")
+    return _ply(head, points.sparkSession, points.select(F.col("point_id").cast("long").alias("place"), F.concat_ws(" ", *words).alias("value")))
+
+
+def mesh_ply_text(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """Lines (place, value) of an ascii PLY; vertex ids have to count from 0 without gaps."""
+    n, m = vertices.count(), faces.count()
+    v = vertices.select(F.col("v_id").cast("long").alias("place"), F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"]).alias("value"))
+    f = faces.select((F.col("f_id") + n).cast("long").alias("place"), F.concat_ws(" ", F.lit("3"), *[F.col(c).cast("string") for c in "abc"]).alias("value"))
+    head = [f"element vertex {n}", *[f"property float {c}" for c in "xyz"], f"element face {m}", "property list uchar int vertex_indices"]
+    return _ply(head, vertices.sparkSession, v, f)
+
+
+def filesystem(path: str):
+    """The pyarrow file system and the name there of a path or address."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def write_file(lines: DataFrame, path: str) -> None:
+    """Lines (place, value) as one file, for formats that are one: tasks sort, the driver takes a range at a time."""
+    store, name = filesystem(path)
+    with store.open_output_stream(name) as out:
+        for row in lines.orderBy("place").select("value").toLocalIterator():
+            out.write(row[0].encode() + b"\n")
 
 
 def write_lines(lines: DataFrame, path: str, parts: int = 1) -> None:
@@ -122,7 +162,7 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "t"))
     words = lines.select("line", F.split(F.trim("t"), r"\s+").alias("w"))
     v = words.filter(F.get("w", F.lit(0)) == "v").select("line", *[F.get("w", F.lit(k + 1)).cast("double").alias(c) for k, c in enumerate("xyz")])
-    f = words.filter(F.get("w", F.lit(0)) == "f").select("line", F.transform(F.slice("w", 2, 1_000), lambda x: F.split(x, "/")[0].cast("long") - 1).alias("k"))
+    f = words.filter(F.get("w", F.lit(0)) == "f").select("line", F.transform(F.expr("slice(w, 2, size(w))"), lambda x: F.split(x, "/")[0].cast("long") - 1).alias("k"))
     from pyspark.sql import Window
 
     order = Window.orderBy("line")
@@ -248,12 +288,12 @@ def read_json_cameras(spark: SparkSession, path: str) -> DataFrame:
     return frame.select(F.col("frame.file_path").alias("name"), F.col("fl_x").cast("double").alias("f"), F.col("cx").cast("double").alias("px"), F.col("cy").cast("double").alias("py"), F.col("w").cast("int").alias("width"), F.col("h").cast("int").alias("height"), F.array(*r).alias("R"), *[m(k, 3).alias(n) for k, n in enumerate(("cx", "cy", "cz"))])
 
 
-READERS = {"ply": read_ply_points, "dmap": read_depth_maps, "obj": read_obj}
+READERS = {"ply": read_ply_points, "dmap": read_depth_maps, "obj": read_obj, "mvs": read_archives}
 
 
 def load(spark: SparkSession, path: str):
-    """By the path's extension: a PLY's points, depth maps' pixels, an OBJ's vertices and faces, or a folder of Parquet
-    tables by name."""
+    """By the path's extension: a PLY's points, depth maps' pixels, an OBJ's vertices and faces, scene archives' tables,
+    or a folder of Parquet tables by name."""
     found = re.search(r"\.(\w+)$", path.rstrip("*"))
     if found and found[1].lower() in READERS:
         return READERS[found[1].lower()](spark, path)
