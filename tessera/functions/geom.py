@@ -75,6 +75,11 @@ def back_project(u: Column, v: Column, depth: Column, f: Column, px: Column, py:
     return [a + b for a, b in zip(q, centre, strict=True)]
 
 
+def ray(u: Column, v: Column, f: Column, px: Column, py: Column, r: Sequence | None = None) -> list[Column]:
+    """Direction in the world from a camera through its pixel, 1 along its axis."""
+    return back_project(u, v, F.lit(1.0), f, px, py, [F.lit(0.0)] * 3, r)
+
+
 def to_pixel(x: Column) -> Column:
     """Rounding to integers as pixels need it: floor(x + 0.5)."""
     return F.floor(x + 0.5)
@@ -143,6 +148,18 @@ def in_box(p: Vec, low: Sequence, high: Sequence) -> Column:
     return tests[0] & tests[1] & tests[2]
 
 
+def boxes_meet(low: Vec, high: Vec, low_2: Vec, high_2: Vec) -> Column:
+    """Of two boxes; the second's upper faces don't belong to it."""
+    tests = [(b >= c) & (a < d) for a, b, c, d in zip(low, high, low_2, high_2, strict=True)]
+    return tests[0] & tests[1] & tests[2]
+
+
+def enlarged(low: Vec, high: Vec, factor: float = 1.0, by: float = 0.0) -> tuple[list[Column], list[Column]]:
+    """A box whose size is factor times as much and then `by` more on every side, about the same middle."""
+    out = [((a + b) / 2, (b - a) * factor / 2 + by) for a, b in zip(low, high, strict=True)]
+    return [m - h for m, h in out], [m + h for m, h in out]
+
+
 def in_oriented_box(p: Vec, r: Sequence[float], centre: Sequence[float], half: Sequence[float]) -> Column:
     q = rotate(r, [x - F.lit(c) for x, c in zip(p, centre, strict=True)])
     return (F.abs(q[0]) <= half[0]) & (F.abs(q[1]) <= half[1]) & (F.abs(q[2]) <= half[2])
@@ -177,6 +194,17 @@ def from_angles(a: Column, b: Column) -> list[Column]:
     return [F.cos(a) * F.sin(b), F.sin(a) * F.sin(b), F.cos(b)]
 
 
+def texture_share(x: Column, y: Column, width: Column, height: Column, flip: bool = True) -> tuple[Column, Column]:
+    """Texture coordinates from pixels of a texture, whose integers are pixel centres; with flip from the lower edge."""
+    v = (y + 0.5) / height
+    return (x + 0.5) / width, 1 - v if flip else v
+
+
+def texture_pixel(u: Column, v: Column, width: Column, height: Column, flip: bool = True) -> tuple[Column, Column]:
+    """Back from texture_share."""
+    return u * width - 0.5, (1 - v if flip else v) * height - 0.5
+
+
 def luma(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """RGB to Y, Cb, Cr (BT.601 weights, centred chroma)."""
     y = 0.299 * r + 0.587 * g + 0.114 * b

@@ -129,6 +129,11 @@ def covariance(points: DataFrame) -> DataFrame:
     return points.agg(*[F.covar_samp(a, b).alias(f"c_{a}{b}") for a, b in pairs])
 
 
+def geometric_mean(rows: DataFrame, column: str) -> DataFrame:
+    """(mean): of positive values; others and nulls don't count."""
+    return rows.agg(F.exp(F.avg(F.when(F.col(column) > 0, F.log(F.col(column).cast("double"))))).alias("mean"))
+
+
 def label_votes(votes: DataFrame, least: int = 2) -> DataFrame:
     """The most frequent label of a point that has it least times; ties go to the smaller label."""
     n = votes.groupBy("point_id", "label").agg(F.count(F.lit(1)).alias("n"))

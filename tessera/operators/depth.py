@@ -126,6 +126,14 @@ def window_moments(image: DataFrame, value: str, height: int, width: int, half:
     return both.filter(F.col("own") & F.col("r").between(half, height - half - 1) & F.col("c").between(half, width - half - 1)).select("image_id", "r", "c", mean.alias("mean"), F.greatest(F.col("q") / n - mean * mean, F.lit(least)).alias("variance"))
 
 
+def zigzag(pixels: DataFrame, height: int, stride: int = 16) -> DataFrame:
+    """(image_id, r, c, place): pixels of an image numbered from 0 in strips of `stride` rows, the last one with the rows
+    that don't fill one; in a strip along its diagonals, each from its upper right end. One image is numbered at once."""
+    strip = F.least(F.floor(F.col("r") / stride), F.lit(max(height // stride, 1) - 1))
+    order = Window.partitionBy("image_id").orderBy(strip, F.col("r") + F.col("c"), "r")
+    return pixels.select("image_id", "r", "c", (F.row_number().over(order) - 1).alias("place"))
+
+
 def best_two(scores: DataFrame, cap: float = 1.2) -> DataFrame:
     """(image_id, r, c, score) of scores (image_id, r, c, nb_id, score), lower being better: the mean of the best two, or
     the best where the second reaches the cap or there is none. Nulls don't count."""

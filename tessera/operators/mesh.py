@@ -210,6 +210,18 @@ def without_vertices(faces: DataFrame, removed: DataFrame) -> DataFrame:
     return faces.join(gone, "f_id", "left_anti")
 
 
+def inside_box(vertices: DataFrame, faces: DataFrame, low: tuple, high: tuple) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of the faces all of whose corners are in the closed box; vertices are numbered anew from 0, faces
+    keep their ids."""
+    out = vertices.filter(~g.in_box(g.vec("x", "y", "z"), [F.lit(v) for v in low], [F.lit(v) for v in high]))
+    kept = without_vertices(faces, out)
+    used = numbered(vertices.join(corners(kept).select("v_id").distinct(), "v_id", "left_semi"), "v_id")
+    ids = used.select("v_id", F.col("number").cast("long").alias("new_id"))
+    at = kept.select("f_id", F.posexplode(F.array(*CORNERS)).alias("k", "v_id")).join(ids, "v_id")
+    moved = at.groupBy("f_id").agg(*[F.max(F.when(F.col("k") == k, F.col("new_id"))).alias(n) for k, n in enumerate(CORNERS)])
+    return used.select(F.col("number").cast("long").alias("v_id"), "x", "y", "z"), moved
+
+
 def joined(v1: DataFrame, f1: DataFrame, v2: DataFrame, f2: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both meshes as one; the second's ids are shifted behind the first's."""
     v = (v1.agg(F.max("v_id")).collect()[0][0] or 0) + 1

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geom as g
+from tessera.operators.cloud import ranged
 
 
 def transformed(points: DataFrame, scale: float, rotation: tuple, shift: tuple) -> DataFrame:
@@ -44,10 +45,10 @@ def region_of_interest(points: DataFrame, cameras: DataFrame) -> DataFrame:
 
 
 def split_by_cells(points: DataFrame, size: float, most: int) -> DataFrame:
-    """(gx, gy, n, chunk): grid cells in row order, cut into chunks of about `most` points. Cells, not points, are what
-    the running sum sees."""
+    """(gx, gy, n, chunk): grid cells in row order, cut into chunks of about `most` points; cells are summed range by range."""
     cells = points.groupBy(F.floor(F.col("x") / size).alias("gx"), F.floor(F.col("y") / size).alias("gy")).agg(F.count(F.lit(1)).alias("n"))
-    return cells.withColumn("upto", F.sum("n").over(Window.orderBy("gy", "gx"))).select("gx", "gy", "n", F.floor((F.col("upto") - F.col("n")) / most).alias("chunk"))
+    before = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("gy", "gx")) - F.col("n")
+    return ranged(cells, "gy", "gx", weight=F.col("n")).select("gx", "gy", "n", F.floor(before / most).alias("chunk"))
 
 
 def similarity(a: DataFrame, b: DataFrame) -> DataFrame:

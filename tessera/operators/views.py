@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geom as g
+from tessera.operators.cloud import numbered
 
 
 def covisible_pairs(point_views: DataFrame) -> DataFrame:
@@ -96,6 +97,18 @@ def sub_scene(point_views: DataFrame, images: DataFrame, least_views: int = 2) -
     return rows.join(enough, "point_id", "left_semi")
 
 
+def dense_ids(images: DataFrame) -> DataFrame:
+    """(image_id, new_id): the distinct ids in order, from 0."""
+    return numbered(images.select("image_id").distinct(), "image_id").select("image_id", F.col("number").alias("new_id"))
+
+
+def renamed_scores(scores: DataFrame, ids: DataFrame) -> DataFrame:
+    """Scores between images that are in ids(image_id, new_id), under their new ids."""
+    to = lambda n: ids.select(F.col("image_id").alias(n), F.col("new_id").alias(f"new_{n}"))
+    met = scores.join(to("ref_id"), "ref_id").join(to("nb_id"), "nb_id").drop("ref_id", "nb_id")
+    return met.withColumnsRenamed({"new_ref_id": "ref_id", "new_nb_id": "nb_id"})
+
+
 def crop_to_box(points: DataFrame, point_views: DataFrame, low: tuple, high: tuple, least_points: int = 3) -> DataFrame:
     """(image_id, points): images that see at least least_points of the points in the box."""
     inside = points.filter(g.in_box(g.vec("x", "y", "z"), [F.lit(v) for v in low], [F.lit(v) for v in high])).select("point_id")

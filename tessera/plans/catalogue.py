@@ -285,6 +285,35 @@ def plane_points(s):
     return rounded(rows, "distance", "x", "y", "z", "along")
 
 
+@query(with_("pt") + "SELECT point_id, 0.0 + z AS height FROM pt WHERE z BETWEEN 12 AND 50 AND z*z > 0.64 * ((x-50)*(x-50) + (y-40)*(y-40) + z*z)")
+def cone_points(s):
+    at = g.in_cone(g.vec("x", "y", "z"), [F.lit(50.0), F.lit(40.0), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)], F.lit(0.8), F.lit(12.0), F.lit(50.0))
+    return s.points().filter(at).select("point_id", F.col("z").alias("height"))
+
+
+@query(with_("pt") + "SELECT point_id FROM pt WHERE abs(-(y-40)) <= 10 AND abs(x-50) <= 20 AND abs(z-30) <= 15")
+def oriented_box_points(s):
+    return s.points().filter(g.in_oriented_box(g.vec("x", "y", "z"), _SIM[1], (50.0, 40.0, 30.0), (10.0, 20.0, 15.0))).select("point_id")
+
+
+@query(with_("pt") + "SELECT point_id FROM pt WHERE x+5 >= 15 AND x-5 < 65 AND y+5 >= 15 AND y-5 < 65 AND z+5 >= 10 AND z-5 < 60")
+def boxes_that_meet(s):
+    p = g.vec("x", "y", "z")
+    low, high = g.enlarged([F.lit(v) for v in (30.0, 30.0, 25.0)], [F.lit(v) for v in (50.0, 50.0, 45.0)], 2.0, 5.0)
+    return s.points().filter(g.boxes_meet(*g.enlarged(p, p, 1.0, 5.0), low, high)).select("point_id")
+
+
+@query("SELECT round(exp(avg(ln(o_totalprice::DOUBLE))), 4) AS mean FROM orders WHERE o_totalprice > 0")
+def geometric_mean(s):
+    return rounded(cloud.geometric_mean(s.table("orders"), "o_totalprice"), "mean")
+
+
+@query(with_("pv pt turn", _SEEN, "ids AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS new_id FROM cam_of)").replace("WITH ", "WITH cam_of AS (SELECT s_suppkey AS image_id FROM supplier WHERE s_suppkey % 3 <> 1), ", 1) + "SELECT a.new_id AS ref_id, b.new_id AS nb_id, points, round(score, 4) AS score FROM scores JOIN ids a ON a.image_id = ref_id JOIN ids b ON b.image_id = nb_id")
+def subscene_scores(s):
+    ids = views.dense_ids(s.cameras().filter("image_id % 3 <> 1"))
+    return rounded(views.renamed_scores(_scores(s), ids).select("ref_id", "nb_id", "points", "score"), "score")
+
+
 # ---- depth maps
 
 
@@ -357,6 +386,26 @@ def window_mean_variance(s):
     return rounded(depth.window_moments(s.depth(), "depth", 64, 64), "mean", "variance")
 
 
+@query(with_("depth") + "SELECT image_id, r, c, row_number() OVER (PARTITION BY image_id ORDER BY least(r // 24, 1), r + c, r) - 1 AS place FROM depth")
+def zigzag_order(s):
+    return depth.zigzag(s.depth(), 64, 24)
+
+
+@query(with_("depth turn") + "SELECT image_id, r, c, round((co*(c-px) + si*(r-py))/f, 4) + 0.0 AS x, round((co*(r-py) - si*(c-px))/f, 4) + 0.0 AS y, 1.0::DOUBLE AS z FROM depth JOIN turn USING (image_id)")
+def pixel_rays(s):
+    cameras = g.posed(s.turned_cameras())
+    d = g.ray(F.col("c"), F.col("r"), F.col("f"), F.col("px"), F.col("py"), g.rotation(cameras.columns))
+    return rounded(s.depth().select("image_id", "r", "c").join(cameras, "image_id").select("image_id", "r", "c", *[x.alias(n) for x, n in zip(d, "xyz", strict=True)]), "x", "y", "z")
+
+
+@query(with_("depth") + "SELECT image_id, r, c, round((c + 0.5) / 64, 4) AS u, round(1 - (r + 0.5) / 64, 4) AS v, c::DOUBLE AS x, r::DOUBLE AS y FROM depth")
+def texture_coordinates(s):
+    u, v = g.texture_share(F.col("c"), F.col("r"), F.lit(64), F.lit(64))
+    rows = s.depth().select("image_id", "r", "c", u.alias("u"), v.alias("v"))
+    x, y = g.texture_pixel(F.col("u"), F.col("v"), F.lit(64), F.lit(64))
+    return rounded(rows.withColumns({"x": x, "y": y}), "u", "v", "x", "y")
+
+
 @query(with_("depth cam") + "SELECT image_id, r, c, round(depth / sqrt(power((c-px)/f, 2) + power((r-py)/f, 2) + 1), 4) AS depth FROM depth JOIN cam USING (image_id)")
 def range_to_depth(s):
     return rounded(depth.range_to_depth(s.depth().withColumnRenamed("depth", "range"), s.cameras()), "depth")
@@ -578,6 +627,14 @@ def degenerate_faces(s):
     return mesh.degenerate_faces(s.faces(), s.vertices(), 0.75)
 
 
+_BOXED = "outside AS (SELECT v_id FROM v WHERE NOT (x BETWEEN 2 AND 15 AND y BETWEEN 1 AND 60 AND z BETWEEN 3 AND 50)), kept AS (SELECT * FROM fc WHERE a NOT IN (FROM outside) AND b NOT IN (FROM outside) AND c NOT IN (FROM outside)), ids AS (SELECT v_id, row_number() OVER (ORDER BY v_id) - 1 AS new_id FROM (SELECT a AS v_id FROM kept UNION SELECT b FROM kept UNION SELECT c FROM kept))"
+
+
+@query(with_("v cell fc", _BOXED) + "SELECT f_id, p.new_id AS a, q.new_id AS b, w.new_id AS c FROM kept JOIN ids p ON p.v_id = a JOIN ids q ON q.v_id = b JOIN ids w ON w.v_id = c")
+def faces_in_box(s):
+    return mesh.inside_box(s.vertices(), s.faces(), (2.0, 1.0, 3.0), (15.0, 60.0, 50.0))[1]
+
+
 @query(with_("cell fc") + "SELECT f_id, a, b, c FROM fc UNION ALL SELECT f_id + (SELECT max(f_id) + 1 FROM fc), a + (SELECT max(p_partkey) + 1 FROM part), b + (SELECT max(p_partkey) + 1 FROM part), c + (SELECT max(p_partkey) + 1 FROM part) FROM fc")
 def join_meshes(s):
     return mesh.joined(s.vertices(), s.faces(), s.vertices(), s.faces())[1]

@@ -6,7 +6,6 @@ the driver, which takes the points as bytes that tasks have made, a batch at a t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -228,7 +227,7 @@ def write_archive(tables: dict[str, DataFrame], path: str, version: int = LATEST
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (vertices, normals, colours)], ["vertices", "normals", "colours"])
 
     packed = points.mapInArrow(pack, "vertices binary, normals binary, colours binary")
-    empty = {"lines": [], "line_normals": [], "line_colours": [], "transform": np.eye(4).ravel(), "obb": [1, 0, 0, 0, 1, 0, 0, 0, 1, *[math.inf] * 3, *[-math.inf] * 3]}
+    empty = {"lines": [], "line_normals": [], "line_colours": [], "transform": np.eye(4).ravel(), "obb": [*np.eye(3).ravel(), *[0.0] * 6]}
     store, name = filesystem(path)
     with store.open_output_stream(name) as out:
         out.write(_start(version) + _bytes(_HEAD, head, version) + found[0].to_bytes(8, "little"))
