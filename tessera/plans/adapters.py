@@ -54,6 +54,13 @@ class Scene:
         both = F.array(F.struct((F.col("v_id") * 2).alias("f_id"), *[c.alias(n) for c, n in zip(one, "abc", strict=True)]), F.struct((F.col("v_id") * 2 + 1).alias("f_id"), *[c.alias(n) for c, n in zip(two, "abc", strict=True)]))
         return corner.select(F.inline(both))
 
+    def pictures(self) -> DataFrame:
+        """image_id, r, c and a grey colour: 32 vectors to a picture, a row of pixels each."""
+        k = F.col("vec_id")
+        rows = self.table("embeddings").select(F.floor(k / 32).cast("long").alias("image_id"), (k % 32).cast("int").alias("r"), F.posexplode("embedding").alias("c", "e"))
+        grey = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(128 + 300 * F.col("e")).cast("double")))
+        return rows.select("image_id", "r", "c", *[grey.alias(x) for x in ("red", "green", "blue")])
+
     def cloud(self) -> DataFrame:
         e = lambda k: F.get("embedding", F.lit(k)).cast("double")
         return self.table("embeddings").select("vec_id", e(0).alias("x"), e(1).alias("y"), e(2).alias("z"), "label")

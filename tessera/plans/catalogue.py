@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geom as g
-from tessera.operators import cloud, depth, iterate, mesh, scene, views
+from tessera.operators import cloud, depth, iterate, mesh, scene, stereo, views
 from tessera.plans.adapters import SQL, Scene, with_
 
 QUERIES: dict[str, Callable[[Scene], DataFrame]] = {}
@@ -96,6 +96,11 @@ def neighbor_filter(s):
     return rounded(views.filter_neighbors(_scores(s)), "angle", "scale", "area", "score")
 
 
+@query(with_("pv pt turn", _SEEN) + "SELECT ref_id, nb_id, round(area, 4) AS area FROM sums WHERE points >= 3 AND area > 0")
+def covered_area(s):
+    return rounded(_scores(s).select("ref_id", "nb_id", "area"), "area")
+
+
 @query(with_("pv") + "SELECT a.image_id AS ref_id, b.image_id AS nb_id, count(*) AS points FROM pv a JOIN pv b ON a.point_id = b.point_id AND a.image_id <> b.image_id GROUP BY 1, 2")
 def covisible_pairs(s):
     return views.covisible_pairs(s.point_views())
@@ -487,6 +492,14 @@ def dense_fuse(s):
     return rounded(depth.fused(s.depth(), s.cameras(), _neighbor_pairs(s), 0.2), "x", "y", "z")
 
 
+@query()
+def sgm_disparity(s):
+    """The pictures, and each beside itself two columns further."""
+    pixels = s.pictures()
+    moved = pixels.withColumns({"image_id": -1 - F.col("image_id"), "c": F.col("c") + 2})
+    return stereo.matched(pixels.unionByName(moved), pixels.select(F.col("image_id").alias("ref_id"), (-1 - F.col("image_id")).alias("nb_id")).distinct(), -4, 5)
+
+
 @query()
 def speckle_pixels(s):
     return depth.speckles(s.depth(), 0.3, 5)
@@ -710,6 +723,13 @@ def ground_plane(s):
     return scene.plane(s.points().withColumn("z", 0.5 * F.col("x") + 0.25 * F.col("y") + 3.0))
 
 
+@query()
+def ransac_plane(s):
+    """Every fourth point lies off the plane."""
+    off = F.when(F.col("point_id") % 4 == 0, F.col("point_id") % 31 + 5.0).otherwise(0.0)
+    return scene.robust_plane(s.points().withColumn("z", 0.5 * F.col("x") + 0.25 * F.col("y") + 3.0 + off), 0.01)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, folder, f=f: f(Scene(spark, folder))) for name, f in QUERIES.items()}
 
