@@ -482,7 +482,13 @@ def disparity_depth(s):
     return rounded(depth.disparity_to_depth(_disp(s), 500.0, 0.1), "depth")
 
 
-@query()
+@query(with_("depth", "seq AS (SELECT r, c, depth, row_number() OVER (PARTITION BY r, c ORDER BY image_id) AS k, count(*) OVER (PARTITION BY r, c) AS last FROM depth)",
+    """fold AS (SELECT r, c, k, last, [depth] AS firsts, [1] AS sizes, [depth] AS totals FROM seq WHERE k = 1
+  UNION ALL SELECT r, c, k, last, CASE WHEN place = 0 THEN list_append(firsts, depth) ELSE firsts END,
+    CASE WHEN place = 0 THEN list_append(sizes, 1) ELSE list_transform(sizes, lambda x, i: x + (i = place)::INT) END,
+    CASE WHEN place = 0 THEN list_append(totals, depth) ELSE list_transform(totals, lambda x, i: CASE WHEN i = place THEN x + depth ELSE x END) END
+  FROM (SELECT s.*, firsts, sizes, totals, coalesce(list_position(list_transform(firsts, lambda x: abs(x - s.depth) / x < 0.2), true), 0) AS place FROM fold JOIN seq s ON s.r = fold.r AND s.c = fold.c AND s.k = fold.k + 1))""",
+    "best AS (SELECT *, list_position(sizes, list_max(sizes)) AS place FROM fold WHERE k = last)").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT r, c, sizes[place] AS n, round(totals[place] / sizes[place], 4) AS depth FROM best WHERE sizes[place] >= 2")
 def interval_cluster(s):
     return rounded(depth.interval_clusters(s.depth().select("r", "c", F.col("image_id").alias("source"), "depth"), 0.2), "depth")
 
@@ -500,7 +506,11 @@ def sgm_disparity(s):
     return stereo.matched(pixels.unionByName(moved), pixels.select(F.col("image_id").alias("ref_id"), (-1 - F.col("image_id")).alias("nb_id")).distinct(), -4, 5)
 
 
-@query()
+# a region of five or more pixels has five within four steps of each
+@query(with_("depth", "px AS (SELECT image_id * 4096 + r * 64 + c AS node, * FROM depth)",
+    "near AS (SELECT x.node AS a, y.node AS b FROM px x JOIN px y ON x.image_id = y.image_id AND abs(x.r - y.r) + abs(x.c - y.c) = 1 WHERE abs(x.depth - y.depth) / x.depth < 0.3)",
+    "link AS (SELECT a, b FROM near UNION SELECT b, a FROM near)", "reach AS (SELECT node AS a, node AS b, 0 AS steps FROM px UNION SELECT reach.a, link.b, steps + 1 FROM reach JOIN link ON link.a = reach.b WHERE steps < 4)",
+    "small AS (SELECT a FROM reach GROUP BY a HAVING count(DISTINCT b) < 5)").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT image_id, r, c FROM px JOIN small ON a = node")
 def speckle_pixels(s):
     return depth.speckles(s.depth(), 0.3, 5)
 
@@ -617,7 +627,15 @@ def laplacian2(s):
     return rounded(mesh.laplacian_2(mesh.laplacian(s.vertices(), s.faces()), s.faces()), "x", "y", "z")
 
 
-@query()
+@query(with_("v cell fc", _HALF, "sides AS (SELECT f_id, x2 - x1 AS ux, y2 - y1 AS uy, z2 - z1 AS uz, x3 - x1 AS wx, y3 - y1 AS wy, z3 - z1 AS wz FROM fc JOIN (SELECT v_id AS a, x AS x1, y AS y1, z AS z1 FROM v) USING (a) JOIN (SELECT v_id AS b, x AS x2, y AS y2, z AS z2 FROM v) USING (b) JOIN (SELECT v_id AS c, x AS x3, y AS y3, z AS z3 FROM v) USING (c))",
+    "big AS (SELECT f_id FROM sides WHERE sqrt(power(uy*wz - uz*wy, 2) + power(uz*wx - ux*wz, 2) + power(ux*wy - uy*wx, 2)) / 2 > 10)",
+    "cut AS (SELECT DISTINCT least(src, dst) AS lo, greatest(src, dst) AS hi FROM he JOIN big USING (f_id))",
+    "mid AS (SELECT lo, hi, row_number() OVER (ORDER BY lo, hi) + (SELECT max(v_id) FROM v) AS m FROM cut)",
+    "split AS (SELECT fc.*, p.m AS ab, q.m AS bc, t.m AS ca FROM fc LEFT JOIN mid p ON p.lo = least(a, b) AND p.hi = greatest(a, b) LEFT JOIN mid q ON q.lo = least(b, c) AND q.hi = greatest(b, c) LEFT JOIN mid t ON t.lo = least(c, a) AND t.hi = greatest(c, a))",
+    """parts AS (SELECT f_id, CASE WHEN ab + bc + ca IS NOT NULL THEN [[a, ab, ca], [ab, b, bc], [ca, bc, c], [ab, bc, ca]]
+  WHEN ab + bc IS NOT NULL THEN [[ab, b, bc], [a, ab, bc], [a, bc, c]] WHEN bc + ca IS NOT NULL THEN [[bc, c, ca], [b, bc, ca], [b, ca, a]] WHEN ca + ab IS NOT NULL THEN [[ca, a, ab], [c, ca, ab], [c, ab, b]]
+  WHEN ab IS NOT NULL THEN [[a, ab, c], [ab, b, c]] WHEN bc IS NOT NULL THEN [[b, bc, a], [bc, c, a]] WHEN ca IS NOT NULL THEN [[c, ca, b], [ca, a, b]] ELSE [[a, b, c]] END AS tri FROM split)""",
+    "each AS (SELECT f_id, tri, unnest(range(len(tri))) AS part FROM parts)") + "SELECT f_id, part::INT AS part, tri[part + 1][1] AS a, tri[part + 1][2] AS b, tri[part + 1][3] AS c FROM each")
 def subdivide_faces(s):
     return mesh.subdivided(s.faces(), s.vertices(), 5.0)[1]
 
