@@ -261,11 +261,94 @@ def read_colmap_images(spark: SparkSession, path: str) -> DataFrame:
     with the pose has ten fields, the last a file name; lines of observations hold numbers only."""
     at = lambda k: F.get("w", F.lit(k)).cast("double")
     rows = _records(spark, path).filter((F.size("w") >= 10) & F.get("w", F.lit(9)).try_cast("double").isNull())
-    w, x, y, z = (at(k) for k in range(1, 5))
+    return _posed(rows.select(at(0).cast("int").alias("image_id"), at(8).cast("int").alias("camera_id"), F.get("w", F.lit(9)).alias("name"), F.array(*[at(k) for k in range(1, 8)]).alias("pose")))
+
+
+def _posed(rows: DataFrame) -> DataFrame:
+    """Rows whose pose(quaternion, translation) is given as R and the centre."""
+    w, x, y, z, *t = (F.get("pose", F.lit(k)) for k in range(7))
     r = [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]
-    t = [at(k) for k in range(5, 8)]
     c = [-(r[k] * t[0] + r[3 + k] * t[1] + r[6 + k] * t[2]) for k in range(3)]
-    return rows.select(at(0).cast("int").alias("image_id"), at(8).cast("int").alias("camera_id"), F.get("w", F.lit(9)).alias("name"), F.array(*r).alias("R"), *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cz"), strict=True)])
+    return rows.select("image_id", "camera_id", "name", F.array(*r).alias("R"), *[v.alias(n) for v, n in zip(c, ("cx", "cy", "cz"), strict=True)])
+
+
+#: Camera models by number, and how many parameters each has.
+COLMAP_MODELS = [
+    ("SIMPLE_PINHOLE", 3), ("PINHOLE", 4), ("SIMPLE_RADIAL", 4), ("RADIAL", 5), ("OPENCV", 8), ("OPENCV_FISHEYE", 8),
+    ("FULL_OPENCV", 12), ("FOV", 5), ("SIMPLE_RADIAL_FISHEYE", 4), ("RADIAL_FISHEYE", 5), ("THIN_PRISM_FISHEYE", 12),
+]
+ONE_FOCAL = ("SIMPLE_PINHOLE", "SIMPLE_RADIAL", "RADIAL", "SIMPLE_RADIAL_FISHEYE", "RADIAL_FISHEYE")
+
+
+def pinhole(cameras: DataFrame) -> DataFrame:
+    """Cameras (model, params) with fx, fy, px, py, and `distortion`, the parameters that are left; null for a model that
+    isn't known."""
+    p = lambda k: F.get("params", F.lit(k))
+    one = F.col("model").isin(*ONE_FOCAL)
+    known = F.col("model").isin(*[m for m, _ in COLMAP_MODELS])
+    pick = lambda a, b: F.when(known & one, a).when(known, b)
+    return cameras.select("*", pick(p(0), p(0)).alias("fx"), pick(p(0), p(1)).alias("fy"), pick(p(1), p(2)).alias("px"), pick(p(2), p(3)).alias("py"), pick(F.expr("slice(params, 4, size(params))"), F.expr("slice(params, 5, size(params))")).alias("distortion"))
+
+
+def _binary(spark: SparkSession, path: str, records, schema: str, at_a_time: int = 100_000) -> DataFrame:
+    """The records(content) of each file, in batches of rows."""
+    types = spark.createDataFrame([], schema).toArrow().schema
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(1):
+                held: list[tuple] = []
+                for record in records(content.as_py()):
+                    held.append(record)
+                    if len(held) == at_a_time:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), types, strict=True)], schema=types)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), types, strict=True)], schema=types)
+
+    return _files(spark, path).mapInArrow(run, schema)
+
+
+def _camera_records(data: bytes) -> Iterator[tuple]:
+    at = 8
+    for _ in range(struct.unpack_from("<Q", data)[0]):
+        camera_id, model, width, height = struct.unpack_from("<iiQQ", data, at)
+        name, n = COLMAP_MODELS[model]
+        yield camera_id, name, width, height, list(struct.unpack_from(f"<{n}d", data, at + 24))
+        at += 24 + 8 * n
+
+
+def _image_records(data: bytes) -> Iterator[tuple]:
+    at = 8
+    for _ in range(struct.unpack_from("<Q", data)[0]):
+        image_id, *pose, camera_id = struct.unpack_from("<i7di", data, at)
+        end = data.index(b"\0", at + 64)
+        yield image_id, camera_id, data[at + 64 : end].decode("utf-8", "replace"), pose
+        at = end + 9 + 24 * struct.unpack_from("<Q", data, end + 1)[0]
+
+
+def _point_records(data: bytes) -> Iterator[tuple]:
+    at = 8
+    for _ in range(struct.unpack_from("<Q", data)[0]):
+        point_id, x, y, z, r, g, b, _, n = struct.unpack_from("<Q3d3BdQ", data, at)
+        yield point_id, x, y, z, r, g, b, list(struct.unpack_from(f"<{2 * n}i", data, at + 51)[::2])
+        at += 51 + 8 * n
+
+
+def read_colmap_binary_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """read_colmap_cameras() of a binary file; a file without cameras gives no row."""
+    return _binary(spark, path, _camera_records, "camera_id int, model string, width int, height int, params array<double>")
+
+
+def read_colmap_binary_images(spark: SparkSession, path: str) -> DataFrame:
+    """read_colmap_images() of a binary file."""
+    return _posed(_binary(spark, path, _image_records, "image_id int, camera_id int, name string, pose array<double>"))
+
+
+def read_colmap_binary_points(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """read_colmap_points() of a binary file, which one task reads."""
+    rows = _binary(spark, path, _point_records, "point_id long, x double, y double, z double, r int, g int, b int, seen array<int>")
+    return rows.drop("seen"), rows.select("point_id", F.explode("seen").alias("image_id")).distinct()
 
 
 def read_colmap_points(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

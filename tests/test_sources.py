@@ -62,6 +62,27 @@ def test_text_scenes(spark, tmp_path):
     assert row.R == [1, 0, 0, 0, -1, 0, 0, 0, -1] and (row.cx, row.cy, row.cz) == (4, 5, 6)
 
 
+def test_binary_scenes_say_what_text_says(spark, tmp_path):
+    cameras = [(7, 1, 640, 480, [500.0, 510.0, 320.0, 240.0]), (8, 3, 64, 48, [50.0, 32.0, 24.0, 0.1, 0.2]), (9, 6, 9, 9, [float(k) for k in range(12)])]
+    (tmp_path / "c.bin").write_bytes(struct.pack("<Q", 3) + b"".join(struct.pack(f"<iiQQ{len(p)}d", i, m, w, h, *p) for i, m, w, h, p in cameras))
+    (tmp_path / "c.txt").write_text("7 PINHOLE 640 480 500 510 320 240\n8 RADIAL 64 48 50 32 24 0.1 0.2\n9 FULL_OPENCV 9 9 " + " ".join(map(str, range(12))) + "\n")
+    images = [(1, (1.0, 0, 0, 0, 1, 2, 3), 7, "a b.jpg", 2), (2, (0, 0, 0, 1.0, 1, 2, 3), 8, "", 0)]
+    (tmp_path / "i.bin").write_bytes(struct.pack("<Q", 2) + b"".join(struct.pack("<i7di", i, *p, c) + n.encode() + b"\0" + struct.pack("<Q", k) + struct.pack("<ddq", 1.5, 2.5, 4) * k for i, p, c, n, k in images))
+    points = [(5, (1.0, 2, 3), (10, 20, 30), [1, 0, 2, 5, 1, 9]), (6, (4.0, 5, 6), (0, 0, 255), [])]
+    (tmp_path / "p.bin").write_bytes(struct.pack("<Q", 2) + b"".join(struct.pack(f"<Q3d3BdQ{len(t)}i", i, *x, *c, 0.1, len(t) // 2, *t) for i, x, c, t in points))
+    (tmp_path / "p.txt").write_text("5 1 2 3 10 20 30 0.1 1 0 2 5 1 9\n6 4 5 6 0 0 255 0.1\n")
+    (tmp_path / "none.bin").write_bytes(struct.pack("<Q", 0))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    found = files.read_colmap_binary_cameras(spark, str(tmp_path / "c.bin"))
+    assert rows(found) == rows(files.read_colmap_cameras(spark, str(tmp_path / "c.txt")))
+    assert rows(files.pinhole(found).select("fx", "fy", "px", "py", "distortion")) == sorted([(500.0, 510.0, 320.0, 240.0, []), (50.0, 50.0, 32.0, 24.0, [0.1, 0.2]), (0.0, 1.0, 2.0, 3.0, [float(k) for k in range(4, 12)])], key=str)
+    found = files.read_colmap_binary_images(spark, str(tmp_path / "i.bin")).orderBy("image_id").collect()
+    assert [(r.name, r.camera_id, r.cx, r.cy, r.cz) for r in found] == [("a b.jpg", 7, -1.0, -2.0, -3.0), ("", 8, 1.0, 2.0, -3.0)]
+    for got, want in zip(files.read_colmap_binary_points(spark, str(tmp_path / "p.bin")), files.read_colmap_points(spark, str(tmp_path / "p.txt")), strict=True):
+        assert rows(got) == rows(want)
+    assert files.read_colmap_binary_cameras(spark, str(tmp_path / "none.bin")).count() == 0
+
+
 def test_stream_counts_a_file_once(spark, tmp_path):
     cams = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 10.0, 0.0, 0.0)], "image_id long, cx double, cy double, cz double, f double, px double, py double")
     pixel = lambda r: spark.createDataFrame([(0, r, 0, 2.0, 0.9), (0, r, 1, 2.0, 0.1)], depth_stream.PIXELS)
