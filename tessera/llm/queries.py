@@ -87,10 +87,30 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op5_minhash_near_dedup, op6_sentencepiece, op7_toxicity, op8_warc, op9_lm_scoring, op10_document_fingerprints, op11_source_divergence)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op5_minhash_near_dedup, op6_sentencepiece, op7_toxicity, op8_warc, op9_lm_scoring, op10_document_fingerprints, op11_source_divergence, op12_vector_codes)}
 #: Base32 in SQL: each 10 of the 40 hex digits of SHA-1 are 8 letters.
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT >> {35 - 5 * i}) & 31)::INT, 1)" for k in range(4) for i in range(8))
 
+
+
+def _codebook_rounds(width: int, turns: int) -> str:
+    """CTEs: a<k> assigns each part to its nearest entry of b<k>, b<k + 1> holds the floored means. Parts are `width` long."""
+    square = " + ".join(f"(p.x[{i}] - b.x[{i}]) * (p.x[{i}] - b.x[{i}])" for i in range(1, width + 1))
+    floored = ", ".join(f"((sum(x[{i}]) - ((sum(x[{i}]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT" for i in range(1, width + 1))
+    out = []
+    for k in range(turns + 1):
+        out.append(f"a{k} AS MATERIALIZED (SELECT id, part, x, m.entry AS entry, m.d AS d FROM (SELECT p.id, p.part, any_value(p.x) AS x, min({{'d': {square}, 'entry': b.entry}}) AS m FROM p JOIN b{k} b USING (part) GROUP BY p.id, p.part))")
+        if k < turns:
+            out.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT part, entry, [{floored}] AS x FROM a{k} GROUP BY part, entry) n USING (part, entry))")
+    return ", ".join(out)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -114,4 +134,13 @@ ORACLE_SQL: dict[str, str] = {
         rated AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM rated))
         SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    "op12_vector_codes": f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        p AS MATERIALIZED (SELECT id, vec_id, part, [floor(256 * y::DOUBLE)::BIGINT FOR y IN embedding[4 * part + 1:4 * part + 4]] AS x FROM v, (SELECT unnest(range(16)) AS part)),
+        b0 AS MATERIALIZED (SELECT part, rank - 1 AS entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS rank FROM p) WHERE rank <= 64),
+        {_codebook_rounds(4, 2)},
+        codes AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY id),
+        labelled AS (SELECT vec_id, label, code, error FROM v JOIN codes USING (id)),
+        digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM labelled, digest""",
 }
