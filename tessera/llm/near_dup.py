@@ -161,26 +161,38 @@ def _sets(size: int):
     return of
 
 
-def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, meeting: bool) -> DataFrame:
-    """pairs(a, b) with `linked`, and if `meeting`, a row for each size class of a with n (a's size), most (the greatest
-    size of a set that can be linked with a by what a shares with b), and `buckets`, where a meets the others that were
-    compared with b, those which it can be linked with: one for each of as many of a's elements outside b, in ascending
-    order, as a link needs one of. `inside`: the bucket for those that share with a nothing but elements of b; null if
-    a has too few of them."""
+def least_difference(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
+    """A lower bound of how many elements are in one of two sorted sets only: both are cut at an element of y, and the parts'
+    sizes, or bounds of their own, add up."""
+    if not depth or len(x) < 2 or len(y) < 2:
+        return abs(len(x) - len(y))
+    at = len(y) // 2
+    cut = int(np.searchsorted(x, y[at]))
+    return least_difference(x[:cut], y[:at], depth - 1) + least_difference(x[cut:], y[at:], depth - 1)
+
+
+def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """pairs(a, b, alone) with `linked`, and for those that no others meet (not `alone`), a row for each size class of a
+    with n (a's size), most (the greatest size of a set that can be linked with a by what a shares with b), and `buckets`,
+    where a meets the others that were compared with b, those which it can be linked with: one for each of as many of a's
+    elements outside b, in ascending order, as a link needs one of. `inside`: the bucket for those that share with a
+    nothing but elements of b; null if a has too few of them."""
     left = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    rows = pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
+    rows = pairs.select("a", "b", "alone").join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b", "alone")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         of = _sets(size)
         for batch in batches:
             out: list[tuple] = []
-            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for a, b, text_a, text_b, alone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
                 x, y = of(a, text_a.as_py()), of(b, text_b.as_py())
+                if alone and least_difference(x, y) > len(x) + len(y) - 2 * -(-percent * (len(x) + len(y)) // (100 + percent)):
+                    continue
                 shares = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
                 shared = int(shares.sum())
                 linked = 100 * shared >= percent * (len(x) + len(y) - shared)
-                if not meeting:
+                if alone:
                     out.append((a, b, linked, None, None, None, None, None))
                     continue
                 others, need = x[~shares], -(-percent * len(x) // 100)
@@ -196,13 +208,21 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int, meetin
     return rows.mapInArrow(run, "a long, b long, linked boolean, class int, n long, most long, inside long, buckets array<long>")
 
 
-def led(rows: DataFrame) -> DataFrame:
-    """(a, b): each member a of rows(bucket, node, size) with its bucket's leader b, the member that shares most buckets
-    with others; ties go to the least node."""
+def led(rows: DataFrame, percent: int | None = None) -> DataFrame:
+    """(a, b, alone): each member a of rows(bucket, node, size, n, position) with its bucket's leader b, the member that
+    shares most buckets with others; ties go to the least node. alone: no bucket of both has a third member. With
+    `percent`, positions are those in an order common to all sets, and pairs alone are left out if their sizes, or what
+    can come before and after the element they met by, leave no room for a link."""
     central = rows.groupBy("node").agg(F.sum("size").alias("weight"))
-    ranked = rows.select("bucket", "node").join(central, "node")
-    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("leader"))
-    return ranked.select("bucket", "node").join(leaders, "bucket").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    ranked = rows.join(central, "node")
+    top = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n", "position"))
+    leaders = ranked.groupBy("bucket").agg(top.alias("top")).select("bucket", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.position").alias("leader_position"))
+    met = ranked.drop("weight").join(leaders, "bucket").filter("node <> leader")
+    both, after = F.col("n") + F.col("leader_n"), F.least(F.col("n") - F.col("position"), F.col("leader_n") - F.col("leader_position"))
+    at_least = percent or 0
+    fits = ((100 + at_least) * (F.least("position", "leader_position") + after) >= at_least * both) & (100 * F.least("n", "leader_n") >= at_least * F.greatest("n", "leader_n"))
+    pairs = met.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg((F.max("size") == 2).alias("alone"), F.min((fits if percent else F.lit(True)).cast("int")).alias("fits"))
+    return pairs.filter("not alone or fits = 1").select("a", "b", "alone")
 
 
 def left_over(found: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -228,7 +248,7 @@ def left_over(found: DataFrame, labels: DataFrame, texts: DataFrame, size: int,
     fits = (F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component"))
     fits = fits & (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & F.coalesce((F.col("n") <= F.col("other_most")) & (F.col("other_n") <= F.col("most")), F.lit(True))
     fits = fits & (apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
-    return signed.join(other, "bucket").filter(fits).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), [met, signed]
+    return signed.join(other, "bucket").filter(fits).select(F.col("node").alias("a"), F.col("other_node").alias("b"), F.lit(True).alias("alone")).distinct(), [met, signed]
 
 
 def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -242,36 +262,51 @@ def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-def components(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, component) of the sets of classes(node, buckets) that are linked with others."""
-    rows = classes.select("node", F.explode("buckets").alias("bucket"))
+def components(classes: DataFrame, docs: DataFrame, size: int, percent: int, ordered: bool) -> DataFrame:
+    """(node, component) of the sets of classes(node, n, buckets, doc_id, text_hash) that are linked with others; the text of a
+    set is that of any row of that doc_id and text_hash. ordered: buckets are elements in an order common to all sets."""
+    rows = classes.select("node", "n", F.posexplode("buckets").alias("position", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = written(rows.join(shared, "bucket"), "buckets")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(rows.select("node").distinct(), "node"), "near-texts")
-    found = written(compared(led(rows), texts, size, percent, True), "compared")
+    some = classes.select("node", "doc_id", "text_hash").join(rows.select("node").distinct(), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = written(texts.join(some, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    found = written(compared(led(rows, percent if ordered else None), texts, size, percent), "compared")
     first = relabelled(None, found.filter("linked").select("a", "b").distinct())
     pairs, used = left_over(found, first, texts, size, percent)
-    more = written(compared(pairs, texts, size, percent, False).filter("linked").select("a", "b"), "links")
+    more = written(compared(pairs, texts, size, percent).filter("linked").select("a", "b"), "links")
     labels = relabelled(first, more)
     discard(rows, texts, found, first, more, *used)
     return labels
 
 
+def grouped(all_rows: DataFrame, docs: DataFrame, size: int, percent: int, ordered: bool = False) -> DataFrame:
+    """all_rows(doc_id, n, set_key, buckets, text_hash), a written table, with `component`: the least doc_id of the rows whose
+    sets are linked with the row's. Null for an empty set or a null doc_id. A set is a node of its own, whatever the ids of
+    its rows."""
+    named = all_rows.filter("set_key is not null and doc_id is not null")
+    first = named.groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    rows = named.join(first, "set_key").filter("doc_id = least").dropDuplicates(["set_key"])
+    classes = written(rows.select("set_key", "n", "doc_id", "text_hash", "buckets").withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = components(classes, docs, size, percent, ordered)
+    labels = classes.select("set_key", "doc_id", "node").join(found, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("of"))
+    least = labels.groupBy("of").agg(F.min("doc_id").alias("component"))
+    labels = written(labels.join(least, "of").select("set_key", "component"), "set-labels")
+    discard(classes, found)
+    out = all_rows.select("doc_id", "n", "set_key", "text_hash").join(labels, "set_key", "left")
+    return out.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Groups the rows of docs(doc_id, text) whose sets of `size`-word shingles have a Jaccard similarity of `percent` /
     100 or more, directly or over others.
 
     Returns doc_id, n_shingles, component_id (the least doc_id of the group), kept (doc_id = component_id) and text_hash
-    (xxhash64 of text), a row per input row. A null text counts as empty; an empty set is linked with nothing; rows of one doc_id are one document; a
-    row whose doc_id is null is linked with nothing, has a null component_id and is kept; other columns are not looked
-    at; an empty table gives no row.
+    (xxhash64 of text), a row per input row. A null text counts as empty; an empty set is linked with nothing; a row is
+    grouped by its own text, so rows that share a doc_id but not a text may be in groups of their own; a row whose doc_id
+    is null is linked with nothing, has a null component_id and is kept; other columns are not looked at; an empty table
+    gives no row.
     """
-    all_rows = written(sketched(docs, size, percent), "sketches")
-    named = all_rows.filter("set_key is not null and doc_id is not null")
-    nodes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    classes = written(named.select("doc_id", "set_key", "buckets").join(nodes, "set_key").filter("doc_id = node").dropDuplicates(["set_key"]).select("set_key", "node", "buckets"), "classes")
-    found = components(classes, docs, size, percent)
-    labels = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = all_rows.select("doc_id", "n", "set_key", "text_hash").join(labels, "set_key", "left")
+    found = grouped(written(sketched(docs, size, percent), "sketches"), docs, size, percent)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")

@@ -44,7 +44,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near_dup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("text_hash")
 
 
 def remainder(n: int):
@@ -93,7 +93,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op5_minhash_near_dedup, op6_sentencepiece, op7_toxicity, op8_warc, op9_lm_scoring, op10_document_fingerprints, op11_source_divergence, op12_vector_codes)}
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_counts, op4_quality_rules, op5_minhash_near_dedup, op6_sentencepiece, op7_toxicity, op8_warc, op9_lm_scoring, op10_document_fingerprints, op11_source_divergence, op12_vector_codes, op13_ngram_jaccard_join)}
 #: Base32 in SQL: each 10 of the 40 hex digits of SHA-1 are 8 letters.
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT >> {35 - 5 * i}) & 31)::INT, 1)" for k in range(4) for i in range(8))
 
@@ -111,7 +117,23 @@ def _codebook_rounds(width: int, turns: int) -> str:
     return ", ".join(out)
 
 
+def _groups(size: int, percent: int) -> str:
+    """CTE d: doc_id, n_shingles and component_id of each document, by all pairs that share a shingle; for unique ids."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+        w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {size - 1}], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+        reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+        least_reached AS (SELECT a AS doc_id, min(b) AS b FROM reached GROUP BY a),
+        d AS (SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least_reached USING (doc_id))"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": f"WITH RECURSIVE {_groups(3, 85)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM d",
+    "op13_ngram_jaccard_join": f"WITH RECURSIVE {_groups(5, 80)} SELECT doc_id, n_shingles, component_id FROM d",
     "op8_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         q AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS first FROM p)
