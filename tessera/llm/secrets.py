@@ -188,12 +188,13 @@ def re_quote(text: str) -> str:
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     """(doc_key, kinds): the rules whose query the document's postings satisfy. Posting lists are joined to the clauses
     that name their trigram, a few rows, and a document is in a clause's intersection if it is in as many lists as
-    the clause has."""
+    the clause has. Rows that share a doc_key are in a list once each, so such a document may be a candidate too many,
+    which verifying shows, but never one too few."""
     clauses = [(kind, number, sorted(c)) for kind, q in queries.items() if q is not None for number, c in enumerate(sorted(q, key=sorted))]
     rows = [(t, f"{kind} {number}", kind, len(c)) for kind, number, c in clauses for t in c]
     spark = index.sparkSession
     wanted = spark.createDataFrame(rows, "trigram string, clause string, kind string, size long")
-    hits = index.join(F.broadcast(wanted), "trigram").groupBy("doc_key", "clause", "kind", "size").count().filter("count = size")
+    hits = index.join(F.broadcast(wanted), "trigram").groupBy("doc_key", "clause", "kind", "size").count().filter("count >= size")
     return hits.groupBy("doc_key").agg(F.collect_set("kind").alias("kinds"))
 
 

@@ -110,6 +110,18 @@ def test_one_row_of_an_id_stays(spark):
     assert [r[0] for r in sorted(got, key=str) if r[0] is not None] == [1, 3] and sum(r[0] is None for r in got) == 2
 
 
+def test_no_secret_is_left_where_every_row_comes_twice(spark, rows, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    text = "password = hunter2hunter2x and the " + " ".join(t for _, t in rows if t)[:400] + " AKIA" + "Z" * 18
+    more = docs.filter("doc_id = 1").limit(1).drop("doc_id", "text")
+    for i in ("500", "null"):
+        docs = docs.unionByName(more.selectExpr(f"cast({i} as bigint) as doc_id", f"'{text}' as text", "*"))
+    out = dict(corpus_pipeline.STAGES)["secret scan"](spark, docs.unionByName(docs), folder)
+    found = [r.text for r in out.collect() if r.text]
+    assert sum("[SECRET] and the" in t for t in found) == 4
+    assert not any("hunter2" in t or "AKIA" in t or "token=abcdefgh" in t for t in found)
+
+
 def test_empty_tables(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
