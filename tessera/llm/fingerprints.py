@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of any two texts can be merged
-or intersected, however unequal their lengths. A short text may have no hash there; the least hash of all its shingles,
-which tells such texts apart, is a value beside the sketch and takes no part in merging or comparing. Where the texts
-are at hand, their containment is counted over all shingles and not estimated. All is done with DataFrame functions.
+or intersected, however unequal their lengths. The fraction steps down by halves with the number of shingles, to 1/16 for
+the longest texts: a short text keeps all its hashes, and a sketch says which fraction it holds. Two sketches are
+compared, or merged, in the part of the range that both hold in full, the smaller fraction of the two. All is done with
+DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import let, text_or_empty, words
 
 SHINGLE = 5
-#: One hash in so many is kept.
-SCALE = 16
+#: Texts of up to KEPT distinct shingles keep all hashes, of twice as many one in two, and so on to one in 2^COARSEST.
+KEPT, COARSEST = 256, 4
 
 
 def shingle_hashes(word_array: Column, size: int = SHINGLE) -> Column:
@@ -28,16 +29,26 @@ def shingle_hashes(word_array: Column, size: int = SHINGLE) -> Column:
     return let(F.transform(word_array, lambda w: F.xxhash64(w)), windows)
 
 
-def sketch(hashes: Column, scale: int = SCALE) -> Column:
-    """The distinct hashes in the lowest 1 / scale of the range, sorted."""
-    threshold = F.lit((1 << 63) // scale)
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda x: x < threshold)))
+def level(hashes: Column) -> Column:
+    """How often the fraction is halved for a text of these distinct hashes."""
+    n = F.size(hashes)
+    return sum((F.when(n > KEPT << k, 1).otherwise(0) for k in range(COARSEST)), F.lit(0))
 
 
-def as_text(hashes: Column, scale: int = SCALE) -> Column:
-    """A text to tell documents apart by, 16 hex digits a hash: the sketch, or where that is empty, the least hash."""
-    found = let(sketch(hashes, scale), lambda s: F.when((F.size(s) > 0) | (F.size(hashes) == 0), s).otherwise(F.array(F.array_min(hashes))))
-    return F.array_join(F.transform(found, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+def under(hashes: Column, at: Column) -> Column:
+    """The hashes in the lowest 1 / 2^at of the range."""
+    threshold = F.call_function("shiftright", F.lit((1 << 63) - 1), at)
+    return F.filter(hashes, lambda x: x <= threshold)
+
+
+def sketch(hashes: Column) -> Column:
+    """(level, hashes): of distinct hashes those in the fraction that their number asks for, sorted."""
+    return F.struct(level(hashes).alias("level"), F.array_sort(under(hashes, level(hashes))).alias("hashes"))
+
+
+def as_text(found: Column) -> Column:
+    """A sketch as its level, a colon and 16 hex digits a hash."""
+    return F.concat(found["level"].cast("string"), F.lit(":"), F.array_join(F.transform(found["hashes"], lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ""))
 
 
 def distinct_shingles(text: Column, size: int = SHINGLE) -> Column:
@@ -50,27 +61,32 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
-def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Containment estimated from two sketches of one scale, by the hashes in the range that both hold in full; other
-    hashes among them, such as least ones, don't count. Null where a text with hashes has none there: such a text is too
-    short for its sketch to tell."""
-    low = lambda x: F.filter(x, lambda h: h < F.lit((1 << 63) // scale))
-    texts, samples = F.least(F.size(a), F.size(b)), F.least(F.size(low(a)), F.size(low(b)))
-    return F.when((texts > 0) & (samples == 0), F.lit(None).cast("double")).when(texts == 0, containment(a, b)).otherwise(containment(low(a), low(b)))
+def common(a: Column, b: Column) -> tuple[Column, Column]:
+    """The hashes of two sketches in the part of the range that both hold in full."""
+    coarser = F.greatest(a["level"], b["level"])
+    return under(a["hashes"], coarser), under(b["hashes"], coarser)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The containment of the text with fewer shingles in the other, estimated from two sketches: 0 to 1. Exact where both
+    hold all hashes; 0 where one has no hash in the part that both hold, unless neither text has any at all."""
+    x, y = common(a, b)
+    return containment(x, y) * F.when((F.size(x) == 0) & (F.size(y) == 0) & (F.size(a["hashes"]) + F.size(b["hashes"]) > 0), 0.0).otherwise(1.0)
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """doc_id, fingerprint (array of hashes) and least_hash (null without words) of each row of docs(doc_id, text); a null
-    text counts as empty."""
-    base = docs.select(F.col("doc_id"), shingle_hashes(words(text_or_empty()), size).alias("hashes"))
-    return base.select("doc_id", sketch(F.col("hashes"), scale).alias("fingerprint"), F.array_min("hashes").alias("least_hash"))
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id and fingerprint (a sketch: level, hashes) of each row of docs(doc_id, text); a null text counts as empty."""
+    return docs.select("doc_id", distinct_shingles(text_or_empty(), size).alias("all")).select("doc_id", sketch(F.col("all")).alias("fingerprint"))
 
 
 def merged(parts: DataFrame, key: str) -> DataFrame:
-    """(key, fingerprint) from the sketches of its parts, all of one scale: the sketch of all their shingles together. A
-    key whose parts have no hash has an empty one. Hashes are made distinct before they meet."""
-    rows = parts.select(key, F.explode_outer("fingerprint").alias("hash")).distinct()
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list("hash")).alias("fingerprint"))
+    """(key, fingerprint) from the sketches of its parts: all their hashes in the smallest fraction of a part, which is the
+    sketch at that fraction of their shingles together. Hashes are made distinct before they meet."""
+    coarsest = parts.groupBy(key).agg(F.max("fingerprint.level").alias("level"))
+    rows = parts.select(key, F.explode_outer("fingerprint.hashes").alias("hash")).distinct()
+    met = rows.groupBy(key).agg(F.array_sort(F.collect_list("hash")).alias("hashes")).withColumnRenamed(key, "of")
+    found = coarsest.join(met, coarsest[key].eqNullSafe(met["of"]))
+    return found.select(key, F.struct("level", under(F.col("hashes"), F.col("level")).alias("hashes")).alias("fingerprint"))
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
@@ -107,22 +123,24 @@ def with_next(docs: DataFrame, *carried: str, per_range: int = 2000) -> DataFram
     return both.withColumns({f"next_{c}": F.lead(c).over(by) for c in carried}).filter(~F.col("again")).drop("place", "again")
 
 
-def edited_fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Fingerprints each row of docs(doc_id, text) and its edit, whose second half comes from the next document.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row per input
-    row; near_* are containments over all distinct shingles, as a sketch says nothing of a text too short for it. A
-    null text counts as empty, which has an empty fingerprint; of fewer than `size` words the sequence of all is the one
-    shingle; repeated rows follow one another; other columns are not looked at; an empty table gives no row.
+    row; near_* are containments estimated from the sketches (see likeness). A null text counts as empty, which has an
+    empty fingerprint; of fewer than `size` words the sequence of all is the one shingle; repeated rows follow one
+    another; other columns are not looked at; an empty table gives no row.
     """
     base = docs.select("doc_id", text_or_empty().alias("text"))
     met = with_next(base, "text").withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("next_text", F.lit(1), half))
+    texts = {"own": F.col("text"), "changed": F.col("edited"), "after": F.col("next_text")}
     done = met.withColumn("edited", edited)
     # columns of their own, not one lambda: Catalyst compiles sets of hashes only outside lambdas, and they box else
-    done = done.withColumns({"shingles": distinct_shingles(F.col("text"), size), "edited_shingles": distinct_shingles(F.col("edited"), size), "next_shingles": distinct_shingles(F.col("next_text"), size)})
+    done = done.withColumns({c: distinct_shingles(t, size) for c, t in texts.items()})
+    done = done.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *[sketch(F.col(c)).alias(c) for c in texts])
     return done.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("shingles"), scale).alias("fingerprint"), as_text(F.col("edited_shingles"), scale).alias("edited_fingerprint"),
-        containment(F.col("shingles"), F.col("edited_shingles")).alias("near_edited"), containment(F.col("shingles"), F.col("next_shingles")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
     )

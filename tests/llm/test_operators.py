@@ -245,7 +245,8 @@ def test_fingerprints(docs, rows, empty):
             for x in w[k : k + 5]:
                 s = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), s)
             out.append(s >> 1)
-        return "".join(f"{x:016x}" for x in sorted({x for x in out if x < (1 << 63) // 16 or x == min(out)}))
+        level = sum(len(set(out)) > 256 << k for k in range(4))
+        return f"{level}:" + "".join(f"{x:016x}" for x in sorted({x for x in out if x < 1 << 63 - level}))
 
     for k, (i, t) in enumerate(unique):
         after, half = unique[(k + 1) % len(unique)][1], len(t) // 2
@@ -257,10 +258,16 @@ def test_fingerprints(docs, rows, empty):
 
 def test_merged_sketches_are_the_whole(spark):
     rng = random.Random(8)
-    parts = [words_of(rng, 400) for _ in range(3)]
-    df = spark.createDataFrame([(0, p) for p in parts], "doc_id long, text string")
-    sketch = fingerprints.merged(fingerprints.fingerprints(df), "doc_id").collect()[0].fingerprint
-    assert set(sketch) == set().union(*[set(r.fingerprint) for r in fingerprints.fingerprints(df).collect()])
+    parts = {0: [words_of(rng, n) for n in (400, 3000, 20)], 1: [words_of(rng, 30) for _ in range(4)], 2: ["", "a"], 3: [None], None: [words_of(rng, 700)]}
+    df = spark.createDataFrame([(k, p) for k, ps in parts.items() for p in ps], "doc_id long, text string")
+    every = {}
+    for r in df.withColumn("h", fingerprints.distinct_shingles(fingerprints.text_or_empty())).collect():
+        every.setdefault(r.doc_id, []).append(set(r.h))
+    got = {r.doc_id: r.fingerprint for r in fingerprints.merged(fingerprints.fingerprints(df), "doc_id").collect()}
+    for k, sets in every.items():
+        level = max(sum(len(s) > 256 << i for i in range(4)) for s in sets)
+        assert got[k].level == level and got[k].hashes == sorted(x for x in set().union(*sets) if x < 1 << 63 - level)
+    assert got[0].level == 4 and got[1].level == 0
 
 
 def test_warc(spark, tmp_path):
@@ -390,7 +397,7 @@ def test_near_is_the_containment_of_short_texts_too(spark):
     rng = random.Random(12)
     texts = {}
     for k, n in enumerate((1, 3, 5, 8, 12, 20, 40) * 3):
-        w = [f"{x}{j}" for j, x in enumerate(words_of(rng, 300).split())]
+        w = [f"{x}{j}" for j, x in enumerate(words_of(rng, 250).split())]
         texts |= {2 * k: " ".join(w), 2 * k + 1: " ".join(w[100 : 100 + n])}  # a part of the whole that follows it
     got = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
 
@@ -407,16 +414,34 @@ def test_near_is_the_containment_of_short_texts_too(spark):
     assert all(got[i].near_next == 1 for i in texts if i % 2 and len(texts[i].split()) >= 5)
 
 
-def test_likeness_and_merging_of_short_sketches(spark):
+def test_likeness_estimates_containment_of_very_unequal_texts(spark):
+    """Parts of 40 words and more in texts of up to 20,000: the estimate's error is a few standard errors of its sample."""
     rng = random.Random(13)
-    df = spark.createDataFrame([(k % 4, words_of(rng, 6)) for k in range(40)], "doc_id long, text string")
-    hashes = df.select("doc_id", F.explode(fingerprints.shingle_hashes(fingerprints.words(F.col("text")))).alias("h")).groupBy("doc_id").agg(F.collect_list("h").alias("h"))
-    want = {r.doc_id: r.s for r in hashes.select("doc_id", fingerprints.sketch(F.col("h")).alias("s")).collect()}
-    assert {r.doc_id: r.fingerprint for r in fingerprints.merged(fingerprints.fingerprints(df), "doc_id").collect()} == want
-    top = (1 << 63) // 16
-    pairs = [([top + 5], [1, 2, 3]), ([1, 2, top + 5], [1, 3, 4]), ([], []), ([], [1]), ([], [top + 1])]
-    got = [r[0] for r in spark.createDataFrame(pairs, "a array<long>, b array<long>").coalesce(1).select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
-    assert got == [None, 0.5, 1.0, 0.0, 0.0]
+    rows, want = [], {}
+    for k in range(60):
+        whole = [str(rng.randrange(10**7)) for _ in range(rng.choice((100, 600, 3000, 20_000)))]
+        part = whole[: rng.randint(40, 90)] + [str(rng.randrange(10**7)) for _ in range(rng.choice((0, 30, 300)))]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (whole, part))
+        rows += [(2 * k, " ".join(whole)), (2 * k + 1, " ".join(part))]
+        want[k] = (len(a & b) / min(len(a), len(b)), min(len(a), len(b)), max(sum(max(len(a), len(b)) > 256 << i for i in range(4)), 0))
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = found.select((F.col("doc_id") / 2).cast("long").alias("k"), F.col("fingerprint").alias("a")).filter("doc_id % 2 = 0")
+    right = found.select((F.col("doc_id") / 2).cast("long").alias("k"), F.col("fingerprint").alias("b")).filter("doc_id % 2 = 1")
+    got = {r.k: r.near for r in left.join(right, "k").select("k", fingerprints.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    off = []
+    for k, (c, n, level) in want.items():
+        sample = n / 2**level
+        off.append(got[k] - c)
+        assert 0 <= got[k] <= 1 and abs(got[k] - c) <= (0 if level == 0 else 4 * math.sqrt(max(c * (1 - c), 0.02) / max(sample, 1)) or 0), (k, got[k], want[k])
+    assert abs(sum(off) / len(off)) < 0.06
+
+
+def test_likeness_of_sketches_without_a_common_part(spark):
+    top = 1 << 62
+    pairs = [((1, [1]), (0, [top])), ((0, []), (0, [])), ((0, []), (0, [1])), ((1, [1, 2]), (0, [1, top, top + 1])), ((4, []), (4, []))]
+    schema = "a struct<level:int,hashes:array<long>>, b struct<level:int,hashes:array<long>>"
+    got = [r[0] for r in spark.createDataFrame(pairs, schema).coalesce(1).select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
+    assert got == [0.0, 1.0, 0.0, 1.0, 1.0]
 
 
 def test_languages_without_a_reference_are_not_judged_by_words(spark):
