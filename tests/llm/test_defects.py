@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, secrets, toxicity
+from tessera.llm import secrets, toxicity
 from tessera.llm.common import shared_dir
 
 
@@ -70,16 +70,27 @@ def test_redaction_by_force_and_clashing_columns(spark):
     assert secrets.redacted(docs.limit(0)).count() == 0
 
 
-def test_merged_parts_are_the_sketch_of_the_whole(spark):
-    rng = random.Random(8)
-    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(n)) for n in (0, 3, 29, 29, 400)]
-    parts = []
-    for k, t in enumerate(texts):
-        w = t.split()
-        parts += [(k, " ".join(w[a : a + 9])) for a in range(0, max(1, len(w) - 4), 5)]  # nine words each: every shingle is in one
-    whole = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    found = fingerprints.merged(fingerprints.fingerprints(spark.createDataFrame(parts, "doc_id long, text string")), "doc_id").collect()
-    assert {r.doc_id: r.fingerprint for r in found} == whole
+def test_secrets_of_repeated_rows(spark):
+    """Every row of a text with secrets gives its spans, under one id, under several and under none."""
+    secret = "password = hunter2hunter2x AKIA" + "Z" * 18 + " ghp_" + "q" * 40 + " eyJaaaaaaaaaa.eyJbbbbbbbbbb.cccccccccc -----BEGIN RSA PRIVATE KEY-----"
+    rows = [(1, secret), (2, secret), (2, secret), (2, secret), (None, secret), (None, secret), (3, "clean"), (3, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = secrets.secret_scan(docs).collect()
+    kinds = [sorted({secrets.RULES[s.number].kind for s in r.spans}) for r in found]
+    assert sorted(map(str, kinds)) == sorted(map(str, [["access", "assign", "github", "jwt", "private_key"]] * 6 + [[]] * 2))
+    texts = [r.text for r in secrets.redacted(docs).collect()]
+    assert len(texts) == 8 and set(texts) == {"clean", "[SECRET] [SECRET] [SECRET] [SECRET] [SECRET]"}
+
+
+def test_scores_do_not_depend_on_partitions_where_ids_repeat(spark):
+    from tessera.llm.lm_scoring import lm_scores
+
+    rng = random.Random(7)
+    rows = [(k % 40, " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randrange(5, 80)))) for k in range(240)]
+    rows += [(None, rows[0][1]), (None, rows[0][1]), rows[3], (77, "long " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda df: sorted(((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores(df, F.coalesce(F.col("doc_id") % 5 != 1, F.lit(True))).collect()), key=str)
+    assert score(docs.repartition(2)) == score(docs.repartition(7))
 
 
 def test_toxicity_by_force(spark):
