@@ -36,12 +36,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark removes an execution's shuffle files when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no
-    recomputation. The caller's cluster empties that folder; its content is only of use while the job runs."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    recomputation. The shuffle files that led to it are freed. The caller's cluster empties that folder; its content is
+    only of use while the job runs."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
