@@ -12,11 +12,13 @@ from tessera.operators.cloud import numbered
 
 
 def covisible_pairs(point_views: DataFrame) -> DataFrame:
-    """(ref_id, nb_id, points): ordered pairs of images and how many points both see. The pairs of a point are summed
-    before the shuffle; a point's views are few, and many of them skew only their own rows."""
-    a = point_views.select("point_id", F.col("image_id").alias("ref_id"))
-    b = point_views.select("point_id", F.col("image_id").alias("nb_id"))
-    return a.join(b, "point_id").filter("ref_id <> nb_id").groupBy("ref_id", "nb_id").agg(F.count(F.lit(1)).alias("points"))
+    """(ref_id, nb_id, points): ordered pairs of images and how many points both see. The unordered pairs of a point are
+    summed before the shuffle and turned into two at the end; many views of a point skew only its own rows."""
+    a = point_views.select("point_id", F.col("image_id").alias("a"))
+    b = point_views.select("point_id", F.col("image_id").alias("b"))
+    both = a.join(b, "point_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("points"))
+    way = lambda x, y: F.struct(F.col(x).alias("ref_id"), F.col(y).alias("nb_id"))
+    return both.select(F.inline(F.array(way("a", "b"), way("b", "a"))), "points")
 
 
 def angle_weight(angle_deg, best: float = 12.0):
@@ -30,33 +32,53 @@ def scale_weight(scale):
     return F.when(scale > 1.6, (1.6 / scale) ** 2).when(scale >= 1, 1.0).otherwise(scale * scale)
 
 
+#: Angles, scales and weights are summed as whole parts of these, so that no order of adding shows in a mean.
+MICRO, NANO = 10**6, 10**9
+
+
+def _whole(x, parts: int):
+    return F.floor(x * parts + 0.5)
+
+
 def neighbor_scores(point_views: DataFrame, points: DataFrame, cameras: DataFrame, least_points: int = 3) -> DataFrame:
     """Scores each ordered image pair over the points that both see and that lie before both: points, mean angle
     (degrees), mean scale (the reference's footprint f / depth over the neighbour's), area (share of 16 x 16 cells of
     the reference that points inside both images cover), score (summed weights by area, 0.01 at least). Pairs of fewer
     than least_points, and pairs without a point inside both images, are left out.
 
-    A point's views come together once, and pairs are made where they lie."""
+    The views of a point are joined with each other once, as unordered pairs; a pair of images is summed for both
+    directions in one row and turned into two at the end. Sums are of whole micro-degrees, millionths of a scale and
+    billionths of a weight, so they don't depend on the order of rows."""
     cameras = g.posed(cameras)
-    pose = [c for c in cameras.columns if c == "rotation"]
-    cam = cameras.select("image_id", "cx", "cy", "cz", "f", "px", "py", "width", "height", *pose)
-    seen = point_views.select("point_id", "image_id").join(points.select("point_id", "x", "y", "z"), "point_id").join(cam, "image_id")
-    q = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"), g.rotation(cam.columns))
+    turn = g.rotation(cameras.columns)
+    turned = [] if turn is None else [x.alias(f"r{k}") for k, x in enumerate(turn)]  # columns: an array would be indexed anew for each view
+    cam = cameras.select("image_id", "cx", "cy", "cz", "f", "px", "py", "width", "height", *turned)
+    seen = point_views.select("point_id", "image_id").join(cam, "image_id").join(points.select("point_id", "x", "y", "z"), "point_id")
+    q = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"), [F.col(f"r{k}") for k in range(9)] if turned else None)
+    seen = seen.withColumn("deep", q[2]).filter("deep > 0")
     u, v = g.project(q, F.col("f"), F.col("px"), F.col("py"))
     ray = g.minus(g.vec("cx", "cy", "cz"), g.vec("x", "y", "z"))
     cell = F.floor(u / F.col("width") * 16) * 16 + F.floor(v / F.col("height") * 16)
-    view = F.struct(F.col("image_id"), *[c.alias(n) for c, n in zip(ray, ("rx", "ry", "rz"), strict=True)], F.try_divide(F.col("f"), q[2]).alias("foot"), F.when(g.inside_image(u, v, F.col("width"), F.col("height")), cell.cast("int")).alias("cell"))
-    sets = seen.withColumn("deep", q[2]).filter("deep > 0").groupBy("point_id").agg(F.collect_list(view).alias("views"))
-    pair = sets.select("views", F.explode("views").alias("a")).select("a", F.explode("views").alias("b")).filter("a.image_id <> b.image_id")
-    angle = F.degrees(F.acos(g.cosine(g.vec("rx", "ry", "rz", of="a."), g.vec("rx", "ry", "rz", of="b."))))
-    rows = pair.select(F.col("a.image_id").alias("ref_id"), F.col("b.image_id").alias("nb_id"), F.round(angle, 6).alias("angle"), F.round(F.col("a.foot") / F.col("b.foot"), 6).alias("scale"), F.when(F.col("b.cell").isNotNull(), F.col("a.cell")).alias("cell"))
-    weight = F.greatest(angle_weight(F.col("angle")), F.lit(0.1)) * scale_weight(F.col("scale"))
+    view = [c.alias(n) for c, n in zip(ray, ("rx", "ry", "rz"), strict=True)]
+    view += [(F.col("f") / F.col("deep")).alias("foot"), F.when(g.inside_image(u, v, F.col("width"), F.col("height")), cell.cast("int")).alias("cell")]
+    seen = seen.select("point_id", "image_id", *view)
+    names = [c for c in seen.columns if c != "point_id"]
+    left, right = (seen.select("point_id", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
+    pair = left.join(right, "point_id").filter("a_image_id < b_image_id")
+    angle = F.degrees(F.acos(g.cosine(g.vec("rx", "ry", "rz", of="a_"), g.vec("rx", "ry", "rz", of="b_"))))
+    there = {"a": F.col("a_foot") / F.col("b_foot"), "b": F.col("b_foot") / F.col("a_foot")}
+    rows = pair.select("a_image_id", "b_image_id", _whole(angle, MICRO).alias("angle"), *[_whole(there[s], MICRO).alias(f"{s}_scale") for s in "ab"], *[F.when(F.col("a_cell").isNotNull() & F.col("b_cell").isNotNull(), F.col(f"{s}_cell")).alias(f"{s}_cell") for s in "ab"])
+    weight = lambda s: _whole(F.greatest(angle_weight(F.col("angle") / MICRO), F.lit(0.1)) * scale_weight(F.col(f"{s}_scale") / MICRO), NANO)
     # 256 cells are four words of bits
-    bits = [F.coalesce(F.bit_or(F.when(F.floor(F.col("cell") / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell") % 64))), F.lit(0).cast("long")) for k in range(4)]
-    out = rows.groupBy("ref_id", "nb_id").agg(F.count(F.lit(1)).alias("points"), F.avg("angle").alias("angle"), F.avg("scale").alias("scale"), F.sum(weight).alias("weight"), sum((F.bit_count(x) for x in bits), F.lit(0)).alias("cells"))
+    bits = lambda s: [F.coalesce(F.bit_or(F.when(F.floor(F.col(f"{s}_cell") / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"{s}_cell") % 64))), F.lit(0).cast("long")) for k in range(4)]
+    cells = lambda s: sum((F.bit_count(x) for x in bits(s)), F.lit(0)).alias(f"{s}_cells")
+    sums = [x for s in "ab" for x in (F.sum(f"{s}_scale").alias(f"{s}_scale"), F.sum(weight(s)).alias(f"{s}_weight"), cells(s))]
+    out = rows.groupBy("a_image_id", "b_image_id").agg(F.count(F.lit(1)).alias("points"), F.sum("angle").alias("angle"), *sums).filter(F.col("points") >= least_points)
+    way = lambda s, o: F.struct(F.col(f"{s}_image_id").alias("ref_id"), F.col(f"{o}_image_id").alias("nb_id"), *[F.col(f"{s}_{c}").alias(c) for c in ("scale", "weight", "cells")])
+    both = out.select("points", "angle", F.inline(F.array(way("a", "b"), way("b", "a")))).filter("cells > 0")
+    mean = lambda c: (F.col(c) / F.col("points") / MICRO).alias(c)
     area = F.col("cells") / 256
-    kept = out.filter((F.col("points") >= least_points) & (F.col("cells") > 0))
-    return kept.select("ref_id", "nb_id", "points", "angle", "scale", area.alias("area"), (F.col("weight") * F.greatest(area, F.lit(0.01))).alias("score"))
+    return both.select("ref_id", "nb_id", "points", mean("angle"), mean("scale"), area.alias("area"), (F.col("weight") / NANO * F.greatest(area, F.lit(0.01))).alias("score"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:

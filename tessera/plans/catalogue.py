@@ -61,11 +61,12 @@ def _neighbor_pairs(s: Scene) -> DataFrame:
 _SEEN = """seen AS (SELECT *, CASE WHEN u >= 0 AND v >= 0 AND u < width AND v < height THEN floor(u/width*16)*16 + floor(v/height*16) END AS cell
   FROM (SELECT *, px + f*(co*dx - si*dy)/dz AS u, py + f*(si*dx + co*dy)/dz AS v, f/dz AS foot FROM (SELECT pv.point_id, turn.*, x - cx AS dx, y - cy AS dy, z - cz AS dz FROM pv JOIN pt USING (point_id) JOIN turn USING (image_id)) WHERE dz > 0)),
 pairs AS (SELECT a.image_id AS ref_id, b.image_id AS nb_id,
-  round(degrees(acos(greatest(-1.0, least(1.0, (a.dx*b.dx + a.dy*b.dy + a.dz*b.dz) / (sqrt(a.dx*a.dx + a.dy*a.dy + a.dz*a.dz) * sqrt(b.dx*b.dx + b.dy*b.dy + b.dz*b.dz)))))), 6) AS angle,
-  round(a.foot / b.foot, 6) AS scale, CASE WHEN b.cell IS NOT NULL THEN a.cell END AS cell FROM seen a JOIN seen b ON a.point_id = b.point_id AND a.image_id <> b.image_id),
-sums AS (SELECT ref_id, nb_id, count(*) AS points, avg(angle) AS angle, avg(scale) AS scale, count(DISTINCT cell) / 256.0::DOUBLE AS area,
-  sum(greatest(exp((angle-12)*(angle-12) * CASE WHEN angle < 12 THEN -1/(2*power(0.38*12,2)) ELSE -1/(2*power(0.7*12,2)) END), 0.1)
-    * CASE WHEN scale > 1.6 THEN power(1.6/scale, 2) WHEN scale >= 1 THEN 1.0 ELSE scale*scale END) AS weight FROM pairs GROUP BY 1, 2),
+  floor(degrees(acos(greatest(-1.0, least(1.0, (a.dx*b.dx + a.dy*b.dy + a.dz*b.dz) / (sqrt(a.dx*a.dx + a.dy*a.dy + a.dz*a.dz) * sqrt(b.dx*b.dx + b.dy*b.dy + b.dz*b.dz)))))) * 1000000 + 0.5)::BIGINT AS angle_micro,
+  floor(a.foot / b.foot * 1000000 + 0.5)::BIGINT AS scale_micro, CASE WHEN b.cell IS NOT NULL THEN a.cell END AS cell FROM seen a JOIN seen b ON a.point_id = b.point_id AND a.image_id <> b.image_id),
+weighted AS (SELECT *, floor(greatest(exp((angle-12)*(angle-12) * CASE WHEN angle < 12 THEN -1/(2*power(0.38*12,2)) ELSE -1/(2*power(0.7*12,2)) END), 0.1)
+    * CASE WHEN scale > 1.6 THEN power(1.6/scale, 2) WHEN scale >= 1 THEN 1.0 ELSE scale*scale END * 1000000000 + 0.5)::BIGINT AS weight_nano FROM (SELECT *, angle_micro / 1e6::DOUBLE AS angle, scale_micro / 1e6::DOUBLE AS scale FROM pairs)),
+sums AS (SELECT ref_id, nb_id, count(*) AS points, sum(angle_micro)::DOUBLE / count(*)::DOUBLE / 1e6::DOUBLE AS angle, sum(scale_micro)::DOUBLE / count(*)::DOUBLE / 1e6::DOUBLE AS scale, count(DISTINCT cell) / 256.0::DOUBLE AS area,
+  sum(weight_nano)::DOUBLE / 1e9::DOUBLE AS weight FROM weighted GROUP BY 1, 2),
 scores AS (SELECT ref_id, nb_id, points, angle, scale, area, weight * greatest(area, 0.01) AS score FROM sums WHERE points >= 3 AND area > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, nb_id) AS rank FROM scores)"""
 _PLACED = """flagged AS (SELECT *, area < 0.01 OR NOT scale BETWEEN 0.2 AND 3.2 OR NOT angle BETWEEN 3 AND 65 AS bad, count(*) OVER (PARTITION BY ref_id) AS n FROM ranked),
