@@ -37,6 +37,8 @@ from tessera.llm.components import connected_components
 MISS = 2e-7
 #: Set elements that a task sketches at a time, and that it remembers while it compares.
 AT_A_TIME, REMEMBERED = 1_000_000, 4_000_000
+#: Members of a bucket of prefix elements up to which all pairs of it are tried.
+SMALL = 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -208,21 +210,40 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return rows.mapInArrow(run, "a long, b long, linked boolean, class int, n long, most long, inside long, buckets array<long>")
 
 
-def led(rows: DataFrame, percent: int | None = None) -> DataFrame:
-    """(a, b, alone): each member a of rows(bucket, node, size, n, position) with its bucket's leader b, the member that
-    shares most buckets with others; ties go to the least node. alone: no bucket of both has a third member. With
-    `percent`, positions are those in an order common to all sets, and pairs alone are left out if their sizes, or what
-    can come before and after the element they met by, leave no room for a link."""
+def led(rows: DataFrame) -> DataFrame:
+    """(a, b, alone): each member a of rows(bucket, node, size) with its bucket's leader b, the member that shares most buckets
+    with others; ties go to the least node. alone: no bucket of both has a third member."""
     central = rows.groupBy("node").agg(F.sum("size").alias("weight"))
-    ranked = rows.join(central, "node")
-    top = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n", "position"))
-    leaders = ranked.groupBy("bucket").agg(top.alias("top")).select("bucket", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.position").alias("leader_position"))
-    met = ranked.drop("weight").join(leaders, "bucket").filter("node <> leader")
-    both, after = F.col("n") + F.col("leader_n"), F.least(F.col("n") - F.col("position"), F.col("leader_n") - F.col("leader_position"))
-    at_least = percent or 0
-    fits = ((100 + at_least) * (F.least("position", "leader_position") + after) >= at_least * both) & (100 * F.least("n", "leader_n") >= at_least * F.greatest("n", "leader_n"))
-    pairs = met.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg((F.max("size") == 2).alias("alone"), F.min((fits if percent else F.lit(True)).cast("int")).alias("fits"))
-    return pairs.filter("not alone or fits = 1").select("a", "b", "alone")
+    ranked = rows.select("bucket", "node", "size").join(central, "node")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("leader"))
+    met = ranked.join(leaders, "bucket").filter("node <> leader")
+    return met.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg((F.max("size") == 2).alias("alone"))
+
+
+def together(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs that meet in a bucket of rows(bucket, node, n, position), elements of prefixes in an order common to
+    all sets, and that could be linked: by their lengths, by what can come before and after each element they met by, and
+    by how many they met by, with which all of one's elements after its prefix may at best be shared besides. rows holds
+    every bucket of both, or a linked pair may be left out."""
+    left, right = (rows.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "position")]) for side in "ab")
+    met = left.join(right, "bucket").filter("a_node < b_node").filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    most = F.least("a_position", "b_position") + F.least(F.col("a_n") - F.col("a_position"), F.col("b_n") - F.col("b_position"))
+    need = percent * (F.col("a_n") + F.col("b_n"))
+    found = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(most).alias("most"), *[F.any_value(f"{x}_n").alias(f"{x}_n") for x in "ab"])
+    after = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1  # noqa: E731  a prefix leaves so many
+    reach = F.least(F.col("most"), F.col("shared") + F.greatest(after("a_n"), after("b_n")))
+    return found.filter((100 + percent) * reach >= need).select("a", "b")
+
+
+def candidates(rows: DataFrame, percent: int, ordered: bool) -> DataFrame:
+    """(a, b, alone): the pairs to compare of rows(bucket, node, size, n, position). Where buckets are elements in order, the
+    members of small ones are all paired, and of larger ones compared with a leader; that is as many pairs a row at most.
+    A pair that larger buckets bring together is left to them."""
+    if not ordered:
+        return led(rows)
+    large = led(rows.filter(F.col("size") > SMALL)).withColumn("alone", F.lit(False))
+    either = large.select("a", "b").unionByName(large.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return together(rows.filter(F.col("size") <= SMALL), percent).join(either, ["a", "b"], "left_anti").withColumn("alone", F.lit(True)).unionByName(large)
 
 
 def left_over(found: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -271,7 +292,7 @@ def components(classes: DataFrame, docs: DataFrame, size: int, percent: int, ord
     some = classes.select("node", "doc_id", "text_hash").join(rows.select("node").distinct(), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = written(texts.join(some, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
-    found = written(compared(led(rows, percent if ordered else None), texts, size, percent), "compared")
+    found = written(compared(candidates(rows, percent, ordered), texts, size, percent), "compared")
     first = relabelled(None, found.filter("linked").select("a", "b").distinct())
     pairs, used = left_over(found, first, texts, size, percent)
     more = written(compared(pairs, texts, size, percent).filter("linked").select("a", "b"), "links")

@@ -106,20 +106,29 @@ def test_prefixes_of_linked_sets_meet():
         if 100 * shared >= 80 * (len(a) + len(b) - shared):
             linked += 1
             x, y = (jaccard_join.prefix(s, keys, docs, 80) for s in (a, b))
-            assert len(np.intersect1d(x, y))
+            assert len(np.intersect1d(x, y)) + max(len(a) - len(x), len(b) - len(y)) >= shared and len(np.intersect1d(x, y))
     assert linked > 60
 
 
 def test_pairs_without_room_are_not_compared(spark):
-    """Two sets alone in a bucket: no comparison where positions or sizes rule a link out; with a third member, all are."""
-    schema = "bucket long, node long, size long, n long, position int"
-    pairs = lambda rows: {tuple(r) for r in near_dup.led(spark.createDataFrame(rows, schema), 80).collect()}
-    alone = lambda n, m, i, j: pairs([(1, 10, 2, n, i), (1, 11, 2, m, j)])
-    assert alone(10, 10, 0, 0) == {(11, 10, True)}
-    assert alone(10, 10, 0, 1) == {(11, 10, True)}  # nine can be shared of eleven
-    assert alone(10, 10, 0, 2) == set()  # eight of twelve
-    assert alone(10, 12, 0, 0) == {(11, 10, True)} and alone(10, 13, 0, 0) == set()
-    assert pairs([(1, 10, 3, 10, 0), (1, 11, 3, 10, 9), (1, 12, 3, 99, 0)]) == {(11, 10, False), (12, 10, False)}
+    """No comparison where positions, sizes or the number of elements met by rule a link out."""
+    schema = "bucket long, node long, n long, position int"
+    pairs = lambda rows: {tuple(r) for r in near_dup.together(spark.createDataFrame(rows, schema), 80).collect()}
+    met = lambda n, m, *at: pairs([x for k, (i, j) in enumerate(at) for x in ((k, 10, n, i), (k, 11, m, j))])
+    assert met(10, 10, (0, 0), (1, 1)) == {(10, 11)}
+    assert met(10, 10, (0, 0)) == set()  # a prefix is 3 of 10: 1 met by and 7 after it are too few of 20 elements
+    assert met(10, 10, (0, 1), (1, 2)) == {(10, 11)}  # nine can be shared of eleven
+    assert met(10, 10, (0, 0), (0, 2)) == set()  # eight of twelve
+    assert met(10, 12, (0, 0), (1, 1)) == {(10, 11)} and met(10, 13, (0, 0), (1, 1), (2, 2)) == set()
+    assert met(5, 5, (0, 0), (1, 1)) == {(10, 11)} and met(1, 1, (0, 0)) == {(10, 11)}
+
+
+@pytest.mark.parametrize("small", [0, 2, 1000])
+def test_bucket_sizes_change_nothing(spark, rows, monkeypatch, small):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = by_force(rows, 5, 80)
+    assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()), key=str) == sorted(((i, *want[i, t or ""]) for i, t in rows), key=str)
 
 
 def test_packing_of_integers():
