@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,24 @@ class Scene:
         grey = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(128 + 300 * F.col("e")).cast("double")))
         return rows.select("image_id", "r", "c", *[grey.alias(x) for x in ("red", "green", "blue")])
 
+    def wall(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Pixels, cameras, pairs and depth ranges of scenes of a flat wall at depth 10, whose grey is the vectors, smoothed
+        over three rows and columns: 48 vectors a scene, seen by three cameras four columns apart, so that pixel (r, c) of
+        camera k shows column c + 4 k."""
+        vec = F.col("vec_id")
+        e = lambda at: F.get("embedding", at)
+        smooth = F.transform(F.sequence(F.lit(1), F.lit(62)), lambda i: (e(i - 1) + e(i) + e(i + 1)).cast("double"))
+        rows = self.table("embeddings").filter(F.size("embedding") == 64).select(F.floor(vec / 48).cast("long").alias("scene"), (vec % 48).cast("int").alias("r"), F.posexplode(smooth).alias("at", "e"))
+        about = Window.partitionBy("scene", "at").orderBy("r").rangeBetween(-1, 1)
+        rows = rows.withColumn("grey", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + F.avg("e").over(about))))
+        shots = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn("c", F.col("at") - 4 * F.col("k")).filter("c between 0 and 53")
+        pixels = shots.select((F.col("scene") * 3 + F.col("k")).alias("image_id"), "r", "c", "grey")
+        images = self.table("embeddings").select(F.explode(F.sequence(F.floor(vec / 48).cast("long") * 3, F.floor(vec / 48).cast("long") * 3 + 2)).alias("image_id")).distinct()
+        cameras = images.select("image_id", F.lit(60.0).alias("f"), F.lit(26.5).alias("px"), F.lit(23.5).alias("py"), ((F.col("image_id") % 3) * (4 * 10 / 60)).alias("cx"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("cz"))
+        first = F.col("image_id") - F.col("image_id") % 3
+        pairs = images.select(F.col("image_id").alias("ref_id"), F.explode(F.sequence(first, first + 2)).alias("nb_id")).filter("ref_id <> nb_id")
+        return pixels, cameras, pairs, images.select("image_id", F.lit(6.0).alias("low"), F.lit(18.0).alias("high"))
+
     def cloud(self) -> DataFrame:
         e = lambda k: F.get("embedding", F.lit(k)).cast("double")
         return self.table("embeddings").select("vec_id", e(0).alias("x"), e(1).alias("y"), e(2).alias("z"), "label")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geom as g
-from tessera.operators import cloud, depth, iterate, mesh, scene, stereo, views
+from tessera.operators import cloud, depth, iterate, mesh, patchmatch, scene, stereo, views
 from tessera.plans.adapters import SQL, Scene, with_
 
 QUERIES: dict[str, Callable[[Scene], DataFrame]] = {}
@@ -507,6 +507,13 @@ def sgm_disparity(s):
     return stereo.matched(pixels.unionByName(moved), pixels.select(F.col("image_id").alias("ref_id"), (-1 - F.col("image_id")).alias("nb_id")).distinct(), -4, 5)
 
 
+@query()
+def patchmatch_depth(s):
+    """The depths of the walls of every scene; the true one is 10 everywhere."""
+    pixels, cameras, pairs, ranges = s.wall()
+    return patchmatch.estimated_depth(pixels, cameras, pairs, ranges, tile=64)
+
+
 # a region of five or more pixels has five within four steps of each
 @query(with_("depth", "px AS (SELECT image_id * 4096 + r * 64 + c AS node, * FROM depth)",
     "near AS (SELECT x.node AS a, y.node AS b FROM px x JOIN px y ON x.image_id = y.image_id AND abs(x.r - y.r) + abs(x.c - y.c) = 1 WHERE abs(x.depth - y.depth) / x.depth < 0.3)",
