@@ -228,25 +228,26 @@ def visibility_votes(point_views: DataFrame, points: DataFrame, cameras: DataFra
     """Each (point, view) ray votes on points in its cone, whose half angle is one pixel's: a point in front of the ray's
     end loses the end's number of views, one behind it gains its own. (point_id, votes); points no ray meets have 0.
 
-    All points are looked at from every camera, also those that it does not list: each is projected into each image,
-    so the time grows with their product. Rays and points meet by camera and pixel, and pixels next to it; only ids and
-    pixels are shuffled for that.
+    All points in a camera's frustum are looked at, also those that it does not list; the frustum is that of the window
+    that its rays' ends fill. Rays and points meet by camera and pixel, and pixels next to it.
     """
-    cam = F.broadcast(cameras)
+    from tessera.operators import frustum
+
+    place = points.select("point_id", "x", "y", "z")
     n_views = point_views.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_views"))
-    seen = point_views.select("point_id", "image_id").join(points, "point_id").join(n_views, "point_id").join(cam, "image_id")
-    pixel = lambda q: g.project(q, F.col("f"), F.col("px"), F.col("py"))
-    q = g.to_camera(g.vec("x", "y", "z"), g.vec("cx", "cy", "cz"))
-    u, v = pixel(q)
+    cam = frustum.views(cameras).drop(*frustum.WINDOW)
+    q = frustum.seen_from(g.vec("x", "y", "z"))
+    u, v = g.project(q, F.col("f"), F.col("px"), F.col("py"))
     fields = [*[c.alias(n) for c, n in zip(q, ("qx", "qy", "qz"), strict=True)], g.norm(q).alias("d")]
-    front = F.col("z") - F.col("cz") > 0
-    ends = seen.filter(front).select("point_id", "image_id", "n_views", g.to_pixel(u).alias("u"), g.to_pixel(v).alias("v"), *fields)
+    seen = point_views.select("point_id", "image_id").join(place, "point_id").join(n_views, "point_id").join(cam, "image_id")
+    ends = seen.filter(q[2] > 0).select("point_id", "image_id", "n_views", g.to_pixel(u).alias("u"), g.to_pixel(v).alias("v"), *fields)
+    window = ends.groupBy("image_id").agg((F.min("u") - 1.5).alias("left"), (F.max("u") + 1.5).alias("right"), (F.min("v") - 1.5).alias("top"), (F.max("v") + 1.5).alias("bottom"))
+    every = frustum.joined(place.select(F.col("point_id").alias("id"), "x", "y", "z", F.lit(0.0).alias("radius")), g.posed(cameras).drop(*frustum.WINDOW).join(window, "image_id")).withColumnRenamed("id", "point_id")
+    views = place.join(n_views, "point_id", "left").withColumn("n_views", F.coalesce("n_views", F.lit(0)))
+    every = every.join(views, "point_id").join(cam, "image_id").filter(q[2] > 0).select("point_id", "image_id", "n_views", "f", g.to_pixel(u).alias("u"), g.to_pixel(v).alias("v"), *fields)
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in product((-1, 0, 1), repeat=2)])
     ends = ends.withColumn("s", F.explode(near)).select("image_id", (F.col("u") + F.col("s.a")).alias("u"), (F.col("v") + F.col("s.b")).alias("v"), F.col("point_id").alias("end_id"), F.col("n_views").alias("end_views"), *[F.col(c).alias(f"e_{c}") for c in ("qx", "qy", "qz", "d")])
-    every = points.crossJoin(cam).filter(front).select("point_id", "image_id", g.to_pixel(u).alias("u"), g.to_pixel(v).alias("v"))
-    pairs = every.join(ends, ["image_id", "u", "v"]).filter("point_id <> end_id")
-    views = points.join(n_views, "point_id", "left").withColumn("n_views", F.coalesce("n_views", F.lit(0)))
-    met = pairs.join(views, "point_id").join(cam, "image_id").select("point_id", "n_views", "f", "end_views", "e_qx", "e_qy", "e_qz", "e_d", *fields)
+    met = every.join(ends, ["image_id", "u", "v"]).filter("point_id <> end_id")
     t = g.dot(g.vec("qx", "qy", "qz"), g.vec("qx", "qy", "qz", of="e_")) / F.col("e_d")
     cos2 = 1 / (1 + (1 / F.col("f")) ** 2)
     inside = (t > 0) & (t * t > cos2 * F.col("d") * F.col("d"))
@@ -255,6 +256,11 @@ def visibility_votes(point_views: DataFrame, points: DataFrame, cameras: DataFra
     return points.select("point_id").join(votes, "point_id", "left").select("point_id", F.coalesce("votes", F.lit(0)).alias("votes"))
 
 
+def visible_points(points: DataFrame, votes: DataFrame, least: int = 0) -> DataFrame:
+    """The points that more than `least` votes speak for, of visibility_votes()."""
+    return points.join(votes.filter(F.col("votes") > least).select("point_id"), "point_id", "left_semi")
+
+
 def signal_to_noise(rows: DataFrame, signal: str, other: str, peak: float) -> DataFrame:
     """SNR and PSNR in decibels."""
     e = (F.col(signal) - F.col(other)) ** 2

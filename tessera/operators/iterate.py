@@ -3,17 +3,33 @@ folder; nothing but a counter comes to the driver."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, an own one if driver and
+    executors are one process (tests); on a cluster there is no such folder then, and that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        found = f"file://{found}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in spark.checkpoint.dir; where that is unset, as in tests, in a folder of its own."""
+    """df with its lineage cut, in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

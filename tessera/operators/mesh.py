@@ -260,28 +260,6 @@ def sampled(faces: DataFrame, vertices: DataFrame, density: float, seed: int = 1
     return rows.select("f_id", *[(F.col(f"a{c}") + u * (F.col(f"b{c}") - F.col(f"a{c}")) + w * (F.col(f"c{c}") - F.col(f"a{c}"))).alias(c) for c in "xyz"])
 
 
-def rasterised(faces: DataFrame, vertices: DataFrame, cameras: DataFrame) -> DataFrame:
-    """(image_id, r, c, f_id, depth): the nearest face at each pixel. A face takes part in an image that holds all of it."""
-    cam = F.broadcast(cameras)
-    p = _points()
-    f = with_corners(faces, vertices).join(cam)
-    shots = [g.project(g.to_camera(q, g.vec("cx", "cy", "cz")), F.col("f"), F.col("px"), F.col("py")) for q in p]
-    rows = f.select("image_id", "f_id", "width", "height", *[c.alias(f"{k}{n}") for k, (u, v), q in zip("012", shots, p, strict=True) for n, c in (("u", u), ("v", v), ("z", q[2] - F.col("cz")))])
-    whole = None
-    for k in "012":
-        ok = (F.col(f"{k}z") > 0) & g.inside_image(F.col(f"{k}u"), F.col(f"{k}v"), F.col("width"), F.col("height"))
-        whole = ok if whole is None else whole & ok
-    span = lambda n: F.sequence(F.ceil(F.least(*[F.col(f"{k}{n}") for k in "012"])), F.floor(F.greatest(*[F.col(f"{k}{n}") for k in "012"])))
-    some = lambda n: F.ceil(F.least(*[F.col(f"{k}{n}") for k in "012"])) <= F.floor(F.greatest(*[F.col(f"{k}{n}") for k in "012"]))
-    at = rows.filter(whole & some("u") & some("v")).withColumn("c", F.explode(span("u"))).withColumn("r", F.explode(span("v")))
-    w = g.barycentric((F.col("c"), F.col("r")), *[(F.col(f"{k}u"), F.col(f"{k}v")) for k in "012"])
-    z = [F.col(f"{k}z") for k in "012"]
-    b = g.perspective(w, z)
-    hit = at.filter((w[0] >= 0) & (w[1] >= 0) & (w[2] >= 0)).select("image_id", "r", "c", "f_id", g.dot(b, z).alias("depth"))
-    best = hit.groupBy("image_id", "r", "c").agg(F.min(F.struct(F.round("depth", 9).alias("depth"), "f_id")).alias("m"))
-    return best.select("image_id", "r", "c", "m.f_id", "m.depth")
-
-
 def pair_areas(seen: DataFrame) -> DataFrame:
     """(f_id, area): of seen(f_id, image_id, area), the most over image pairs of the lesser area: the second largest."""
     rank = F.row_number().over(Window.partitionBy("f_id").orderBy(F.desc("area"), "image_id"))

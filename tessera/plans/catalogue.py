@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geom as g
-from tessera.operators import cloud, depth, iterate, mesh, patchmatch, scene, stereo, views
+from tessera.operators import cloud, depth, frustum, iterate, mesh, patchmatch, scene, stereo, views
 from tessera.plans.adapters import SQL, Scene, with_
 
 QUERIES: dict[str, Callable[[Scene], DataFrame]] = {}
@@ -756,6 +756,40 @@ def ransac_plane(s):
     return scene.robust_plane(s.points().withColumn("z", 0.5 * F.col("x") + 0.25 * F.col("y") + 3.0 + off), 0.01)
 
 
+# ---- what cameras see; small images, as SQL tries every face at every pixel
+
+_CORNERS = "tri AS (SELECT f_id, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS \"by\", q.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz FROM fc JOIN v p ON p.v_id = a JOIN v q ON q.v_id = b JOIN v r ON r.v_id = c)"
+_SMALL = "small AS (SELECT image_id, cx AS ox, cy AS oy, cz AS oz, f * 0.024 AS f, 11.5 AS px, 11.5 AS py, co, si FROM turn)"
+_SPHERE = """ball AS (SELECT f_id, x, y, z, greatest(sqrt((ax-x)*(ax-x)+(ay-y)*(ay-y)+(az-z)*(az-z)), sqrt((bx-x)*(bx-x)+("by"-y)*("by"-y)+(bz-z)*(bz-z)), sqrt((cx-x)*(cx-x)+(cy-y)*(cy-y)+(cz-z)*(cz-z))) * (1 + 1e-9) + 1e-12 AS radius
+  FROM (SELECT *, (ax+bx+cx)/3 AS x, (ay+"by"+cy)/3 AS y, (az+bz+cz)/3 AS z FROM tri)),
+eye AS (SELECT f_id, image_id, f, px, py, radius, co*(x-ox) - si*(y-oy) AS qx, si*(x-ox) + co*(y-oy) AS qy, z - oz AS qz FROM ball, small),
+held AS (SELECT f_id, image_id FROM eye WHERE qz >= -radius AND qx*f + 12.0*qz >= -radius*sqrt(f*f + 144.0) AND 12.0*qz - qx*f >= -radius*sqrt(f*f + 144.0) AND qy*f + 12.0*qz >= -radius*sqrt(f*f + 144.0) AND 12.0*qz - qy*f >= -radius*sqrt(f*f + 144.0))"""
+_RASTER = """shot AS (SELECT image_id, f_id, f, co*(ax-ox) - si*(ay-oy) AS ax, si*(ax-ox) + co*(ay-oy) AS ay, az-oz AS az, co*(bx-ox) - si*("by"-oy) AS bx, si*(bx-ox) + co*("by"-oy) AS "by", bz-oz AS bz, co*(cx-ox) - si*(cy-oy) AS cx, si*(cx-ox) + co*(cy-oy) AS cy, cz-oz AS cz FROM tri JOIN held USING (f_id) JOIN small USING (image_id)),
+sides AS (SELECT *, ax*(\"by\"*cz - bz*cy) + ay*(bz*cx - bx*cz) + az*(bx*cy - \"by\"*cx) AS vol, \"by\"*cz - bz*cy AS n0x, bz*cx - bx*cz AS n0y, bx*cy - \"by\"*cx AS n0z, cy*az - cz*ay AS n1x, cz*ax - cx*az AS n1y, cx*ay - cy*ax AS n1z, ay*bz - az*\"by\" AS n2x, az*bx - ax*bz AS n2y, ax*\"by\" - ay*bx AS n2z FROM shot),
+rays AS (SELECT s.*, r, c, n0x*(c-11.5)/f + n0y*(r-11.5)/f + n0z AS w0, n1x*(c-11.5)/f + n1y*(r-11.5)/f + n1z AS w1, n2x*(c-11.5)/f + n2y*(r-11.5)/f + n2z AS w2 FROM sides s, (SELECT unnest(range(24)) AS r), (SELECT unnest(range(24)) AS c) WHERE vol <> 0),
+near_face AS (SELECT image_id, r, c, min(vol / (w0 + w1 + w2)) AS depth FROM rays WHERE least(w0*sign(vol), w1*sign(vol), w2*sign(vol)) >= -1e-9*abs(vol) AND w0 + w1 + w2 <> 0 AND vol / (w0 + w1 + w2) >= 1e-3 GROUP BY 1, 2, 3)""".replace("\\", "")
+
+
+def _corners(s: Scene) -> DataFrame:
+    return mesh.with_corners(s.faces(), s.vertices())
+
+
+@query(with_("v cell fc turn", _CORNERS, _SMALL, _SPHERE) + "SELECT f_id, image_id FROM held")
+def frustum_faces(s):
+    return frustum.joined(frustum.face_spheres(_corners(s)), frustum.scaled(s.turned_cameras(), 24)).select(F.col("id").alias("f_id"), "image_id")
+
+
+@query(with_("v cell fc turn", _CORNERS, _SMALL, _SPHERE, _RASTER) + "SELECT image_id, r, c, round(depth, 9) AS depth FROM near_face")
+def mesh_depth_maps(s):
+    return rounded(frustum.rasterised(_corners(s), frustum.scaled(s.turned_cameras(), 24)).drop("f_id"), "depth", to=9)
+
+
+@query(with_("v cell fc turn", _CORNERS, _SMALL, _SPHERE, _RASTER, """spot AS (SELECT v_id, image_id, 11.5 + f*qx/qz AS u, 11.5 + f*qy/qz AS w, qz FROM (SELECT v_id, image_id, f, co*(x-ox) - si*(y-oy) AS qx, si*(x-ox) + co*(y-oy) AS qy, z - oz AS qz FROM v, small) WHERE qz > 0),
+views AS (SELECT v_id, spot.image_id FROM spot JOIN near_face n ON n.image_id = spot.image_id AND n.r = floor(w + 0.5) AND n.c = floor(u + 0.5) WHERE u >= 1 AND w >= 1 AND u < 23 AND w < 23 AND qz * 0.985 < depth)""") + "SELECT v_id, image_id FROM views WHERE v_id IN (SELECT v_id FROM views GROUP BY 1 HAVING count(*) >= 2)")
+def mesh_vertex_views(s):
+    return frustum.vertex_views(_corners(s), s.vertices(), s.turned_cameras(), side=24)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, folder, f=f: f(Scene(spark, folder))) for name, f in QUERIES.items()}
 
