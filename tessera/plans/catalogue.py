@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geom as g
-from tessera.operators import cloud, depth, frustum, fusion, hits, iterate, mesh, patchmatch, scene, stereo, views
+from tessera.operators import cloud, depth, frustum, fusion, hits, iterate, mesh, patchmatch, scene, stereo, texture, views
 from tessera.plans.adapters import SQL, Scene, with_
 
 QUERIES: dict[str, Callable[[Scene], DataFrame]] = {}
@@ -766,6 +766,40 @@ def ransac_plane(s):
     return scene.robust_plane(s.points().withColumn("z", 0.5 * F.col("x") + 0.25 * F.col("y") + 3.0 + off), 0.01)
 
 
+# ---- what views show of faces: parts as faces, suppliers as images; every thirteenth line shows something else
+
+_SHOWN = "r0 AS (SELECT *, count(*) OVER (PARTITION BY f_id) AS n FROM (SELECT l_partkey AS f_id, l_suppkey AS image_id, avg(100 + l_quantity + o)::DOUBLE AS red, avg(80 + l_extendedprice % 20 + o)::DOUBLE AS green, avg(60 + 100 * l_discount + o)::DOUBLE AS blue FROM (SELECT *, CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN 90 ELSE 0 END AS o FROM lineitem) GROUP BY 1, 2)), s0 AS (SELECT *, true AS inl, n > 4 AS open, n <= 4 AS every FROM r0)"
+
+
+def _shown_rounds(rounds: int) -> str:
+    """CTEs t<k> and s<k>: the rounds of texture.inlier_views."""
+    ch = ("red", "green", "blue")
+    c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    minor = lambda i, j: f"({c((i + 1) % 3, (j + 1) % 3)}*{c((i + 2) % 3, (j + 2) % 3)} - {c((i + 1) % 3, (j + 2) % 3)}*{c((i + 2) % 3, (j + 1) % 3)})"
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    form = " + ".join(f"({ch[i]}-m{i})*({ch[j]}-m{j})*{minor(i, j)}" for i in range(3) for j in range(3))
+    det = f"{c(0, 0)}*{minor(0, 0)} + {c(0, 1)}*{minor(0, 1)} + {c(0, 2)}*{minor(0, 2)}"
+    out = []
+    for k in range(rounds):
+        means = ", ".join(f"avg({ch[i]}) FILTER (inl) OVER w AS m{i}" for i in range(3))
+        covs = ", ".join(f"covar_samp({ch[i]}, {ch[j]}) FILTER (inl) OVER w AS {c(i, j)}" for i, j in pairs)
+        most = f"greatest({', '.join(f'abs({c(i, j)})' for i, j in pairs)})"
+        out.append(f"""t{k} AS (SELECT *, {most} AS most, {det} AS det FROM (SELECT *, {means}, {covs} FROM s{k} WINDOW w AS (PARTITION BY f_id))),
+u{k} AS (SELECT *, coalesce(most < 1e-3, false) AS flat, coalesce(abs(det) > 1e-12 * power(most, 3), false) AS fine FROM t{k}),
+v{k} AS (SELECT *, CASE WHEN open AND NOT flat AND fine THEN exp(-0.5 * ({form}) / det) > 0.06 ELSE inl END AS new FROM u{k}),
+x{k} AS (SELECT *, sum(new::INT) OVER w AS left_in, max((new <> inl)::INT) OVER w AS moved FROM v{k} WINDOW w AS (PARTITION BY f_id)),
+s{k + 1} AS (SELECT f_id, image_id, red, green, blue, n, new AS inl, open AND NOT flat AND NOT (NOT fine OR left_in = n OR left_in < 4) AND moved = 1 AS open, every OR (open AND NOT flat AND (NOT fine OR left_in = n OR left_in < 4)) AS every FROM x{k})""")
+    return ", ".join(out)
+
+
+@query("WITH " + _SHOWN + ", " + _shown_rounds(10) + " SELECT f_id, image_id, round(red, 4) AS red FROM s10 WHERE inl OR every")
+def face_inlier_views(s):
+    o = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 13 == 0, 90).otherwise(0)
+    mean = lambda c, n: F.avg(c + o).cast("double").alias(n)
+    views_ = s.table("lineitem").groupBy(F.col("l_partkey").alias("f_id"), F.col("l_suppkey").alias("image_id")).agg(mean(100 + F.col("l_quantity"), "red"), mean(80 + F.col("l_extendedprice") % 20, "green"), mean(60 + 100 * F.col("l_discount"), "blue"))
+    return rounded(texture.inlier_views(views_).select("f_id", "image_id", "red"), "red")
+
+
 # ---- what cameras see; small images, as SQL tries every face at every pixel
 
 _CORNERS = "tri AS (SELECT f_id, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS \"by\", q.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz FROM fc JOIN v p ON p.v_id = a JOIN v q ON q.v_id = b JOIN v r ON r.v_id = c)"
