@@ -136,12 +136,13 @@ def smooth_normals(faces: DataFrame, vertices: DataFrame, cos_limit: float = 0.9
 
 def _around(values: DataFrame, faces: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """values with m_<name>, the mean over a vertex's neighbours, and inv, the mean of 1 / their number of neighbours;
-    null for vertices on the boundary and those without a face."""
-    near = vertex_neighbors(faces)
-    degree = near.groupBy(F.col("v_id").alias("nb_id")).agg((1 / F.count(F.lit(1))).alias("inv"))
-    other = values.select(F.col("v_id").alias("nb_id"), *[F.col(n).alias(f"o_{n}") for n in names]).join(degree, "nb_id")
-    mean = near.join(other, "nb_id").groupBy("v_id").agg(*[F.avg(f"o_{n}").alias(f"m_{n}") for n in names], F.avg("inv").alias("inv"))
-    return values.join(mean.join(boundary_vertices(faces), "v_id", "left_anti"), "v_id", "left")
+    null for vertices on the boundary and those without a face. Each vertex sends its values along its edges, of which
+    one aggregate tells the neighbours, their number and the boundary."""
+    way = lambda src, dst: F.struct(F.col(src).alias("v_id"), F.col(dst).alias("nb_id"))
+    ways = edges(faces).select("faces", F.inline(F.array(way("lo", "hi"), way("hi", "lo"))))
+    sent = ways.withColumn("inv", 1 / F.count(F.lit(1)).over(Window.partitionBy("v_id"))).join(values.select("v_id", *[F.col(n).alias(f"o_{n}") for n in names]), "v_id")
+    met = sent.groupBy(F.col("nb_id").alias("v_id")).agg(*[F.avg(f"o_{n}").alias(f"m_{n}") for n in names], F.avg("inv").alias("inv"), F.max(F.col("faces") == 1).alias("rim"))
+    return values.join(met.filter("not rim").drop("rim"), "v_id", "left")
 
 
 def laplacian(values: DataFrame, faces: DataFrame, names: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -260,6 +261,34 @@ def sampled(faces: DataFrame, vertices: DataFrame, density: float, seed: int = 1
     return rows.select("f_id", *[(F.col(f"a{c}") + u * (F.col(f"b{c}") - F.col(f"a{c}")) + w * (F.col(f"c{c}") - F.col(f"a{c}"))).alias(c) for c in "xyz"])
 
 
+def manifold(faces: DataFrame, vertices: DataFrame, shift: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) in which the faces of a vertex form one fan. Two faces at a vertex are of one fan if they share an edge
+    from it that no third face has. The fan with the face of least id keeps the vertex, each other gets a copy of it,
+    numbered on from the greatest id by vertex and fan. All copies of such a vertex, and it, move by `shift` of the way to
+    the mean of their fan's other vertices. A face with a null corner or the same corner twice is left out."""
+    from tessera.operators.iterate import checkpointed, components
+
+    rows = faces.select("f_id", *CORNERS).dropna().filter("a <> b and b <> c and c <> a")
+    node = lambda k: F.col("f_id") * 3 + k  # noqa: E731  a corner of a face
+    at = rows.select("f_id", F.posexplode(F.array(*CORNERS)).alias("k", "v_id")).withColumn("node", node(F.col("k")))
+    ways = [F.struct(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi"), F.when(F.col(p) < F.col(q), node(i)).otherwise(node(j)).alias("at_lo"), F.when(F.col(p) < F.col(q), node(j)).otherwise(node(i)).alias("at_hi")) for (i, p), (j, q) in (((0, "a"), (1, "b")), ((1, "b"), (2, "c")), ((2, "c"), (0, "a")))]
+    shared = rows.select("f_id", F.inline(F.array(*ways))).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}_{c}") for c in ("at_lo", "at_hi") for name, f in (("low", F.min), ("high", F.max))]).filter("n = 2")
+    links = shared.select(F.inline(F.array(*[F.struct(F.col(f"low_{c}").alias("a"), F.col(f"high_{c}").alias("b")) for c in ("at_lo", "at_hi")])))
+    fans = checkpointed(at.join(components(links), "node", "left").select("f_id", "k", "v_id", F.coalesce("component", "node").alias("fan")))
+    place = F.row_number().over(Window.partitionBy("v_id").orderBy("fan"))
+    several = fans.select("v_id", "fan").distinct().withColumn("place", place).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("v_id"))).filter("n > 1")
+    greatest = vertices.agg(F.max("v_id")).collect()[0][0] or 0
+    copies = numbered(several.filter("place > 1").select("v_id", "fan"), "v_id", "fan").select("v_id", "fan", (F.col("number") + greatest + 1).alias("new_id"))
+    named = checkpointed(several.join(copies, ["v_id", "fan"], "left").select("v_id", "fan", F.coalesce("new_id", "v_id").alias("new_id")))
+    at = fans.join(named, ["v_id", "fan"], "left").select("f_id", "k", F.coalesce("new_id", "v_id").alias("v_id"))
+    turned = at.groupBy("f_id").agg(*[F.max(F.when(F.col("k") == i, F.col("v_id"))).alias(c) for i, c in enumerate(CORNERS)])
+    made = vertices.select("v_id", "x", "y", "z").join(named.select("v_id", "new_id"), "v_id", "left").select(F.coalesce("new_id", "v_id").alias("v_id"), "x", "y", "z", F.col("new_id").isNotNull().alias("moves"))
+    ring = vertex_neighbors(turned).join(named.select(F.col("new_id").alias("v_id")), "v_id").join(made.select(F.col("v_id").alias("nb_id"), *[F.col(c).alias(f"o{c}") for c in "xyz"]), "nb_id")
+    middle = ring.groupBy("v_id").agg(*[F.avg(f"o{c}").alias(f"m{c}") for c in "xyz"])
+    moved = made.join(middle, "v_id", "left").select("v_id", *[F.when(F.col("moves"), F.col(c) + shift * (F.coalesce(F.col(f"m{c}"), F.col(c)) - F.col(c))).otherwise(F.col(c)).alias(c) for c in "xyz"])
+    return moved, turned
+
+
 def pair_areas(seen: DataFrame) -> DataFrame:
     """(f_id, area): of seen(f_id, image_id, area), the most over image pairs of the lesser area: the second largest."""
     rank = F.row_number().over(Window.partitionBy("f_id").orderBy(F.desc("area"), "image_id"))

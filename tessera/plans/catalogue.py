@@ -766,6 +766,24 @@ def ransac_plane(s):
     return scene.robust_plane(s.points().withColumn("z", 0.5 * F.col("x") + 0.25 * F.col("y") + 3.0 + off), 0.01)
 
 
+# every third face is missing, which leaves vertices with several fans
+_FANS = """part_of AS (SELECT * FROM fc WHERE f_id % 3 <> 0),
+co AS (SELECT 3*f_id AS node, f_id, 0 AS k, a AS v_id FROM part_of UNION ALL SELECT 3*f_id + 1, f_id, 1, b FROM part_of UNION ALL SELECT 3*f_id + 2, f_id, 2, c FROM part_of),
+ed AS (SELECT p.f_id, least(p.v_id, q.v_id) AS lo, greatest(p.v_id, q.v_id) AS hi, CASE WHEN p.v_id < q.v_id THEN p.node ELSE q.node END AS nlo, CASE WHEN p.v_id < q.v_id THEN q.node ELSE p.node END AS nhi FROM co p JOIN co q ON p.f_id = q.f_id AND q.k = (p.k + 1) % 3),
+two AS (SELECT min(nlo) AS x1, max(nlo) AS x2, min(nhi) AS y1, max(nhi) AS y2 FROM ed GROUP BY lo, hi HAVING count(*) = 2),
+link AS (SELECT x1 AS a, x2 AS b FROM two UNION SELECT x2, x1 FROM two UNION SELECT y1, y2 FROM two UNION SELECT y2, y1 FROM two),
+reach AS (SELECT node AS a, node AS b FROM co UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+fan AS (SELECT f_id, k, v_id, min(b) AS fan FROM co JOIN reach ON a = node GROUP BY 1, 2, 3),
+grp AS (SELECT v_id, fan, row_number() OVER (PARTITION BY v_id ORDER BY fan) AS place FROM (SELECT DISTINCT v_id, fan FROM fan)),
+extra AS (SELECT v_id, fan, (SELECT max(v_id) FROM v) + row_number() OVER (ORDER BY v_id, fan) AS id FROM grp WHERE place > 1),
+named AS (SELECT f_id, k, coalesce(id, v_id) AS id FROM fan LEFT JOIN extra USING (v_id, fan))"""
+
+
+@query(with_("v cell fc", _FANS).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT f_id, max(CASE k WHEN 0 THEN id END) AS a, max(CASE k WHEN 1 THEN id END) AS b, max(CASE k WHEN 2 THEN id END) AS c FROM named GROUP BY f_id")
+def manifold_faces(s):
+    return mesh.manifold(s.faces().filter("f_id % 3 <> 0"), s.vertices())[1]
+
+
 # ---- what views show of faces: parts as faces, suppliers as images; every thirteenth line shows something else
 
 _SHOWN = "r0 AS (SELECT *, count(*) OVER (PARTITION BY f_id) AS n FROM (SELECT l_partkey AS f_id, l_suppkey AS image_id, avg(100 + l_quantity + o)::DOUBLE AS red, avg(80 + l_extendedprice % 20 + o)::DOUBLE AS green, avg(60 + 100 * l_discount + o)::DOUBLE AS blue FROM (SELECT *, CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN 90 ELSE 0 END AS o FROM lineitem) GROUP BY 1, 2)), s0 AS (SELECT *, true AS inl, n > 4 AS open, n <= 4 AS every FROM r0)"
