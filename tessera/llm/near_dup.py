@@ -36,7 +36,7 @@ from tessera.llm.components import connected_components
 #: Chance that a pair exactly at the threshold shares no bucket.
 MISS = 2e-7
 #: Set elements that a task sketches at a time, and that it remembers while it compares.
-AT_A_TIME, REMEMBERED = 1_000_000, 4_000_000
+AT_A_TIME, REMEMBERED = 400_000, 2_000_000
 #: Members of a bucket of prefix elements up to which all pairs of it are tried.
 SMALL = 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -46,7 +46,7 @@ class _Hashes(dict):
     """64-bit hashes of words, remembered; emptied before it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
