@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geom as g
-from tessera.operators import cloud, depth, frustum, fusion, hits, iterate, mesh, patchmatch, scene, stereo, texture, views
+from tessera.operators import cloud, depth, frustum, fusion, hits, iterate, mesh, patchmatch, scene, stereo, texture, views, volume
 from tessera.plans.adapters import SQL, Scene, with_
 
 QUERIES: dict[str, Callable[[Scene], DataFrame]] = {}
@@ -524,6 +524,34 @@ def ordered_fusion(s):
     return fusion.ordered_fusion(rows, cameras, pairs, colours=("grey",))
 
 
+# the walls, each scene 20 above the one before it, in waves of a hundredth of their depth
+_WAVES = """px AS (SELECT (vec_id // 48) * 3 + k AS image_id, vec_id % 48 AS r, w - 4 * k AS c FROM embeddings, (SELECT unnest(range(62)) AS w), (SELECT unnest(range(3)) AS k) WHERE len(embedding) = 64 AND w - 4 * k BETWEEN 0 AND 53),
+dm AS (SELECT *, 10 * (1 + ((r * 7 + c * 13 + image_id) % 21 - 10) / 1000.0::DOUBLE) AS depth, (image_id % 3) * (4 * 10 / 60::DOUBLE) AS ox, ((image_id // 3) * 20)::DOUBLE AS oy FROM px),
+spot AS (SELECT image_id, ox, oy, (c - 26.5) * depth / 60 + ox AS x, (r - 23.5) * depth / 60 + oy AS y, depth AS z FROM dm),
+span AS (SELECT image_id, ox, oy, unnest(range(floor((x-2)/4)::BIGINT, floor((x+2)/4)::BIGINT + 1)) AS bx, floor((y-2)/4)::BIGINT AS y0, floor((y+2)/4)::BIGINT AS y1, floor((z-2)/4)::BIGINT AS z0, floor((z+2)/4)::BIGINT AS z1 FROM spot),
+span2 AS (SELECT image_id, ox, oy, bx, unnest(range(y0, y1 + 1)) AS \"by\", z0, z1 FROM span), blk AS (SELECT DISTINCT image_id, ox, oy, bx, \"by\", unnest(range(z0, z1 + 1)) AS bz FROM span2),
+vox AS (SELECT image_id, ox, oy, bx*8 + i AS vx, \"by\"*8 + j AS vy, bz*8 + l AS vz FROM blk, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j), (SELECT unnest(range(8)) AS l)),
+shot AS (SELECT image_id, vx, vy, vz, (vz + 0.5) * 0.5 AS z, floor(23.5 + 60 * ((vy + 0.5) * 0.5 - oy) / ((vz + 0.5) * 0.5) + 0.5) AS r, floor(26.5 + 60 * ((vx + 0.5) * 0.5 - ox) / ((vz + 0.5) * 0.5) + 0.5) AS c FROM vox WHERE vz + 0.5 > 0)""".replace("\\", "")
+
+
+def _waves(s: Scene) -> tuple[DataFrame, DataFrame]:
+    pixels, cameras, _, _ = s.wall()
+    wave = (F.col("r") * 7 + F.col("c") * 13 + F.col("image_id")) % 21 - 10
+    return pixels.select("image_id", "r", "c", (10 * (1 + wave / 1000)).alias("depth")), cameras.withColumn("cy", (F.floor(F.col("image_id") / 3) * 20).cast("double"))
+
+
+@query("WITH " + _WAVES + " SELECT vx, vy, vz, round(avg(least(1.0, (depth - z) / 2)), 4) AS value, count(*) AS weight FROM shot JOIN dm USING (image_id, r, c) WHERE depth - z > -2 GROUP BY 1, 2, 3")
+def tsdf_voxels(s):
+    return rounded(volume.integrated(*_waves(s), 0.5), "value")
+
+
+@query()
+def tsdf_mesh(s):
+    """The faces of the walls' surface, with their corners."""
+    vertices, faces = volume.mesh_of(*_waves(s), 0.5)
+    return mesh.with_corners(faces, vertices)
+
+
 # a region of five or more pixels has five within four steps of each
 @query(with_("depth", "px AS (SELECT image_id * 4096 + r * 64 + c AS node, * FROM depth)",
     "near AS (SELECT x.node AS a, y.node AS b FROM px x JOIN px y ON x.image_id = y.image_id AND abs(x.r - y.r) + abs(x.c - y.c) = 1 WHERE abs(x.depth - y.depth) / x.depth < 0.3)",
