@@ -255,7 +255,11 @@ def signal_to_noise(s):
     return rounded(cloud.signal_to_noise(t, "a", "b", 255.0), "snr", "psnr")
 
 
-@query()
+@query(with_("pv pt cam", "nv AS (SELECT point_id, count(*) AS n FROM pv GROUP BY 1)",
+    "eye AS (SELECT *, sqrt(qx*qx + qy*qy + qz*qz) AS d, floor(px + f*qx/qz + 0.5) AS u, floor(py + f*qy/qz + 0.5) AS w FROM (SELECT point_id, image_id, f, px, py, x - cx AS qx, y - cy AS qy, z - cz AS qz FROM pt, cam) WHERE qz > 0)",
+    "ends AS (SELECT e.point_id, image_id, n, qx, qy, qz, d, u + i AS u, w + j AS w FROM eye e JOIN pv USING (point_id, image_id) JOIN nv ON nv.point_id = e.point_id, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j))",
+    "met AS (SELECT p.point_id, p.f, coalesce(nv.n, 0) AS n, e.n AS end_n, p.d, e.d AS end_d, (p.qx*e.qx + p.qy*e.qy + p.qz*e.qz) / e.d AS t FROM ends e JOIN eye p ON p.image_id = e.image_id AND p.u = e.u AND p.w = e.w AND p.point_id <> e.point_id LEFT JOIN nv ON nv.point_id = p.point_id)",
+    "votes AS (SELECT point_id, sum(CASE WHEN d * 1.02 < end_d THEN -end_n WHEN d > end_d * 1.02 THEN n ELSE 0 END)::BIGINT AS votes FROM met WHERE t > 0 AND t*t > d*d / (1 + power(1/f, 2)) GROUP BY 1)") + "SELECT point_id, coalesce(votes, 0) AS votes FROM pt LEFT JOIN votes USING (point_id)")
 def point_visibility_filter(s):
     """Votes by visibility rays."""
     return cloud.visibility_votes(s.point_views(), s.points(), s.cameras())
@@ -540,6 +544,16 @@ def _waves(s: Scene) -> tuple[DataFrame, DataFrame]:
     return pixels.select("image_id", "r", "c", (10 * (1 + wave / 1000)).alias("depth")), cameras.withColumn("cy", (F.floor(F.col("image_id") / 3) * 20).cast("double"))
 
 
+@query("WITH " + _WAVES + """, p AS (SELECT image_id AS ref_id, r, c, x, y, z, k + (image_id // 3) * 3 AS nb_id, (k % 3) * (4 * 10 / 60::DOUBLE) AS cx, oy FROM (SELECT *, (c - 26.5) * depth / 60 + ox AS x, (r - 23.5) * depth / 60 + oy AS y, depth AS z FROM dm), (SELECT unnest(range(3)) AS k) WHERE k <> image_id % 3),
+hit AS (SELECT ref_id, r, c, nb_id, z, floor(23.5 + 60 * (y - oy) / z + 0.5)::BIGINT AS r2, floor(26.5 + 60 * (x - cx) / z + 0.5)::BIGINT AS c2 FROM p)
+SELECT ref_id, h.r, h.c, nb_id, r2, c2, abs(z - depth) / z < 0.01 AS agrees FROM hit h JOIN dm d ON d.image_id = nb_id AND d.r = r2 AND d.c = c2""")
+def reproject_waves(s):
+    """Every image's pixels in the two others of its scene; the greatest depths differ by a fiftieth."""
+    depth_, cameras = _waves(s)
+    found = depth.reprojected(depth_.withColumn("conf", F.lit(1.0)), cameras, s.wall()[2])
+    return found.select("ref_id", "r", "c", "nb_id", "r2", "c2", "agrees")
+
+
 @query("WITH " + _WAVES + " SELECT vx, vy, vz, round(avg(least(1.0, (depth - z) / 2)), 4) AS value, count(*) AS weight FROM shot JOIN dm USING (image_id, r, c) WHERE depth - z > -2 GROUP BY 1, 2, 3")
 def tsdf_voxels(s):
     return rounded(volume.integrated(*_waves(s), 0.5), "value")
