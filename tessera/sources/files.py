@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.archive import read_archives
@@ -371,6 +371,34 @@ def read_json_cameras(spark: SparkSession, path: str) -> DataFrame:
     return frame.select(F.col("frame.file_path").alias("name"), F.col("fl_x").cast("double").alias("f"), F.col("cx").cast("double").alias("px"), F.col("cy").cast("double").alias("py"), F.col("w").cast("int").alias("width"), F.col("h").cast("int").alias("height"), F.array(*r).alias("R"), *[m(k, 3).alias(n) for k, n in enumerate(("cx", "cy", "cz"))])
 
 
+def _numbers(after: str) -> Column:
+    """The numbers that follow a word in column value, up to the next word."""
+    found = F.trim(F.regexp_extract("value", rf"(?s)\b{after}\s+([-+.\deE\s]*)", 1))
+    return F.transform(F.split(found, r"\s+"), lambda x: x.try_cast("double"))
+
+
+def read_text_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """Camera files <name>_cam.txt of a 4 x 4 extrinsic (world to camera), a 3 x 3 intrinsic and the least depth and its step:
+    name, f, fy, px, py, R, cx, cy, cz, low, step. A file that lacks numbers of either matrix gives no row; low and step
+    are null where they are missing."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(_cam)?\.txt$", 1).alias("name"), _numbers("extrinsic").alias("e"), _numbers("intrinsic").alias("k"))
+    rows = rows.filter((F.size("e") >= 12) & (F.size("k") >= 9) & ~F.exists(F.slice("e", 1, 12), lambda x: x.isNull()) & ~F.exists(F.slice("k", 1, 9), lambda x: x.isNull()))
+    e, k = (lambda i, n=n: F.get(n, F.lit(i)) for n in "ek")
+    centre = [-sum((e(4 * i + j) * e(4 * i + 3) for i in range(1, 3)), e(j) * e(3)) for j in range(3)]
+    return rows.select("name", k(0).alias("f"), k(4).alias("fy"), k(2).alias("px"), k(5).alias("py"), F.array(*[e(4 * i + j) for i in range(3) for j in range(3)]).alias("R"), *[c.alias(n) for c, n in zip(centre, ("cx", "cy", "cz"), strict=True)], k(9).alias("low"), k(10).alias("step"))
+
+
+def read_json_camera_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files <name>.json of one camera each, with camera_data: name, f, fy, px, py, width, height, R (world to camera), cx, cy, cz.
+    cam2world lists the columns of a camera that looks along -z with y up; of the world, x and y are exchanged and z turned."""
+    schema = "camera_data struct<width:int, height:int, intrinsics:struct<fx:double, fy:double, cx:double, cy:double>, cam2world:array<array<double>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("name"), "camera_data.*").filter("cam2world is not null")
+    axis, sign = (1, 0, 2), (1.0, 1.0, -1.0)  # row i of the new world is this row of the old one
+    m = lambda i, j: F.col("cam2world")[j][axis[i]] * sign[i] * (1.0 if j in (0, 3) else -1.0)
+    at = F.col("intrinsics")
+    return rows.select("name", at["fx"].alias("f"), at["fy"].alias("fy"), at["cx"].alias("px"), at["cy"].alias("py"), "width", "height", F.array(*[m(i, j) for j in range(3) for i in range(3)]).alias("R"), *[m(i, 3).alias(n) for i, n in enumerate(("cx", "cy", "cz"))])
+
+
 READERS = {"ply": read_ply_points, "dmap": read_depth_maps, "obj": read_obj, "mvs": read_archives}
 
 

@@ -83,6 +83,33 @@ def test_binary_scenes_say_what_text_says(spark, tmp_path):
     assert files.read_colmap_binary_cameras(spark, str(tmp_path / "none.bin")).count() == 0
 
 
+def test_camera_files(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    R = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    C = np.array([2.0, -3, 4])
+    t = -R @ C
+    rows = "\n".join(" ".join(map(str, [*R[i], t[i]])) for i in range(3))
+    (tmp_path / "00000007_cam.txt").write_text(f"extrinsic\n{rows}\n0.0 0.0 0.0 1.0\n\nintrinsic\n361.5 0.0 82.9\n0.0 360.4 66.4\n0.0 0.0 1.0\n\n425.0 2.5\n")
+    (tmp_path / "broken_cam.txt").write_text("extrinsic\n1 2 3\nintrinsic\n1 x\n")
+    (found,) = files.read_text_cameras(spark, f"{tmp_path}/*_cam.txt").collect()
+    assert (found.name, found.f, found.fy, found.px, found.py, found.low, found.step) == ("00000007", 361.5, 360.4, 82.9, 66.4, 425.0, 2.5)
+    assert found.R == R.reshape(-1).tolist() and [found.cx, found.cy, found.cz] == pytest.approx(C.tolist())
+
+    c2w = np.eye(4)
+    c2w[:3, :3], c2w[:3, 3] = R, C
+    (tmp_path / "v1.json").write_text(json.dumps({"camera_data": {"width": 64, "height": 48, "intrinsics": {"fx": 50.0, "fy": 51.0, "cx": 31.0, "cy": 23.0}, "cam2world": c2w.T.tolist()}}))
+    (found,) = files.read_json_camera_files(spark, f"{tmp_path}/*.json").collect()
+    P = c2w.copy()
+    P[2] *= -1
+    P[[0, 1]] = P[[1, 0]]
+    P[:, 1:3] *= -1
+    assert (found.name, found.f, found.fy, found.width, found.height) == ("v1", 50.0, 51.0, 64, 48)
+    assert found.R == P[:3, :3].T.reshape(-1).tolist() and [found.cx, found.cy, found.cz] == P[:3, 3].tolist()
+
+
 def test_stream_counts_a_file_once(spark, tmp_path):
     cams = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 10.0, 0.0, 0.0)], "image_id long, cx double, cy double, cz double, f double, px double, py double")
     pixel = lambda r: spark.createDataFrame([(0, r, 0, 2.0, 0.9), (0, r, 1, 2.0, 0.1)], depth_stream.PIXELS)
