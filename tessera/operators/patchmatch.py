@@ -275,7 +275,7 @@ def blocks(pixels: DataFrame, *values: str) -> DataFrame:
 def needed(cells: DataFrame, cameras: DataFrame, pairs: DataFrame, ranges: DataFrame, tile: int, halo: int, margin: int = 12) -> DataFrame:
     """For each tile of cells(image_id, block_r, block_c) the blocks that it needs: (image_id, tile_r, tile_c, view_id,
     block_r, block_c, camera, low, high). Its own are those within the halo; a neighbour's those in the box of the eight
-    corners of the tile's view volume, or all of that view if a corner lies behind it."""
+    corners of the tile's view volume, cut to what the view has, or all of that if a corner lies behind it."""
     cams = g.posed(cameras)
     turn = g.rotation(cams.columns) or [F.lit(float(k in (0, 4, 8))) for k in range(9)]
     cams = cams.select(F.col("image_id").cast("long").alias("image_id"), F.array(*[F.col(c).cast("double") for c in CAMERA], *[F.lit(t).cast("double") for t in turn]).alias("camera"))
@@ -293,8 +293,15 @@ def needed(cells: DataFrame, cameras: DataFrame, pairs: DataFrame, ranges: DataF
     u, v = g.project(q, *other)
     box = met.select(*TILE_KEY, "view_id", "other", "low", "high", q[2].alias("z"), u.alias("u"), v.alias("v")).groupBy(*TILE_KEY, "view_id").agg(
         *[F.any_value(x).alias(x) for x in ("other", "low", "high")], F.min("z").alias("z"), *[f(x).alias(f"{n}_{x}") for x in "uv" for n, f in (("min", F.min), ("max", F.max))])
-    inside = lambda block, x: F.col(block).between(F.floor((F.col(f"min_{x}") - margin) / BLOCK), F.floor((F.col(f"max_{x}") + margin) / BLOCK))
-    reach = box.join(cells.withColumnRenamed("image_id", "view_id"), "view_id").filter((F.col("z") <= 0) | inside("block_r", "v") & inside("block_c", "u"))
+    extent = cells.groupBy(F.col("image_id").alias("view_id")).agg(*[f(f"block_{x}").alias(f"{n}_block_{x}") for x in "rc" for n, f in (("first", F.min), ("last", F.max))])
+    behind = F.col("z") <= 0
+    for x, v in (("r", "v"), ("c", "u")):
+        first, last = F.col(f"first_block_{x}").cast("double"), F.col(f"last_block_{x}").cast("double")
+        low = F.when(behind, first).otherwise(F.greatest(first, (F.col(f"min_{v}") - margin) / BLOCK))
+        high = F.when(behind, last).otherwise(F.least(last, (F.col(f"max_{v}") + margin) / BLOCK))
+        extent_of = {f"low_{x}": F.floor(low).cast("int"), f"high_{x}": F.floor(high).cast("int")}
+        box = (box.join(extent, "view_id") if x == "r" else box).withColumns(extent_of).filter(f"low_{x} <= high_{x}").withColumn(f"block_{x}", F.explode(F.sequence(f"low_{x}", f"high_{x}")))
+    reach = box
     names = [*TILE_KEY, "view_id", "block_r", "block_c", "camera", "low", "high"]
     return own.select(*names).unionByName(reach.withColumnRenamed("other", "camera").select(*names))
 
