@@ -2,14 +2,17 @@
 
 Faces (f_id, ax .. cz) are listed in the cells that they touch. A ray is the sequence of cells it crosses, looked at in
 shells of growing length: a ray that has hit something in one is in none of the later ones. A point looks at the cells
-about it, of growing size. All of it is equi-joins on cells and expressions; only bounds and counts come to the driver.
+about it, of growing size. All of it is equi-joins on cells and what a row says; only bounds and counts come to the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +78,7 @@ def nearest_hits(rays: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
     names = [f"{k}{c}" for k in "od" for c in "xyz"]
     left = rays.select("ray_id", *[F.col(n).cast("double").alias(n) for n in names]).dropna().filter("dx <> 0 or dy <> 0 or dz <> 0")
     faces = faces.select("f_id", *[f"{k}{c}" for k in "abc" for c in "xyz"]).dropna()
+    faces = checkpointed(faces)
     box = faces.agg(*[f(g_(F.col(f"a{c}"), F.col(f"b{c}"), F.col(f"c{c}"))).alias(f"{n}{c}") for c in "xyz" for n, f, g_ in (("low", F.min, F.least), ("high", F.max, F.greatest))]).collect()[0]
     if box["lowx"] is None:
         return left.select("ray_id", F.lit(0).cast("long").alias("f_id"), F.lit(0.0).alias("t")).limit(0)
@@ -88,7 +92,7 @@ def nearest_hits(rays: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
         leave.append(F.when(beside, F.lit(-1.0)).when(d == 0, F.lit(math.inf)).otherwise(F.greatest(a, b)))
     pace = cell / g.norm(g.vec("dx", "dy", "dz"))
     left = checkpointed(left.withColumns({"start": F.greatest(*enter), "stop": F.least(*leave), "pace": pace}).filter("start <= stop"))
-    cells = checkpointed(listed(faces, cell))
+    cells = listed(faces, cell).hint("merge")  # Spark takes rays for as few as before they are spread over their cells
     out, length = None, SHELL
     while not left.isEmpty():
         shell = left.withColumn("end", F.least(F.col("start") + length * F.col("pace"), F.col("stop")))
@@ -97,43 +101,53 @@ def nearest_hits(rays: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
         met = at.join(cells, CELL).withColumn("t", t).filter(F.col("t") <= F.col("end") * (1 + EQUAL))
         found = checkpointed(met.groupBy("ray_id").agg(F.min(F.struct(F.floor(F.col("t") / EQUAL + 0.5).alias("k"), F.col("f_id"), F.col("t"))).alias("m")).select("ray_id", "m.f_id", "m.t"))
         out = found if out is None else out.unionByName(found)
-        left = checkpointed(shell.join(found, "ray_id", "left_anti").withColumn("start", F.col("end")).drop("end").filter("start < stop"))
+        left = checkpointed(shell.join(found.hint("merge"), "ray_id", "left_anti").withColumn("start", F.col("end")).drop("end").filter("start < stop"))
         length *= 2
     return out if out is not None else left.select("ray_id", F.lit(0).cast("long").alias("f_id"), F.lit(0.0).alias("t"))
 
 
-def squared_to_segment(q: g.Vec, a: g.Vec, b: g.Vec) -> Column:
-    ab, aq = g.minus(b, a), g.minus(q, a)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(g.dot(aq, ab), g.dot(ab, ab)), F.lit(0.0))))
-    d = [x - t * y for x, y in zip(aq, ab, strict=True)]
-    return g.dot(d, d)
-
-
-def squared_to_face(q: g.Vec, p: list[list[Column]]) -> Column:
-    """The squared distance of a point and a face: to its plane if the foot lies in the face, else to the nearest edge."""
-    n = g.cross(g.minus(p[1], p[0]), g.minus(p[2], p[0]))
-    within = [g.dot(n, g.cross(g.minus(p[(i + 1) % 3], p[i]), g.minus(q, p[i]))) >= 0 for i in range(3)]
-    off = g.dot(n, g.minus(q, p[0]))
-    edges = F.least(*[squared_to_segment(q, p[i], p[(i + 1) % 3]) for i in range(3)])
-    return F.when(within[0] & within[1] & within[2] & (g.dot(n, n) > 0), off * off / g.dot(n, n)).otherwise(edges)
+def _squared_to_faces(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The squared distances of points (row, axis) and faces (row, corner, axis): to a face's plane if the foot lies in the
+    face, else to the nearest edge."""
+    dot = lambda a, b: (a * b).sum(axis=1)
+    n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+    within, edges = dot(n, n) > 0, np.full(len(q), np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i in range(3):
+            along, off = p[:, (i + 1) % 3] - p[:, i], q - p[:, i]
+            within &= dot(n, np.cross(along, off)) >= 0
+            length = dot(along, along)
+            t = np.where(length > 0, np.clip(dot(off, along) / length, 0.0, 1.0), 0.0)
+            rest = off - t[:, None] * along
+            edges = np.minimum(edges, dot(rest, rest))
+        return np.where(within, dot(n, q - p[:, 0]) ** 2 / dot(n, n), edges)
 
 
 def nearest_faces(points: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
     """(id, f_id, distance): the face nearest to each of points(id, x, y, z); the lower f_id of those at the same distance.
-    A point looks at the faces in the cells about its own; where none is within a cell's side, at those of twice the
-    side. Rows with a null have no row; without faces there is none."""
+    A point looks at the faces in the cells about its own, of half the side at first; where none is within a cell's side,
+    at those of twice the side. Rows with a null have no row; without faces there is none."""
     left = points.select("id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna()
     faces = faces.select("f_id", *[f"{k}{c}" for k in "abc" for c in "xyz"]).dropna()
     none = left.select("id", F.lit(0).cast("long").alias("f_id"), F.lit(0.0).alias("distance")).limit(0)
+    faces = checkpointed(faces)
     if faces.isEmpty():
         return none
-    out, left = none, checkpointed(left)
+
+    def measured(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.stack([batch.column(k).to_numpy() for k in range(2, 14)], axis=1)
+            d = np.sqrt(_squared_to_faces(values[:, :3], values[:, 3:].reshape(-1, 3, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["id", "f_id", "d"])
+
+    kinds = dict(left.dtypes) | dict(faces.dtypes)
+    out, left, cell = none, checkpointed(left), cell / 2
     while not left.isEmpty():
         at = _around(left.withColumns({f"g{c}": F.floor(F.col(c) / cell) for c in "xyz"}))
-        d2 = squared_to_face(g.vec("x", "y", "z"), corners_of())
-        met = at.join(listed(faces, cell), CELL).withColumn("d", F.sqrt(d2)).filter(F.col("d") <= cell)
+        pairs = at.join(listed(faces, cell).hint("merge"), CELL).select("id", "f_id", "x", "y", "z", *[F.col(f"{k}{c}").cast("double") for k in "abc" for c in "xyz"])
+        met = pairs.mapInArrow(measured, f"id {kinds['id']}, f_id {kinds['f_id']}, d double").filter(F.col("d") <= cell)
         found = checkpointed(met.groupBy("id").agg(F.min(F.struct(F.floor(F.col("d") / EQUAL + 0.5).alias("k"), F.col("f_id"), F.col("d"))).alias("m")).select("id", "m.f_id", F.col("m.d").alias("distance")))
         out = out.unionByName(found)
-        left = checkpointed(left.join(found, "id", "left_anti"))
+        left = checkpointed(left.join(found.hint("merge"), "id", "left_anti"))
         cell *= 2
     return out
