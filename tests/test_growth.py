@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import cloud, frustum, hits, mesh
+from tessera.operators import cloud, depth, frustum, hits, mesh
 from tests.test_frustum import CAMERA, plan
 
 VERTEX, FACE = "v_id long, x double, y double, z double", "f_id long, a long, b long, c long"
@@ -92,3 +92,18 @@ def test_votes_of_cameras_and_points_that_coincide(spark, monkeypatch):
     found = cloud.visibility_votes(spark.createDataFrame(seen, "point_id long, image_id long, weight double"), spark.createDataFrame(points, "point_id long, x double, y double, z double"), spark.createDataFrame(cams, CAMERA).drop("R"))
     assert {r.point_id: r.votes for r in found.collect()} == want and min(want.values()) < 0 < max(want.values())
     assert views["pairs"] == (55, 2)
+
+
+def test_windows_shuffle_once_and_send_no_pixel_twice(spark):
+    rows = [(i, r, c, float((7 * r + 3 * c + i) % 11 + 1)) for i in range(2) for r in range(9) for c in range(9) if (r * c + i) % 4]
+    pixels = spark.createDataFrame(rows, "image_id long, r long, c long, depth double")
+    normals = pixels.selectExpr("image_id", "r", "c", "0.6 as nx", "0.0 as ny", "0.8 as nz")
+    for found in (depth.windows(pixels), depth.window_moments(pixels, "depth", 9, 9), depth.normal_confidence(normals)):
+        assert plan(found).count("Exchange ") == 1 and "explode" not in plan(found) and "inline" not in plan(found)
+    at = {k[:3]: k[3] for k in rows}
+    for x in depth.windows(pixels).collect():
+        want = {(a, b, at[x.image_id, x.r + a, x.c + b]) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (x.image_id, x.r + a, x.c + b) in at}
+        assert set(map(tuple, x.near)) == want and len(x.near) == len(want)
+    for x in depth.window_moments(pixels, "depth", 9, 9).collect():
+        near = [at.get((x.image_id, x.r + a, x.c + b), 0.0) for a in range(-3, 4) for b in range(-3, 4)]
+        assert x["mean"] == pytest.approx(sum(near) / 49)
