@@ -23,7 +23,7 @@ def grid(spark, tmp_path_factory):
 def test_vertices_and_cameras_are_not_broadcast(spark, grid):
     vertices, faces = grid
     corners = mesh.with_corners(faces, vertices)
-    assert "Broadcast" not in plan(corners)
+    assert "Broadcast" not in plan(corners) and "Broadcast" not in plan(mesh.face_neighbors(faces))
     cameras = spark.createDataFrame([(k, 10.0, 5.0 * k, -5.0, 12.0, 11.5, 11.5, 24, 24, None) for k in range(9)], CAMERA).drop("R")
     assert "Broadcast" not in plan(frustum.joined(frustum.face_spheres(corners), cameras))
     assert frustum.joined(frustum.face_spheres(corners), cameras).count() == frustum.joined(frustum.face_spheres(corners), cameras, 2).count() > 0
