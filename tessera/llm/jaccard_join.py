@@ -10,13 +10,16 @@ other only where that leaves a link between two components possible; `near_dup`
 
 The numbers of documents are counted over all of them, exactly up to hashes cut to 44 bits: tasks hand on their sorted
 hashes as byte planes of differences, a few bytes each, by range of the hash. Only the most frequent n-grams, a number
-fixed by a parameter, are sent to all tasks. Whatever that order is, it loses no link.
+fixed by a parameter, are sent to all tasks as they are. The others that are not rare leave their level of frequency in two
+tables of a byte a slot, of a fixed size, at slots of their hash; an n-gram counts as frequent as the lower of its two
+slots says, so the frequent ones stay out of prefixes however many there are. Whatever that order is, it loses no link.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty, written
-from tessera.llm.near_dup import _Hashes, grouped, shingle_set
+from tessera.llm.common import discard, text_or_empty, written
+from tessera.llm.near_dup import _Hashes, grouped, shingle_set, signature
 
 #: Bits of a hash by which documents are counted; n-grams in at most so many documents are rare without being counted apart.
 BITS, RARE = 44, 8
 #: N-grams sent to all tasks at most: 12 bytes each.
 MOST = 1 << 20
+#: Bits of a slot of the two tables of levels, and of a place in a piece of one: 8 MB each, in pieces of 64 KB.
+SLOT_BITS, PIECE_BITS = 23, 16
 #: Shingles that a task counts before it hands them on.
 HELD = 3_000_000
 
@@ -100,6 +105,11 @@ def counted(texts: DataFrame, size: int, ranges: int) -> DataFrame:
 
 def frequent(texts: DataFrame, size: int, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """The cut hashes of the most frequent shingles, at most `most` of them and sorted, and their numbers of documents."""
+    return order(texts, size, most)[:2]
+
+
+def order(texts: DataFrame, size: int, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """frequent(), and the levels() of the others that more than RARE rows have."""
     found = written(counted(texts, size, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "frequent")
     level = F.floor(8 * F.log2("docs"))
     left, least = most, math.inf
@@ -108,41 +118,74 @@ def frequent(texts: DataFrame, size: int, most: int = MOST) -> tuple[np.ndarray,
         if left < 0:
             break
         least = r.level
+    rest = levels(found.filter(level < least) if least < math.inf else found)
     table = found.filter(level >= least).toArrow() if least < math.inf else None
+    discard(found)
     if table is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), rest
     keys, docs = table.column("key").to_numpy(), table.column("docs").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], docs[order]
+    at = np.argsort(keys)
+    return keys[at], docs[at], rest
+
+
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Both slots of cut hashes: of their lowest bits in the first table, of their highest in the second."""
+    return np.stack([keys & ((1 << bits) - 1), (1 << bits) + (keys >> (BITS - bits))])
+
+
+def levels(rows: DataFrame) -> np.ndarray:
+    """Both tables end to end: the greatest level, eight for each doubling, of the rows(key, docs) at a slot, 0 without one."""
+    bits, piece = SLOT_BITS, 1 << PIECE_BITS
+    low, high = (F.col("key").bitwiseAND(F.lit((1 << bits) - 1)), F.lit(1 << bits) + F.shiftright("key", BITS - bits))
+    spread = rows.select(F.least(F.floor(8 * F.log2("docs")), F.lit(255)).cast("int").alias("level"), F.explode(F.array(low, high)).alias("slot"))
+    spread = spread.select(F.shiftright("slot", PIECE_BITS).cast("int").alias("piece"), F.col("slot").bitwiseAND(F.lit(piece - 1)).cast("int").alias("at"), "level")
+
+    def lay(batches) -> Iterator[pa.RecordBatch]:
+        laid: dict[int, np.ndarray] = {}  # at most both tables
+        for batch in batches:
+            which, at, level = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(which).tolist():
+                np.maximum.at(laid.setdefault(k, np.zeros(piece, np.uint8)), at[which == k], level[which == k].astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(laid, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in laid.values()], pa.binary())], ["piece", "levels"])
+
+    out = np.zeros(2 << bits, np.uint8)
+    for r in spread.repartition("piece").mapInArrow(lay, "piece int, levels binary").toLocalIterator():  # of a fixed size
+        x = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)[: len(out)]
+        out[r["piece"] * piece : r["piece"] * piece + len(x)] = x
+    return out
 
 
-def prefix(elements: np.ndarray, keys: np.ndarray, docs: np.ndarray, percent: int) -> np.ndarray:
+def prefix(elements: np.ndarray, keys: np.ndarray, docs: np.ndarray, percent: int, rest: np.ndarray | None = None) -> np.ndarray:
     """The first of a set's elements in the common order: one more than a linked set can lack."""
     own = cut(elements)
     at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-    rank = np.where(keys[at] == own, docs[at], 0) if len(keys) else np.zeros(len(own), np.int64)
+    other = np.zeros(len(own), np.int64)
+    if rest is not None:
+        other = (2 ** (rest[slots(own, (len(rest) // 2).bit_length() - 1)].min(axis=0) / 8)).astype(np.int64)
+    rank = np.where(keys[at] == own, docs[at], other) if len(keys) else other
     return elements[np.lexsort((elements, rank))[: len(elements) + percent * -len(elements) // 100 + 1]]
 
 
 def prefixed(docs: DataFrame, size: int, percent: int, most: int = MOST) -> DataFrame:
-    """(doc_id, n, set_key, buckets, text_hash) per row: set_key names the set, buckets holds its prefix in order; both null
-    for an empty set."""
+    """(doc_id, n, set_key, buckets, text_hash, signature) per row: set_key names the set, buckets holds its prefix in order;
+    these and the signature are null for an empty set."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(frequent(rows.select("text"), size, most))
+    sent = spark.sparkContext.broadcast(order(rows.select("text"), size, most))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        memo, (keys, counts) = _Hashes(), sent.value
+        memo, (keys, counts, rest) = _Hashes(), sent.value
         for batch in batches:
-            ns, names, firsts = [], [], []
+            ns, names, firsts, signs = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), size, memo)
                 ns.append(len(s))
                 names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                firsts.append(prefix(s, keys, counts, percent).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(names, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "n", "set_key", "buckets", "text_hash"])
+                firsts.append(prefix(s, keys, counts, percent, rest).view(np.int64) if len(s) else None)
+                signs.append(signature(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(names, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), batch.column(2), pa.array(signs, pa.binary())], ["doc_id", "n", "set_key", "buckets", "text_hash", "signature"])
 
-    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n long, set_key binary, buckets array<long>, text_hash long")
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n long, set_key binary, buckets array<long>, text_hash long, signature binary")
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, most: int = MOST) -> DataFrame:

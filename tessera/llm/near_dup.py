@@ -146,6 +146,34 @@ def parities(elements: np.ndarray, size_class: int, percent: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def signature(elements: np.ndarray) -> bytes:
+    """Parities of a set on its own: twice as many bits as it has elements, or up to four times, 2^16 at most."""
+    bits = 1 << min(16, max(6, (2 * len(elements) - 1).bit_length()))
+    return np.packbits((np.bincount((_mix(elements, 9) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def odd(x: bytes, y: bytes) -> int:
+    """In how many bits two signatures differ, the longer one folded to the shorter one's bits: no more than the elements
+    that are in one of the sets only."""
+    a, b = (np.frombuffer(s, np.uint64) for s in sorted((x, y), key=len))
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)))).sum())
+
+
+def roomy(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b, alone) without those alone whose sizes or signatures, of signs(node, n, signature), leave no room for a link:
+    that takes a few hundred bytes of each, where a comparison takes both texts."""
+    of = lambda x: signs.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("signature").alias(f"{x}_sign"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True)
+            fits = [100 * min(n, m) >= percent * max(n, m) and odd(x, y) <= n + m - 2 * -(-percent * (n + m) // (100 + percent)) for n, m, x, y in both]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    met = pairs.filter("alone").select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_n", "b_n", "a_sign", "b_sign")
+    return met.mapInArrow(run, "a long, b long").withColumn("alone", F.lit(True)).unionByName(pairs.filter("not alone"))
+
+
 def _sets(size: int):
     """of(node, text): its set, remembered while there is room."""
     memo, kept, held = _Hashes(), {}, 0
@@ -283,38 +311,53 @@ def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-def components(classes: DataFrame, docs: DataFrame, size: int, percent: int, ordered: bool) -> DataFrame:
-    """(node, component) of the sets of classes(node, n, buckets, doc_id, text_hash) that are linked with others; the text of a
-    set is that of any row of that doc_id and text_hash. ordered: buckets are elements in an order common to all sets."""
+def components(classes: DataFrame, names: DataFrame, docs: DataFrame, size: int, percent: int, ordered: bool) -> DataFrame:
+    """(node, component) of the sets of classes(node, n, buckets), a written table that is discarded, that are linked with
+    others; names(node, n, doc_id, text_hash, and where ordered signature): the text of a set is that of any row of that
+    doc_id and text_hash. ordered: buckets are elements in an order common to all sets.
+
+    Each step is a table before the next one begins, so that its shuffle files are gone, and only sets of pairs that are
+    left take their texts along."""
     rows = classes.select("node", "n", F.posexplode("buckets").alias("position", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = written(rows.join(shared, "bucket"), "buckets")
-    some = classes.select("node", "doc_id", "text_hash").join(rows.select("node").distinct(), "node")
+    discard(classes)
+    pairs = written(candidates(rows, percent, ordered), "pairs")
+    discard(rows)
+    if ordered:
+        met, pairs = pairs, written(roomy(pairs, names, percent), "roomy-pairs")
+        discard(met)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = names.select("node", "doc_id", "text_hash").join(nodes, "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = written(texts.join(some, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
-    found = written(compared(candidates(rows, percent, ordered), texts, size, percent), "compared")
+    found = written(compared(pairs, texts, size, percent), "compared")
+    discard(pairs)
     first = relabelled(None, found.filter("linked").select("a", "b").distinct())
     pairs, used = left_over(found, first, texts, size, percent)
     more = written(compared(pairs, texts, size, percent).filter("linked").select("a", "b"), "links")
     labels = relabelled(first, more)
-    discard(rows, texts, found, first, more, *used)
+    discard(texts, found, first, more, *used)
     return labels
 
 
 def grouped(all_rows: DataFrame, docs: DataFrame, size: int, percent: int, ordered: bool = False) -> DataFrame:
-    """all_rows(doc_id, n, set_key, buckets, text_hash), a written table, with `component`: the least doc_id of the rows whose
-    sets are linked with the row's. Null for an empty set or a null doc_id. A set is a node of its own, whatever the ids of
-    its rows."""
+    """all_rows(doc_id, n, set_key, buckets, text_hash, and where ordered signature), a written table that is discarded,
+    with `component`, without buckets: the least doc_id of the rows whose sets are linked with the row's. Null for an
+    empty set or a null doc_id. A set is a node of its own, whatever the ids of its rows."""
     named = all_rows.filter("set_key is not null and doc_id is not null")
     first = named.groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    rows = named.join(first, "set_key").filter("doc_id = least").dropDuplicates(["set_key"])
-    classes = written(rows.select("set_key", "n", "doc_id", "text_hash", "buckets").withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = components(classes, docs, size, percent, ordered)
-    labels = classes.select("set_key", "doc_id", "node").join(found, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("of"))
+    rows = named.join(first, "set_key").filter("doc_id = least").dropDuplicates(["set_key"]).drop("least")
+    classes = written(rows.withColumn("node", F.monotonically_increasing_id()), "classes")
+    names = written(classes.drop("buckets"), "names")
+    plain = written(all_rows.select("doc_id", "n", "set_key", "text_hash"), "rows")
+    discard(all_rows)
+    found = components(classes, names, docs, size, percent, ordered)
+    labels = names.select("set_key", "doc_id", "node").join(found, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("of"))
     least = labels.groupBy("of").agg(F.min("doc_id").alias("component"))
     labels = written(labels.join(least, "of").select("set_key", "component"), "set-labels")
-    discard(classes, found)
-    out = all_rows.select("doc_id", "n", "set_key", "text_hash").join(labels, "set_key", "left")
+    discard(names, found)
+    out = plain.join(labels, "set_key", "left")
     return out.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
 
 
