@@ -1,7 +1,7 @@
 """Depth maps as a truncated signed distance volume of sparse voxels, and the surface where it changes sign.
 
-A depth map touches the blocks of voxels near its points; the voxels of those blocks are projected into it, meet its pixels
-by equi-join, and are averaged over the maps. The surface is cut out of cubes of eight voxels, each split in six
+A depth map touches the blocks of voxels near its points; those blocks meet the tiles of pixels that their voxels fall on,
+by equi-join, where the voxels read their pixels, and are averaged over the maps. The surface is cut out of cubes of eight voxels, each split in six
 tetrahedra in the same way, so that faces of neighbouring cubes fit.
 """
 
@@ -17,8 +17,8 @@ from tessera.functions import geom as g
 from tessera.operators.cloud import numbered
 from tessera.operators.iterate import checkpointed
 
-#: Voxels along a block's side.
-BLOCK = 8
+#: Voxels along a block's side, and pixels along a tile's.
+BLOCK, TILE = 8, 16
 VOXEL = ["vx", "vy", "vz"]
 
 
@@ -35,18 +35,33 @@ def integrated(depth: DataFrame, cameras: DataFrame, voxel: float, truncation: f
     limit = truncation * voxel
     cams = g.posed(cameras)
     turn = g.rotation(cams.columns)
-    pixels = depth.filter("depth > 0").groupBy("image_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).agg(F.min("depth").alias("depth"))
+    tile, tasks = ["image_id", "tr", "tc"], int(depth.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    r, c = F.col("r").cast("long"), F.col("c").cast("long")
+    pixels = depth.filter("depth > 0").select("image_id", r.alias("r"), c.alias("c"), "depth", F.floor(r / TILE).alias("tr"), F.floor(c / TILE).alias("tc"))
+    pixels = pixels.repartition(tasks, *tile).groupBy(*tile, "r", "c").agg(F.min("depth").alias("depth"))
+    in_tile = lambda r, c: ((r - F.col("tr") * TILE) * TILE + c - F.col("tc") * TILE).cast("int")
+    tiles = pixels.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct(in_tile(F.col("r"), F.col("c")), "depth"))).alias("known"))
+    tiles = tiles.select(*tile, F.transform(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)), lambda k: F.try_element_at("known", k)).alias("depths"))
     p = g.back_project(F.col("c"), F.col("r"), F.col("depth"), F.col("f"), F.col("px"), F.col("py"), g.vec("cx", "cy", "cz"), turn)
-    blocks = pixels.join(cams, "image_id").select("image_id", *[x.alias(c) for x, c in zip(p, "xyz", strict=True)])
+    block = ["bx", "by", "bz"]
+    blocks = pixels.join(cams, "image_id").select("image_id", *[x.alias(c) for c, x in zip("xyz", p, strict=True)])
     for c in "xyz":
         blocks = blocks.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - limit) / (BLOCK * voxel)), F.floor((F.col(c) + limit) / (BLOCK * voxel)))))
-    voxels = blocks.select("image_id", "bx", "by", "bz").distinct()
-    for c, name in zip("xyz", VOXEL, strict=True):
-        voxels = voxels.withColumn(name, F.explode(F.sequence(F.col(f"b{c}") * BLOCK, F.col(f"b{c}") * BLOCK + BLOCK - 1)))
-    q = g.to_camera([(F.col(n) + 0.5) * voxel for n in VOXEL], g.vec("cx", "cy", "cz"), turn)
-    u, v = g.project(q, F.col("f"), F.col("px"), F.col("py"))
-    shot = voxels.join(cams, "image_id").filter(q[2] > 0).select("image_id", *VOXEL, q[2].alias("z"), g.to_pixel(v).alias("r"), g.to_pixel(u).alias("c"))
-    seen = shot.join(pixels, ["image_id", "r", "c"]).withColumn("off", F.col("depth") - F.col("z")).filter(F.col("off") > -limit)
+    blocks = blocks.select("image_id", *block).distinct().repartition(tasks, "image_id", *block)
+
+    def shot(rows: DataFrame, *kept: str) -> DataFrame:
+        """The voxels of rows' blocks, their depth and their pixel."""
+        voxels = rows
+        for c, name in zip("xyz", VOXEL, strict=True):
+            voxels = voxels.withColumn(name, F.explode(F.sequence(F.col(f"b{c}") * BLOCK, F.col(f"b{c}") * BLOCK + BLOCK - 1)))
+        q = g.to_camera([(F.col(n) + 0.5) * voxel for n in VOXEL], g.vec("cx", "cy", "cz"), turn)
+        u, v = g.project(q, F.col("f"), F.col("px"), F.col("py"))
+        return voxels.join(cams, "image_id").filter(q[2] > 0).select("image_id", *kept, *VOXEL, q[2].alias("z"), g.to_pixel(v).alias("r"), g.to_pixel(u).alias("c"))
+
+    # only blocks and tiles are shuffled: a block's voxels are made where it meets its cameras, and again where it meets a tile
+    falls = shot(blocks, *block).select("image_id", *block, F.floor(F.col("r") / TILE).alias("tr"), F.floor(F.col("c") / TILE).alias("tc")).distinct()
+    met = shot(falls.join(tiles.hint("merge"), tile), "tr", "tc", "depths").filter((F.floor(F.col("r") / TILE) == F.col("tr")) & (F.floor(F.col("c") / TILE) == F.col("tc")))
+    seen = met.select(*VOXEL, (F.get("depths", in_tile(F.col("r"), F.col("c"))) - F.col("z")).alias("off")).filter(F.col("off") > -limit)
     return seen.groupBy(*VOXEL).agg(F.avg(F.least(F.lit(1.0), F.col("off") / limit)).alias("value"), F.count(F.lit(1)).alias("weight"))
 
 
