@@ -5,18 +5,21 @@ those that make up at least `share` of the language's words (so there are at mos
 compared with each reference by the Jensen-Shannon distance, base 2, and its nearest reference counts. The language it
 is labelled with only says whether words tell anything: where that has no reference with common words (too few
 documents, or a script without spaces), those of other languages don't count against it. Everything is DataFrame
-functions on the columns of the row itself; the references are the only aggregates, of a size that `share` and
-`most_languages` bound.
+functions on the columns of the row itself; the references are the only aggregates. The driver holds those of
+`most_languages` languages at a time, of a size that `share` bounds; where there are more languages, the measured rows
+meet them in rounds, all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, let, text_or_empty, words, written
+from tessera.llm.common import discard, let, text_or_empty, written
 
 WINDOW = 8
 CLASSES = ("upper", "digit", "symbol", "mark", "space", "other")
@@ -27,8 +30,8 @@ class Rules:
     """min_words, max_repeat_percent: the base rule. class_words, word_words: fewer words than that, and the distance
     of character classes, or of common words, does not count. class_distance, word_distance: more than that fails.
     share: what part of a language's words a reference word makes up at least. least_documents: of how many documents a
-    reference is built at least, whatever other languages there are. most_languages: the languages of most documents
-    that get a reference."""
+    reference is built at least, whatever other languages there are. most_languages: the languages whose references a
+    round compares; every language of enough documents gets its round."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -49,6 +52,11 @@ class Reference:
     shares: list[float]
 
 
+def split_words(text: Column) -> Column:
+    """common.words, by one split at single spaces."""
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
+
+
 def repeated_words(word_array: Column) -> Column:
     """How many words lie in windows of eight that the text has twice or more.
 
@@ -82,13 +90,17 @@ def measured(docs: DataFrame, *carried: str) -> DataFrame:
     text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     count = lambda source, drop: F.length(F.regexp_replace(source, drop, "")).cast("long")
-    a = docs.withColumns({"word_array": words(text), "lines": lines, "odd": F.regexp_replace(text, r"[\p{Ll}\x20]+", "")})
+    a = docs.withColumns({"word_array": split_words(text), "lines": lines, "odd": F.regexp_replace(text, r"[\p{Ll}\x20]+", "")})
+    a = a.withColumn("pairs", let(F.transform("word_array", lambda w: F.xxhash64(w)), lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))))
+    fours = F.transform("pairs", lambda x, i: F.xxhash64(x, F.get("pairs", i + 2)))
+    # a window of eight that comes twice has five windows of four that do
+    may_repeat = F.size("word_array") - F.size(F.array_distinct(fours)) >= 5
     b = a.withColumns({
         "n_words": F.size("word_array").cast("long"),
         "word_chars": F.length(F.array_join("word_array", "")).cast("long"),
         "n_symbols": count(F.col("odd"), r"[^#*$%&|<>]+"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("word_array")),
+        "n_repeat_words": F.when(may_repeat, repeated_words(F.col("word_array"))).otherwise(F.lit(0).cast("long")),
         "upper": count(F.col("odd"), r"\P{Lu}+"),
         "digit": count(F.col("odd"), r"\P{Nd}+"),
         "mark": count(F.col("odd"), r"[^.,;:!?'\"()\-]+"),
@@ -101,27 +113,65 @@ def measured(docs: DataFrame, *carried: str) -> DataFrame:
     return b.withColumn("classes", F.array(*seen, other)).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_here", "classes", "low", *carried)
 
 
+def _of(lang: str | None) -> Column:
+    return F.col("lang").eqNullSafe(F.lit(lang).cast("string"))
+
+
+def _among(langs: list[str | None]) -> Column:
+    return F.when(F.col("lang").isNull(), F.lit(None in langs)).otherwise(F.col("lang").isin([x for x in langs if x is not None]))
+
+
+def languages(docs: DataFrame, rules: Rules) -> DataFrame:
+    """(lang, name, docs): the languages of at least `rules.least_documents` documents that have words; name is never null."""
+    found = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    return found.filter(F.col("docs") >= rules.least_documents).withColumn("name", F.coalesce(F.concat(F.lit("1"), "lang"), F.lit("0")))
+
+
+def _rounds(every: DataFrame, rules: Rules) -> Iterator[list[str | None]]:
+    """The languages, those of most documents first, as many at a time as the driver may hold."""
+    rest = every
+    while found := rest.orderBy(F.desc("docs"), "name").limit(rules.most_languages).collect():
+        yield [r["lang"] for r in found]
+        docs, name = found[-1]["docs"], found[-1]["name"]
+        rest = every.filter((F.col("docs") < docs) | ((F.col("docs") == docs) & (F.col("name") > name)))
+
+
+def counted_words(docs: DataFrame, every: DataFrame) -> DataFrame:
+    """(lang, word, count) over the documents of the languages in `every`."""
+    named = docs.withColumn("name", F.coalesce(F.concat(F.lit("1"), "lang"), F.lit("0"))).join(every.select("name"), "name", "left_semi")
+    return named.select("lang", F.explode(split_words(F.lower("text"))).alias("word")).groupBy("lang", "word").count()
+
+
+def common_words(word_counts: DataFrame, langs: list[str | None], rules: Rules) -> dict[str | None, list[tuple[str, float]]]:
+    """The words of each of langs that make up at least `rules.share` of its words, and their shares."""
+    counts = word_counts.filter(_among(langs))
+    totals = {r["lang"]: r["words"] for r in counts.groupBy("lang").agg(F.sum("count").alias("words")).collect()}
+    total = F.coalesce(F.lit(None).cast("long"), *[F.when(_of(lang), F.lit(n).cast("long")) for lang, n in totals.items()])
+    rows = counts.withColumn("share", F.col("count") / total).filter(F.col("count") >= rules.share * total).collect()  # at most 1 / share a language
+    out: dict = {lang: [] for lang in langs}
+    for x in rows:
+        out[x["lang"]].append((x["word"], x["share"]))
+    return {lang: sorted(top, key=lambda x: (-x[1], x[0])) for lang, top in out.items()}
+
+
+def known_of(found: DataFrame, top: dict[str | None, list[tuple[str, float]]]) -> list[Reference]:
+    """The references of the languages in `top`, of measured rows and the languages' common words."""
+    mine = found.filter(_among(list(top)) & (F.col("n_words") > 0))
+    shares = mine.groupBy("lang").agg(*[F.avg(F.col("classes")[k] / F.col("n_chars_here")).alias(c) for k, c in enumerate(CLASSES[:-1])])
+    out = []
+    for r in sorted(shares.collect(), key=lambda r: (r["lang"] is None, r["lang"])):
+        classes, words = [r[c] for c in CLASSES[:-1]], top[r["lang"]]
+        out.append(Reference(r["lang"], [*classes, 1 - sum(classes)], [w for w, _ in words], [s for _, s in words]))
+    return out
+
+
 def references(docs: DataFrame, rules: Rules) -> list[Reference]:
     """One per language of at least `rules.least_documents` documents that have words, from all of them."""
-    text = F.col("text")
-    odd = F.regexp_replace(text, r"[\p{Ll}\x20]+", "")
-    count = lambda source, drop: F.length(F.regexp_replace(source, drop, "")).cast("long")
-    per_doc = docs.select("lang", F.length(text).alias("n"), F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).alias("dark"), odd.alias("odd")).filter("dark > 0")
-    shares = per_doc.select("lang", "n", count(F.col("odd"), r"\P{Lu}+").alias("upper"), count(F.col("odd"), r"\P{Nd}+").alias("digit"), count(F.col("odd"), r"[^#*$%&|<>]+").alias("symbol"), count(F.col("odd"), r"[^.,;:!?'\"()\-]+").alias("mark"), (F.col("n") - F.col("dark")).alias("space"))
-    found = shares.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *[F.avg(F.col(c) / F.col("n")).alias(c) for c in CLASSES[:-1]])
-    langs = {r["lang"]: r for r in found.filter(F.col("docs") >= rules.least_documents).orderBy(F.desc("docs"), "lang").limit(rules.most_languages).collect()}
-    of = lambda lang: F.col("lang").eqNullSafe(F.lit(lang).cast("string"))
-    named = F.col("lang").isin([x for x in langs if x is not None]) | (F.col("lang").isNull() & F.lit(None in langs))
-    word_counts = written(docs.filter(named).select("lang", F.explode(words(F.lower(text))).alias("word")).groupBy("lang", "word").count(), "quality-words")
-    totals = {r["lang"]: r["words"] for r in word_counts.groupBy("lang").agg(F.sum("count").alias("words")).collect()}
-    total = F.coalesce(F.lit(None).cast("long"), *[F.when(of(lang), F.lit(n).cast("long")) for lang, n in totals.items()])
-    rows = word_counts.withColumn("share", F.col("count") / total).filter(F.col("count") >= rules.share * total).collect()  # at most 1 / share a language
-    discard(word_counts)
-    out = []
-    for lang, r in sorted(langs.items(), key=lambda x: (x[0] is None, x[0])):
-        top = sorted(((x["word"], x["share"]) for x in rows if x["lang"] == lang), key=lambda x: (-x[1], x[0]))
-        classes = [r[c] for c in CLASSES[:-1]]
-        out.append(Reference(lang, [*classes, 1 - sum(classes)], [w for w, _ in top], [s for _, s in top]))
+    every = written(languages(docs, rules), "quality-languages")
+    word_counts = written(counted_words(docs, every), "quality-words")
+    found = measured(docs.withColumn("doc_id", F.lit(0)))
+    out = [r for langs in _rounds(every, rules) for r in known_of(found, common_words(word_counts, langs, rules))]
+    discard(every, word_counts)
     return out
 
 
@@ -136,19 +186,30 @@ def _literal(values, kind: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
 
 
-def distances(found: DataFrame, known: list[Reference]) -> DataFrame:
-    """found with class_distance and word_distance: the least over the references; null where there is none. A document
-    has a word_distance only if its own language has a reference with words."""
-    every = sorted({w for r in known for w in r.words})
-    if not known:
-        return found.withColumns({"class_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
+def _with_counts(found: DataFrame, every: Iterable[str]) -> DataFrame:
+    """found with `counts`: how often the row has each word of `every` that it has."""
+    every = sorted(set(every))
     hits = F.array_sort(F.filter("low", lambda w: w.isin(every))) if every else F.array().cast("array<string>")
     a = found.withColumn("hits", hits).withColumn("distinct_hits", F.array_distinct("hits"))
     starts = F.transform("distinct_hits", lambda w: F.array_position("hits", w))
     ends = lambda s: F.transform(s, lambda p, k: F.coalesce(F.get(s, k + 1), F.size("hits") + F.lit(1)) - p)
-    b = a.withColumn("counts", F.map_from_arrays("distinct_hits", let(starts, ends)))
-    class_shares = F.transform("classes", lambda c: c / F.greatest(F.col("n_chars_here"), F.lit(1)))
-    b = b.withColumn("class_shares", class_shares)
+    return a.withColumn("counts", F.map_from_arrays("distinct_hits", let(starts, ends))).drop("hits", "distinct_hits")
+
+
+#: What the rounds of references leave on a row: the least distances so far, and whether its language has a reference
+#: with words.
+NEAREST = ("class_distance", "nearest_words", "told")
+
+
+def _unmet(found: DataFrame) -> DataFrame:
+    return found.withColumns({"class_distance": F.lit(None).cast("double"), "nearest_words": F.lit(None).cast("double"), "told": F.lit(False)})
+
+
+def _nearer(found: DataFrame, known: list[Reference]) -> DataFrame:
+    """found, which has the `counts` of known's words, with NEAREST brought to what known says too."""
+    if not known:
+        return found
+    b = found.withColumn("class_shares", F.transform("classes", lambda c: c / F.greatest(F.col("n_chars_here"), F.lit(1))))
     by_class = [distance(F.col("class_shares"), _literal(r.classes, "double")) for r in known]
     by_word = []
     for r in known:
@@ -156,10 +217,48 @@ def distances(found: DataFrame, known: list[Reference]) -> DataFrame:
             mine = F.transform(_literal(r.words, "string"), lambda w: F.coalesce(F.element_at("counts", w), F.lit(0)) / F.greatest(F.col("n_words"), F.lit(1)))
             whole = let(mine, lambda p: F.concat(p, F.array(F.lit(1.0) - F.aggregate(p, F.lit(0.0), lambda x, y: x + y))))
             by_word.append(distance(whole, _literal([*r.shares, 1 - sum(r.shares)], "double")))
-    least = lambda x: F.least(*x) if len(x) > 1 else x[0]
-    usable = {r.lang for r in known if r.words}
-    told = F.coalesce(F.col("lang").isin(sorted(usable - {None})), F.lit(None in usable))  # isin of null is null
-    return b.withColumns({"class_distance": least(by_class), "word_distance": F.when(told, least(by_word)) if by_word else F.lit(None).cast("double")})
+    told = F.col("told") | _among([r.lang for r in known if r.words])
+    return b.withColumns({"class_distance": F.least("class_distance", *by_class), "nearest_words": F.least("nearest_words", *by_word) if by_word else F.col("nearest_words"), "told": told}).drop("class_shares")
+
+
+def _met(found: DataFrame) -> DataFrame:
+    return found.withColumn("word_distance", F.when(F.col("told"), F.col("nearest_words")))
+
+
+def distances(found: DataFrame, known: list[Reference], rules: Rules) -> DataFrame:
+    """found with class_distance and word_distance: the least over the references; null where there is none. A document
+    has a word_distance only if its own language has a reference with words."""
+    found, last = _unmet(found), None
+    for k, some in enumerate(batched(known, rules.most_languages)):
+        if k:
+            met = written(found.drop("counts"), "quality-measured")
+            if last is not None:
+                discard(last)
+            found = last = met
+        found = _nearer(_with_counts(found, [w for r in some for w in r.words]), list(some))
+    return _met(found)
+
+
+def compared(base: DataFrame, rules: Rules, *carried: str) -> DataFrame:
+    """distances() of the rows of base and the references that they make. Texts are read twice, once to count words and
+    once to measure rows; classes are averaged over the measured rows."""
+    every = written(languages(base, rules), "quality-languages")
+    word_counts = written(counted_words(base, every), "quality-words")
+    rounds = _rounds(every, rules)
+    found, langs = _unmet(measured(base, *carried)), next(rounds, [])
+    while True:
+        following = next(rounds, None)
+        top = common_words(word_counts, langs, rules) if langs else {}
+        counted = _with_counts(found, [w for words in top.values() for w, _ in words])
+        rows = written(counted if following else counted.drop("low"), "quality-measured")
+        if hasattr(found, "written_to"):
+            discard(found)
+        found = _nearer(rows, known_of(rows, top) if top else [])
+        if not following:
+            discard(every, word_counts)
+            return _met(found)
+        found, langs = written(found.drop("counts"), "quality-measured"), following
+        discard(rows)
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), known: list[Reference] | None = None) -> DataFrame:
@@ -190,7 +289,7 @@ def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def judged(base: DataFrame, rules: Rules, known: list[Reference] | None, *carried: str) -> DataFrame:
-    found = distances(measured(base, *carried), references(base, rules) if known is None else known)
+    found = compared(base, rules, *carried) if known is None else distances(measured(base, *carried), known, rules)
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     odd_classes = (F.col("n_words") >= rules.class_words) & (F.col("class_distance") > rules.class_distance)
     odd_words = (F.col("n_words") >= rules.word_words) & (F.col("word_distance") > rules.word_distance)

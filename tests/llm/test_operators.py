@@ -466,3 +466,20 @@ def test_a_language_keeps_its_reference_beside_larger_ones(spark):
     for more in (0, 1500):
         df = spark.createDataFrame(few + texts("much", more), "lang string, text string")
         assert "few" in {r.lang for r in quality.references(df, quality.Rules())}
+
+
+def test_every_language_gets_a_reference(spark):
+    """More languages than a round holds: the same references, distances and verdicts as in one round."""
+    rng = random.Random(17)
+    texts = lambda k, lang, n, m: [(1000 * k + i, lang, "".join(f"{lang}{rng.randrange(30)}, " for _ in range(m)).replace("3", "#" * k).upper() if k % 2 else " ".join(f"{lang}{rng.randrange(30)}" for _ in range(m))) for i in range(n)]
+    rows = [r for k, lang in enumerate(("a", "b", None, "c", "d")) for r in texts(k, lang, 12 + k % 3, 80)] + texts(7, "small", 3, 80) + texts(8, "a", 5, 90)
+    docs = spark.createDataFrame([*rows, (9000, "c", None), (9001, "d", "")], "doc_id long, lang string, text string")
+    few, many = quality.Rules(most_languages=2), quality.Rules()
+    assert {r.lang for r in quality.references(docs.na.fill("", ["text"]), few)} == {"a", "b", None, "c", "d"}
+    got, want = ({r.doc_id: r for r in quality.quality_rules(docs, rules).collect()} for rules in (few, many))
+    given = {r.doc_id: r for r in quality.quality_rules(docs, few, quality.references(docs.na.fill("", ["text"]), many)).collect()}
+    assert len(got) == len(want) == docs.count() and all(got[i].word_distance is not None for i in got if i < 5000)
+    for i, r in want.items():
+        for other in (got[i], given[i]):
+            assert other[:8] == r[:8] and other[8:] == pytest.approx(r[8:], nan_ok=True)
+    assert {r.doc_id for r in quality.kept_documents(docs, few).collect()} == {i for i, r in want.items() if r.kept}
