@@ -83,3 +83,23 @@ def test_twins_score_apart(spark):
     twins, others = [got[k].bits_per_byte for k in held if k < 20], [got[k].bits_per_byte for k in held if k >= 20]
     assert max(twins) < min(others)
     assert all(got[k].score < 0 and got[k].n_tokens == 301 for k in got)
+
+
+def test_every_word_behind_the_first_anchor_is_in_a_continuation(spark):
+    """A copy is predicted from its fifth word to its end, however far its hashed anchors lie apart."""
+    rng = random.Random(10)
+    for n in (3, 4, 5, 30, 3000):
+        text = " ".join(str(rng.randrange(10**6)) for _ in range(n))
+        rows = spark.createDataFrame([(1, True, text), (2, False, text), (3, True, "other words " * 9)], "doc long, training boolean, text string")
+        got = {r.doc: r.found for r in lm.continuations(rows).collect()}
+        codes = (np.array([lm._Hashes()[w] for w in lm.tokens(text)], dtype=np.uint64) & np.uint64(4095)).astype(np.uint32)
+        guess, _ = lm.predicted(codes, got.get(2, []))
+        assert guess[4:].tolist() == codes[4:].tolist() and 1 not in got
+
+
+def test_tables_hold_every_training_document(spark):
+    rng = random.Random(11)
+    rows = [(k, k % 3 != 0, " ".join(str(rng.randrange(50)) for _ in range(k % 40))) for k in range(300)]
+    parts = lm.tables_and_anchors(spark.createDataFrame(rows, "doc long, training boolean, text string").repartition(3))
+    table = lm.context_tables(parts)
+    assert table.sum(axis=(1, 2)).tolist() == [sum(len(lm.tokens(t)) for _, training, t in rows if training) * lm.BITS] * 2
