@@ -28,6 +28,8 @@ UNLIKE, KEPT = 1.2, 0.9
 SMOOTH_DEPTH, SMOOTH_ANGLE, BONUS_DEPTH, BONUS_ANGLE = 0.02, np.radians(13), 0.07, 0.07 * 0.96
 DEPTH_RANGE, ANGLE_RANGES, TRIES = 0.003, (np.radians(16), np.radians(10)), 6
 GEOMETRIC, FARTHEST, SIMILAR, TEXTURE = 0.1, 4.0, 0.03, 0.02
+#: Texels are moved inwards by up to so many pixels, so that rounding doesn't put those on an image's border outside.
+EDGE = 1e-9
 
 PATCH = np.array(list(product(range(-HALF, HALF + 1, STEP), repeat=2)))
 CROSS = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -83,6 +85,34 @@ def sampled(image: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(good, value, np.nan)
 
 
+def bent(image: np.ndarray) -> tuple[int, int, list[np.ndarray]]:
+    """For looked_up(): height, width and, for each square of four pixels, the value at its first corner and how that
+    changes along columns, along rows and along both. Squares that stick out of the image are nan."""
+    p = np.pad(image, ((1, 2), (1, 2)), constant_values=np.nan)
+    a, b, c, d = p[:-1, :-1], p[:-1, 1:], p[1:, :-1], p[1:, 1:]
+    return *image.shape, [x.reshape(-1) for x in (a.copy(), b - a, c - a, d - c - b + a)]
+
+
+def looked_up(image: tuple, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """sampled() of an image given as bent(), at r - 1 and c - 1. r and c are overwritten."""
+    h, w, (value, along, down, both) = image
+    for x, most in ((r, h), (c, w)):
+        np.minimum(np.maximum(x, 0, out=x), most, out=x)
+    i, j = r.astype(np.intp), c.astype(np.intp)
+    r -= i
+    c -= j
+    i *= w + 2
+    i += j
+    out, slope, along, value = (x.take(i, mode="clip") for x in (both, down, along, value))
+    out *= c
+    out += slope
+    out *= r
+    along *= c
+    out += along
+    out += value
+    return out
+
+
 class Tile:
     """Planes (depth along the axis, normal in camera coordinates) of the pixels of a reference view, and their scores."""
 
@@ -93,11 +123,14 @@ class Tile:
         self.rays = view.rays(self.r + view.top, self.c + view.left)
         padded = np.pad(view.grey, HALF, constant_values=np.nan)
         texel = np.stack([padded[HALF + i : HALF + i + h, HALF + j : HALF + j + w] for i, j in PATCH], axis=-1)
-        self.weight = np.exp(-((texel - view.grey[..., None]) ** 2) / (2 * SIGMA_GREY**2) - (PATCH**2).sum(axis=1) / (2 * SIGMA_SPACE**2))
-        self.total = self.weight.sum(axis=-1)
-        centred = texel - ((self.weight * texel).sum(axis=-1) / self.total)[..., None]
-        self.centred = self.weight * centred
-        self.variance = (self.centred * centred).sum(axis=-1)
+        weight = np.exp(-((texel - view.grey[..., None]) ** 2) / (2 * SIGMA_GREY**2) - (PATCH**2).sum(axis=1) / (2 * SIGMA_SPACE**2))
+        self.total = weight.sum(axis=-1)
+        centred = texel - ((weight * texel).sum(axis=-1) / self.total)[..., None]
+        self.variance = (weight * centred * centred).sum(axis=-1)
+        # texels by pixels: sums over texels then go along whole rows
+        self.weight, self.centred = (np.ascontiguousarray(x.reshape(h * w, -1).T) for x in (weight, weight * centred))
+        self.share = None if prior is None else np.where(prior > 0, np.exp(-self.variance / TEXTURE), 0)
+        self.bent = [bent(v.grey) for v in others]
         enough = self.variance >= LEAST_VARIANCE
         self.open = np.isfinite(self.variance) & (enough if prior is None else enough | (prior > 0))
         self.depth, self.normal, self.score = np.full((h, w), np.nan), np.zeros((h, w, 3)), np.full((h, w), 2.0)
@@ -129,51 +162,71 @@ class Tile:
         flat = np.sqrt(1 - z * z)
         return root**2, self.facing(at, np.stack([flat * np.cos(turn), flat * np.sin(turn), z], axis=-1))
 
-    def bonus(self, at, depth: np.ndarray, normal: np.ndarray) -> np.ndarray:
-        """What planes like those of the four nearest pixels take off a score."""
-        out, (h, w) = np.ones(len(depth)), self.depth.shape
-        offset = depth * (normal * self.rays[at[0], at[1]]).sum(axis=-1)
-        for i, j in CROSS:
-            r, c = np.clip(at[0] + i, 0, h - 1), np.clip(at[1] + j, 0, w - 1)
-            d, n = self.depth[r, c], self.normal[r, c]
-            apart = ((normal * self.rays[r, c]).sum(axis=-1) * d - offset) / depth
-            angle = np.arccos(np.clip((normal * n).sum(axis=-1), -1, 1))
-            factor = (1 - BONUS_DEPTH * np.exp(-(apart**2) / (2 * SMOOTH_DEPTH**2))) * (1 - BONUS_ANGLE * np.exp(-(angle**2) / (2 * SMOOTH_ANGLE**2)))
-            out *= np.where(np.isfinite(d) & ((r != at[0]) | (c != at[1])), factor, 1)
-        return out
-
-    def scored(self, at, depth: np.ndarray, normal: np.ndarray, smooth: bool = True) -> np.ndarray:
-        """0 for planes under which the patches of the best two other views look the same, to 2."""
+    def bonus(self, at, depth: np.ndarray, normal: np.ndarray, faced: np.ndarray) -> np.ndarray:
+        """What planes like those of the four nearest pixels take off a score. faced: normal times ray."""
+        (h, w), f = self.depth.shape, self.view.camera[0]
+        i, j = np.array(CROSS).T[:, :, None]
+        r, c = at[0] + i, at[1] + j
+        there = (r >= 0) & (r < h) & (c >= 0) & (c < w)
+        flat = np.where(there, r * w + c, 0)
+        d, n = self.depth.reshape(-1).take(flat), self.normal.reshape(-1, 3).take(flat, axis=0)
+        apart = (faced + (normal[:, 1] * i + normal[:, 0] * j) / f) * (d / depth) - faced
+        angle = np.arccos(np.minimum(np.maximum(np.einsum("pk,cpk->cp", normal, n), -1), 1))
+        factor = (1 - BONUS_DEPTH * np.exp(apart * apart * (-1 / (2 * SMOOTH_DEPTH**2)))) * (1 - BONUS_ANGLE * np.exp(angle * angle * (-1 / (2 * SMOOTH_ANGLE**2))))
+        return np.where(there & np.isfinite(d), factor, 1).prod(axis=0)
+
+    def patch(self, at) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and weighted differences from the mean of pixels' texels."""
+        flat = at[0] * self.depth.shape[1] + at[1]
+        return self.weight.take(flat, axis=1), self.centred.take(flat, axis=1)
+
+    def scored(self, at, depth: np.ndarray, normal: np.ndarray, smooth: bool = True, patch: tuple | None = None) -> np.ndarray:
+        """0 for planes under which the patches of the best two other views look the same, to 2. A plane maps pixels to another
+        view by three linear forms of row and column, so a texel costs their sums and one division. patch: that of the
+        pixels, where it is known."""
         r, c = at
-        weight, centred, total, variance = self.weight[r, c], self.centred[r, c], self.total[r, c], self.variance[r, c]
-        ray = self.rays[r, c]
-        texel = self.view.rays((r + self.view.top)[:, None] + PATCH[:, 0], (c + self.view.left)[:, None] + PATCH[:, 1])
-        along = (depth * (normal * ray).sum(axis=-1))[:, None] / np.einsum("pk,pik->pi", normal, texel)
-        bonus = self.bonus(at, depth, normal) if smooth else 1.0
+        n, (weight, centred) = len(depth), patch or self.patch(at)
+        total, variance = self.total[r, c], self.variance[r, c]
+        ray, f = self.rays[r, c], self.view.camera[0]
+        faced = np.einsum("pk,pk->p", normal, ray)
+        step = np.arange(-HALF, HALF + 1, STEP, dtype=np.float64)[:, None]
+        linear = lambda base, down, right: ((base + down * step)[:, None, :] + (right * step)[None, :, :]).reshape(len(PATCH), n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = [normal[:, k] / (f * faced * depth) for k in (1, 0)]  # of one over depth, by row and column
+            lean = faced * faced - np.abs(faced) * (HALF / f) * (np.abs(normal[:, 0]) + np.abs(normal[:, 1]))
+            front = (lean > 0) & (depth * faced != 0)  # the plane meets the rays of all texels before the camera
+        bonus = self.bonus(at, depth, normal, faced) if smooth else 1.0
         found = []
-        for v in self.others:
+        for v, image in zip(self.others, self.bent, strict=True):
             turn, move = v.R @ self.view.R.T, v.R @ (self.view.C - v.C)
-            q = (texel @ turn.T) * along[..., None] + move
-            f, px, py = v.camera
-            with np.errstate(divide="ignore", invalid="ignore"):
-                u, w = px + f * q[..., 0] / q[..., 2], py + f * q[..., 1] / q[..., 2]
-            behind = ~((q[..., 2] > 0) & np.isfinite(u) & np.isfinite(w))
-            value = sampled(v.grey, np.where(behind, -1, w - v.top), np.where(behind, -1, u - v.left))
-            weighted = value * weight
-            spread = variance * np.maximum((value * weighted).sum(axis=-1) - weighted.sum(axis=-1) ** 2 / total, 0)
+            g, px, py = v.camera
+            # column and row, as looked_up() takes them, times z, and z, of what a texel's ray meets, over its depth
+            inner = [1 - 2 * EDGE / max(x - 1, 1) for x in v.grey.shape]
+            form = np.array([[g * inner[1], 0, (px - v.left) * inner[1] + 1 + EDGE], [0, g * inner[0], (py - v.top) * inner[0] + 1 + EDGE], [0, 0, 1]])
+            turn, move = form @ turn, form @ move
             with np.errstate(divide="ignore", invalid="ignore"):
-                score = 1 - np.clip((value * centred).sum(axis=-1) / np.sqrt(spread), -1, 1)
+                u, w, z = (linear(ray @ turn[k] + move[k] / depth, turn[k, 1] / f + move[k] * slope[0], turn[k, 0] / f + move[k] * slope[1]) for k in range(3))
+                ahead = z > 0
+                np.divide(1, z, out=z)
+                u *= z
+                w *= z
+                if not ahead.all():
+                    u[~ahead], w[~ahead] = 0, 0
+                value = looked_up(image, w, u)
+                mean, like = np.einsum("kp,kp->p", value, weight), np.einsum("kp,kp->p", value, centred)
+                value *= value
+                spread = variance * np.maximum(np.einsum("kp,kp->p", value, weight) - mean * mean / total, 0)
+                score = 1 - np.minimum(np.maximum(like / np.sqrt(spread), -1), 1)
             score = np.where(spread > 1e-16, score, np.nan) * bonus
             if v.depth is not None:
                 score = score + GEOMETRIC * self.inconsistent(v, at, depth)
             if self.prior is not None:
-                before = self.prior[r, c]
-                share = np.where(before > 0, np.exp(-variance / TEXTURE), 0)
+                before, share = self.prior[r, c], self.share[r, c]
                 score = (1 - share) * score + share * np.minimum(np.abs(np.where(before > 0, before, 1) - depth) / np.where(before > 0, before, 1), 0.5)
             found.append(np.where(np.isfinite(score), np.minimum(score, 2), UNLIKE))
         best = np.sort(np.stack(found), axis=0)
         out = best[0] if len(best) < 2 else np.where(best[1] < UNLIKE, (best[0] + best[1]) / 2, best[0])
-        return np.where((depth >= self.low) & (depth <= self.high) & (along > 0).all(axis=1), out, 2.0)
+        return np.where((depth >= self.low) & (depth <= self.high) & front, out, 2.0)
 
     def inconsistent(self, v: View, at, depth: np.ndarray) -> np.ndarray:
         """How far a pixel comes back from where it started, by the depth that another view has where it falls: sqrt(d (d + 2))
@@ -218,6 +271,7 @@ class Tile:
                     sub = at[0][some], at[1][some]
                     self.take(sub, here[some], n[some], self.scored(sub, here[some], n[some]))
             score = self.score[at]
+            patch = self.patch(at)
             narrow = np.where(score <= 0.66 * KEPT, 2, np.where(score <= 0.9 * KEPT, 1, 0))
             for k in range(TRIES):
                 n = ((number * 2 + colour) * TRIES + k + 1) * 4
@@ -225,15 +279,18 @@ class Tile:
                 spread = 0.5**narrow
                 centre, own = self.depth[at], self.normal[at]
                 depth = centre * (1 + DEPTH_RANGE * spread * (2 * self.numbers(at, 3 * n) - 1))
-                side = np.cross(own, np.where(np.abs(own[:, :1]) < 0.9, (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)))
-                side /= np.linalg.norm(side, axis=1, keepdims=True)
+                (x, y, z), low = own.T, np.abs(own[:, 0]) < 0.9  # across the normal and an axis that it isn't near
+                side = np.stack([np.where(low, 0, -z), np.where(low, z, 0), np.where(low, -y, x)], axis=-1)
+                side /= np.sqrt(np.einsum("pk,pk->p", side, side))[:, None]
+                a, b, c = side.T
+                across = np.stack([y * c - z * b, z * a - x * c, x * b - y * a], axis=-1)
                 turns = [np.tan(a * spread * (2 * self.numbers(at, 3 * n + 1 + m) - 1))[:, None] for m, a in enumerate(ANGLE_RANGES)]
-                normal = own + turns[0] * side + turns[1] * np.cross(own, side)
-                normal /= np.linalg.norm(normal, axis=1, keepdims=True)
-                any_depth, any_normal = self.anywhere(at, n + 1)
-                depth, normal = np.where(lost, any_depth, depth), np.where(lost[:, None], any_normal, normal)
-                fine = (normal * ray).sum(axis=-1) < 0
-                found = np.where(fine, self.scored(at, depth, np.where(fine[:, None], normal, own)), 2.0)
+                normal = own + turns[0] * side + turns[1] * across
+                normal /= np.sqrt(np.einsum("pk,pk->p", normal, normal))[:, None]
+                if lost.any():
+                    depth[lost], normal[lost] = self.anywhere((at[0][lost], at[1][lost]), n + 1)
+                fine = np.einsum("pk,pk->p", normal, ray) < 0
+                found = np.where(fine, self.scored(at, depth, np.where(fine[:, None], normal, own), patch=patch), 2.0)
                 narrow = narrow + (self.take(at, depth, normal, found) & ~lost)
 
 
